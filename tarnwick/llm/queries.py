@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import bpe_chunks, dart_minhash, exact_dedup, hash_tree, line_frequency, mixing, token_counts
+from tarnwick.llm import bpe_chunks, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, mixing, quotation, token_counts
 
 TREE, CELLS = hash_tree.Tree(), 256
 TOKEN_LIMIT = 512
@@ -36,16 +36,32 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotation.link_quotations(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", "parent_turn", "reply_kind", "n_passages", "deepest_level", "order_key", "own_text")
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "text", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join(F.col("license_ids").cast("array<string>"), ",")
+    return scanned.select("doc_id", F.size("license_ids").alias("n_known"), ids.alias("license_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", "class_id", "class_size", "n_shingles", "kept")
 
 
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "labels"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     ruled = line_frequency.quality_rules(docs)
@@ -98,8 +114,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_chunks": op2_bpe_chunks,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quotation_linking": op4_quotation_linking,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_license_scan": op6_license_scan,
     "op7_dart_minhash": op7_dart_minhash,
+    "op8_importance": op8_importance,
     "op9_line_frequency": op9_line_frequency,
     "op10_hash_tree": op10_hash_tree,
 }
@@ -107,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op5_poisson_mixing": "SELECT doc_id, source, text, round(rate, 6) AS rate, n_copies, copy, shuffle_key FROM (" + mixing.mix_sql("d.doc_id, d.source, d.text") + ")",
+    "op6_license_scan": license_scan.scan_sql(),
     "op9_line_frequency": OP9_SQL,
 }
