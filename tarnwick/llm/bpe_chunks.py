@@ -1,8 +1,9 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last 16 code points cuts each text where the hash's low bits are zero, so equal stretches of
-different documents are cut alike, wherever they stand.  A chunk is encoded once for a worker process, by the library
-itself, and its ids are kept in a bounded table; documents that share it reuse them.
+different documents are cut alike, wherever they stand.  A chunk is encoded once for a worker process and its ids are
+kept in a bounded table; documents that share it reuse them.  A new chunk is encoded from its parts between blanks: the
+library encodes the parts that the worker has not met, since no merge reaches over a blank.
 
 Concatenated chunk ids are wrong near the joins, where a cut may go through a word.  A join is repaired by encoding
 again a stretch around it that begins behind a blank of the left chunk and ends at a blank of the right one (ASCII white
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import SPACES, put, text_of
+from tarnwick.llm.common import put, text_of
 
-#: Mean, least and largest code points of a chunk, and code points kept in a worker's table of chunks.
-MEAN, LEAST, LARGEST, KEPT_CHARS = 512, 128, 4096, 24_000_000
+#: Mean, least and largest code points of a chunk, and what a worker's tables of chunks and words keep.
+MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_WORDS = 512, 128, 4096, 24_000_000, 600_000
 WINDOW = 16
 _ODD = np.uint32(0x9E3779B1)
 
@@ -64,7 +65,7 @@ def cuts(text: str) -> list[int]:
     return out
 
 
-BLANK = re.compile(r"[\x20\x09-\x0D]")
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Chunk(NamedTuple):
@@ -107,18 +108,23 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, Chunk] = {}
+        self.words: dict[str, bytes] = {}
         self.held = self.encoded = self.used = self.disagreed = 0
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet, each once."""
+        """Encode the chunks that are not known yet, each once; of their words, those that are not known yet."""
         if self.held > KEPT_CHARS:
             self.known, self.held = {}, 0
-        new = [c for c in chunks if c not in self.known]
-        for chunk, encoding in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[chunk] = measured(chunk, encoding)
+        if len(self.words) > KEPT_WORDS:
+            self.words = {}
+        new = {c: BLANKS.split(c) for c in chunks if c not in self.known}
+        missing = list({w for parts in new.values() for w in parts if w not in self.words})
+        self.words |= zip(missing, (np.array(ids, "<u4").tobytes() for ids in self.ids(missing)))
+        for chunk, parts in new.items():
+            self.known[chunk] = measured(chunk, parts, [self.words[w] for w in parts])
             self.held += len(chunk)
         self.encoded += len(new)
 
@@ -169,32 +175,17 @@ class ChunkEncoder:
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
-def measured(chunk: str, encoding) -> Chunk:
-    ids = np.array(encoding.ids, np.uint32)
-    found = BLANK.search(chunk)
-    if not found:
-        return Chunk(ids, -1, -1)
-    first, last, n = found.start(), max(map(chunk.rfind, SPACES)) + 1, len(ids)
-    starts = lambda k: encoding.token_to_chars(k)[0]
-
-    def forward(k: int, to: int) -> int:
-        while k < n and starts(k) < to:
-            k += 1
-        return k
-
-    def backward(k: int, to: int) -> int:
-        while k and starts(k - 1) >= to:
-            k -= 1
-        return k
-
-    head, end = forward(0, first), backward(n, last)
-    # The guards: a whole word between the first and the last blank, with the blank on its far side.
-    after = next((m.start() for m in BLANK.finditer(chunk, first) if not chunk[first : m.start()].isspace() and m.start() > first), -1)
-    right_at = after if first < after < last and end > head else first
-    word = chunk[:last].rstrip(SPACES)
-    before = max(word.rfind(s) for s in SPACES) + 1
-    left_at = before if before > first and end > head else last
-    return Chunk(ids, first, last, head, n - end, left_at, end - backward(end, left_at), right_at, forward(head, right_at) - head)
+def measured(chunk: str, parts: list[str], ids: list[bytes]) -> Chunk:
+    """A chunk from its parts between blanks (the first and the last may be cut words or empty) and their ids."""
+    joined = np.frombuffer(b"".join(ids), "<u4")
+    if len(parts) == 1:
+        return Chunk(joined, -1, -1)
+    first, last = len(parts[0]), len(chunk) - len(parts[-1])
+    n = lambda k: len(ids[k]) // 4
+    if len(parts) == 2:  # no whole word between blanks: no guards
+        return Chunk(joined, first, last, n(0), n(-1), last, 0, first, 0)
+    left_at, right_at = chunk.rfind(parts[-2], 0, last), chunk.find(parts[1], first) + len(parts[1])
+    return Chunk(joined, first, last, n(0), n(-1), left_at, n(-2), right_at, n(1))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
