@@ -18,6 +18,7 @@ documents moves more bytes than the texts themselves have (README).  Map only, n
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tarnwick.llm.common import put, text_of
 
 #: Mean, least and largest code points of a chunk, and what a worker's tables of chunks and words keep.
-MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_WORDS = 512, 128, 4096, 24_000_000, 600_000
+MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_WORDS = 512, 128, 4096, 12_000_000, 400_000
 WINDOW = 16
 _ODD = np.uint32(0x9E3779B1)
 
@@ -102,6 +103,8 @@ class ChunkEncoder:
     """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
     def __init__(self, path: str):
+        # Spark already runs a worker on each core; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -198,7 +201,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", batch_chars: int = 2_000_000, decode: bool = True) -> DataFrame:
+def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", batch_chars: int = 1_000_000, decode: bool = True) -> DataFrame:
     """All input columns and rows plus ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens, ids_sha256`` and,
     with ``decode``, ``decoded`` and ``decoded_sha256``.
 
@@ -211,20 +214,26 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text",
     @F.arrow_udf("ids binary, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(vocabulary)
-        for batch in batches:
-            rows, waiting, size = [], [], 0
-            texts = batch.to_pylist()
-            for k, text in enumerate(texts):
-                waiting.append(text)
-                size += len(text)
-                if size >= batch_chars or k == len(texts) - 1:
-                    for ids in e.encode_all(waiting):
-                        data = ids.tobytes()
-                        back = e.decode(ids) if decode else None
-                        sha = hashlib.sha256(back.encode()).hexdigest() if decode else None
-                        rows.append({"ids": data, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(data).hexdigest(), "decoded": back, "decoded_sha256": sha})
+
+        def coded(texts: list[str]) -> pa.Array:
+            rows = []
+            for ids in e.encode_all(texts):
+                data = ids.tobytes()
+                back = e.decode(ids) if decode else None
+                sha = hashlib.sha256(back.encode()).hexdigest() if decode else None
+                rows.append({"ids": data, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(data).hexdigest(), "decoded": back, "decoded_sha256": sha})
+            return pa.array(rows, kind)
+
+        for batch in batches:  # a batch is answered in several smaller ones
+            waiting, size = [], 0
+            for text in batch:
+                waiting.append(text.as_py())
+                size += len(waiting[-1])
+                if size >= batch_chars:
+                    yield coded(waiting)
                     waiting, size = [], 0
-            yield pa.array(rows, kind)
+            if waiting:
+                yield coded(waiting)
 
     out = put(docs, {"__bpe": run(text_of(text_col))})
     names = ["ids", "n_tokens", "ids_sha256"] + ["decoded", "decoded_sha256"] * decode
