@@ -21,6 +21,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tarnwick.llm.common import put, text_of
 
 #: Mean, least and largest code points of a chunk, and what a worker's tables of chunks and words keep.
-MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_WORDS = 512, 128, 4096, 12_000_000, 400_000
+MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_WORDS = 512, 128, 4096, 10_000_000, 900_000
 WINDOW = 16
 _ODD = np.uint32(0x9E3779B1)
 
@@ -121,8 +122,8 @@ class ChunkEncoder:
         """Encode the chunks that are not known yet, each once; of their words, those that are not known yet."""
         if self.held > KEPT_CHARS:
             self.known, self.held = {}, 0
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
+        if len(self.words) > KEPT_WORDS:  # the older half goes
+            self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
         new = {c: BLANKS.split(c) for c in chunks if c not in self.known}
         missing = list({w for parts in new.values() for w in parts if w not in self.words})
         self.words |= zip(missing, (np.array(ids, "<u4").tobytes() for ids in self.ids(missing)))
