@@ -1,0 +1,44 @@
+"""Freshness records, carry-forward on failure, and probes of the newest live snapshot."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def next_status(previous: DataFrame, now: Column, live: Column, not_live: Column) -> DataFrame:
+    """The run record: ``prices_as_of`` moves to ``now`` only if something is live and nothing is not."""
+    ok = (F.size(live) > 0) & (F.size(not_live) == 0)
+    return previous.select(
+        F.when(ok, now).otherwise(F.col("prices_as_of")).alias("prices_as_of"), now.alias("last_attempt_at"), ok.alias("last_attempt_ok"),
+        F.array_sort(live).alias("sets_live"), F.array_sort(not_live).alias("sets_not_live"),
+    )
+
+
+def not_live(configured: Column, live: Column) -> Column:
+    return F.array_sort(F.array_except(configured, live))
+
+
+def carry_forward(live: DataFrame, cached: DataFrame, failed: DataFrame, key: str = "set_id") -> DataFrame:
+    """Live rows and, for the keys that failed, the cached ones; the catalogue never shrinks on a failure."""
+    return live.unionByName(cached.join(failed.select(key).distinct(), key, "left_semi").select(live.columns))
+
+
+def live_dates(snapshots: DataFrame, today: Column, recent_days: int = 3) -> DataFrame:
+    """One row: the newest date up to today with any positive active count, its age, and whether it is recent."""
+    days = snapshots.where(F.col("date") <= today).groupBy("date").agg(F.bool_or(F.coalesce(F.col("active") > 0, F.lit(False))).alias("live")).where("live")
+    newest = days.agg(F.max("date").alias("newest"))
+    age = F.datediff(today, F.col("newest"))
+    return newest.select("newest", age.alias("age_days"), F.when(age.isNull(), "none").when(age <= recent_days, "recent").otherwise("stale").alias("state"))
+
+
+def due(items: DataFrame, seen: DataFrame, today: Column, days: int = 14, budget: int = 80, key: str = "id") -> DataFrame:
+    """Items never fetched or fetched ``days`` ago or more, the longest waiting first, up to a call budget."""
+    rows = items.join(seen.select(key, "fetched"), key, "left").where(F.col("fetched").isNull() | (F.col("fetched") <= F.date_sub(today, days)))
+    return rows.orderBy(F.col("fetched").asc_nulls_first(), key).limit(budget)
+
+
+def merge_series(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Union by key where the newer write wins."""
+    both = old.select(*keys, value, F.lit(0).alias("__w")).unionByName(new.select(*keys, value, F.lit(1).alias("__w")))
+    return both.groupBy(*keys).agg(F.max(F.struct("__w", value))[value].alias(value))
