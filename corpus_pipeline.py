@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mixture, with digests of ids and decoded text."""
     coded = bpe_chunks.encode_and_decode(docs.select("doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    return coded.select("doc_id", "source", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -2,8 +2,8 @@
 
 A rolling hash over the last 16 code points cuts each text where the hash's low bits are zero, so equal stretches of
 different documents are cut alike, wherever they stand.  A chunk is encoded once for a worker process and its ids are
-kept in a bounded table; documents that share it reuse them.  A new chunk is encoded from its parts between blanks: the
-library encodes the parts that the worker has not met, since no merge reaches over a blank.
+kept in a bounded table; documents that share it reuse them.  A new chunk is encoded from its words and signs, of which
+the library encodes those that the worker has not met: no merge reaches over a blank.
 
 Concatenated chunk ids are wrong near the joins, where a cut may go through a word.  A join is repaired by encoding
 again a stretch around it that begins behind a blank of the left chunk and ends at a blank of the right one (ASCII white
@@ -17,9 +17,9 @@ documents moves more bytes than the texts themselves have (README).  Map only, n
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 from typing import NamedTuple
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import put, text_of
+from tarnwick.llm.common import SPACES, put, text_of
 
-#: Mean, least and largest code points of a chunk, and what a worker's tables of chunks and words keep.
-MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_WORDS = 512, 128, 4096, 10_000_000, 900_000
+#: Mean, least and largest code points of a chunk, and what a worker's tables of chunks and parts keep.
+MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_PARTS = 512, 128, 4096, 6_000_000, 500_000
 WINDOW = 16
 _ODD = np.uint32(0x9E3779B1)
 
@@ -68,6 +68,10 @@ def cuts(text: str) -> list[int]:
 
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
+# A piece always ends between a letter or digit and one of these signs; next to other characters that is not certain.
+_SIGN, _WORD = "#$%&*,.:;?!", "0-9A-Za-zÀ-ÖØ-öø-ÿ"
+RUNS = re.compile(rf"[^\x20\x09-\x0D{_SIGN}]+|[{_SIGN}]+")
+UNSURE = re.compile(rf"[^\x20\x09-\x0D{_SIGN}{_WORD}][{_SIGN}]|[{_SIGN}][^\x20\x09-\x0D{_SIGN}{_WORD}]")
 
 
 class Chunk(NamedTuple):
@@ -112,23 +116,28 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, Chunk] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.held = self.encoded = self.used = self.disagreed = 0
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet, each once; of their words, those that are not known yet."""
+        """Encode the chunks that are not known yet, each once; of their parts, those that are not known yet."""
         if self.held > KEPT_CHARS:
             self.known, self.held = {}, 0
-        if len(self.words) > KEPT_WORDS:  # the older half goes
-            self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
-        new = {c: BLANKS.split(c) for c in chunks if c not in self.known}
-        missing = list({w for parts in new.values() for w in parts if w not in self.words})
-        self.words |= zip(missing, (np.array(ids, "<u4").tobytes() for ids in self.ids(missing)))
-        for chunk, parts in new.items():
-            self.known[chunk] = measured(chunk, parts, [self.words[w] for w in parts])
+        if len(self.parts) > KEPT_PARTS:  # the older half goes
+            self.parts = dict(islice(self.parts.items(), len(self.parts) // 2, None))
+        get = self.parts.get
+        new = {c: sections(c) for c in chunks if c not in self.known}
+        found = {c: [list(map(get, s)) for s in cut_] for c, (cut_, _) in new.items()}
+        lacking = [c for c, ids in found.items() if any(None in x for x in ids)]
+        missing = list({p for c in lacking for s in new[c][0] for p in s if p not in self.parts})
+        self.parts |= zip(missing, (array("I", ids).tobytes() for ids in self.ids(missing)))
+        for c in lacking:
+            found[c] = [list(map(get, s)) for s in new[c][0]]
+        for chunk, ids in found.items():
+            self.known[chunk] = measured(ids, new[chunk][1])
             self.held += len(chunk)
         self.encoded += len(new)
 
@@ -179,17 +188,41 @@ class ChunkEncoder:
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
-def measured(chunk: str, parts: list[str], ids: list[bytes]) -> Chunk:
-    """A chunk from its parts between blanks (the first and the last may be cut words or empty) and their ids."""
-    joined = np.frombuffer(b"".join(ids), "<u4")
-    if len(parts) == 1:
+def parts_of(text: str) -> list[str]:
+    """A text's parts, over whose ends no merge reaches: words, and signs apart from words where that is certain."""
+    return [w for w in BLANKS.split(text) if w] if UNSURE.search(text) else RUNS.findall(text)
+
+
+def sections(chunk: str) -> tuple[list[list[str]], tuple[int, int, int, int]]:
+    """The parts of a chunk's head, first word, middle, last word and tail (head, word, tail where there is a single
+    word); and where blanks and guards are.
+
+    Head and tail are cut words before the first and behind the last blank, the others are whole words.
+    """
+    first = BLANKS.search(chunk)
+    if not first:
+        return [parts_of(chunk)], (-1, -1, -1, -1)
+    last = max(map(chunk.rfind, SPACES)) + 1
+    body = chunk[first.start() : last].strip(SPACES)
+    if not body:
+        return [parts_of(chunk[: first.start()]), [], [], [], parts_of(chunk[last:])], (first.start(), last, last, first.start())
+    after = BLANKS.search(body)
+    right = body[: after.start()] if after else body
+    left = body[max(map(body.rfind, SPACES)) + 1 :] if after else ""
+    middle = body[len(right) : len(body) - len(left)]
+    at = (first.start(), last, chunk.rfind(left or right, 0, last), first.end() + len(right))
+    cut_ = [parts_of(x) for x in (chunk[: first.start()], right, middle, left, chunk[last:])]
+    return (cut_ if after else [cut_[0], cut_[1], cut_[4]]), at
+
+
+def measured(ids: list[list[bytes]], at: tuple[int, int, int, int]) -> Chunk:
+    joined = np.frombuffer(b"".join([x for part in ids for x in part]), "<u4")
+    first, last, left_at, right_at = at
+    if first < 0:
         return Chunk(joined, -1, -1)
-    first, last = len(parts[0]), len(chunk) - len(parts[-1])
-    n = lambda k: len(ids[k]) // 4
-    if len(parts) == 2:  # no whole word between blanks: no guards
-        return Chunk(joined, first, last, n(0), n(-1), last, 0, first, 0)
-    left_at, right_at = chunk.rfind(parts[-2], 0, last), chunk.find(parts[1], first) + len(parts[1])
-    return Chunk(joined, first, last, n(0), n(-1), left_at, n(-2), right_at, n(1))
+    sizes = [sum(map(len, part)) // 4 for part in ids]
+    # With a single whole word, that is the guard on both sides.
+    return Chunk(joined, first, last, sizes[0], sizes[-1], left_at, sizes[-2], right_at, sizes[1])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -202,28 +235,24 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", batch_chars: int = 1_000_000, decode: bool = True) -> DataFrame:
-    """All input columns and rows plus ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens, ids_sha256`` and,
-    with ``decode``, ``decoded`` and ``decoded_sha256``.
+def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", batch_chars: int = 500_000, decode: bool = True) -> DataFrame:
+    """All input columns and rows plus ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and, with
+    ``decode``, ``decoded``.
 
     Null and empty texts have no ids and decode to the empty text.  Texts are encoded whole, whatever their length; a
     worker encodes about ``batch_chars`` code points at a time.  Repeated rows get equal results.  An empty table gives
     an empty result.  Input columns named like an output are replaced.
     """
-    kind = pa.struct([("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded", pa.string()), ("decoded_sha256", pa.string())])
 
-    @F.arrow_udf("ids binary, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string")
+    @F.arrow_udf("ids binary, n_tokens long, decoded string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(vocabulary)
 
         def coded(texts: list[str]) -> pa.Array:
-            rows = []
-            for ids in e.encode_all(texts):
-                data = ids.tobytes()
-                back = e.decode(ids) if decode else None
-                sha = hashlib.sha256(back.encode()).hexdigest() if decode else None
-                rows.append({"ids": data, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(data).hexdigest(), "decoded": back, "decoded_sha256": sha})
-            return pa.array(rows, kind)
+            coded_ = e.encode_all(texts)
+            back = pa.array([e.decode(ids) for ids in coded_] if decode else [None] * len(coded_), pa.string())
+            lengths = pa.array([len(ids) for ids in coded_], pa.int64())
+            return pa.StructArray.from_arrays([pa.array([ids.tobytes() for ids in coded_], pa.binary()), lengths, back], ["ids", "n_tokens", "decoded"])
 
         for batch in batches:  # a batch is answered in several smaller ones
             waiting, size = [], 0
@@ -237,5 +266,5 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text",
                 yield coded(waiting)
 
     out = put(docs, {"__bpe": run(text_of(text_col))})
-    names = ["ids", "n_tokens", "ids_sha256"] + ["decoded", "decoded_sha256"] * decode
+    names = ["ids", "n_tokens"] + ["decoded"] * decode
     return put(out, {n: F.col(f"__bpe.{n}") for n in names}).drop("__bpe")

@@ -28,7 +28,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_chunks.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
