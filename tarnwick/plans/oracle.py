@@ -377,12 +377,28 @@ ORACLE |= {
         select="SELECT title, CASE WHEN length(title) % 2 = 0 THEN t || ' (character)' ELSE t END AS page, CASE WHEN length(title) % 2 = 0 THEN v * 2 ELSE v END AS views FROM ic JOIN v ON v.name = title WHERE v > 0"),
 }
 
+ORACLE |= {
+    "listing_pages": sql("listings", ctes="""pg AS (SELECT *, event_type NOT IN ('signup', 'error') AS fine, (card_id + day(date)) % 28 AS k FROM listings WHERE value > 0)""",
+        select="""SELECT card_id, date, known, CASE WHEN NOT known THEN NULL WHEN k = 21 THEN 0 ELSE n END::INTEGER AS active, CASE WHEN known AND k <> 21 AND n > 0 THEN round(round(s / n, 2), 0) END AS average,
+        CASE WHEN NOT known THEN NULL WHEN k = 21 THEN 0 ELSE ids END::INTEGER AS n_ids FROM (
+          SELECT card_id, date, k, k NOT IN (0, 7, 14) AS known, count(*) FILTER (fine) AS n, sum(value) FILTER (fine) AS s, count(DISTINCT item) FILTER (fine) AS ids FROM pg GROUP BY ALL)"""),
+    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL",
+    "stream_flows": sql("snapshots", ctes=FLOWS, select="SELECT card_id, date, active, new_listings, ended_listings, est_sold, est_unsold FROM flows"),
+    "daily_build": sql("cards", "sets", "panel", "overrides", "priors", ctes=MODEL + ", " + PULLS + ", " + moves(AS_OF) + """,
+        mv AS (SELECT card_id, CASE WHEN pct >= 3 THEN 'Rising' WHEN pct <= -3 THEN 'Falling' ELSE 'Quiet' END AS label FROM moves)""",
+        select="""SELECT s.card_id, round(100 * greatest(0, least(1, 0.40::DOUBLE * greatest(0, least(1, s.scarcity / 10)) + 0.35::DOUBLE * greatest(0, least(1, s.char_premium / 10)) + 0.25::DOUBLE * s.set_rank)), 2) AS iq_score,
+        round(round(s.expected_price, 4), 3) AS expected_price, round(round(s.residual, 6), 4) AS residual,
+        coalesce(s.months_since_release <= 35 / 30.4375::DOUBLE, false) OR s.market_price IS NULL OR NOT ((s.market_price >= 20 AND s.market_price < 100) OR (s.expected_price > 0 AND s.market_price > 1.75::DOUBLE * round(s.expected_price, 4))) AS edge,
+        coalesce(label, 'Awaiting data') AS label, round(CASE WHEN pull_rate > 0 THEN pack_price / pull_rate ELSE 0 END, 3) AS pull_cost
+        FROM scored s JOIN pulled p ON p.card_id = s.card_id JOIN sets t ON t.set_id = s.set_id LEFT JOIN mv ON mv.card_id = s.card_id"""),
+}
+
 #: Date columns of the results; both engines hand them out as ISO text.
 DATES = {
     "sealed_feed": ["as_of"], "sealed_staleness": ["oldest", "newest"], "date_formats": ["day"], "listing_flows": ["date"], "trailing_windows": ["date"],
     "market_dynamics": ["last_observed"], "market_dynamics_as_of": ["last_observed"], "source_status": ["newest"], "window_lows": ["date"], "backward_prices": ["date"],
     "nearest_forward_pairs": ["date", "next_date"], "carried_portfolio": ["date"], "weekly_dates": ["date"], "backfill_missing": ["date"], "price_history": ["first", "last"],
-    "merged_series": ["date"], "walk_forward_residuals": ["eval_date"], "forward_returns": ["date"], "rank_ics": ["date"], "due_populations": ["fetched"],
+    "merged_series": ["date"], "walk_forward_residuals": ["eval_date"], "forward_returns": ["date"], "rank_ics": ["date"], "due_populations": ["fetched"], "listing_pages": ["date"], "stream_flows": ["date"],
 }
 for _name, _columns in DATES.items():
     ORACLE[_name] = "SELECT * REPLACE (" + ", ".join(f'strftime("{c}", \'%Y-%m-%d\') AS "{c}"' for c in _columns) + f") FROM ({ORACLE[_name]})"

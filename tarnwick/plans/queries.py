@@ -648,3 +648,52 @@ def page_titles(spark, d):
     pages = views.unionByName(views.select(F.concat("page", F.lit(" (character)")).alias("page"), (F.col("v") * 2).alias("v")))
     found = names.join(normal, "title", "left").withColumn("t", F.coalesce("to_normal", "title")).join(redirects, F.col("t") == F.col("from"), "left")
     return found.withColumn("page", F.coalesce("to_page", "t")).join(pages, "page", "left").where("v > 0").select("title", "page", F.col("v").alias("views"))
+
+
+@query
+def listing_pages(spark, d):
+    """Search pages as JSON, read back as observations; every seventh page is broken in some way and so unknown."""
+    from tarnwick.sources.files import observations
+
+    rows = view(spark, d, "listings").where("value > 0")
+    item = F.struct(
+        F.col("item").alias("itemId"), F.when(F.col("event_type") == "signup", "slab PSA 9").otherwise("card").alias("title"),
+        F.struct(F.col("value").cast("decimal(10,2)").cast("string").alias("value"), F.when(F.col("event_type") == "error", "EUR").otherwise("USD").alias("currency")).alias("price"),
+    )
+    pages = rows.groupBy("card_id", "date").agg(F.array_sort(F.collect_list(item)).alias("itemSummaries"), F.count(F.lit(1)).alias("total"))
+    body = F.to_json(F.struct("total", "itemSummaries"))
+    k = (F.col("card_id") + F.dayofmonth("date")) % 28
+    body = F.when(k == 0, "{}").when(k == 7, F.lit("[1, 2]")).when(k == 14, F.regexp_replace(body, '"total":(\\d+)', '"total":"$1"')).when(k == 21, '{"total":0,"itemSummaries":[]}').otherwise(body)
+    return observations(pages.select("card_id", "date", body.alias("body"))).select("card_id", "date", "known", "active", r("average", 0), F.size("item_ids").alias("n_ids"))
+
+
+@query
+def event_windows(spark, d):
+    from tarnwick.streaming.snapshots import event_windows as windows
+
+    out = windows(spark.read.parquet(f"{d}/events.parquet"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", r("value", 2))
+
+
+@query
+def daily_build(spark, d):
+    from tarnwick.plans.daily import Inputs, build
+
+    inputs = Inputs(*(view(spark, d, n) for n in ("cards", "sets", "snapshots", "panel", "overrides", "priors")))
+    return build(inputs, F.lit(AS_OF))["scored"].select("card_id", "iq_score", r("expected_price", 3), r("residual", 4), "edge", "label", r("pull_cost", 3))
+
+
+@query
+def stream_flows(spark, d):
+    """Snapshots read as a stream of daily files, flows made from state; the same rows as the batch form."""
+    import tempfile
+
+    from tarnwick.streaming import snapshots
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    at = f"{base}/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    rows = view(spark, d, "snapshots").select("card_id", "date", "active", F.col("average"), "item_ids")
+    rows.select(F.col("card_id").cast("long"), "date", F.col("active").cast("int"), "average", "item_ids").repartition(1).sortWithinPartitions("date").write.parquet(f"{at}/in")
+    snapshots.write_by_day(snapshots.flows(snapshots.read(spark, f"{at}/in")), f"{at}/out", f"{at}/log").awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    return out.select("card_id", F.col("date").cast("date").alias("date"), "active", "new_listings", "ended_listings", "est_sold", "est_unsold")
