@@ -15,7 +15,6 @@ cell counts gives each cell its offset, and rows are numbered within their cell.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,6 +109,5 @@ def shard_sql(key: str, tree: Tree, source: str) -> str:
     rack = [(straw_sql(key, f"'rack ' || g || ' {k}'", tree.shards), k) for k in range(tree.racks)]
     leaf = [(straw_sql(key, f"'shard ' || g || ' ' || r || ' {k}'", 1), k) for k in range(tree.shards)]
     base = tree.regions * tree.racks * tree.shards
-    steps = [f"SELECT *, {pick(top)} AS g FROM {source}", f"SELECT *, {pick(rack)} AS r FROM ({{}})", f"SELECT *, {pick(leaf)} AS l FROM ({{}})"]
-    inner = reduce(lambda sql, step: step.format(sql), steps[1:], steps[0])
+    inner = f"SELECT *, {pick(leaf)} AS l FROM (SELECT *, {pick(rack)} AS r FROM (SELECT *, {pick(top)} AS g FROM {source}))"
     return f"SELECT * EXCLUDE (g, r, l), (CASE WHEN g < {tree.regions} THEN (g * {tree.racks} + r) * {tree.shards} + l ELSE g - {tree.regions} + {base} END)::INTEGER AS sh FROM ({inner})"

@@ -74,13 +74,13 @@ def mix(
     rows that repeat an id draw the same count.  An empty table gives an empty result.  Input columns named like an
     output are replaced.
     """
-    table = cut(rates(docs, text_col, source_col, targets, power, total))
+    table = cut(rates(docs, text_col, source_col, targets, power, total).withColumnsRenamed({"rate": "__rate", "cdf": "__cdf"}))
     n_sources = table.count()
     key = F.col(id_col)
     rows = put(docs, {"__source": source_name(source_col), "__u": unit_hash(F.lit(seed), key)})
     rows = rows.join(small_or_shuffled(table, n_sources, BROADCAST_SOURCES), "__source")
-    draw = F.size(F.filter("cdf", lambda c: c <= F.col("__u"))).cast("int")
-    rows = put(rows.where("cdf is not null"), {"rate": F.col("rate"), "n_copies": draw}).where("n_copies > 0").drop("__source", "__u", "cdf")
+    draw = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("int")
+    rows = put(rows.where("__cdf is not null"), {"rate": F.col("__rate"), "n_copies": draw}).where("n_copies > 0").drop("__source", "__u", "__rate", "__cdf")
     rows = put(rows, {"copy": F.explode(F.sequence(F.lit(1), F.col("n_copies")))})
     rows = put(rows, {"shuffle_key": (unit_hash(F.lit(seed), F.lit("order"), key, F.col("copy")) * F.lit(float(1 << 52))).cast("long")})
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)

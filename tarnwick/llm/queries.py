@@ -110,6 +110,18 @@ b AS (SELECT *, (n_words < {_L.min_words} OR 100 * n_repeat_words > {_L.max_repe
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND NOT (n_words_left < {_L.min_words} OR n_words_left < {_L.min_left}::DOUBLE * n_words)) AS kept, n_lines_removed, n_words_left FROM b"""
 
+# CRC-32 by bytes; the table follows from its polynomial.
+_TABLE = """(SELECT list(t ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(0, 8)),
+ lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END) AS t FROM (SELECT unnest(range(0, 256)) AS i)))"""
+_CELL = "floor((('0x' || substr(md5(concat_ws('|', 'cell', coalesce(doc_id::VARCHAR, '~'))), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE) * {cells})"
+OP10_SQL = f"""
+WITH tab AS (SELECT {_TABLE} AS t), b AS (SELECT doc_id, octet_length(encode({TEXT}))::BIGINT + 8 AS size, hex(encode({TEXT})) AS h, {_CELL.format(cells=CELLS)} AS cell FROM documents),
+c AS (SELECT doc_id, size, cell, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM b),
+d AS (SELECT doc_id, size, cell, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1])), 4294967295::BIGINT) AS text_crc32 FROM c, tab),
+s1 AS ({hash_tree.shard_sql("doc_id", TREE, "d")}),
+s2 AS ({hash_tree.shard_sql("doc_id", TREE.grown(), "(SELECT * RENAME (sh AS shard) FROM s1)")})
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, sh AS grown_shard FROM s2"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_chunks": op2_bpe_chunks,
@@ -128,4 +140,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_poisson_mixing": "SELECT doc_id, source, text, round(rate, 6) AS rate, n_copies, copy, shuffle_key FROM (" + mixing.mix_sql("d.doc_id, d.source, d.text") + ")",
     "op6_license_scan": license_scan.scan_sql(),
     "op9_line_frequency": OP9_SQL,
+    "op10_hash_tree": OP10_SQL,
 }
