@@ -142,7 +142,7 @@ def set_name(elements: np.ndarray, weights: np.ndarray) -> tuple[int | None, int
 
 
 #: Elements for which darts are thrown at a time.
-BATCH = 150_000
+BATCH = 60_000
 
 
 def _sketch(near: Near):
@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_key").alias("text_key")))
     classes = named.where("class is not null").groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
-    many = classes.where("class_size > 1")
-    out = named.join(many, "class", "left")
+    many = cut(classes.where("class_size > 1"))
+    out = named.join(small_or_shuffled(many, many.count()), "class", "left")
     is_first = F.col("first").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
     return out.select(
         F.col("id").alias(id_col),
