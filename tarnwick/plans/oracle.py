@@ -213,8 +213,8 @@ MECH = "[" + ", ".join(f"'{m}'" for m in C.MECHANICS) + "]"
 ORACLE: dict[str, str] = {
     "sealed_value": sql("cards", "sets", "overrides", ctes=PULLS + """, ev AS (SELECT set_id, sum(pull_rate * market_price) AS ev FROM pulled WHERE market_price IS NOT NULL GROUP BY set_id)""",
         select=f"""SELECT *, CASE WHEN box_signal IS NULL THEN NULL WHEN box_signal >= 0.10 THEN 'Undervalued' WHEN box_signal <= -0.10 THEN 'Overvalued' ELSE 'Fair' END AS pill FROM (
-        SELECT s.set_id, round(coalesce(ev, 0), 4) AS ev_per_pack, round(coalesce(ev, 0) * packs_per_box, 4) AS ev_per_box, round({signal('coalesce(ev, 0)', 'pack_price')}, 4) AS pack_signal,
-        round({signal('coalesce(ev, 0) * packs_per_box', 'box_price')}, 4) AS box_signal, round(pack_price - coalesce(ev, 0), 4) AS average_loss FROM sets s LEFT JOIN ev USING (set_id))"""),
+        SELECT s.set_id, round(coalesce(ev, 0), 7) AS ev_per_pack, round(coalesce(ev, 0) * packs_per_box, 7) AS ev_per_box, round({signal('coalesce(ev, 0)', 'pack_price')}, 7) AS pack_signal,
+        round({signal('coalesce(ev, 0) * packs_per_box', 'box_price')}, 7) AS box_signal, round(pack_price - coalesce(ev, 0), 7) AS average_loss FROM sets s LEFT JOIN ev USING (set_id))"""),
     "rarity_counts": sql("cards", select="SELECT set_id, rarity, count(*) AS n FROM cards GROUP BY ALL"),
     "pull_costs": sql("cards", "sets", "overrides", ctes=PULLS, select="""SELECT card_id, round(tier_rate, 6) AS tier_rate, n_in_tier, round(pull_rate, 8) AS pull_rate,
         round(CASE WHEN pull_rate > 0 THEN pack_price / pull_rate ELSE 0 END, 4) AS pull_cost FROM pulled JOIN sets USING (set_id)"""),
@@ -274,8 +274,10 @@ ORACLE: dict[str, str] = {
     "fit_metric": sql("cards", "priors", ctes=MODEL, select="SELECT round(power(corr(ln(market_price), ln(expected_price)), 2), 6) AS r2_log, count(residual) AS n FROM scored WHERE market_price > 0"),
     "leaderboard_under": sql("cards", "priors", ctes=POOL, select="SELECT card_id, market_price, round(expected_price, 3) AS expected_price, raw_diff FROM pool ORDER BY raw_diff DESC, card_id LIMIT 50"),
     "leaderboard_over": sql("cards", "priors", ctes=POOL, select="SELECT card_id, market_price, round(expected_price, 3) AS expected_price, raw_diff FROM pool ORDER BY raw_diff, card_id LIMIT 50"),
-    "movers": sql("cards", "priors", "snapshots", ctes=POOL + ", " + dyn(LAST_DAY, LAST_DAY), select="""SELECT card_id, round(abs(supply_saturation - 1), 4) AS shift, raw_diff, 'saturation_shift' AS mover_basis, false AS awaiting_data
-        FROM pool JOIN dyn USING (card_id) WHERE status = 'ok' ORDER BY round(abs(supply_saturation - 1), 6) DESC, card_id LIMIT 50"""),
+    "movers": sql("cards", "priors", "snapshots", ctes=POOL + ", " + dyn(LAST_DAY, LAST_DAY) + """,
+        sh AS (SELECT pool.*, status, coalesce(CASE WHEN status = 'ok' THEN abs(supply_saturation - 1) END, 0)::DOUBLE AS shift FROM pool LEFT JOIN dyn USING (card_id)), most AS (SELECT coalesce(max(shift), 0) AS m FROM sh)""",
+        select="""SELECT card_id, round(shift, 4) AS shift, raw_diff, CASE WHEN m > 0 THEN 'saturation_shift' ELSE 'price_signal_fallback' END AS mover_basis, m = 0 AS awaiting_data
+        FROM sh, most WHERE m = 0 OR status = 'ok' ORDER BY round(CASE WHEN m > 0 THEN shift ELSE abs(raw_diff) END, 6) DESC, card_id LIMIT 50"""),
     "movers_fallback": sql("cards", "priors", ctes=POOL, select="SELECT card_id, raw_diff, 'price_signal_fallback' AS mover_basis, true AS awaiting_data FROM pool ORDER BY abs(raw_diff) DESC, card_id LIMIT 50"),
     "most_underpriced": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, round(residual, 5) AS residual FROM scored WHERE residual IS NOT NULL ORDER BY round(residual, 5), card_id LIMIT 25"),
 }

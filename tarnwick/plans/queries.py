@@ -41,7 +41,7 @@ def r(column, digits: int = 6, name: str | None = None):
 def sealed_value(spark, d):
     cards = sealed.with_pull_rates(view(spark, d, "cards"), view(spark, d, "overrides"))
     out = boards.ranked_sets(sealed.sealed_value(view(spark, d, "sets"), cards))
-    return out.select("set_id", *[r(c, 4) for c in ("ev_per_pack", "ev_per_box", "pack_signal", "box_signal", "average_loss")], scores.ev_pill(F.round("box_signal", 4)).alias("pill"))
+    return out.select("set_id", *[r(c, 7) for c in ("ev_per_pack", "ev_per_box", "pack_signal", "box_signal", "average_loss")], scores.ev_pill(F.round("box_signal", 7)).alias("pill"))
 
 
 @query
