@@ -5,6 +5,9 @@ All are window functions or plain aggregates, so they run per key in parallel an
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,19 @@ def share_at_or_below(value: str, keys: list[str]) -> Column:
     return F.cume_dist().over(Window.partitionBy(*keys).orderBy(value))
 
 
+def with_share_at_or_below(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """``df`` plus the same share, made from counts of distinct values: no task gets all rows of a key.
+
+    For values that repeat (tiers, prices in cents) the counts are a small table, and the window runs over that.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    along, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
+    names = {k: f"__k_{k}" for k in [*keys, value]}
+    shares = counts.withColumn(name, F.sum("__n").over(along) / F.sum("__n").over(whole)).withColumnsRenamed(names).drop("__n")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return df.join(shares, same).drop(*names.values())
+
+
 def average_rank(value: str, keys: list[str]) -> Column:
     """Rank from 1, ties sharing the mean of their places."""
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick import constants as C
-from tarnwick.functions import scores
+from tarnwick.functions import scores, stats
 
 
 def pool(scored: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def premium_review(cards: DataFrame, premiums: DataFrame) -> DataFrame:
 
     Percentiles are within the rarity over all kinds of cards; the filter to creatures comes after.
     """
-    ranked = cards.where("market_price is not null").withColumn("__pct", F.cume_dist().over(Window.partitionBy("rarity").orderBy("market_price")))
+    ranked = stats.with_share_at_or_below(cards.where("market_price is not null"), "market_price", ["rarity"], "__pct")
     mine = ranked.where(F.col("supertype") == "Pokémon").groupBy("base_name").agg(
         F.max("__pct").alias("best_pct"), F.max("market_price").alias("top_price"), F.max(F.struct("market_price", (-F.col("card_id")).alias("k")))["k"].alias("__top")
     )

@@ -63,7 +63,8 @@ def card_features(cards: DataFrame, priors: DataFrame | None, as_of, by: list[st
     premium = character_premium(cards, priors, by).select(*by, "base_name", "char_premium")
     months = F.coalesce(scores.months_between(as_of, F.col("release_date")), F.lit(0.0))
     ranked = cards.withColumn("__ord", scores.rarity_rank(F.col("rarity")))
-    ranked = ranked.withColumn("set_rank", F.round(stats.share_at_or_below("__ord", [*by, "set_id"]), 4)).drop("__ord")
+    ranked = stats.with_share_at_or_below(ranked, "__ord", [*by, "set_id"], "__share")
+    ranked = ranked.withColumn("set_rank", F.round("__share", 4)).drop("__ord", "__share")
     ranked = ranked.withColumn("months_since_release", F.round(months, 6))
     ranked = ranked.withColumn("scarcity", scores.scarcity(F.col("rarity"), F.col("months_since_release")))
     return ranked.join(premium, [*by, "base_name"], "left")

@@ -687,11 +687,12 @@ def daily_build(spark, d):
 def stream_flows(spark, d):
     """Snapshots read as a stream of daily files, flows made from state; the same rows as the batch form."""
     import tempfile
+    import uuid
 
     from tarnwick.streaming import snapshots
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{base}/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    at = f"{base}/stream-{uuid.uuid4().hex}"
     rows = view(spark, d, "snapshots").select("card_id", "date", "active", F.col("average"), "item_ids")
     rows.select(F.col("card_id").cast("long"), "date", F.col("active").cast("int"), "average", "item_ids").repartition(1).sortWithinPartitions("date").write.parquet(f"{at}/in")
     snapshots.write_by_day(snapshots.flows(snapshots.read(spark, f"{at}/in")), f"{at}/out", f"{at}/log").awaitTermination()

@@ -195,3 +195,30 @@ def synthetic_snapshots(spark: SparkSession, cards_: DataFrame, start: str, days
 
 def rates(spark: SparkSession) -> DataFrame:
     return base_rates(spark)
+
+
+def archive_prices(spark: SparkSession, path: str, wanted: DataFrame, preferred: list[str]) -> DataFrame:
+    """Rows (date, card_id, price) from unpacked archives ``<YYYY-MM-DD>/<group>.json`` of ``{"results": [..]}`` files.
+
+    ``wanted`` has rows (card_id, product_id, wanted subtype).  A product's price is that of the wanted subtype, else of
+    the first preferred one, else of any; files that do not parse give no rows.
+    """
+    schema = "struct<results:array<struct<productId:long,subTypeName:string,marketPrice:double>>>"
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    day = F.try_to_date(F.regexp_extract("file", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1), "yyyy-MM-dd")
+    rows = raw.select(day.alias("date"), F.explode(F.from_json("value", schema)["results"]).alias("p")).where("date is not null")
+    rows = rows.select("date", F.col("p.productId").alias("product_id"), F.col("p.subTypeName").alias("subtype"), F.col("p.marketPrice").alias("price")).where("price is not null")
+    order = F.array_position(F.array(*map(F.lit, preferred)), F.col("subtype"))
+    rank = F.when(F.col("subtype") == F.col("wanted"), 0).when(order > 0, order.cast("int")).otherwise(len(preferred) + 1)
+    return rows.join(wanted, "product_id").groupBy("date", "card_id").agg(F.min(F.struct(rank.alias("k"), "subtype", "price"))["price"].alias("price"))
+
+
+def sealed_prices(prices: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Prices to the cent of the tracked products only, with their label and group."""
+    return prices.join(tracked, "product_id").select("date", "product_id", "label", F.round("price", 2).alias("price"))
+
+
+def sweep_plan(cards_: DataFrame, budget: int = 4_800, size: int = C.SWEEP_SIZE, pages: int = 1) -> DataFrame:
+    """The sweep's cards in order of price, as many as the call budget allows; the rest of the universe is not asked."""
+    ranked = cards_.where(F.col("market_price") >= C.SWEEP_FLOOR).orderBy(F.desc("market_price"), "card_id")
+    return ranked.limit(min(size, budget // pages))

@@ -271,3 +271,25 @@ def test_walk_forward_report(spark):
     d = "/root/testdata/sf0.001"
     out = report(view(spark, d, "panel"), view(spark, d, "panel_cards"))
     assert {k: v.count() >= 0 for k, v in out.items()} and out["hits"].count() == 1
+
+
+def test_archives(spark, tmp_path):
+    for day, body in (("2024-02-08", '{"results":[{"productId":1,"subTypeName":"Normal","marketPrice":2.0},{"productId":1,"subTypeName":"Holofoil","marketPrice":5.0}]}'), ("2024-02-15", "broken")):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "77.json").write_text(body)
+    wanted = spark.createDataFrame([("a", 1, "Normal"), ("b", 1, "Foil"), ("c", 2, "Normal")], "card_id string, product_id long, wanted string")
+    got = {(r.card_id, str(r.date)): r.price for r in files.archive_prices(spark, str(tmp_path), wanted, ["Holofoil"]).collect()}
+    assert got == {("a", "2024-02-08"): 2.0, ("b", "2024-02-08"): 5.0}
+
+
+def test_side_files(spark, tmp_path):
+    assert files.or_empty(spark, str(tmp_path / "none.json"), "id string, total long").count() == 0
+    (tmp_path / "spec.json").write_text('{"cards": {"a": "12", "b": "x1"}}')
+    assert [(r.id, r.spec) for r in files.spec_map(spark, str(tmp_path / "spec.json")).collect()] == [("a", "12")]
+    pop = files.populations(spark.createDataFrame([("a", 4, 1, None), ("b", None, None, None)], "id string, total long, g10 long, g9 long")).collect()
+    assert [(r.total, r.rate) for r in pop] == [(4, 0.25), (0, None)]
+    assert files.as_json(spark.createDataFrame([(float("nan"), 1)], "x double, y int")).first()[0] == '{"x":null,"y":1}'
+    series = files.compact_history(spark.createDataFrame([(D(2024, 1, 2), 1, 2.005), (D(2024, 1, 1), 1, 1.0)], "date date, card_id long, price double"), spark.range(2).withColumnRenamed("id", "card_id"))
+    assert [(p.date, p.price) for p in series.first().series] == [("2024-01-01", 1.0), ("2024-01-02", 2.01)]
+    cards = spark.createDataFrame([(k, float(k)) for k in range(10)], "card_id long, market_price double")
+    assert [r.card_id for r in files.sweep_plan(cards, budget=3).collect()] == [9, 8, 7]
