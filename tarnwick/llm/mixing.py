@@ -39,10 +39,9 @@ def rates(docs: DataFrame, text_col: str, source_col: str, targets: Mapping[str,
         for name, value in targets.items():
             weight = F.when(F.col("__source") == name, F.lit(float(value))).otherwise(weight)
     weighed = cut(sizes.withColumn("weight", weight))
-    sums = weighed.agg(F.sum("weight").alias("weights"), F.sum("size").alias("sizes"))
-    rated = weighed.crossJoin(F.broadcast(sums))  # one row
-    rate = F.round(F.try_divide(F.col("weight") * F.col("sizes") * F.lit(float(total)), F.col("weights") * F.col("size")), 9)
-    rated = rated.select("__source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    weights, bytes_ = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
+    rate = F.round(F.try_divide(F.col("weight") * F.lit(bytes_ * total), F.lit(weights) * F.col("size")), 9)
+    rated = weighed.select("__source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
     terms = rated.where("rate > 0").select("__source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     so_far = Window.partitionBy("__source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
