@@ -689,8 +689,10 @@ def stream_flows(spark, d):
     import tempfile
     import uuid
 
+    from tarnwick.shipping import ship
     from tarnwick.streaming import snapshots
 
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     at = f"{base}/stream-{uuid.uuid4().hex}"
     rows = view(spark, d, "snapshots").select("card_id", "date", "active", F.col("average"), "item_ids")
