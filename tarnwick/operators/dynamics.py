@@ -27,8 +27,14 @@ def flow_columns(active: Column, average: Column, ids: Column, active0: Column,
     return {"new_listings": new, "ended_listings": ended, "est_sold": sold, "est_unsold": ended - sold}
 
 
-def with_flows(snapshots: DataFrame) -> DataFrame:
-    """Flows against the row before of the same card, however old; stored flow values are made anew."""
+def with_flows(snapshots: DataFrame, until: Column | None = None) -> DataFrame:
+    """Flows against the row before of the same card, however old; stored flow values are made anew.
+
+    Rows after ``until`` are left out before the window, so the limit reaches the scan (and prunes date partitions); it
+    changes no earlier row.
+    """
+    if until is not None:
+        snapshots = snapshots.where(F.col("date") <= until)
     w = Window.partitionBy("card_id").orderBy("date")
     prev = lambda c: F.lag(c).over(w)
     rows = snapshots.withColumns({"__active": prev("active"), "__average": prev("average"), "__ids": prev("item_ids")})

@@ -34,7 +34,7 @@ def build(inputs: Inputs, today: Column) -> dict[str, DataFrame]:
     made = made.withColumn("cluster", ridge.cluster_key(F.col("supertype"), F.col("rarity")))
     own, whole = ridge.fit_clusters(made, [])
     scored = ridge.score(made, (own, whole), [])
-    flow = dynamics.compute(dynamics.with_flows(inputs.snapshots), current=today)
+    flow = dynamics.compute(dynamics.with_flows(inputs.snapshots, today), current=today)
     moves = labels.price_moves(inputs.panel, as_of=today)
     scored = scored.join(flow.withColumnRenamed("days", "days_observed"), "card_id", "left").join(moves, "card_id", "left")
     scored = labels.signals(scored.withColumn("status", F.coalesce("status", F.lit("awaiting_data"))))

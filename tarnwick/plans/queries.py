@@ -290,7 +290,7 @@ def leaderboard_over(spark, d):
 
 @query
 def movers(spark, d):
-    dyn = dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots")), current=F.lit(LAST_DAY))
+    dyn = dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots"), F.lit(LAST_DAY)), current=F.lit(LAST_DAY))
     out = boards.movers(board_rows(spark, d).join(dyn, "card_id", "left"))
     return out.select("card_id", r("shift", 4), "raw_diff", "mover_basis", "awaiting_data")
 
@@ -376,12 +376,12 @@ def trailing_windows(spark, d):
 
 @query
 def market_dynamics(spark, d):
-    return dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots")), current=F.lit(LAST_DAY))
+    return dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots"), F.lit(LAST_DAY)), current=F.lit(LAST_DAY))
 
 
 @query
 def market_dynamics_as_of(spark, d):
-    return dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots")), as_of=F.lit(dt.date(2024, 1, 15)))
+    return dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots"), F.lit(dt.date(2024, 1, 15))), as_of=F.lit(dt.date(2024, 1, 15)))
 
 
 @query
@@ -391,7 +391,7 @@ def price_moves(spark, d):
 
 @query
 def signal_labels(spark, d):
-    dyn = dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots")), current=F.lit(LAST_DAY))
+    dyn = dynamics.compute(dynamics.with_flows(view(spark, d, "snapshots"), F.lit(LAST_DAY)), current=F.lit(LAST_DAY))
     rows = dyn.drop("days").join(labels.price_moves(view(spark, d, "panel")), "card_id", "left")
     return labels.signals(rows).select("card_id", "price_state", "market_state", "label", "tone", "confidence", "detail")
 
