@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tarnwick.llm.common import SPACES, put, text_of
 
 #: Mean, least and largest code points of a chunk, and what a worker's tables of chunks and parts keep.
-MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_PARTS = 512, 128, 4096, 6_000_000, 500_000
+MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_PARTS = 1024, 256, 8192, 6_000_000, 500_000
 WINDOW = 16
 _ODD = np.uint32(0x9E3779B1)
 
@@ -117,6 +117,8 @@ class ChunkEncoder:
         self.library.no_padding()
         self.known: dict[str, Chunk] = {}
         self.parts: dict[str, bytes] = {}
+        plain = self.library.decoder is None
+        self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())] if plain else None
         self.held = self.encoded = self.used = self.disagreed = 0
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -185,6 +187,9 @@ class ChunkEncoder:
         return np.concatenate(parts).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> str:
+        """As ``decode(ids, skip_special_tokens=False)``; a vocabulary without a decoder gives its tokens, blanks between."""
+        if self.tokens is not None:
+            return " ".join(map(self.tokens.__getitem__, ids.tolist()))
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
