@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import bpe_chunks, common, dart_minhash, exact_dedup, line_frequency, mixing
+from tarnwick.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,11 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
+    ship(spark)
     return exact_dedup.exact_dedup(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least id stays."""
+    ship(spark)
     gone = common.cut(dart_minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), "text_key").distinct())
     n_gone = gone.count()
     keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64(common.text_of("text")))
@@ -45,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mixture, with digests of ids and decoded text."""
+    ship(spark)
     coded = bpe_chunks.encode_and_decode(docs.select("doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "source", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -10,12 +10,15 @@ however long it is, so signatures are sparse to make.
 Classes.  1. Texts with the same shingle set are one node, so copies cost nothing further.  2. Nodes that agree on a band
 of coordinates are linked to the least node of the band's bucket: at most one edge a node and band, never all pairs.
 3. Connected components of those edges are candidate families.  4. Inside a family similarity is computed exactly on the
-shingle sets, for all pairs and not only those of a bucket: the family is dealt in blocks of bounded weight, and a task
-gets two blocks at a time and returns links that span what is alike in them (no more than nodes, never all pairs).
-5. Components of the links at or above the threshold are the classes.
-
-A family of m nodes ships each set ``ceil(m / block)`` times; families are as small as real near-duplicate groups are,
-since a band needs six agreeing coordinates.  Shingle sets are made again from the texts where needed instead of stored.
+shingle sets.  A family is dealt in blocks of bounded weight; a block's pairs are compared in one task, which returns
+links that span what is alike (no more than nodes, never all pairs).  In a family of several blocks, each block also
+meets the leaders, the members that share the most with others: in groups of copies the original is among them, and a
+leader links the blocks.  Members that are not in the family's main class by then are compared with every block, in
+groups of bounded size.  So every pair is compared unless both are in one class already, and no link between classes is
+lost.  5. Components of the links at or above the threshold are the classes.
+
+The comparison is linear in a family's nodes where leaders reach nearly all of them, and grows with (nodes outside the
+main class) x (nodes) otherwise.  Shingle sets are made again from the texts where needed instead of stored.
 """
 
 from __future__ import annotations
@@ -141,6 +144,8 @@ def set_name(elements: np.ndarray, weights: np.ndarray) -> tuple[int | None, int
     return int(np.int64(np.uint64(one).astype(np.int64))), int(np.uint64(two).astype(np.int64))
 
 
+#: At most so many members of a large family are compared with each block of it.
+LEADERS = 64
 #: Elements for which darts are thrown at a time.
 BATCH = 60_000
 
@@ -190,9 +195,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = made.where("h1 is not null")
     nodes = some.groupBy("h1").agg(F.first("bands").alias("bands"))
     slots = nodes.select("h1", F.explode("bands").alias("band"))
-    buckets = slots.groupBy("band").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least < most").select("band", "least")
-    edges = slots.join(buckets, "band").where("h1 <> least").select(F.col("h1").alias("a"), F.col("least").alias("b"))
-    linked = cut(components(_links(keyed, some, components(edges), near)))
+    buckets = slots.groupBy("band").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.count(F.lit(1)).alias("m")).where("least < most").drop("most")
+    shared = cut(slots.join(buckets, "band").groupBy("h1", "least").agg(F.sum("m").alias("m")))
+    families = components(shared.where("h1 <> least").select(F.col("h1").alias("a"), F.col("least").alias("b")))
+    standing = shared.groupBy("h1").agg(F.sum("m").alias("standing"))
+    linked = cut(_linked(keyed, some, families, standing, near))
     n_linked = linked.count()
     named = made.select("id", "text_key", "h1", "n").join(small_or_shuffled(linked.withColumnRenamed("node", "h1"), n_linked), "h1", "left")
     named = named.withColumn("class", F.coalesce("component", "h1")).drop("h1", "component")
@@ -212,25 +219,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _links(keyed: DataFrame, made: DataFrame, families: DataFrame, near: Near) -> DataFrame:
-    """Edges (a, b) between nodes at or above the threshold that span all such pairs of each family."""
+def _linked(keyed: DataFrame, made: DataFrame, families: DataFrame, standing: DataFrame, near: Near) -> DataFrame:
+    """Rows (node, component) for the classes of more than one node."""
     members = made.groupBy("h1").agg(F.min(F.struct("id", "text_key")).alias("one"), F.first("n").alias("n"))
-    members = members.join(families.withColumnRenamed("node", "h1"), "h1")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"))
+    members = members.join(families.withColumnRenamed("node", "h1").withColumnRenamed("component", "family"), "h1")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("m") / near.block_nodes), F.ceil(F.col("weight") / near.block_weight)).cast("int")
-    members = members.join(sizes.select("component", blocks.alias("blocks")), "component")
-    members = cut(members.select("component", "h1", F.col("one.id").alias("id"), "one.text_key", "blocks"))
+    sizes = cut(sizes.select("family", blocks.alias("blocks")))
+    n_families, n_large = sizes.agg(F.count(F.lit(1)), F.count(F.when(F.col("blocks") > 1, 1))).first()
+    members = members.join(small_or_shuffled(sizes, n_families), "family")
+    mine = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
+    members = cut(members.select("family", "h1", F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_key"), "blocks", mine.alias("mine")))
     n_members = members.count()
 
-    fetch = small_or_shuffled(members.withColumnRenamed("id", "one_id"), n_members, BROADCAST_ROWS)
-    texts = keyed.join(fetch, "text_key").where(F.col("id").eqNullSafe(F.col("one_id"))).select("component", "h1", "blocks", "text")
-    mine = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
-    dealt = texts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "h1", "text")
+    def texts(some: DataFrame, columns: list[str]) -> DataFrame:
+        """One text for each of the given members.  By id and text: copies of a text, however many, are dealt apart."""
+        same = (F.col("text_key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id"))
+        return keyed.join(small_or_shuffled(some, n_members, BROADCAST_ROWS), same).select("family", "h1", "text", *columns)
+
+    # First all pairs within a block, and of large families each block with the leaders.
+    units = texts(members, ["blocks", "mine"]).select("family", F.col("mine").alias("x"), F.lit(0).alias("y"), "h1", "text")
+    large = members.where("blocks > 1")
+    if n_large:
+        # The best of each of LEADERS residues: the best of all is among them, and no task gets a whole family.
+        residue = F.pmod(F.xxhash64(F.lit("leader"), "h1"), F.lit(LEADERS))
+        best = F.max(F.struct("standing", *large.columns)).alias("best")
+        leaders = large.join(standing, "h1").groupBy("family", residue.alias("residue")).agg(best)
+        leaders = cut(leaders.select(*[F.col(f"best.{c}").alias(c) for c in large.columns]))
+        spread = texts(leaders, ["blocks", "mine"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("x <> mine")
+        units = units.unionByName(spread.select("family", "x", F.lit(0).alias("y"), "h1", "text"))
+    linked = cut(components(_compared(units, near)))
+    if not n_large:
+        return linked
+
+    # What is not in its family's main class by now meets every block.  Pairs within the main class are linked already.
+    named = large.join(linked.withColumnRenamed("node", "h1"), "h1", "left").withColumn("class", F.coalesce("component", "h1")).drop("component")
+    main = named.groupBy("family", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("family").agg(F.max(F.struct("m", "class"))["class"].alias("main"))
+    rest = cut(named.join(small_or_shuffled(main, n_large), "family").where("class <> main").select(*large.columns))
+    asking = cut(rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / near.block_nodes).cast("int").alias("groups")))
+    if asking.isEmpty():
+        return linked
+    asking = small_or_shuffled(asking, n_large)
+    group = F.pmod(F.xxhash64(F.lit("asking"), "h1"), F.col("groups")).cast("int")
+    asked = texts(rest.join(asking, "family").withColumn("y", group), ["blocks", "y"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    answers = texts(large.join(asking, "family"), ["mine", "groups"]).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumnRenamed("mine", "x")
+    columns = ["family", "x", "y", "h1", "text"]
+    more = _compared(asked.select(*columns).unionByName(answers.select(*columns)), near)
+    return components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _compared(units: DataFrame, near: Near) -> DataFrame:
+    """Edges (a, b) that span all pairs at or above the threshold within each unit (family, x, y)."""
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
         unit = unit.drop_duplicates("h1")
-        pairs = alike([weighted(t, near) for t in unit["text"]], near.similarity)
         ids, roots, out = unit["h1"].to_numpy(), list(range(len(unit))), []
 
         def root(x: int) -> int:
@@ -239,14 +281,14 @@ def _links(keyed: DataFrame, made: DataFrame, families: DataFrame, near: Near) -
                 x = roots[x]
             return x
 
-        for a, b in pairs:
+        for a, b in alike([weighted(t, near) for t in unit["text"]], near.similarity):
             x, y = root(a), root(b)
             if x != y:
                 roots[x] = y
                 out.append((ids[a], ids[b]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return units.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
+    return units.groupBy("family", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def alike(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float, columns: int = 4096) -> Iterator[tuple[int, int]]:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import bpe_chunks, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, mixing, quotation, token_counts
+from tarnwick.shipping import ship
 
 TREE, CELLS = hash_tree.Tree(), 256
 TOKEN_LIMIT = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -339,6 +339,23 @@ def test_near_duplicates_equal_brute_force(spark, block):
     assert all(got[k].kept == (want[k] == k) and got[k].class_size == want.count(want[k]) for k in got)
 
 
+def test_large_families_lose_no_link(spark, monkeypatch):
+    """Chains and hubs, with so few leaders that the rest of a family has to meet its blocks."""
+    monkeypatch.setattr(dart_minhash, "LEADERS", 1)
+    rng, texts = random.Random(11), []
+    base = [f"w{k}" for k in range(150)]
+    for _ in range(25):  # copies of an original that differ more from each other than from it
+        words = base[:]
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    for k in range(0, 90, 5):  # a chain: neighbours are alike, the ends are not
+        texts.append(" ".join(f"c{i}" for i in range(k, k + 100)))
+    want = brute_classes(texts)
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs(spark, texts), near=dart_minhash.Near(block_nodes=4)).collect()}
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts)
+
+
 def test_awkward_near_duplicates(spark):
     got = dart_minhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == len(AWKWARD) + 3
