@@ -7,10 +7,14 @@ loses too much is rejected.
 *Distinct documents* are distinct texts: a text copied a thousand times counts once, since copies are the business of
 dedup and must not make a clean text look like boilerplate.
 
+The limit is a count of texts and no share of the host: ``source`` is a coarse host, and a line on a twentieth of its
+texts is boilerplate however large the host is.  So nothing bounds the lines above the limit of one host.
+
 Plan: one shuffle of (host, line hash, text hash) with partial aggregation before it, one of the partial counts.  A line
 that a third of the rows share is spread by text hash first and then met as one partial count per task.  The lines above
-the limit are few by construction: each is in at least ``max_share`` of its host's documents, so a host has no more of
-them than ``lines per document / max_share``.  They are attached per host, broadcast only after being counted.
+the limit are then joined by (host, line hash) with the lines of each distinct text, and what they hit is attached by
+(host, text hash): no value holds more than one text's lines.  Both joins broadcast their small side only where it was
+counted and are salted shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import BROADCAST_ROWS, SPACE_CLASS, cut, let, put, small_or_shuffled, text_of, words_of
+from tarnwick.llm.common import BROADCAST_ROWS, SPACE_CLASS, cut, let, put, text_of, words_of
 
 WINDOW = 8
+#: A key of a shuffled join is dealt to this many tasks.
+SALT = 32
 SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """A line goes when more than ``max(min_documents, max_share * documents of the host)`` distinct documents hold it.
+    """A line goes when more than ``min_documents`` distinct documents of the host hold it.
+
+    ``max_share`` above 0 asks for more than that share of the host's distinct documents as well.
 
     A document goes when it fails a base rule, or when the lines taken from it leave fewer than ``min_words`` words or
     less than ``min_left`` of its words.
@@ -37,7 +45,7 @@ class Limits:
     min_words: int = 20
     max_repeat_percent: int = 30
     min_documents: int = 30
-    max_share: float = 0.10
+    max_share: float = 0.0
     min_left: float = 0.30
 
 
@@ -84,20 +92,42 @@ def base_figures(text: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, limits: Limits) -> DataFrame:
-    """Rows (host, line) with the hash of each line above its host's limit."""
+def lines_by_text(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """Rows (host, doc, lines): the hash of a text and those of its distinct lines."""
     text = text_of(text_col)
-    each = docs.select(
+    return docs.select(
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
         F.xxhash64(text).alias("doc"),
         F.array_distinct(F.transform(lines_of(text), lambda line: F.xxhash64(normal_line(line)))).alias("lines"),
     )
-    hosts = each.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def frequent_lines(docs: DataFrame, text_col: str, host_col: str, limits: Limits) -> DataFrame:
+    """Rows (host, line) with the hash of each line above its host's limit."""
+    each = lines_by_text(docs, text_col, host_col)
     held = each.select("host", "doc", F.explode("lines").alias("line")).distinct()
     counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.min_documents)
+    if not limits.max_share:
+        return counts.select("host", "line")
+    hosts = each.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     return counts.join(hosts, "host").where(F.col("n") > limits.max_share * F.col("docs")).select("host", "line")
 
 
+def attached(rows: DataFrame, small: DataFrame, n_small: int, keys: list[str], salt: Column, how: str) -> DataFrame:
+    """``rows`` joined with ``small``: broadcast where that is counted as small, else shuffled by the keys and a salt."""
+    if n_small <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys, how)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("__salt", F.pmod(salt, F.lit(SALT)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
+def hit_lines(docs: DataFrame, text_col: str, host_col: str, lines: DataFrame, n_lines: int) -> DataFrame:
+    """Rows (host, doc, frequent) for the texts that hold a line of ``lines``, with the hashes of those they hold."""
+    held = lines_by_text(docs, text_col, host_col).select("host", "doc", F.explode("lines").alias("line"))
+    hit = attached(held, lines, n_lines, ["host", "line"], F.col("doc"), "inner")
+    return hit.groupBy("host", "doc").agg(F.collect_set("line").alias("frequent"))
+
+
 def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
     """All input columns and rows plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_lines_removed, n_words_left, clean_text, kept``.
@@ -110,10 +140,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     """
     lines = cut(frequent_lines(docs, text_col, host_col, limits))
     n_lines = lines.count()
-    by_host = lines.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__frequent"))
-    rows = put(docs, {"__host": F.coalesce(F.col(host_col).cast("string"), F.lit(""))})
+    rows = put(docs, {"__host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "__doc": F.xxhash64(text_of(text_col))})
     if n_lines:
-        rows = rows.join(small_or_shuffled(by_host, n_lines, BROADCAST_ROWS), "__host", "left")
+        hit = cut(hit_lines(docs, text_col, host_col, lines, n_lines).select(F.col("host").alias("__host"), F.col("doc").alias("__doc"), F.col("frequent").alias("__frequent")))
+        rows = attached(rows, hit, hit.count(), ["__host", "__doc"], F.monotonically_increasing_id(), "left")
     else:
         rows = rows.withColumn("__frequent", F.lit(None).cast("array<bigint>"))
 
@@ -134,4 +164,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     untouched = F.col("n_lines_removed") == 0
     rows = put(rows, {"n_words_left": F.when(untouched, F.col("n_words")).otherwise(F.size(words_of(F.col("clean_text")))).cast("long")})
     depleted = (F.col("n_words_left") < limits.min_words) | (F.col("n_words_left") < limits.min_left * F.col("n_words"))
-    return put(rows, {"kept": ~F.col("base_failed") & ~depleted}).drop("__host", "__frequent", "__left")
+    return put(rows, {"kept": ~F.col("base_failed") & ~depleted}).drop("__host", "__doc", "__frequent", "__left")

@@ -459,6 +459,15 @@ def test_quality_rules(spark):
     assert line_frequency.quality_rules(awkward(spark)).count() == len(AWKWARD) + 3
 
 
+def test_line_limit_does_not_rise_with_the_host(spark, monkeypatch):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(25))
+    rows = docs(spark, [own(k) + ("\nFollow us for more" if k % 16 == 0 else "") for k in range(640)] + [own(0) + "\nFollow us for more"] * 3)
+    for limit in (200_000, 0):  # broadcast, salted shuffle
+        monkeypatch.setattr(line_frequency, "BROADCAST_ROWS", limit)
+        got = line_frequency.quality_rules(rows).collect()
+        assert len(got) == 643 and sum(r.n_lines_removed for r in got) == 43 and not any("Follow" in r.clean_text for r in got)
+
+
 def test_copies_are_not_boilerplate(spark):
     text = " ".join(f"clean{k}" for k in range(40))
     got = line_frequency.quality_rules(docs(spark, [text] * 200)).select("kept").distinct().collect()
