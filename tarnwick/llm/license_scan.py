@@ -5,6 +5,10 @@ text, in their order, are then matched against ordered rules: a rule is a sequen
 without another known sentence in between.  Unknown sentences do not matter, so names, years and page furniture in a
 licence text do no harm.
 
+Licence texts are hard-wrapped and stand in comments, so a known sentence may go over line ends and comment marks, but
+not over blank lines or sentence ends.  It has to begin behind a line end, a sentence end or at the start of the text,
+and to end at such a place, so a one-line notice between lines without full stops is found as well.
+
 All in one projection: the dictionary and the rules are constants.  A text without any of the dictionary's trigger words
 cannot hold a known sentence (checked when this module is loaded) and is not split at all.
 """
@@ -16,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import let, put, text_of
+from tarnwick.llm.common import put, text_of
 
 # Sentences of public licences and of customary notices, in normal form (lower case, one blank between
 # runs of letters and digits).
@@ -84,6 +88,8 @@ RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
 )
 
 KINDS = {"GPL": "copyleft", "CC-BY-NC": "non-commercial", "CC-BY-SA": "share-alike", "MPL": "weak-copyleft", "Proprietary": "proprietary"}
+#: Comment marks made of letters, in front of a line.
+REMARKS = "dnl|rem"
 TRIGGERS = r"licen[cs]e|copyright|warrant|permission|redistribut|free software|either version|public domain|all rights reserved"
 
 assert all(re.search(TRIGGERS, s) for s in SENTENCES), "a known sentence without a trigger word would be missed"
@@ -93,13 +99,30 @@ def kind_of(license_name: str) -> str:
     return next((kind for start, kind in KINDS.items() if license_name.startswith(start)), "permissive")
 
 
-def sentences(text: Column) -> Column:
-    """Sentences: cut at line ends and behind ``. ! ? ; :`` where white space follows."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n", -1)
+# Marks in a normalised text: a sentence end, and the edges of a known sentence.
+STOP, EDGE = "\x01", "\x02"
+BOUNDARY = f"[\n{STOP}]"
+#: A known sentence from boundary to boundary, the longest first; its words may be on several lines.
+KNOWN = f"(?<={BOUNDARY})(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted(SENTENCES, key=len, reverse=True)) + f")(?={BOUNDARY})"
+GATE = TRIGGERS.replace(" ", f" (?:(?:{REMARKS}) )?")
+
 
+def marked(text: Column) -> Column:
+    """Normal form with boundaries: line ends stay, ``. ! ? ; :`` with white space behind is one ``STOP``; known sentences
+    stand between ``EDGE`` marks.  A line without letters or digits is empty, so two line ends part what it parts."""
+    ends = F.regexp_replace(F.translate(text, STOP, "|"), r"([.!?;:])[\x20\x09-\x0D]+", "$1" + STOP)
+    words = F.lower(F.regexp_replace(ends, f"[^A-Za-z0-9\n{STOP}]+", " "))
+    tight = F.regexp_replace(F.concat(F.lit(STOP), words, F.lit(STOP)), f" *({BOUNDARY}) *", "$1")
+    bare = F.regexp_replace(tight, f"(?<={BOUNDARY})(?:{REMARKS})(?: |(?={BOUNDARY}))", "")
+    return F.regexp_replace(bare, KNOWN, f"{EDGE}$0{EDGE}")
 
-def normal_sentence(sentence: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
+
+def identifiers(text: Column) -> Column:
+    """For each sentence of the text, in order, its identifier or null.  A known sentence is one, whatever its lines."""
+    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    between = lambda x: F.array_repeat(F.lit(None).cast("int"), F.regexp_count(x, F.lit(BOUNDARY)) - 1)
+    part = lambda x, i: F.when(i % 2 == 1, F.array(F.element_at(known, F.translate(x, "\n", " ")))).otherwise(between(x))
+    return F.flatten(F.transform(F.split(marked(text), EDGE, -1), part))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -111,11 +134,10 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     replaced.
     """
     text = text_of(text_col)
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    look = lambda s, i: F.struct(i.alias("sentence"), let(normal_sentence(s), lambda n: F.when(n.rlike(TRIGGERS), F.element_at(known, n))).alias("id"))
-    spans = F.filter(F.transform(sentences(text), look), lambda s: s["id"].isNotNull())
+    tagged = F.transform(identifiers(text), lambda k, i: F.struct(i.alias("sentence"), k.alias("id")))
+    spans = F.filter(tagged, lambda s: s["id"].isNotNull())
     none = F.array().cast("array<struct<sentence:int,id:int>>")
-    rows = put(docs, {"license_spans": F.when(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")).rlike(TRIGGERS), spans).otherwise(none)})
+    rows = put(docs, {"license_spans": F.when(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")).rlike(GATE), spans).otherwise(none)})
     rows = put(rows, {"license_ids": F.transform("license_spans", lambda s: s["id"])})
     joined = F.concat(F.lit(","), F.array_join(F.col("license_ids").cast("array<string>"), ","), F.lit(","))
     found = F.array(*[F.when(joined.contains("," + ",".join(map(str, ids)) + ","), F.lit(name)) for name, ids in RULES])
@@ -126,7 +148,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The same over the view ``documents`` for DuckDB."""
+    """The same over the view ``documents`` for DuckDB, but for known sentences that go over a line end: it cuts there."""
     known = ", ".join(f"'{s}': {k}" for s, k in SENTENCES.items())
     rules = ", ".join(f"CASE WHEN contains(j, ',{','.join(map(str, ids))},') THEN '{name}' END" for name, ids in RULES)
     return f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -280,6 +281,55 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark, [None]).limit(0)).count() == 0
 
 
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+    "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.",
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+    "the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+GPL2 = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of "
+    "the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.",
+)
+
+
+def wrapped(paragraphs, width=72, mark="", end="\n"):
+    return f"{end}{mark.rstrip()}{end}".join(end.join(mark + x for x in textwrap.wrap(p, width)) for p in paragraphs)
+
+
+def test_wrapped_licenses(spark):
+    styles = [{}, {"mark": "# "}, {"mark": " * ", "width": 50}, {"mark": "dnl "}, {"mark": "// ", "end": "\r\n"}, {"width": 9999}, {"width": 20}]
+    texts = [wrapped(p, **style) for style in styles for p in (MIT, BSD, GPL2)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    want = [[1, 2, 3], [30, 31, 32, 33], [20, 21, 23, 24]] * len(styles)
+    assert [got[k].license_ids for k in range(len(texts))] == want
+    names = [{"MIT"}, {"BSD-3-Clause"}, {"GPL-2.0-or-later"}] * len(styles)
+    assert all(name <= set(got[k].licenses) for k, name in enumerate(names))
+
+
+def test_license_sentences_end_at_boundaries(spark):
+    texts = [
+        "no stop here\nLicensed under the\nMIT License\nnor here",
+        "no stop here\nReleased under the MIT License\nLicensed under CC BY 4.0\nnor here",
+        "Licensed under the\n\nMIT License",
+        "Licensed under the. MIT License",
+        "not licensed under the MIT License",
+        "a. b\n\nLicensed under\nthe MIT License; all rights\nreserved",
+    ]
+    got = {r.doc_id: [tuple(s) for s in r.license_spans] for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(6)] == [[(1, 4)], [(1, 4), (2, 41)], [], [], [], [(3, 4), (4, 90)]]
+
+
 # --- 7: near duplicates ---
 
 
