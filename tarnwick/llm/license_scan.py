@@ -41,6 +41,8 @@ SENTENCES: dict[str, int] = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": 21,
     "either version 3 of the license or at your option any later version": 22,
     "either version 2 of the license or at your option any later version": 23,
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": 27,
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": 28,
     "this program is distributed in the hope that it will be useful but without any warranty": 24,
     "this work is licensed under the gnu general public license version 3": 25,
     "licensed under the gnu general public license version 3": 25,
@@ -59,7 +61,10 @@ SENTENCES: dict[str, int] = {
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": 42,
     "this is free and unencumbered software released into the public domain": 50,
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": 51,
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 51,
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 51,
     "this source code form is subject to the terms of the mozilla public license v 2 0": 60,
+    "this source code form is subject to the terms of the mozilla public license v": 60,  # cut behind "v."
     "all rights reserved": 90,
 }
 
@@ -72,6 +77,8 @@ RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
     ("Apache-2.0", (10,)),
     ("GPL-3.0-or-later", (20, 21, 22)),
     ("GPL-2.0-or-later", (20, 21, 23)),
+    ("GPL-3.0-or-later", (20, 27)),
+    ("GPL-2.0-or-later", (20, 28)),
     ("GPL-3.0", (25,)),
     ("GPL-2.0", (26,)),
     ("BSD-3-Clause", (30, 31, 32, 33)),

@@ -330,6 +330,51 @@ def test_license_sentences_end_at_boundaries(spark):
     assert [got[k] for k in range(6)] == [[(1, 4)], [(1, 4), (2, 41)], [], [], [], [(3, 4), (4, 90)]]
 
 
+GPL = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
+    "express or implied. See the License for the specific language governing permissions and limitations under the License.",
+)
+ISC = "Permission to use, copy, modify, and{} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+NOTICES = [
+    (MIT, "MIT", {(1, 2, 3), (1, 2)}),
+    (MIT[:2], "MIT", {(1, 2)}),
+    (["Licensed under the MIT License."], "MIT", {(4,)}),
+    (APACHE, "Apache-2.0", {(10, 11, 12, 13), (10,)}),
+    ([GPL.format(":", ",", 3)], "GPL-3.0-or-later", {(20, 27)}),
+    ([GPL.format(";", ";", 3)], "GPL-3.0-or-later", {(20, 21, 22)}),
+    ([GPL.format(";", ";", 2)], "GPL-2.0-or-later", {(20, 21, 23)}),
+    ([GPL.format(":", ",", 2)], "GPL-2.0-or-later", {(20, 28)}),
+    (["Licensed under the GNU General Public License, version 3."], "GPL-3.0", {(25,)}),
+    (["Licensed under the GNU General Public License, version 2."], "GPL-2.0", {(26,)}),
+    (BSD, "BSD-3-Clause", {(30, 31, 32, 33)}),
+    (BSD[:3], "BSD-2-Clause", {(30, 31, 32)}),
+    (["Licensed under the BSD 3-Clause License."], "BSD-3-Clause", {(34,)}),
+    (["Licensed under the BSD 2-Clause License."], "BSD-2-Clause", {(35,)}),
+    (["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."], "CC-BY-NC-4.0", {(40,)}),
+    (["This work is licensed under a Creative Commons Attribution 4.0 International License."], "CC-BY-4.0", {(41,)}),
+    (["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."], "CC-BY-SA-4.0", {(42,)}),
+    (["This is free and unencumbered software released into the public domain."], "Unlicense", {(50,)}),
+    ([ISC.format("/or")], "ISC", {(51,)}),
+    ([ISC.format("")], "ISC", {(51,)}),
+    ([MPL], "MPL-2.0", {(60,)}),
+    (["Copyright (c) 2020 Someone. All rights reserved."], "Proprietary", {(90,)}),
+]
+
+
+def test_each_rule_fires_on_its_text(spark):
+    assert set(license_scan.RULES) == {(name, ids) for _, name, rules in NOTICES for ids in rules}
+    texts = [f(p) for p, _, _ in NOTICES for f in ("\n\n".join, wrapped)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    for k in range(len(texts)):
+        _, name, rules = NOTICES[k // 2]
+        found = "," + ",".join(map(str, got[k].license_ids)) + ","
+        assert name in got[k].licenses and all("," + ",".join(map(str, ids)) + "," in found for ids in rules), (k, name, found)
+
+
 # --- 7: near duplicates ---
 
 
