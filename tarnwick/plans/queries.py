@@ -128,7 +128,7 @@ def subtype_price(spark, d):
     cards = view(spark, d, "cards").where("market_price is not null")
     subtype = F.element_at(F.array(*map(F.lit, ["Normal", "Holofoil", "Reverse Holofoil"])), (F.col("card_id") % 3 + 1).cast("int"))
     wanted = cards.select("card_id", (F.col("card_id") % 100).alias("product_id"), subtype.alias("wanted"))
-    prices = cards.where("card_id < 300").select((F.col("card_id") % 100).alias("product_id"), F.when(F.col("card_id") < 150, "Holofoil").when(F.col("card_id") < 250, "Normal").otherwise("Foil").alias("subtype"), F.col("market_price").alias("price"))
+    prices = cards.select((F.col("card_id") % 100).alias("product_id"), F.when(F.col("card_id") < 150, "Holofoil").when(F.col("card_id") < 250, "Normal").otherwise("Foil").alias("subtype"), F.col("market_price").alias("price"))
     prices = prices.groupBy("product_id", "subtype").agg(F.max("price").alias("price"))
     return matching.subtype_price(wanted, prices, ["Holofoil", "Normal"])
 
@@ -443,7 +443,7 @@ def carried_portfolio(spark, d):
 @query
 def portfolio_totals(spark, d):
     cards = view(spark, d, "cards")
-    watched = cards.where("card_id % 50 = 0").select("card_id", F.when(F.col("card_id") % 100 == 0, F.col("dex").cast("double")).alias("price_at_add"))
+    watched = cards.select("card_id", F.when(F.col("card_id") % 100 == 0, F.col("dex").cast("double")).alias("price_at_add"))
     return boards.portfolio_totals(watched, cards.select("card_id", F.col("market_price").alias("price")))
 
 

@@ -16,3 +16,22 @@ def test_carried_portfolio_has_all_cards(spark):
         want[date] = sum(last.values())
     got = {str(r.date): r.total for r in QUERIES["carried_portfolio"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(float(got[d]) - float(want[d])) < 0.01 for d in want)
+
+
+def test_portfolio_watches_all_cards(spark):
+    cards = view(spark, SF, "cards").collect()
+    got = QUERIES["portfolio_totals"](spark, SF).first()
+    assert got.n_cards == len(cards) and abs(float(got.value) - sum(float(r.market_price or 0) for r in cards)) < 0.01
+
+
+def test_subtype_prices_are_of_all_cards(spark):
+    names, best = ["Normal", "Holofoil", "Reverse Holofoil"], {}
+    cards = [(r.card_id, float(r.market_price)) for r in view(spark, SF, "cards").collect() if r.market_price is not None]
+    for i, price in cards:
+        key = i % 100, "Holofoil" if i < 150 else "Normal" if i < 250 else "Foil"
+        best[key] = max(price, best.get(key, price))
+    want = {i: next((best[i % 100, n] for n in (names[i % 3], "Holofoil", "Normal", "Foil") if (i % 100, n) in best), None) for i, _ in cards}
+    got = {r.card_id: r.price for r in QUERIES["subtype_price"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(float(got[i]) - want[i]) < 1e-6 for i in want)
+    plan = QUERIES["subtype_price"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "< 300" not in plan  # the cards beyond give subtypes that no card prefers, so the rows do not show them
