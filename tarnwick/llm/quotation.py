@@ -5,7 +5,7 @@
 2. Normalised passages and their lines are hashed and looked up among the hashes of earlier messages of the same
    conversation (whole own text, and each line).  The lookup is a running "last original seen" over the union of quoted
    and original hashes, not a join of all equal pairs, so a phrase that all messages share costs a row a message.
-3. A message replies to the message that its level-1 passages come from; one that quotes nothing known replies to the
+3. A message replies to the message that its passages of the least recognised level come from; one that quotes nothing known replies to the
    message before it.
 4. Conversations are laid out in reply order: a message, then the subtrees of its replies in turn order.  A run of
    messages each of which replies to the one before it is a segment; a segment knows the message it branches off from.
@@ -72,11 +72,12 @@ def keys(text: Column) -> Column:
 def link_quotations(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """All input rows and columns plus ``own_text, n_passages, deepest_level, parent_turn, reply_kind, order_key``,
+    """All input rows and columns plus ``own_text, n_passages, deepest_level, parent_turn, reply_kind, links, order_key``,
     sorted by conversation and order key.
 
-    ``reply_kind`` is ``quote`` (an earlier message's text was recognised in a level-1 passage), ``next`` (the message
-    before it) or ``first``.  Of several originals the one that the longest-first list of a message's hashes finds first
+    ``reply_kind`` is ``quote`` (an earlier message's text was recognised in a passage), ``next`` (the message
+    before it) or ``first``.  ``links`` has (level, turn) for each level with a recognised passage; the least level's is
+    the parent.  Of several originals of a level the one that the longest-first list of a message's hashes finds first
     wins, then the latest.  Sorting a conversation by ``order_key`` gives its messages in reply order.
 
     Null and empty texts are messages without words.  A null conversation id is a conversation of its own; a null turn
@@ -111,26 +112,31 @@ def link_quotations(
     own = F.concat(F.lit("0"), _digits(F.col("__turn")))
     out = placed.join(paths, ["__conv", "__segment"], "left")
     named = F.nullif(F.col("__parent"), F.lit(-(1 << 63)))
-    out = put(out, {"parent_turn": named, "order_key": F.concat(F.coalesce("__path", F.lit("")), own)})
+    links = F.coalesce("__links", F.array().cast("array<struct<level:int,turn:bigint>>"))
+    out = put(out, {"parent_turn": named, "links": links, "order_key": F.concat(F.coalesce("__path", F.lit("")), own)})
     out = out.orderBy("__conv", "order_key", role_col, "own_text")
-    return out.drop("__conv", "__turn", "__target", "__before", "__segment", "__path", "__parent")
+    return out.drop("__conv", "__turn", "__target", "__links", "__before", "__segment", "__path", "__parent")
 
 
 def _targets(rows: DataFrame) -> DataFrame:
-    """Rows (conversation, turn, target turn) for the messages whose level-1 passages come from an earlier one."""
-    first_level = F.filter("__passages", lambda p: p["level"] == 1)
-    asked = rows.where(F.col("n_passages") > 0).select("__conv", "__turn", F.posexplode(F.flatten(F.transform(first_level, lambda p: keys(p["text"])))).alias("rank", "key"))
-    asked = cut(asked.groupBy("__conv", "__turn", "key").agg(F.min("rank").alias("rank")))
+    """Rows (conversation, turn, target turn, links) for the messages with a passage that comes from an earlier one."""
+    hashed = lambda p: F.transform(keys(p["text"]), lambda k: F.struct(p["level"].alias("level"), k.alias("key")))
+    asked = rows.where(F.col("n_passages") > 0).select("__conv", "__turn", F.posexplode(F.flatten(F.transform("__passages", hashed))).alias("rank", "at"))
+    asked = asked.select("__conv", "__turn", "rank", "at.level", "at.key")
+    asked = cut(asked.groupBy("__conv", "__turn", "level", "key").agg(F.min("rank").alias("rank")))
     wanted = asked.select("__conv", "key").distinct()
     given = rows.select("__conv", "__turn", F.explode(keys(F.col("own_text"))).alias("key")).join(wanted, ["__conv", "key"], "left_semi").distinct()
-    both = asked.select("__conv", "key", "__turn", "rank", F.lit(0).alias("given")).unionByName(
-        given.select("__conv", "key", "__turn", F.lit(None).cast("int").alias("rank"), F.lit(1).alias("given"))
+    none = F.lit(None).cast("int")
+    both = asked.select("__conv", "key", "__turn", "level", "rank", F.lit(0).alias("given")).unionByName(
+        given.select("__conv", "key", "__turn", none.alias("level"), none.alias("rank"), F.lit(1).alias("given"))
     )
     before = Window.partitionBy("__conv", "key").orderBy("__turn", "given").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("target", F.last(F.when(F.col("given") == 1, F.col("__turn")), ignorenulls=True).over(before))
     found = found.where((F.col("given") == 0) & F.col("target").isNotNull() & (F.col("target") < F.col("__turn")))
     best = F.min(F.struct("rank", (-F.col("target").cast("decimal(20,0)")).alias("late"))).alias("best")
-    return found.groupBy("__conv", "__turn").agg(best).select("__conv", "__turn", (-F.col("best.late")).cast("long").alias("__target"))
+    levels = found.groupBy("__conv", "__turn", "level").agg(best).select("__conv", "__turn", F.struct("level", (-F.col("best.late")).cast("long").alias("turn")).alias("link"))
+    links = levels.groupBy("__conv", "__turn").agg(F.array_sort(F.collect_list("link")).alias("__links"))
+    return links.select("__conv", "__turn", F.get("__links", F.lit(0))["turn"].alias("__target"), "__links")
 
 
 def _running(rows: DataFrame) -> DataFrame:

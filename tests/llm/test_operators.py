@@ -226,6 +226,14 @@ def test_quotation_linking(spark, monkeypatch):
     assert all(">" not in r.own_text for r in got)
 
 
+def test_deeper_quotations_are_linked(spark):
+    texts = ["first words", "second words", "third words", ">> First words\nonly deep", "> second words\n>> first words\nboth", "> unknown\n>> third words\ndeep known"]
+    df = spark.createDataFrame([(1, k, "u", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.reply_kind, [tuple(x) for x in r.links]) for r in quotation.link_quotations(df).collect()}
+    assert got[2] == (1, "next", []) and got[3] == (0, "quote", [(2, 0)])
+    assert got[4] == (1, "quote", [(1, 1), (2, 0)]) and got[5] == (2, "quote", [(2, 2)])
+
+
 def test_awkward_conversations(spark):
     rows = [(None, 0, "u", None), (1, None, "u", ""), (1, 5, "u", "> x\n>> y\n> z"), (1, 5, "u", "> x"), (1, 6, None, "On Monday A wrote:\n> x\nyes")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"own_text": F.lit(1), "order_key": F.lit(2)})
