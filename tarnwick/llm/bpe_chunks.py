@@ -1,9 +1,18 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last 16 code points cuts each text where the hash's low bits are zero, so equal stretches of
-different documents are cut alike, wherever they stand.  A chunk is encoded once for a worker process and its ids are
-kept in a bounded table; documents that share it reuse them.  A new chunk is encoded from its words and signs, of which
-the library encodes those that the worker has not met: no merge reaches over a blank.
+different documents are cut alike, wherever they stand.
+
+1. Chunks are named by 128-bit hashes and counted over all documents; only names are shuffled.
+2. The chunks that occur more than once are *shared*.  Of the texts that hold one, the text of the least name hands it
+   out; copies of such a text meet in a hash aggregation, so each shared chunk is encoded once, for all documents.
+3. The dictionary (name, ids) is joined with the chunk lists of the distinct texts; every text that holds shared chunks
+   gets a parcel of their ids, and every row of that text the same one.
+4. A document is made of the ids of its parcel and those of its other chunks, which occur nowhere else and are encoded
+   there, so every chunk of the corpus is encoded once.
+
+A chunk is encoded from its words and signs (no merge reaches over a blank); a worker keeps the ids of the words that it
+has met in a bounded table, which is what makes a single chunk cheap and has no part in what is shared.
 
 Concatenated chunk ids are wrong near the joins, where a cut may go through a word.  A join is repaired by encoding
 again a stretch around it that begins behind a blank of the left chunk and ends at a blank of the right one (ASCII white
@@ -11,8 +20,8 @@ space ends a piece in every case: no merge, normal form or special string reache
 agree with the left chunk's ids up to that blank and with the right one's from there on; since those ids are known to be
 final, the stretch is widened over further chunks until there is such a blank, at the worst over the whole text.
 
-The table is per worker process rather than global: sending each distinct chunk to one place and its ids back to all
-documents moves more bytes than the texts themselves have (README).  Map only, no shuffle.
+Texts without shared chunks are not shuffled where the names of the others were measured as small; otherwise texts meet
+their parcels in one shuffled join, whose hot texts AQE splits.
 """
 
 from __future__ import annotations
@@ -26,13 +35,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import SPACES, put, text_of
+from tarnwick.llm import common
+from tarnwick.llm.common import SPACES, bytes_of, cut, put, small_or_shuffled, text_of
 
-#: Mean, least and largest code points of a chunk, and what a worker's tables of chunks and parts keep.
-MEAN, LEAST, LARGEST, KEPT_CHARS, KEPT_PARTS = 1024, 256, 8192, 6_000_000, 500_000
+#: Mean, least and largest code points of a chunk, and how many words a worker's table keeps.
+MEAN, LEAST, LARGEST, KEPT_PARTS = 1024, 256, 8192, 500_000
 WINDOW = 16
 _ODD = np.uint32(0x9E3779B1)
 
@@ -67,6 +78,17 @@ def cuts(text: str) -> list[int]:
     return out
 
 
+def chunks_of(text: str) -> list[str]:
+    ends = cuts(text)
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def named(chunk: str) -> tuple[int, int]:
+    """The 128-bit name of a chunk as two signed numbers."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(chunk.encode("utf-8", "surrogatepass")), 1 << 64)
+    return high - (high >> 63 << 64), low - (low >> 63 << 64)
+
+
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 # A piece always ends between a letter or digit and one of these signs; next to other characters that is not certain.
 _SIGN, _WORD = "#$%&*,.:;?!", "0-9A-Za-zÀ-ÖØ-öø-ÿ"
@@ -115,52 +137,49 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, Chunk] = {}
         self.parts: dict[str, bytes] = {}
         plain = self.library.decoder is None
         self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())] if plain else None
-        self.held = self.encoded = self.used = self.disagreed = 0
+        self.encoded = self.used = self.disagreed = 0
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet, each once; of their parts, those that are not known yet."""
-        if self.held > KEPT_CHARS:
-            self.known, self.held = {}, 0
+    def chunks(self, chunks: set[str]) -> dict[str, Chunk]:
+        """Each chunk encoded once, of its parts those that the worker has not met."""
         if len(self.parts) > KEPT_PARTS:  # the older half goes
             self.parts = dict(islice(self.parts.items(), len(self.parts) // 2, None))
         get = self.parts.get
-        new = {c: sections(c) for c in chunks if c not in self.known}
+        new = {c: sections(c) for c in chunks}
         found = {c: [list(map(get, s)) for s in cut_] for c, (cut_, _) in new.items()}
         lacking = [c for c, ids in found.items() if any(None in x for x in ids)]
         missing = list({p for c in lacking for s in new[c][0] for p in s if p not in self.parts})
         self.parts |= zip(missing, (array("I", ids).tobytes() for ids in self.ids(missing)))
         for c in lacking:
             found[c] = [list(map(get, s)) for s in new[c][0]]
-        for chunk, ids in found.items():
-            self.known[chunk] = measured(ids, new[chunk][1])
-            self.held += len(chunk)
         self.encoded += len(new)
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = []
-        for text in texts:
-            ends = cuts(text)
-            pieces.append([text[a:b] for a, b in zip([0, *ends], ends)])
-        self.learn({c for p in pieces for c in p})
+        return {c: measured(ids, new[c][1]) for c, ids in found.items()}
+
+    def encode_all(self, texts: list[str], parcels: list[dict[tuple[int, int], Chunk] | None] | None = None) -> list[np.ndarray]:
+        """The ids of whole texts; ``parcels`` has the shared chunks of a text by name."""
+        pieces, given = [], {}
+        for text, parcel in zip(texts, parcels or [None] * len(texts)):
+            pieces.append(chunks_of(text))
+            if parcel:
+                given |= {p: c for p in pieces[-1] if (c := parcel.get(named(p))) is not None}
+        known = given | self.chunks({c for p in pieces for c in p if c not in given})
         self.used += sum(map(len, pieces))
-        plans = [self._plan(p) for p in pieces]
+        plans = [self._plan(p, known) for p in pieces]
         stretches = list({x.text for plan in plans for x in plan if isinstance(x, Stretch)})
         again = {s: np.array(ids, np.uint32) for s, ids in zip(stretches, self.ids(stretches))}
         return [self._joined(text, plan, again) for text, plan in zip(texts, plans)]
 
-    def _plan(self, chunks: list[str]) -> list[np.ndarray | Stretch]:
+    def _plan(self, chunks: list[str], known: dict[str, Chunk]) -> list[np.ndarray | Stretch]:
         """What the ids of a text are made of: final ids of chunks, and stretches over joins."""
         plan: list[np.ndarray | Stretch] = []
         text, guard = "", NONE  # what is open on the left: its text, and the ids that its guard must give
         for k, chunk in enumerate(chunks):
-            c, is_last = self.known[chunk], k == len(chunks) - 1
+            c, is_last = known[chunk], k == len(chunks) - 1
             if c.last < 0:  # no blank: the stretch goes on
                 text += chunk
                 continue
@@ -171,7 +190,7 @@ class ChunkEncoder:
             end = len(c.ids) - c.tail
             text, guard = ("", NONE) if is_last else (chunk[c.left_at :], c.ids[end - c.left : end])
         if text:
-            plan.append(self.known[text].ids if len(chunks) == 1 else Stretch(text, guard, NONE))
+            plan.append(known[text].ids if len(chunks) == 1 else Stretch(text, guard, NONE))
         return plan
 
     def _joined(self, text: str, plan: list[np.ndarray | Stretch], again: dict[str, np.ndarray]) -> np.ndarray:
@@ -240,6 +259,58 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+#: What the dictionary holds of a chunk, see ``Chunk``.
+RECORD = "ids binary, first int, last int, head int, tail int, left_at int, left int, right_at int, right int"
+NAMES = [x.split()[0] for x in RECORD.split(", ")]
+_RECORD = pa.struct([(n, pa.binary() if n == "ids" else pa.int32()) for n in NAMES])
+
+
+def _chunk(record: dict) -> Chunk:
+    return Chunk(np.frombuffer(record["ids"], "<u4"), *[record[n] for n in NAMES[1:]])
+
+
+def _listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The names of a text's chunks."""
+    kind = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64())]))
+    for batch in batches:
+        names = [[named(c) for c in chunks_of(text.as_py())] for text in batch]
+        flat = [n for row in names for n in row]
+        pairs = pa.StructArray.from_arrays([pa.array([n[0] for n in flat], pa.int64()), pa.array([n[1] for n in flat], pa.int64())], ["c1", "c2"])
+        yield pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(row) for row in names])], pa.int32()), pairs).cast(kind)
+
+
+def text_names(text: Column) -> dict[str, Column]:
+    """A text's 128-bit name in two columns."""
+    return {"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("text"), text)}
+
+
+def _parcels(texts: DataFrame, vocabulary: str) -> DataFrame:
+    """Rows (__t1, __t2, parcel) for the distinct texts that hold shared chunks, from rows (__t1, __t2, text)."""
+    names = F.arrow_udf(_listed, "array<struct<c1:bigint,c2:bigint>>")
+    listed = cut(texts.select("__t1", "__t2", F.explode(names(F.col("text"))).alias("c")).select("__t1", "__t2", "c.c1", "c.c2"))
+    shared = listed.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("__t1").alias("owner")).where("n > 1")
+    shared = cut(shared.select("c1", "c2", "owner"))
+    owners = cut(shared.groupBy("owner").agg(F.collect_list(F.struct("c1", "c2")).alias("wanted")))
+    # The aggregation by whole text leaves one of each owner's copies in a task already.
+    own = texts.join(small_or_shuffled(owners, bytes_of(owners)), F.col("__t1") == F.col("owner")).select("text", "wanted").distinct()
+
+    @F.arrow_udf(f"array<struct<c1:bigint,c2:bigint,{', '.join(x.replace(' ', ':') for x in RECORD.split(', '))}>>")
+    def encoded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        e = encoder(vocabulary)
+        for texts_, wanted in batches:
+            rows = []
+            for text, want in zip(texts_, wanted):
+                names = {(w["c1"], w["c2"]) for w in want.as_py()}
+                mine = {c: n for c in set(chunks_of(text.as_py())) if (n := named(c)) in names}
+                rows.append([{"c1": mine[c][0], "c2": mine[c][1], "ids": x.ids.tobytes()} | dict(zip(NAMES[1:], x[1:])) for c, x in e.chunks(set(mine)).items()])
+            yield pa.array(rows, pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), *_RECORD])))
+
+    dictionary = own.select(F.explode(encoded("text", "wanted")).alias("x")).select("x.*").dropDuplicates(["c1", "c2"])
+    record = F.struct("c1", "c2", *NAMES).alias("record")
+    held = listed.join(shared.select("c1", "c2"), ["c1", "c2"], "left_semi").distinct()
+    return held.join(cut(dictionary), ["c1", "c2"]).groupBy("__t1", "__t2").agg(F.collect_list(record).alias("parcel"))
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", batch_chars: int = 500_000, decode: bool = True) -> DataFrame:
     """All input columns and rows plus ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and, with
     ``decode``, ``decoded``.
@@ -248,28 +319,39 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text",
     worker encodes about ``batch_chars`` code points at a time.  Repeated rows get equal results.  An empty table gives
     an empty result.  Input columns named like an output are replaced.
     """
+    text = text_of(text_col)
+    parcels = cut(_parcels(docs.select(text.alias("text")).select(*[c.alias(n) for n, c in text_names(F.col("text")).items()], "text"), vocabulary).withColumnRenamed("parcel", "__parcel"))
+    rows, keys = put(docs, text_names(text)), ["__t1", "__t2"]
+    n_bytes, flags = bytes_of(parcels), cut(parcels.select(*keys, F.lit(True).alias("__shares")))
+    if n_bytes <= common.BROADCAST_BYTES or bytes_of(flags) > common.BROADCAST_BYTES:
+        rows = rows.join(small_or_shuffled(parcels, n_bytes), keys, "left")
+    else:  # the texts without a parcel stay where they are
+        rows = rows.join(F.broadcast(flags), keys, "left")
+        alone = rows.where("__shares is null").drop("__shares").withColumn("__parcel", F.lit(None).cast(parcels.schema["__parcel"].dataType))
+        rows = rows.where("__shares").drop("__shares").join(parcels, keys).unionByName(alone)
 
     @F.arrow_udf("ids binary, n_tokens long, decoded string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         e = encoder(vocabulary)
 
-        def coded(texts: list[str]) -> pa.Array:
-            coded_ = e.encode_all(texts)
+        def coded(texts: list[str], given: list[dict | None]) -> pa.Array:
+            coded_ = e.encode_all(texts, given)
             back = pa.array([e.decode(ids) for ids in coded_] if decode else [None] * len(coded_), pa.string())
             lengths = pa.array([len(ids) for ids in coded_], pa.int64())
             return pa.StructArray.from_arrays([pa.array([ids.tobytes() for ids in coded_], pa.binary()), lengths, back], ["ids", "n_tokens", "decoded"])
 
-        for batch in batches:  # a batch is answered in several smaller ones
-            waiting, size = [], 0
-            for text in batch:
-                waiting.append(text.as_py())
+        for texts, parcels_ in batches:  # a batch is answered in several smaller ones
+            waiting, given, size = [], [], 0
+            for text_, parcel in zip(texts, parcels_):
+                waiting.append(text_.as_py())
+                given.append({(x["c1"], x["c2"]): _chunk(x) for x in parcel.as_py()} if parcel.is_valid else None)
                 size += len(waiting[-1])
                 if size >= batch_chars:
-                    yield coded(waiting)
-                    waiting, size = [], 0
+                    yield coded(waiting, given)
+                    waiting, given, size = [], [], 0
             if waiting:
-                yield coded(waiting)
+                yield coded(waiting, given)
 
-    out = put(docs, {"__bpe": run(text_of(text_col))})
+    out = put(rows, {"__bpe": run(text, F.col("__parcel"))}).drop("__parcel", *keys)
     names = ["ids", "n_tokens"] + ["decoded"] * decode
     return put(out, {n: F.col(f"__bpe.{n}") for n in names}).drop("__bpe")

@@ -1,27 +1,36 @@
-"""Helpers shared by the text operators: cut lineage safely, broadcast only what is counted, name columns."""
+"""Helpers shared by the text operators: cut lineage safely, broadcast only what is measured, name columns."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the class ``[\x20\x09-\x0D]`` of every contract here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
-#: A table is broadcast only after it was counted and has at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only after its bytes were measured and stay under this.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make sure that a checkpoint folder is set; the cluster's own setting wins over ours."""
+    """Make sure that a checkpoint folder is set: the one that ``spark.checkpoint.dir`` names.
+
+    Only where driver and executors are one process (tests) does a folder of this machine do in its place.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    if named is None:
+        if re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,9 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the *counted* rows stay under the limit; otherwise leave a shuffled join to AQE."""
-    return F.broadcast(df) if rows <= limit else df
+def _size(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            each = F.aggregate(column, F.lit(0).cast("long"), lambda sum_, x: sum_ + _size(x, kind.elementType))
+        else:
+            each = F.size(column).cast("long") * 8
+        return F.coalesce(each, F.lit(0)) + 32
+    if isinstance(kind, T.StructType):
+        return sum((_size(column[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(16).cast("long")
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes of all rows, from one aggregation; ``df`` should be cut."""
+    row = sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def small_or_shuffled(df: DataFrame, n_bytes: int, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast when the *measured* bytes stay under the limit; otherwise leave a shuffled join to AQE."""
+    return F.broadcast(df) if n_bytes <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def text_of(column: str) -> Column:

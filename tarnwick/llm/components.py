@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import cut, small_or_shuffled
 
+#: A row of two nodes.
+ROW_BYTES = 64
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Rows (node, component) for undirected edges (a, b) of bigint nodes; a component is named by its least node.
+    """Rows (node, component) for undirected edges (a, b) of nodes with an order (bigint, decimal); a component is named by its least node.
 
     Alternates two star contractions (Kiveris et al., *Connected Components in MapReduce and Beyond*, 2014): each node
     links its larger neighbours to its least one, then its smaller ones.  Minima are aggregated on the map side, so a
     node with very many links is one row per task; the joins back have one row per node on one side, which is broadcast where
-    the counted edges are few and left to AQE (which splits skewed keys) where not.  Each round is written to the shared
+    the counted edges, of a fixed width, are few and left to AQE (which splits skewed keys) where not.  Each round is written to the shared
     checkpoint folder.  Ends when a round changes nothing.
     """
     star = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -39,11 +42,11 @@ def _state(star: DataFrame) -> tuple:
 def _large_star(star: DataFrame, n_edges: int) -> DataFrame:
     both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.where("v > u").join(small_or_shuffled(least, 2 * n_edges), "u")
+    joined = both.where("v > u").join(small_or_shuffled(least, 2 * n_edges * ROW_BYTES), "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(star: DataFrame, n_edges: int) -> DataFrame:
     least = star.groupBy("u").agg(F.min("v").alias("m"))
-    linked = star.join(small_or_shuffled(least, n_edges), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    linked = star.join(small_or_shuffled(least, n_edges * ROW_BYTES), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -7,32 +7,31 @@ Each dart belongs to one of k coordinates by its hash, and the one of least rank
 agree on a coordinate with the probability of their weighted Jaccard similarity.  A text throws about k ln k darts,
 however long it is, so signatures are sparse to make.
 
-Classes.  1. Texts with the same shingle set are one node, so copies cost nothing further.  2. Nodes that agree on a band
-of coordinates are linked to the least node of the band's bucket: at most one edge a node and band, never all pairs.
-3. Connected components of those edges are candidate families.  4. Inside a family similarity is computed exactly on the
-shingle sets.  A family is dealt in blocks of bounded weight; a block's pairs are compared in one task, which returns
-links that span what is alike (no more than nodes, never all pairs).  In a family of several blocks, each block also
-meets the leaders, the members that share the most with others: in groups of copies the original is among them, and a
-leader links the blocks.  Members that are not in the family's main class by then are compared with every block, in
-groups of bounded size.  So every pair is compared unless both are in one class already, and no link between classes is
-lost.  5. Components of the links at or above the threshold are the classes.
-
-The comparison is linear in a family's nodes where leaders reach nearly all of them, and grows with (nodes outside the
-main class) x (nodes) otherwise.  Shingle sets are made again from the texts where needed instead of stored.
+Classes.  1. Texts with the same shingle set are one node, so copies cost nothing further.  Nodes are named by 120 bits.
+2. Nodes that agree on a band of coordinates share a bucket.  Only nodes of one bucket are ever compared, never more
+distant members of a chain of buckets.  3. A bucket's leader is the member that shares most with others (in a group of
+copies, the original).  Each node is compared with the ``LEADERS`` leaders that it shares the most buckets with: a few
+rows a node, however large a bucket is.  Components of what is alike settle nearly all.  4. A bucket that then still has
+members of several components is open.  Its largest component needs no comparison within itself; every other member is
+compared with the whole bucket, which is dealt in blocks of bounded nodes and weight, a pair of blocks to a task.  So
+every pair that shares a bucket is compared unless both are in one class already, and no link between classes is lost.
+5. Components of the links at or above the threshold are the classes.  Comparisons are exact, on shingle sets that are
+made once for the nodes that share a bucket and carried as hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import BROADCAST_ROWS, cut, small_or_shuffled, text_of
+from tarnwick.llm.common import bytes_of, cut, small_or_shuffled, text_of
 from tarnwick.llm.components import components
 from tarnwick.llm.shingles import mix, shingle_hashes
 
@@ -133,37 +132,37 @@ def weighted(text: str, near: Near) -> tuple[np.ndarray, np.ndarray]:
     return elements, counts.astype(np.float64) if near.weights == "count" else np.ones(len(elements))
 
 
-def set_name(elements: np.ndarray, weights: np.ndarray) -> tuple[int | None, int | None]:
-    """Two independent 64-bit hashes of a weighted set, the first of which names its node; none for the empty set."""
+def set_name(elements: np.ndarray, weights: np.ndarray) -> Decimal | None:
+    """The name of a weighted set's node: 60 bits each of two hashes; none for the empty set."""
     if not len(elements):
-        return None, None
+        return None
     with np.errstate(over="ignore"):
         each = mix(elements + mix(weights.astype(np.uint64)))
         one = int(mix(np.array([each.sum(dtype=np.uint64) + np.uint64(len(elements))]))[0])
         two = int(mix(np.array([(each * mix(each)).sum(dtype=np.uint64)]))[0])
-    return int(np.int64(np.uint64(one).astype(np.int64))), int(np.uint64(two).astype(np.int64))
+    return Decimal((one >> 4 << 60) + (two >> 4))
 
 
-#: At most so many members of a large family are compared with each block of it.
-LEADERS = 64
+NODE = "decimal(38,0)"
+#: With how many of its buckets' leaders a node is compared before open buckets are compared as a whole.
+LEADERS = 2
 #: Elements for which darts are thrown at a time.
 BATCH = 60_000
 
 
 def _sketch(near: Near):
-    kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    kind = pa.struct([("node", pa.decimal128(38, 0)), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def rows_of(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
         some = [s for s in sets if len(s[0])]
         made = iter(signatures(some, near.bands * near.rows))
         rows = []
         for s in sets:
-            h1, h2 = set_name(*s)
             bands = band_hashes(next(made), near.bands, near.rows).view(np.int64) if len(s[0]) else None
-            rows.append({"h1": h1, "h2": h2, "n": len(s[0]), "bands": bands})
+            rows.append({"node": set_name(*s), "n": len(s[0]), "bands": bands})
         return rows
 
-    @F.arrow_udf("h1 long, h2 long, n int, bands array<long>")
+    @F.arrow_udf(f"node {NODE}, n int, bands array<long>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows, sets, size = [], [], 0
@@ -192,22 +191,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     made = cut(keyed.select("id", "text_key", _sketch(near)(F.col("text")).alias("s")).select("id", "text_key", "s.*"))
-    some = made.where("h1 is not null")
-    nodes = some.groupBy("h1").agg(F.first("bands").alias("bands"))
-    slots = nodes.select("h1", F.explode("bands").alias("band"))
-    buckets = slots.groupBy("band").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.count(F.lit(1)).alias("m")).where("least < most").drop("most")
-    shared = cut(slots.join(buckets, "band").groupBy("h1", "least").agg(F.sum("m").alias("m")))
-    families = components(shared.where("h1 <> least").select(F.col("h1").alias("a"), F.col("least").alias("b")))
-    standing = shared.groupBy("h1").agg(F.sum("m").alias("standing"))
-    linked = cut(_linked(keyed, some, families, standing, near))
-    n_linked = linked.count()
-    named = made.select("id", "text_key", "h1", "n").join(small_or_shuffled(linked.withColumnRenamed("node", "h1"), n_linked), "h1", "left")
-    named = named.withColumn("class", F.coalesce("component", "h1")).drop("h1", "component")
+    linked = cut(_linked(keyed, made.where("node is not null"), near))
+    named = made.select("id", "text_key", "node", "n").join(small_or_shuffled(linked, bytes_of(linked)), "node", "left")
+    named = named.withColumn("class", F.coalesce("component", "node")).drop("node", "component")
 
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_key").alias("text_key")))
     classes = named.where("class is not null").groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
     many = cut(classes.where("class_size > 1"))
-    out = named.join(small_or_shuffled(many, many.count()), "class", "left")
+    out = named.join(small_or_shuffled(many, bytes_of(many)), "class", "left")
     is_first = F.col("first").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
     return out.select(
         F.col("id").alias(id_col),
@@ -219,61 +210,95 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _linked(keyed: DataFrame, made: DataFrame, families: DataFrame, standing: DataFrame, near: Near) -> DataFrame:
-    """Rows (node, component) for the classes of more than one node."""
-    members = made.groupBy("h1").agg(F.min(F.struct("id", "text_key")).alias("one"), F.first("n").alias("n"))
-    members = members.join(families.withColumnRenamed("node", "h1").withColumnRenamed("component", "family"), "h1")
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"))
-    blocks = F.greatest(F.ceil(F.col("m") / near.block_nodes), F.ceil(F.col("weight") / near.block_weight)).cast("int")
-    sizes = cut(sizes.select("family", blocks.alias("blocks")))
-    n_families, n_large = sizes.agg(F.count(F.lit(1)), F.count(F.when(F.col("blocks") > 1, 1))).first()
-    members = members.join(small_or_shuffled(sizes, n_families), "family")
-    mine = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
-    members = cut(members.select("family", "h1", F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_key"), "blocks", mine.alias("mine")))
-    n_members = members.count()
-
-    def texts(some: DataFrame, columns: list[str]) -> DataFrame:
-        """One text for each of the given members.  By id and text: copies of a text, however many, are dealt apart."""
-        same = (F.col("text_key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id"))
-        return keyed.join(small_or_shuffled(some, n_members, BROADCAST_ROWS), same).select("family", "h1", "text", *columns)
-
-    # First all pairs within a block, and of large families each block with the leaders.
-    units = texts(members, ["blocks", "mine"]).select("family", F.col("mine").alias("x"), F.lit(0).alias("y"), "h1", "text")
-    large = members.where("blocks > 1")
-    if n_large:
-        # The best of each of LEADERS residues: the best of all is among them, and no task gets a whole family.
-        residue = F.pmod(F.xxhash64(F.lit("leader"), "h1"), F.lit(LEADERS))
-        best = F.max(F.struct("standing", *large.columns)).alias("best")
-        leaders = large.join(standing, "h1").groupBy("family", residue.alias("residue")).agg(best)
-        leaders = cut(leaders.select(*[F.col(f"best.{c}").alias(c) for c in large.columns]))
-        spread = texts(leaders, ["blocks", "mine"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("x <> mine")
-        units = units.unionByName(spread.select("family", "x", F.lit(0).alias("y"), "h1", "text"))
-    linked = cut(components(_compared(units, near)))
-    if not n_large:
-        return linked
+def _buckets(made: DataFrame) -> DataFrame:
+    """Rows (band, node, n, m, leader) for the nodes that share a bucket; m is the bucket's size."""
+    nodes = made.groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
+    slots = nodes.select("node", "n", F.explode("bands").alias("band"))
+    sizes = slots.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("m")).where("least < most")
+    shared = cut(slots.join(sizes.select("band", "m"), "band"))
+    standing = cut(shared.groupBy("node").agg(F.sum("m").alias("standing")))
+    ranked = shared.join(small_or_shuffled(standing, bytes_of(standing)), "node")
+    leaders = ranked.groupBy("band").agg(F.max(F.struct("standing", "node"))["node"].alias("leader"))
+    return cut(shared.join(leaders, "band"))
+
+
+def _sets(keyed: DataFrame, made: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """Rows (node, elements, weights) with the shingle set of each of ``nodes``."""
+    one = made.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("one"))
+    one = cut(one.select("node", F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_key")))
+    # By id and text: copies of a text, however many, are dealt apart; the distinct leaves one of rows that repeat both.
+    same = (F.col("text_key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id"))
+    texts = keyed.join(small_or_shuffled(one, bytes_of(one)), same).select("node", "text").distinct()
+    kind = pa.struct([("elements", pa.binary()), ("weights", pa.binary())])
 
-    # What is not in its family's main class by now meets every block.  Pairs within the main class are linked already.
-    named = large.join(linked.withColumnRenamed("node", "h1"), "h1", "left").withColumn("class", F.coalesce("component", "h1")).drop("component")
-    main = named.groupBy("family", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("family").agg(F.max(F.struct("m", "class"))["class"].alias("main"))
-    rest = cut(named.join(small_or_shuffled(main, n_large), "family").where("class <> main").select(*large.columns))
-    asking = cut(rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / near.block_nodes).cast("int").alias("groups")))
-    if asking.isEmpty():
+    @F.arrow_udf("elements binary, weights binary")
+    def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [weighted(t.as_py(), near) for t in batch]
+            yield pa.array([{"elements": e.tobytes(), "weights": None if near.weights == "set" else w.astype(np.float32).tobytes()} for e, w in sets], kind)
+
+    return cut(texts.select("node", shingled("text").alias("s")).select("node", "s.*"))
+
+
+def _linked(keyed: DataFrame, made: DataFrame, near: Near) -> DataFrame:
+    """Rows (node, component) for the classes of more than one node."""
+    shared = _buckets(made)
+    sets = _sets(keyed, made, shared.select("node").distinct(), near)
+    edges = _compared(_with_leaders(shared, near).join(sets, "node"), near)
+    linked = cut(components(edges))
+    units = _open(shared, linked, near)
+    if units.isEmpty():
         return linked
-    asking = small_or_shuffled(asking, n_large)
-    group = F.pmod(F.xxhash64(F.lit("asking"), "h1"), F.col("groups")).cast("int")
-    asked = texts(rest.join(asking, "family").withColumn("y", group), ["blocks", "y"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    answers = texts(large.join(asking, "family"), ["mine", "groups"]).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumnRenamed("mine", "x")
-    columns = ["family", "x", "y", "h1", "text"]
-    more = _compared(asked.select(*columns).unionByName(answers.select(*columns)), near)
+    more = _compared(units.join(sets, "node"), near)
     return components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
+def _blocks(nodes: Column | str, weight: Column | str, near: Near) -> Column:
+    return F.greatest(F.ceil(F.col(nodes) / near.block_nodes), F.ceil(F.col(weight) / near.block_weight)).cast("int")
+
+
+def _with_leaders(shared: DataFrame, near: Near) -> DataFrame:
+    """Units (u, x, y) of a leader, which asks, and a block of the nodes that are to be compared with it."""
+    often = shared.where("node <> leader").groupBy("node", "n", "leader").agg(F.count(F.lit(1)).alias("times"))
+    first = Window.partitionBy("node").orderBy(F.desc("times"), "leader")  # at most a row for each band
+    pairs = cut(often.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS).select("node", "n", "leader"))
+    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")).select("leader", _blocks("m", "weight", near).alias("blocks"))
+    sizes = cut(sizes)
+    unit = lambda df, node, x, asks: df.select(F.col("leader").cast("string").alias("u"), x.cast("int").alias("x"), F.lit(0).alias("y"), F.col(node).alias("node"), F.lit(asks).alias("asks"))
+    mine = pairs.join(small_or_shuffled(sizes, bytes_of(sizes)), "leader")
+    asking = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return unit(mine, "node", F.pmod(F.xxhash64("node"), F.col("blocks")), False).unionByName(unit(asking, "leader", F.col("x"), True))
+
+
+def _open(shared: DataFrame, linked: DataFrame, near: Near) -> DataFrame:
+    """Units (u, x, y) of a block x of an open bucket and a group y of its members outside the largest component.
+
+    Buckets of the same members are one.
+    """
+    rows = shared.select("band", "node", "n").join(small_or_shuffled(linked, bytes_of(linked)), "node", "left")
+    rows = rows.select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sign1"), F.sum(F.hash("node").cast("long")).alias("sign2"))
+    main = F.max(F.struct("m", "component", "weight"))
+    whole = parts.groupBy("band").agg(main.alias("main"), F.sum("m").alias("m"), F.sum("weight").alias("weight"), F.sum("sign1").alias("sign1"), F.sum("sign2").alias("sign2"))
+    whole = whole.where("main.m < m").groupBy("m", "weight", "sign1", "sign2").agg(F.min_by(F.struct("main"), "band")["main"].alias("main"), F.min("band").alias("band"))
+    whole = whole.select(
+        "band", F.col("main.component").alias("main"), _blocks("m", "weight", near).alias("blocks"),
+        F.greatest(F.ceil((F.col("m") - F.col("main.m")) / near.block_nodes), F.ceil((F.col("weight") - F.col("main.weight")) / near.block_weight)).cast("int").alias("groups"),
+    )
+    whole = cut(whole)
+    mine, group = (F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(of)).cast("int") for salt, of in (("block", "blocks"), ("group", "groups")))
+    members = cut(rows.join(small_or_shuffled(whole, bytes_of(whole)), "band").select("band", "node", mine.alias("mine"), F.when(F.col("component") != F.col("main"), group).alias("group"), "blocks", "groups"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    answers = members.withColumn("y", each("groups")).select("band", F.col("mine").alias("x"), "y", "node", F.coalesce(F.col("group") == F.col("y"), F.lit(False)).alias("asks"))
+    asked = members.where("group is not null").withColumn("x", each("blocks")).where("x <> mine").select("band", "x", F.col("group").alias("y"), "node", F.lit(True).alias("asks"))
+    return answers.unionByName(asked).withColumn("u", F.col("band").cast("string")).drop("band")
+
+
 def _compared(units: DataFrame, near: Near) -> DataFrame:
-    """Edges (a, b) that span all pairs at or above the threshold within each unit (family, x, y)."""
+    """Edges (a, b) that span the pairs at or above the threshold of which at least one asks, within each unit."""
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.drop_duplicates("h1")
-        ids, roots, out = unit["h1"].to_numpy(), list(range(len(unit))), []
+        ids, roots, out = unit["node"].to_numpy(), list(range(len(unit))), []
 
         def root(x: int) -> int:
             while roots[x] != x:
@@ -281,30 +306,39 @@ def _compared(units: DataFrame, near: Near) -> DataFrame:
                 x = roots[x]
             return x
 
-        for a, b in alike([weighted(t, near) for t in unit["text"]], near.similarity):
+        sets = [np.frombuffer(e, np.uint64) for e in unit["elements"]]
+        weights = [np.ones(len(s)) if w is None else np.frombuffer(w, np.float32).astype(np.float64) for s, w in zip(sets, unit["weights"])]
+        for a, b in alike(list(zip(sets, weights)), near.similarity, asks=np.flatnonzero(unit["asks"].to_numpy(bool))):
             x, y = root(a), root(b)
             if x != y:
                 roots[x] = y
                 out.append((ids[a], ids[b]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
-    return units.groupBy("family", "x", "y").applyInPandas(compare, "a long, b long")
+    return units.groupBy("u", "x", "y").applyInPandas(compare, f"a {NODE}, b {NODE}")
 
 
-def alike(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float, columns: int = 4096) -> Iterator[tuple[int, int]]:
-    """Pairs of sets whose exact (weighted) Jaccard similarity reaches the threshold.
+def alike(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float, columns: int = 4096, asks: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of sets whose exact (weighted) Jaccard similarity reaches the threshold; with ``asks``, those with one of it.
 
     Overlaps are sums of products of 0/1 matrices, made for some thousand shared elements at a time.  A weight counts as
     that many levels, as min(x, y) is the sum over levels of [x >= level] [y >= level].
     """
     m = len(sets)
+    asks = np.arange(m) if asks is None else asks
     totals = np.array([w.sum() for _, w in sets])
     owner = np.repeat(np.arange(m), [len(e) for e, _ in sets])
-    _, element, often = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True, return_counts=True)
+    all_elements = np.concatenate([e for e, _ in sets])
+    asked = np.unique(np.concatenate([all_elements[:0], *[sets[i][0] for i in asks]]))
     weight = np.concatenate([w for _, w in sets])
+    if len(asks) < m:  # only what an asking set holds can be shared with it
+        at = np.minimum(np.searchsorted(asked, all_elements), max(len(asked) - 1, 0))
+        some = asked[at] == all_elements if len(asked) else np.zeros(len(all_elements), bool)
+        owner, all_elements, weight = owner[some], all_elements[some], weight[some]
+    _, element, often = np.unique(all_elements, return_inverse=True, return_counts=True)
     shared = often[element] > 1
     owner, element, weight = owner[shared], element[shared], weight[shared]
-    overlap = np.zeros((m, m))
+    overlap = np.zeros((len(asks), m))
     below = 0.0
     for level in np.unique(weight):
         has = weight >= level
@@ -313,10 +347,13 @@ def alike(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float, columns:
         rows, cols = rows[order], cols[order]
         for low in range(0, int(cols.max(initial=-1)) + 1, columns):
             part = slice(*np.searchsorted(cols, [low, low + columns]))
-            block = np.zeros((m, columns), np.float32)
+            block = np.zeros((m, min(columns, int(cols[-1]) + 1 - low)), np.float32)
             block[rows[part], cols[part] - low] = 1
-            overlap += (level - below) * (block @ block.T)
+            overlap += (level - below) * (block[asks] @ block.T)
         below = level
-    union = totals[:, None] + totals[None, :] - overlap
-    a, b = np.nonzero(np.triu(overlap >= similarity * union - 1e-9, 1))
-    return zip(a.tolist(), b.tolist())
+    union = totals[asks][:, None] + totals[None, :] - overlap
+    a, b = np.nonzero(overlap >= similarity * union - 1e-9)
+    a = asks[a]
+    both = np.isin(b, asks)
+    keep = (a < b) | ((a > b) & ~both)  # each pair once, no set with itself
+    return zip(a[keep].tolist(), b[keep].tolist())

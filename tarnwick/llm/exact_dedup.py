@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.llm import quotient_filter as qf
-from tarnwick.llm.common import SPACE_CLASS, cut, partitions, put, small_or_shuffled, text_of
+from tarnwick.llm.common import SPACE_CLASS, bytes_of, cut, partitions, put, small_or_shuffled, text_of
 
 #: Fingerprints gathered before a partition's filter is compacted.
 BUFFER = 1 << 18

@@ -14,7 +14,7 @@ Plan: one shuffle of (host, line hash, text hash) with partial aggregation befor
 that a third of the rows share is spread by text hash first and then met as one partial count per task.  The lines above
 the limit are then joined by (host, line hash) with the lines of each distinct text, and what they hit is attached by
 (host, text hash): no value holds more than one text's lines.  Both joins broadcast their small side only where it was
-counted and are salted shuffles otherwise.
+measured and are salted shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import BROADCAST_ROWS, SPACE_CLASS, cut, let, put, text_of, words_of
+from tarnwick.llm import common
+from tarnwick.llm.common import SPACE_CLASS, bytes_of, cut, let, put, text_of, words_of
 
 WINDOW = 8
 #: A key of a shuffled join is dealt to this many tasks.
@@ -114,17 +115,17 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, limits: Limits
 
 
 def attached(rows: DataFrame, small: DataFrame, n_small: int, keys: list[str], salt: Column, how: str) -> DataFrame:
-    """``rows`` joined with ``small``: broadcast where that is counted as small, else shuffled by the keys and a salt."""
-    if n_small <= BROADCAST_ROWS:
+    """``rows`` joined with ``small``: broadcast where that was measured as small, else shuffled by the keys and a salt."""
+    if n_small <= common.BROADCAST_BYTES:
         return rows.join(F.broadcast(small), keys, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return rows.withColumn("__salt", F.pmod(salt, F.lit(SALT)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
-def hit_lines(docs: DataFrame, text_col: str, host_col: str, lines: DataFrame, n_lines: int) -> DataFrame:
+def hit_lines(docs: DataFrame, text_col: str, host_col: str, lines: DataFrame, n_bytes: int) -> DataFrame:
     """Rows (host, doc, frequent) for the texts that hold a line of ``lines``, with the hashes of those they hold."""
     held = lines_by_text(docs, text_col, host_col).select("host", "doc", F.explode("lines").alias("line"))
-    hit = attached(held, lines, n_lines, ["host", "line"], F.col("doc"), "inner")
+    hit = attached(held, lines, n_bytes, ["host", "line"], F.col("doc"), "inner")
     return hit.groupBy("host", "doc").agg(F.collect_set("line").alias("frequent"))
 
 
@@ -139,11 +140,11 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     columns named like an output are replaced.
     """
     lines = cut(frequent_lines(docs, text_col, host_col, limits))
-    n_lines = lines.count()
+    n_bytes = bytes_of(lines)
     rows = put(docs, {"__host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "__doc": F.xxhash64(text_of(text_col))})
-    if n_lines:
-        hit = cut(hit_lines(docs, text_col, host_col, lines, n_lines).select(F.col("host").alias("__host"), F.col("doc").alias("__doc"), F.col("frequent").alias("__frequent")))
-        rows = attached(rows, hit, hit.count(), ["__host", "__doc"], F.monotonically_increasing_id(), "left")
+    if n_bytes:
+        hit = cut(hit_lines(docs, text_col, host_col, lines, n_bytes).select(F.col("host").alias("__host"), F.col("doc").alias("__doc"), F.col("frequent").alias("__frequent")))
+        rows = attached(rows, hit, bytes_of(hit), ["__host", "__doc"], F.monotonically_increasing_id(), "left")
     else:
         rows = rows.withColumn("__frequent", F.lit(None).cast("array<bigint>"))
 

@@ -7,7 +7,7 @@ the rate, so partitions can be recomputed anywhere, and no source has to be gath
 rows is only a row of the small rate table.
 
 Plan: one aggregation to a row per source; the inverse distribution of each as an array of its cumulative probabilities
-(made in log space, so large rates do not underflow); a join by source, broadcast once the sources are counted; one
+(made in log space, so large rates do not underflow); a join by source, broadcast where the rate table was measured as small; one
 shuffle of the replicated rows.
 """
 
@@ -18,10 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import cut, put, small_or_shuffled, text_of, unit_hash
-
-#: Sources up to which the rate table is broadcast (about a kilobyte each).
-BROADCAST_SOURCES = 20_000
+from tarnwick.llm.common import bytes_of, cut, put, small_or_shuffled, text_of, unit_hash
 
 
 def source_name(column: str) -> Column:
@@ -67,17 +64,18 @@ def mix(
     ``targets`` maps sources to weights (sources that are not named get none); without it the weight of a source is its
     size to the ``power`` (1 leaves the mixture as it is, 0 makes sources equal).  Sizes are UTF-8 bytes plus one.
     ``total`` is the wanted size over the present one.  ``copy`` counts from 1 to ``n_copies``; documents that draw 0
-    are not in the result.  Rows come in the order of ``shuffle_key`` within each partition, dealt by that key.
+    are not in the result.  The table of a rate's probabilities ends at rate + 12 sqrt(rate) + 40, beyond which less
+    than 1e-15 is left: no number in [0, 1) that a hash of 52 bits can draw is cut off.  Rows come in the order of ``shuffle_key`` within each partition, dealt by that key.
 
     A null source is a source of its own (the empty name).  Null and empty texts have size 1.  Null ids draw as one id;
     rows that repeat an id draw the same count.  An empty table gives an empty result.  Input columns named like an
     output are replaced.
     """
     table = cut(rates(docs, text_col, source_col, targets, power, total).withColumnsRenamed({"rate": "__rate", "cdf": "__cdf"}))
-    n_sources = table.count()
+    n_bytes = bytes_of(table)
     key = F.col(id_col)
     rows = put(docs, {"__source": source_name(source_col), "__u": unit_hash(F.lit(seed), key)})
-    rows = rows.join(small_or_shuffled(table, n_sources, BROADCAST_SOURCES), "__source")
+    rows = rows.join(small_or_shuffled(table, n_bytes), "__source")
     draw = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("int")
     rows = put(rows.where("__cdf is not null"), {"rate": F.col("__rate"), "n_copies": draw}).where("n_copies > 0").drop("__source", "__u", "__rate", "__cdf")
     rows = put(rows, {"copy": F.explode(F.sequence(F.lit(1), F.col("n_copies")))})

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnwick.llm import bpe_chunks, components, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, mixing, quotation, quotient_filter, shingles, token_counts
+from tarnwick.llm import bpe_chunks, common, components, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, mixing, quotation, quotient_filter, shingles, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,20 +88,45 @@ def test_chunk_joins_are_exact(monkeypatch):
     for _ in range(3000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
         assert encoder.encode_all([text])[0].tolist() == encoder.library.encode(text, add_special_tokens=False).ids, repr(text)
-    assert encoder.disagreed == 0 and encoder.encoded < encoder.used
+    assert encoder.disagreed == 0 and encoder.used > 3000
 
 
-def test_bpe_round(spark):
+def check_bpe(rows):
     library = Tokenizer.from_file(WORD)
-    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward(spark, False).select("doc_id", "text"))
-    got = bpe_chunks.encode_and_decode(clashing(df), WORD).select("text", "ids", "n_tokens", "decoded", F.sha2("ids", 256).alias("sha")).collect()
-    assert len(got) == df.count()
-    for r in got:
+    for r in rows:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and r.n_tokens == len(ids)
         assert r.decoded == library.decode(ids, skip_special_tokens=False) and r.sha == hashlib.sha256(bytes(r.ids)).hexdigest()
 
 
+def test_bpe_round(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward(spark, False).select("doc_id", "text"))
+    df = df.withColumns({"parcel": F.lit(1), "c1": F.lit(2), "n": F.lit(3), "owner": F.lit(4)})
+    got = bpe_chunks.encode_and_decode(clashing(df), WORD).select("text", "ids", "n_tokens", "decoded", "parcel", F.sha2("ids", 256).alias("sha")).collect()
+    assert len(got) == df.count() and {r.parcel for r in got} == {1}
+    check_bpe(got)
+    assert bpe_chunks.encode_and_decode(df.limit(0), WORD).count() == 0
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 30_000, 0])  # parcels broadcast, only their texts' names broadcast, all shuffled
+def test_shared_chunks_are_encoded_once(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["Alpha,", "beta", "gamma.", "déjà", "x1", "%%%"]) + str(rng.randrange(999)) for _ in range(n))
+    passage = prose(1500)
+    texts = [prose(rng.randint(1, 400)) + " " + passage + prose(rng.randint(1, 400)) for _ in range(6)] + [prose(900) for _ in range(20)]
+    texts += [texts[7]] * 5 + ["short", "short", None, ""]
+    df = docs(spark, texts).repartition(3)
+    keyed = df.select(F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.select(*[c.alias(n) for n, c in bpe_chunks.text_names(F.col("text")).items()], "text")
+    # No chunk of a parcel is in one place only, and every chunk that is in two places is in a parcel.
+    places = Counter(c for t in texts for c in bpe_chunks.chunks_of(t or ""))
+    shared = {bpe_chunks.named(c) for c, n in places.items() if n > 1}
+    held = [{(x.c1, x.c2) for x in r.parcel} for r in bpe_chunks._parcels(keyed, WORD).collect()]
+    assert set().union(*held) == shared and len(shared) > 8
+    check_bpe(bpe_chunks.encode_and_decode(df, WORD).select("text", "ids", "n_tokens", "decoded", F.sha2("ids", 256).alias("sha")).collect())
+
+
 # --- 3: exact dedup ---
 
 
@@ -407,6 +432,9 @@ def test_exact_overlaps():
             if inter / union >= 0.4:
                 want.add((i, j))
     assert set(dart_minhash.alike(sets, 0.4, columns=7)) == want and want
+    asks = np.array([3, 8, 20])
+    got = list(dart_minhash.alike(sets, 0.4, columns=7, asks=asks))
+    assert {tuple(sorted(p)) for p in got} == {p for p in want if set(p) & set(asks.tolist())} and len(got) == len({tuple(sorted(p)) for p in got})
 
 
 def brute_classes(texts):
@@ -565,8 +593,8 @@ def test_quality_rules(spark):
 def test_line_limit_does_not_rise_with_the_host(spark, monkeypatch):
     own = lambda k: " ".join(f"w{k}x{j}" for j in range(25))
     rows = docs(spark, [own(k) + ("\nFollow us for more" if k % 16 == 0 else "") for k in range(640)] + [own(0) + "\nFollow us for more"] * 3)
-    for limit in (200_000, 0):  # broadcast, salted shuffle
-        monkeypatch.setattr(line_frequency, "BROADCAST_ROWS", limit)
+    for limit in (16 << 20, 0):  # broadcast, salted shuffle
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
         got = line_frequency.quality_rules(rows).collect()
         assert len(got) == 643 and sum(r.n_lines_removed for r in got) == 43 and not any("Follow" in r.clean_text for r in got)
 
