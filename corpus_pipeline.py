@@ -34,10 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each class of near duplicates the document with the least id stays."""
     ship(spark)
     gone = common.cut(dart_minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), "text_key").distinct())
-    n_gone = gone.count()
+    n_bytes = common.bytes_of(gone)
     keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64(common.text_of("text")))
     same = (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    gone = common.small_or_shuffled(gone.withColumnRenamed("text_key", "__key"), n_gone)
+    gone = common.small_or_shuffled(gone.withColumnRenamed("text_key", "__key"), n_bytes)
     return keyed.join(gone, same, "left_anti").select(*COLUMNS)
 
 
