@@ -12,7 +12,8 @@ which costs n times the longest token, also for a piece of a million letters, an
 Across pieces the counts add up, with two corrections where a prefix is cut otherwise than the whole text: inside a run
 of white space that goes on with a word (the run keeps its last blank while nothing follows it), and inside the
 contractions ``'re 've 'll`` (a bare ``'r`` is two pieces).  Both are handled by taking such stretches as one *unit*.
-Units repeat a lot, so a worker keeps the deltas of the units it has seen in a bounded table.
+Where this Python and the library know different versions of Unicode, the library is asked for the class of a code point
+once and the text is cut as it says; counts are made from bytes in every case.  Units repeat a lot, so a worker keeps the deltas of the units it has seen in a bounded table.
 
 The result is one signed number for each code point, ``count(prefix k) - count(prefix k - 1)``; sums of it answer how
 many tokens a prefix has and how long a prefix fits a budget, without encoding again.
@@ -28,10 +29,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import regex
-import unicodedata
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tarnwick.llm.common import put, text_of
 
@@ -41,6 +42,11 @@ UNITS_KEPT, UNIT_CHARS = 800_000, 64
 # The pattern of this family of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: A class of the pattern, a letter that a code point of that class stays in one piece with, and one of the class that
+#: every version of Unicode has.  What is of no class is white space.
+CLASSES = ((r"\p{L}", "a", "\u4e2d"), (r"\p{N}", "1", "\u0663"), (r"[^\s\p{L}\p{N}]", "!", "\u00a7"))
+WHITE = "\u3000"
+
 
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100."""
@@ -67,12 +73,12 @@ class PrefixCounter:
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.fits = lru_cache(1 << 20)(self._fits)
         self.known: dict[str, bytes] = {}
-        # Code points that this Python does not know may be classed otherwise by ``regex`` than by the library, which
-        # then cuts the text itself.
-        self.unsure = np.zeros(0x110000, bool)
-        self.unsure[[c for c in range(0x370, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"]] = True
+        # Code points whose class was asked of the library, and stand-ins for those that ``regex`` classes otherwise.
+        self.asked, self.odd = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+        self.stand_ins: dict[int, str] = {}
+        self.cutter = Tokenizer.from_file(path).pre_tokenizer
         self.lead = regex.compile(r"\s*")
-        self.path = path
+        self.classes = [(regex.compile(c), before, to) for c, before, to in CLASSES]
         body = r"(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)"
         self.units = regex.compile(
             r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"  # as in PIECES
@@ -116,7 +122,7 @@ class PrefixCounter:
 
     def unit(self, text: str) -> list[int]:
         """Tokens of each non-empty prefix of a unit, each prefix cut as if the text ended with it."""
-        white = self.lead.match(text).end()
+        white = self.lead.match(self.as_cut(text)).end()
         if text in ("'re", "'ve", "'ll"):
             return [*self.joined([text[0], text[1]]), self.piece(text)[-1]]
         if white < 2:
@@ -150,30 +156,38 @@ class PrefixCounter:
             self.known[unit] = out
         return out
 
+    def as_cut(self, text: str) -> str:
+        """The text with code points that ``regex`` classes otherwise than the library as others of the library's class.
+
+        The two may know different versions of Unicode.  The library is asked once for each code point that occurs.
+        """
+        if text.isascii():
+            return text
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        for code in np.unique(codes[~self.asked[codes]]).tolist():
+            letter = chr(code)
+            alone = lambda before: len(self.cutter.pre_tokenize_str(before + letter)) == 1  # noqa: E731, B023
+            theirs = next((to for _, before, to in self.classes if alone(before)), WHITE)
+            ours = next((to for class_, _, to in self.classes if class_.match(letter)), WHITE)
+            self.asked[code], self.odd[code] = True, theirs != ours
+            if theirs != ours:
+                self.stand_ins[code] = theirs
+        return text.translate(self.stand_ins) if self.odd[codes].any() else text
+
+    def cut(self, text: str) -> list[str]:
+        """The units of a text."""
+        shown = self.as_cut(text)
+        return self.units.findall(text) if shown is text else [text[m.start() : m.end()] for m in self.units.finditer(shown)]
+
     def ordinary(self, text: str) -> np.ndarray:
         """Deltas of a text without special tokens."""
-        if not text.isascii() and self.unsure[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
-            return np.array(self._by_library(text), np.int64)
-        units = self.units.findall(text)
+        units = self.cut(text)
         get = self.known.get
         try:
             return np.frombuffer(b"".join([get(u) or self._known(u) for u in units]), np.int8)
         except OverflowError:
             return np.array(self.deltas(units), np.int64)
 
-    def _by_library(self, text: str) -> list[int]:
-        """Each prefix counted by the library itself; only for texts with code points newer than this Python."""
-        counts = [0, *(len(self.library.encode(text[: k + 1], add_special_tokens=False).ids) for k in range(len(text)))]
-        return [b - a for a, b in zip(counts, counts[1:])]
-
-    @property
-    def library(self):
-        from tokenizers import Tokenizer
-
-        if not hasattr(self, "_library"):
-            self._library = Tokenizer.from_file(self.path)
-        return self._library
-
     def text(self, text: str) -> np.ndarray:
         """Deltas of a text, special strings in it read as special tokens."""
         found = list(self.special.finditer(text)) if self.special else []
@@ -184,7 +198,7 @@ class PrefixCounter:
             before = self.ordinary(text[at : m.start()])
             out.append(before)
             # Prefixes that end within the special string are ordinary text: go on from the last unit before it.
-            tail = self.units.findall(text[at : m.start()])[-1:]
+            tail = self.cut(text[at : m.start()])[-1:]
             start = m.start() - len(tail[0]) if tail else m.start()
             base = int(before[: start - at].sum())
             part = base + np.cumsum(self.ordinary(text[start : m.end() - 1]))[m.start() - start :]
