@@ -1,113 +1,150 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame functions only.
 
 A row descends region, rack and shard.  At each node every child draws a straw ``-ln(u) / weight`` with ``u`` hashed
-from the row's id and the child's name, and the shortest straw wins: a child is met in proportion to its weight.
-
-Growth is by *straws of increments*.  A shard added later does not lengthen its region's old straw, which would send
-rows into that region's old shards; it adds one more straw of its own weight to the draw at the region level, and a row
-which that straw wins goes down to the new shard.  No other straw changes, so all movement ends in the added shard, and
-subtrees without a change keep what they have.  This is the law ``key``: id and shard count decide.
-
-Slots: rows of a shard are split into cells by another hash of the id; cells are counted, a running sum over the few
-cell counts gives each cell its offset, and rows are numbered within their cell.  So no shard has to be in one task.
+from the row's id and the child's name, and the shortest straw wins: a child is met in proportion to its weight among its
+siblings.  A straw depends on nothing but the row, the child and the child's weight.  So a changed weight moves rows only
+between that child's subtree and its siblings: a longer straw only loses rows, a shorter one only gains them, and what
+is drawn inside the subtrees stays as it is.
+
+Growth.  One more shard comes as a region of its own, with one rack and one shard and a shard's weight.  It draws one
+more straw at the region level; no other straw changes, so all movement ends in the added shard.  This is the law
+``key``: id and shard count decide.
+
+Slots: rows of a shard are split into cells by another hash of id and text; cells are counted, a running sum over the few
+cell counts gives each cell its offset, and rows are numbered within their cell.  So no shard has to be in one task, nor
+has an id that a third of the rows share.  Cells grow with the rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import put, text_of, unit_hash
+from tarnwick.llm.common import bytes_of, cut, put, small_or_shuffled, text_of, unit_hash
+
+#: Weights of a rack's shards; a rack (weight, shards); a region (weight, racks).
+Rack = tuple[float, tuple[float, ...]]
+Region = tuple[float, tuple[Rack, ...]]
+#: Least cells of a shard, and about how many rows a cell is to have at most.
+LEAST_CELLS, CELL_ROWS = 256, 1_000_000
+
+
+def equal(regions: int, racks: int, shards: int) -> tuple[Region, ...]:
+    """Equal shards; racks and regions weigh as many shards as they have."""
+    return ((float(racks * shards), ((float(shards), (1.0,) * shards),) * racks),) * regions
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``regions`` x ``racks`` x ``shards`` with equal weights, then ``added`` shards, each with a straw of its own."""
+    """Regions of racks of shards, each node with a weight among its siblings; shards are numbered in that order."""
 
-    regions: int = 2
-    racks: int = 3
-    shards: int = 4
-    added: tuple[float, ...] = ()
+    regions: tuple[Region, ...] = field(default_factory=lambda: equal(2, 3, 4))
 
     @property
     def size(self) -> int:
-        return self.regions * self.racks * self.shards + len(self.added)
+        return sum(len(shards) for _, racks in self.regions for _, shards in racks)
 
     def grown(self, weight: float = 1.0) -> Tree:
-        return Tree(self.regions, self.racks, self.shards, (*self.added, weight))
+        """One more shard, in a region of its own."""
+        return Tree((*self.regions, (weight, ((weight, (weight,)),))))
+
+    def with_weight(self, weight: float, region: int, rack: int | None = None, shard: int | None = None) -> Tree:
+        """The tree with another weight of one node: a shard, or a rack, or a region.  The weights above it stay."""
+        own, racks = self.regions[region]
+        if rack is None:
+            changed = (weight, racks)
+        else:
+            its, shards = racks[rack]
+            new = (weight, shards) if shard is None else (its, (*shards[:shard], weight, *shards[shard + 1 :]))
+            changed = (own, (*racks[:rack], new, *racks[rack + 1 :]))
+        return replace(self, regions=(*self.regions[:region], changed, *self.regions[region + 1 :]))
+
+    def levels(self) -> tuple[list[list[float]], list[list[float]], list[int]]:
+        """Weights of racks by region, of shards by (region, rack), both filled up with 0, and first shard numbers."""
+        most = max(len(racks) for _, racks in self.regions)
+        widest = max(len(shards) for _, racks in self.regions for _, shards in racks)
+        filled = [[*racks, *[(0.0, ())] * (most - len(racks))] for _, racks in self.regions]
+        leaves = [[*shards, *[0.0] * (widest - len(shards))] for racks in filled for _, shards in racks]
+        sizes = [len(shards) for racks in filled for _, shards in racks]
+        return [[w for w, _ in racks] for racks in filled], leaves, [sum(sizes[:k]) for k in range(len(sizes))]
+
+
+def straw(key: Column, name: Column | str, weight: Column | float = 1.0) -> Column:
+    """Endless for a child without weight."""
+    name, weight = (F.lit(x) if isinstance(x, (str, float, int)) else x for x in (name, weight))
+    drawn = -F.ln((unit_hash(key, name) * F.lit(float(1 << 52)) + 0.5) / F.lit(float(1 << 52)))
+    return F.when(weight > 0, F.try_divide(drawn, weight)).otherwise(F.lit(float("inf")))
+
+
+def shortest(straws: list[Column]) -> Column:
+    """The number of the shortest straw; of equal ones the lowest number."""
+    return F.array_min(F.array(*[F.struct(s.alias("s"), F.lit(k).alias("k")) for k, s in enumerate(straws)]))["k"]
 
 
-def straw(key: Column, name: Column | str, weight: float = 1.0) -> Column:
-    name = F.lit(name) if isinstance(name, str) else name
-    return -F.ln((unit_hash(key, name) * F.lit(float(1 << 52)) + 0.5) / F.lit(float(1 << 52))) / F.lit(float(weight))
+def shard_of(df: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
+    """``df`` with the int column ``name``: the shard of ``key`` in ``tree``."""
+    racks, leaves, first = tree.levels()
+    weight = lambda table, row, k: F.get(F.array(*[F.lit(w[k]) for w in table]), row)
+    df = df.withColumn("__region", shortest([straw(key, f"region {r}", w) for r, (w, _) in enumerate(tree.regions)]))
+    region = F.col("__region")
+    df = df.withColumn("__rack", shortest([straw(key, F.concat(F.lit("rack "), region, F.lit(f" {k}")), weight(racks, region, k)) for k in range(len(racks[0]))]))
+    node = region * len(racks[0]) + F.col("__rack")
+    path = F.concat(F.lit("shard "), region, F.lit(" "), F.col("__rack"))
+    df = df.withColumn("__leaf", shortest([straw(key, F.concat(path, F.lit(f" {k}")), weight(leaves, node, k)) for k in range(len(leaves[0]))]))
+    return df.withColumn(name, (F.get(F.array(*map(F.lit, first)), node) + F.col("__leaf")).cast("int")).drop("__region", "__rack", "__leaf")
 
 
-def shortest(straws: list[tuple[Column, int]]) -> Column:
-    """The number of the shortest straw; of equal ones the lowest number."""
-    return F.array_min(F.array(*[F.struct(s.alias("s"), F.lit(k).alias("k")) for s, k in straws]))["k"]
+def cells_for(rows: int, tree: Tree) -> int:
+    return max(LEAST_CELLS, -(-rows // (tree.size * CELL_ROWS)))
 
 
-def shard_of(df: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
-    """``df`` with the int column ``name``: the shard of ``key`` in ``tree``."""
-    base, under = tree.regions * tree.racks * tree.shards, float(tree.racks * tree.shards)
-    top = [(straw(key, f"region {r}", under), r) for r in range(tree.regions)]
-    top += [(straw(key, f"added {k}", weight), tree.regions + k) for k, weight in enumerate(tree.added)]
-    df = df.withColumn("__region", shortest(top))
-    df = df.withColumn("__rack", shortest([(straw(key, F.concat(F.lit("rack "), F.col("__region"), F.lit(f" {k}")), tree.shards), k) for k in range(tree.racks)]))
-    path = F.concat(F.lit("shard "), F.col("__region"), F.lit(" "), F.col("__rack"))
-    df = df.withColumn("__leaf", shortest([(straw(key, F.concat(path, F.lit(f" {k}"))), k) for k in range(tree.shards)]))
-    old = (F.col("__region") * tree.racks + F.col("__rack")) * tree.shards + F.col("__leaf")
-    new = F.col("__region") - tree.regions + base
-    return df.withColumn(name, F.when(F.col("__region") < tree.regions, old).otherwise(new).cast("int")).drop("__region", "__rack", "__leaf")
-
-
-def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: Tree = Tree(), cells: int = 64) -> DataFrame:
+def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: Tree = Tree(), cells: int | None = None) -> DataFrame:
     """All input rows and columns but the text, plus ``size, text_crc32, law, shard, slot, grown_shard``.
 
-    ``slot`` is gapless from 0 in each shard, in the order of cell, id, CRC and size.  ``cells`` is to grow with the
-    rows: a task numbers about ``rows / (shards * cells)`` of them.
+    ``slot`` is gapless from 0 in each shard, in the order of cell, id, CRC and size.  ``cells`` (of a shard) grow with
+    the counted rows unless they are given.
 
     A null text has no bytes, so size 8 and CRC 0.  Null ids are one key and share a shard.  Rows that repeat an id
     share a shard and get slots in turn; rows equal in every column are interchangeable there.  An empty table gives an
     empty result.  Input columns named like an output are replaced.
     """
-    text = text_of(text_col)
-    key = F.col(id_col)
-    rows = put(docs, {"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("key")}).drop(text_col)
-    placed = shard_of(put(rows, {"__cell": _cell(key, cells)}), key, tree, "shard")
-    placed = shard_of(placed, key, tree.grown(), "grown_shard")
-
-    counts = shard_of(docs.select(key, _cell(key, cells).alias("__cell")), key, tree, "shard").groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    cells = cells_for(docs.count(), tree) if cells is None else cells
+    text, key = text_of(text_col), F.col(id_col)
+    crc = F.crc32(text.cast("binary"))
+    rows = put(docs, {"size": F.octet_length(text).cast("long") + 8, "text_crc32": crc, "law": F.lit("key"), "__cell": _cell(key, crc, cells)}).drop(text_col)
+    placed = shard_of(shard_of(rows, key, tree, "shard"), key, tree.grown(), "grown_shard")
+
+    counts = shard_of(docs.select(key, _cell(key, crc, cells).alias("__cell")), key, tree, "shard").groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    offsets = cut(counts.select("shard", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset")))
     order = Window.partitionBy("shard", "__cell").orderBy(F.col(id_col).asc_nulls_first(), "text_crc32", "size")
     numbered = placed.withColumn("__row", F.row_number().over(order) - 1)
-    # At most ``shards * cells`` offsets: bounded by parameters, so broadcast.
-    out = numbered.join(F.broadcast(offsets), ["shard", "__cell"])
+    out = numbered.join(small_or_shuffled(offsets, bytes_of(offsets)), ["shard", "__cell"])
     columns = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     out = out.withColumn("slot", (F.col("__offset") + F.col("__row")).cast("long"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*columns, text_col.lower()}], *columns)
 
 
-def _cell(key: Column, cells: int) -> Column:
-    return F.floor(unit_hash(F.lit("cell"), key) * cells).cast("int")
+def _cell(key: Column, crc: Column, cells: int) -> Column:
+    return F.floor(unit_hash(F.lit("cell"), key, crc) * cells).cast("int")
 
 
-def straw_sql(key: str, name: str, weight: float) -> str:
+def straw_sql(key: str, name: str, weight: str) -> str:
     """The same straw for an engine with ``md5`` and hexadecimal literals."""
     bits = f"('0x' || substr(md5(concat_ws('|', coalesce({key}::VARCHAR, '~'), {name})), 1, 13))::BIGINT::DOUBLE"
-    return f"(-ln(({bits} + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {weight}::DOUBLE)"
+    return f"CASE WHEN {weight} > 0 THEN -ln(({bits} + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {weight} ELSE 'inf'::DOUBLE END"
 
 
 def shard_sql(key: str, tree: Tree, source: str) -> str:
     """SQL for rows ``(*, sh)`` of ``source`` with the shard number; used as a check by another engine."""
-    pick = lambda straws: "list_min([" + ", ".join(f"{{'s': {s}, 'k': {k}}}" for s, k in straws) + "]).k"
-    top = [(straw_sql(key, f"'region {r}'", tree.racks * tree.shards), r) for r in range(tree.regions)]
-    top += [(straw_sql(key, f"'added {k}'", w), tree.regions + k) for k, w in enumerate(tree.added)]
-    rack = [(straw_sql(key, f"'rack ' || g || ' {k}'", tree.shards), k) for k in range(tree.racks)]
-    leaf = [(straw_sql(key, f"'shard ' || g || ' ' || r || ' {k}'", 1), k) for k in range(tree.shards)]
-    base = tree.regions * tree.racks * tree.shards
+    racks, leaves, first = tree.levels()
+    pick = lambda straws: "list_min([" + ", ".join(f"{{'s': {s}, 'k': {k}}}" for k, s in enumerate(straws)) + "]).k"
+    weight = lambda table, row, k: "[" + ", ".join(f"{w[k]}::DOUBLE" for w in table) + f"][{row} + 1]"
+    top = [straw_sql(key, f"'region {r}'", f"{w}::DOUBLE") for r, (w, _) in enumerate(tree.regions)]
+    rack = [straw_sql(key, f"'rack ' || g || ' {k}'", weight(racks, "g", k)) for k in range(len(racks[0]))]
+    node = f"(g * {len(racks[0])} + r)"
+    leaf = [straw_sql(key, f"'shard ' || g || ' ' || r || ' {k}'", weight(leaves, node, k)) for k in range(len(leaves[0]))]
     inner = f"SELECT *, {pick(leaf)} AS l FROM (SELECT *, {pick(rack)} AS r FROM (SELECT *, {pick(top)} AS g FROM {source}))"
-    return f"SELECT * EXCLUDE (g, r, l), (CASE WHEN g < {tree.regions} THEN (g * {tree.racks} + r) * {tree.shards} + l ELSE g - {tree.regions} + {base} END)::INTEGER AS sh FROM ({inner})"
+    return f"SELECT * EXCLUDE (g, r, l), ({first}[{node} + 1] + l)::INTEGER AS sh FROM ({inner})"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarnwick.llm import bpe_chunks, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, mixing, quotation, token_counts
 from tarnwick.shipping import ship
 
-TREE, CELLS = hash_tree.Tree(), 256
+TREE = hash_tree.Tree()
 TOKEN_LIMIT = 512
 
 
@@ -55,6 +55,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights are 1: the contract's similarity is of sets of shingles, and signatures by counts would miss pairs of it."""
     near = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", "class_id", "class_size", "n_shingles", "kept")
 
@@ -74,7 +75,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return hash_tree.assign_shards(docs, tree=TREE, cells=CELLS)
+    return hash_tree.assign_shards(docs, tree=TREE)
 
 
 WS = r"[\x20\x09-\x0D]"
@@ -115,12 +116,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 # CRC-32 by bytes; the table follows from its polynomial.
 _TABLE = """(SELECT list(t ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(0, 8)),
  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END) AS t FROM (SELECT unnest(range(0, 256)) AS i)))"""
-_CELL = "floor((('0x' || substr(md5(concat_ws('|', 'cell', coalesce(doc_id::VARCHAR, '~'))), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE) * {cells})"
+_CELLS = f"(SELECT greatest({hash_tree.LEAST_CELLS}, (count(*) + {TREE.size * hash_tree.CELL_ROWS - 1}) // {TREE.size * hash_tree.CELL_ROWS}) FROM documents)"
+_CELL = "floor((('0x' || substr(md5(concat_ws('|', 'cell', coalesce(doc_id::VARCHAR, '~'), text_crc32::VARCHAR)), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE) * {cells})"
 OP10_SQL = f"""
-WITH tab AS (SELECT {_TABLE} AS t), b AS (SELECT doc_id, octet_length(encode({TEXT}))::BIGINT + 8 AS size, hex(encode({TEXT})) AS h, {_CELL.format(cells=CELLS)} AS cell FROM documents),
-c AS (SELECT doc_id, size, cell, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM b),
-d AS (SELECT doc_id, size, cell, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1])), 4294967295::BIGINT) AS text_crc32 FROM c, tab),
-s1 AS ({hash_tree.shard_sql("doc_id", TREE, "d")}),
+WITH tab AS (SELECT {_TABLE} AS t), b AS (SELECT doc_id, octet_length(encode({TEXT}))::BIGINT + 8 AS size, hex(encode({TEXT})) AS h FROM documents),
+c AS (SELECT doc_id, size, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM b),
+d AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1])), 4294967295::BIGINT) AS text_crc32 FROM c, tab),
+e AS (SELECT *, {_CELL.format(cells=_CELLS)} AS cell FROM d),
+s1 AS ({hash_tree.shard_sql("doc_id", TREE, "e")}),
 s2 AS ({hash_tree.shard_sql("doc_id", TREE.grown(), "(SELECT * RENAME (sh AS shard) FROM s1)")})
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, sh AS grown_shard FROM s2"""
 
