@@ -365,8 +365,37 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
     want = [[1, 2, 3], [30, 31, 32, 33], [20, 21, 23, 24]] * len(styles)
     assert [got[k].license_ids for k in range(len(texts))] == want
-    names = [{"MIT"}, {"BSD-3-Clause"}, {"GPL-2.0-or-later"}] * len(styles)
-    assert all(name <= set(got[k].licenses) for k, name in enumerate(names))
+    assert [got[k].licenses for k in range(len(texts))] == [["MIT"], ["BSD-3-Clause"], ["GPL-2.0-or-later"]] * len(styles)
+
+
+def test_short_notices_in_their_phrasings(spark):
+    texts = {
+        "This file is licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "Prose before. The source code of it is distributed under the terms of the MIT License; prose.": ["MIT"],
+        "It is made available under the BSD 2-Clause\n# License.": ["BSD-2-Clause"],
+        "All files are released under the GPLv3.": ["GPL-3.0"],
+        "Released under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
+        "this is not licensed under the MIT License": [],
+        "Licensed under the MIT License and other terms": [],
+        "Copyright 2020 A. All rights reserved.\n\n" + "\n\n".join(BSD).replace("the copyright holder", "Example & Sons Ltd."): ["BSD-2-Clause"],
+        "Copyright 2020 A. All rights reserved.\n\n" + "\n\n".join(BSD).replace("the copyright holder", "Example and Sons"): ["BSD-3-Clause"],
+        "\n\n".join(BSD) + "\n\n" + "\n\n".join(BSD[:3]): ["BSD-2-Clause", "BSD-3-Clause"],
+        "Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/": ["Apache-2.0"],
+    }
+    got = {r.text: r.licenses for r in license_scan.scan_licenses(docs(spark, list(texts))).collect()}
+    assert got == texts
+
+
+def test_licence_sql_has_the_same_on_single_lines(spark):
+    import duckdb
+
+    texts = [" ".join(p) for p, _, _ in NOTICES] + ["This file is licensed under the Apache License, Version 2.0.", "Licensed under CC BY 4.0. Licensed under CC BY 4.0.", None, "", "All rights reserved."]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = {r[0]: (r[1], r[2], r[3]) for r in con.execute("SELECT doc_id, n_known, license_ids, licenses FROM (" + license_scan.scan_sql() + ")").fetchall()}
+    got = {r.doc_id: (len(r.license_ids), ",".join(map(str, r.license_ids)), ",".join(r.licenses)) for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    assert got == want
 
 
 def test_license_sentences_end_at_boundaries(spark):
@@ -389,6 +418,7 @@ APACHE = (
     'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
     "express or implied. See the License for the specific language governing permissions and limitations under the License.",
 )
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation{} of the License, or (at your option) any later version."
 ISC = "Permission to use, copy, modify, and{} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 NOTICES = [
@@ -413,18 +443,30 @@ NOTICES = [
     ([ISC.format("/or")], "ISC", {(51,)}),
     ([ISC.format("")], "ISC", {(51,)}),
     ([MPL], "MPL-2.0", {(60,)}),
+    (["Mozilla Public License Version 2.0"], "MPL-2.0", {(61,)}),
+    (["Released under the Mozilla Public License 2.0."], "MPL-2.0", {(62,)}),
+    (["Distributed under the ISC License."], "ISC", {(52,)}),
+    (["Apache License\n\nVersion 2.0, January 2004".replace("\n\n", " ")], "Apache-2.0", {(15,)}),
+    ([LGPL.format("; either version 2.1")], "LGPL-2.1-or-later", {(29, 70, 71)}),
+    ([LGPL.format(", either version 2.1")], "LGPL-2.1-or-later", {(29, 72)}),
+    ([LGPL.format("; either version 3")], "LGPL-3.0-or-later", {(29, 70, 22)}),
+    ([LGPL.format(", either version 3")], "LGPL-3.0-or-later", {(29, 73)}),
+    (["Licensed under the GNU Lesser General Public License, version 3."], "LGPL-3.0", {(76,)}),
+    ([GPL.format(";", ";", 3).replace("GNU", "GNU Affero")], "AGPL-3.0-or-later", {(20, 74, 22)}),
+    ([GPL.format(":", ",", 3).replace("GNU", "GNU Affero")], "AGPL-3.0-or-later", {(20, 75)}),
+    (["Licensed under the AGPLv3."], "AGPL-3.0", {(77,)}),
     (["Copyright (c) 2020 Someone. All rights reserved."], "Proprietary", {(90,)}),
 ]
 
 
 def test_each_rule_fires_on_its_text(spark):
-    assert set(license_scan.RULES) == {(name, ids) for _, name, rules in NOTICES for ids in rules}
+    assert {*license_scan.RULES, ("Proprietary", (90,))} == {(name, ids) for _, name, rules in NOTICES for ids in rules}
     texts = [f(p) for p, _, _ in NOTICES for f in ("\n\n".join, wrapped)]
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
     for k in range(len(texts)):
         _, name, rules = NOTICES[k // 2]
         found = "," + ",".join(map(str, got[k].license_ids)) + ","
-        assert name in got[k].licenses and all("," + ",".join(map(str, ids)) + "," in found for ids in rules), (k, name, found)
+        assert got[k].licenses == [name] and all("," + ",".join(map(str, ids)) + "," in found for ids in rules), (k, name, found)
 
 
 # --- 7: near duplicates ---
