@@ -21,7 +21,7 @@ agree with the left chunk's ids up to that blank and with the right one's from t
 final, the stretch is widened over further chunks until there is such a blank, at the worst over the whole text.
 
 Texts without shared chunks are not shuffled where the names of the others were measured as small; otherwise texts meet
-their parcels in one shuffled join, whose hot texts AQE splits.
+their parcels in one shuffled join, whose hot texts AQE splits.  A chunk that very many texts hold is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm import common
-from tarnwick.llm.common import SPACES, bytes_of, cut, put, small_or_shuffled, text_of
+from tarnwick.llm.common import SPACES, bytes_of, cut, dealt, put, small_or_shuffled, text_of
 
 #: Mean, least and largest code points of a chunk, and how many words a worker's table keeps.
 MEAN, LEAST, LARGEST, KEPT_PARTS = 1024, 256, 8192, 500_000
@@ -289,7 +289,7 @@ def _parcels(texts: DataFrame, vocabulary: str) -> DataFrame:
     names = F.arrow_udf(_listed, "array<struct<c1:bigint,c2:bigint>>")
     listed = cut(texts.select("__t1", "__t2", F.explode(names(F.col("text"))).alias("c")).select("__t1", "__t2", "c.c1", "c.c2"))
     shared = listed.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("__t1").alias("owner")).where("n > 1")
-    shared = cut(shared.select("c1", "c2", "owner"))
+    shared = cut(shared.select("c1", "c2", "owner", "n"))
     owners = cut(shared.groupBy("owner").agg(F.collect_list(F.struct("c1", "c2")).alias("wanted")))
     # The aggregation by whole text leaves one of each owner's copies in a task already.
     own = texts.join(small_or_shuffled(owners, bytes_of(owners)), F.col("__t1") == F.col("owner")).select("text", "wanted").distinct()
@@ -307,8 +307,9 @@ def _parcels(texts: DataFrame, vocabulary: str) -> DataFrame:
 
     dictionary = own.select(F.explode(encoded("text", "wanted")).alias("x")).select("x.*").dropDuplicates(["c1", "c2"])
     record = F.struct("c1", "c2", *NAMES).alias("record")
-    held = listed.join(shared.select("c1", "c2"), ["c1", "c2"], "left_semi").distinct()
-    return held.join(cut(dictionary), ["c1", "c2"]).groupBy("__t1", "__t2").agg(F.collect_list(record).alias("parcel"))
+    given = cut(dictionary.join(shared.select("c1", "c2", "n"), ["c1", "c2"]))
+    found = dealt(listed.distinct(), given, ["c1", "c2"], "n", listed.count(), F.xxhash64("__t1"))
+    return found.groupBy("__t1", "__t2").agg(F.collect_list(record).alias("parcel"))
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", batch_chars: int = 500_000, decode: bool = True) -> DataFrame:

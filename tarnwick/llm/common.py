@@ -64,6 +64,20 @@ def small_or_shuffled(df: DataFrame, n_bytes: int, limit: int | None = None) ->
     return F.broadcast(df) if n_bytes <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+def dealt(rows: DataFrame, side: DataFrame, keys: list[str], times: str, total: int, salt: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has a row per key and in ``times`` how many of the ``total`` rows have it.
+
+    A key of more than a ten-thousandth of the rows is split into pieces of that size by ``salt``.  The list of such keys
+    is broadcast: it has at most 10,000 entries, since their rows add up to no more than the total.
+    """
+    per = max(512, total // 10_000)
+    pieces = F.greatest(F.ceil(F.col(times) / per), F.lit(1)).cast("int")
+    hot = side.where(F.col(times) > per).select(*keys, pieces.alias("__pieces"))
+    spread = side.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop(times)
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__piece", F.pmod(salt, F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces")
+    return rows.join(spread, [*keys, "__piece"], how).drop("__piece")
+
+
 def text_of(column: str) -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
