@@ -10,6 +10,8 @@
    SHA-256 of the text.
 
 Plan: two scans of (id, text), one shuffle of filter blocks, one of the candidate texts after partial aggregation.
+Ranges grow with the counted rows, so the filter that a task merges does not.  Where verdicts are too large to be
+broadcast, the rows of a hot fingerprint or text are dealt to many tasks by their counts.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.llm import common
 from tarnwick.llm import quotient_filter as qf
-from tarnwick.llm.common import SPACE_CLASS, bytes_of, cut, partitions, put, small_or_shuffled, text_of
+from tarnwick.llm.common import SPACE_CLASS, bytes_of, cut, dealt, partitions, put, small_or_shuffled, text_of
 
-#: Fingerprints gathered before a partition's filter is compacted.
-BUFFER = 1 << 18
+#: Fingerprints gathered before a partition's filter is compacted, and about how many a range is to have at most.
+BUFFER, RANGE_ROWS = 1 << 18, 1 << 22
 
 
 def stripped(text: Column) -> Column:
@@ -33,9 +36,14 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_CLASS + "+", "")
 
 
-def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
-    """Rows (fp, fp_count) for the values counted above one in the single bigint column ``fp``."""
-    range_bits = max(1, (partitions(fingerprints.sparkSession) - 1).bit_length())
+def range_bits_for(rows: int, tasks: int) -> int:
+    """Bits that name a range: as many ranges as tasks at least, and more where ranges would be too large."""
+    return max(1, (max(tasks, -(-rows // RANGE_ROWS)) - 1).bit_length())
+
+
+def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
+    """Rows (fp, fp_count) for the values counted above one in the single bigint column ``fp`` of so many rows."""
+    range_bits = range_bits_for(rows, partitions(fingerprints.sparkSession))
     span_bits = 64 - range_bits
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,22 +84,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = put(rows, {"__norm": stripped(F.col("__text"))})
     rows = put(rows, {"__fp": F.xxhash64("__norm"), "text_sha256": F.sha2("__norm", 256), "__cp": F.char_length("__text").cast("long")})
 
-    repeated = cut(repeated_fingerprints(rows.select(F.col("__fp").alias("fp"))))
-    n_repeated = repeated.count()
-    marks = small_or_shuffled(repeated.select(F.col("fp").alias("__fp")), n_repeated)
+    total = docs.count()
+    repeated = cut(repeated_fingerprints(rows.select(F.col("__fp").alias("fp")), total)).withColumnsRenamed({"fp": "__fp", "fp_count": "__times"})
+    n_bytes = bytes_of(repeated)
 
     # Byte verification: the key of the aggregation is the whole stripped text.
     best = F.min(F.struct((-F.col("__cp")).alias("cp"), F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id")))
+    asked = rows.select("__fp", "__norm", "text_sha256", "__cp", F.col(id_col).alias("__id"))
+    if n_bytes <= common.BROADCAST_BYTES:
+        asked = asked.join(F.broadcast(repeated.select("__fp")), "__fp", "left_semi")
+    else:
+        asked = dealt(asked, repeated, ["__fp"], "__times", total, F.xxhash64("__id", "__cp"), "left_semi")
     classes = cut(
-        rows.select("__fp", "__norm", "text_sha256", "__cp", F.col(id_col).alias("__id"))
-        .join(marks, "__fp", "left_semi")
-        .groupBy("__norm", "text_sha256")
+        asked.groupBy("__norm", "text_sha256")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("__size"))
         .where("__size > 1")
         .select(F.col("text_sha256").alias("__class"), F.col("best.id").alias("__keep"), (-F.col("best.cp")).alias("__most"), "__size")
     )
-    kept_of = small_or_shuffled(classes, n_repeated)
-    joined = rows.drop("__norm", "__text", "__fp").join(kept_of, F.col("text_sha256") == F.col("__class"), "left")
+    plain = rows.drop("__norm", "__text", "__fp")
+    n_bytes = bytes_of(classes)
+    if n_bytes <= common.BROADCAST_BYTES:
+        joined = plain.join(F.broadcast(classes), F.col("text_sha256") == F.col("__class"), "left")
+    else:
+        sized = classes.withColumn("__times", F.col("__size"))
+        joined = dealt(plain.withColumn("__class", F.col("text_sha256")), sized, ["__class"], "__times", total, F.xxhash64(id_col, "__cp"), "left")
     is_best = F.col("__size").isNull() | ((F.col("__cp") == F.col("__most")) & F.col(id_col).eqNullSafe(F.col("__keep")))
     marked = put(
         joined,
@@ -106,17 +122,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _one_of_equal_winners(marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows that repeat the winner's id and length would all stay; number the winners of such classes and keep the first.
+    """Rows that repeat the winner's id and length would all stay; of such a class the row of the least text stays.
 
-    Where ids are distinct there is no such class, so the check is one small aggregation and the window is left out.
+    Where ids are distinct there is no such class, and the check is one small aggregation.
     """
     winners = F.col("kept") & (F.col("group_size") > 1)
     tied = cut(marked.where(winners).groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_sha256").alias("__tied")))
-    n_tied = tied.count()
-    if not n_tied:
+    n_bytes = bytes_of(tied)
+    if not n_bytes:
         return marked
-    out = marked.join(small_or_shuffled(tied, n_tied), F.col("text_sha256") == F.col("__tied"), "left")
-    again = Window.partitionBy("text_sha256").orderBy(F.coalesce(F.col(text_col), F.lit("")))
+    out = marked.join(small_or_shuffled(tied, n_bytes), F.col("text_sha256") == F.col("__tied"), "left")
     hit = winners & F.col("__tied").isNotNull()
-    first = out.where(hit).withColumn("kept", F.row_number().over(again) == 1)
+    # Rows numbered once and cut, so that a class of any size is settled by an aggregation with partial results.
+    equal = cut(out.where(hit).withColumn("__at", F.monotonically_increasing_id()))
+    best = equal.groupBy("text_sha256").agg(F.min(F.struct(text_of(text_col).alias("text"), "__at"))["__at"].alias("__first"))
+    first = equal.join(best.select("__first"), F.col("__at") == F.col("__first"), "left").withColumn("kept", F.col("__first").isNotNull()).drop("__at", "__first")
     return first.unionByName(out.where(~hit)).drop("__tied")
