@@ -4,7 +4,8 @@
    is left, without attribution lines in front of a quotation.
 2. Normalised passages and their lines are hashed and looked up among the hashes of earlier messages of the same
    conversation (whole own text, and each line).  The lookup is a running "last original seen" over the union of quoted
-   and original hashes, not a join of all equal pairs, so a phrase that all messages share costs a row a message.
+   and original hashes, not a join of all equal pairs, so a phrase that all messages share costs a row a message, and
+   it runs in blocks of turns.
 3. A message replies to the message that its passages of the least recognised level come from; one that quotes nothing known replies to the
    message before it.
 4. Conversations are laid out in reply order: a message, then the subtrees of its replies in turn order.  A run of
@@ -82,12 +83,13 @@ def link_quotations(
 
     Null and empty texts are messages without words.  A null conversation id is a conversation of its own; a null turn
     comes first (and is no name for a reply to it).  Rows that repeat a turn are messages of their own in no fixed order among them; replies name the turn.
-    Very long messages are parsed whole.  An empty table gives an empty result.  Input columns named like an output are
+    An order key grows by 41 characters with each branch inside a branch: a conversation whose branches nest n deep has
+    keys of that length times n.  Very long messages are parsed whole.  An empty table gives an empty result.  Input columns named like an output are
     replaced.
     """
     lines = F.split(text_of(text_col), "\n", -1)
     turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 63)))
-    conv = F.coalesce(F.col(conv_col).cast("string"), F.lit("~"))
+    conv = F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("-"))  # null apart from any name
     rows = put(messages, {"__conv": conv, "__turn": turn, "__lines": lines})
     has_marks = text_of(text_col).rlike(r"(?m)^[\x20\x09]*>")
     none = F.array().cast("array<struct<level:int,text:string>>")
@@ -130,8 +132,16 @@ def _targets(rows: DataFrame) -> DataFrame:
     both = asked.select("__conv", "key", "__turn", "level", "rank", F.lit(0).alias("given")).unionByName(
         given.select("__conv", "key", "__turn", none.alias("level"), none.alias("rank"), F.lit(1).alias("given"))
     )
-    before = Window.partitionBy("__conv", "key").orderBy("__turn", "given").rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("target", F.last(F.when(F.col("given") == 1, F.col("__turn")), ignorenulls=True).over(before))
+    # The last original before a quotation, within its block of turns or else in the blocks before: no task gets all
+    # messages of a conversation that share a passage.
+    both = cut(both.withColumn("block", _block()))
+    block = ["__conv", "key", "block"]
+    original = F.when(F.col("given") == 1, F.col("__turn"))
+    blocks = both.groupBy(*block).agg(F.max(original).alias("last"))
+    earlier = Window.partitionBy("__conv", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*block, F.max("last").over(earlier).alias("outer"))
+    before = Window.partitionBy(*block).orderBy("__turn", "given").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("inner", F.max(original).over(before)).join(blocks, block).withColumn("target", F.coalesce("inner", "outer"))
     found = found.where((F.col("given") == 0) & F.col("target").isNotNull() & (F.col("target") < F.col("__turn")))
     best = F.min(F.struct("rank", (-F.col("target").cast("decimal(20,0)")).alias("late"))).alias("best")
     levels = found.groupBy("__conv", "__turn", "level").agg(best).select("__conv", "__turn", F.struct("level", (-F.col("best.late")).cast("long").alias("turn")).alias("link"))
@@ -139,12 +149,16 @@ def _targets(rows: DataFrame) -> DataFrame:
     return links.select("__conv", "__turn", F.get("__links", F.lit(0))["turn"].alias("__target"), "__links")
 
 
+def _block() -> Column:
+    return F.floor(F.col("__turn") / BLOCK).cast("long")
+
+
 def _running(rows: DataFrame) -> DataFrame:
     """``__before``: the turn before; ``__segment``: the last turn up to here that branches off (or the first turn).
 
     A running value over a conversation is one over its blocks of turns and one within the block.
     """
-    rows = rows.withColumn("__block", F.floor(F.col("__turn") / BLOCK).cast("long"))
+    rows = rows.withColumn("__block", _block())
     branch = F.when(F.col("__target").isNotNull(), F.col("__turn"))
     turns = rows.groupBy("__conv", "__block", "__turn").agg(F.max(branch).alias("branch"))
     within = Window.partitionBy("__conv", "__block").orderBy("__turn").rowsBetween(Window.unboundedPreceding, 0)

@@ -181,12 +181,23 @@ def test_exact_dedup(spark):
         assert r.text_sha256 == hashlib.sha256(key.encode()).hexdigest()
 
 
-def test_one_row_stays_of_repeated_rows(spark):
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_one_row_stays_of_repeated_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     df = docs(spark, ["t", "t", "t", "u", None, None], ids=[7, 7, 8, 9, None, None])
     got = exact_dedup.exact_dedup(df).groupBy("text_sha256").agg(F.sum(F.col("kept").cast("int")).alias("n")).collect()
     assert [r.n for r in got] == [1, 1, 1]
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
-    assert exact_dedup.exact_dedup(awkward(spark)).count() == len(AWKWARD) + 3
+    got = exact_dedup.exact_dedup(awkward(spark)).collect()
+    want = brute_dedup((r.doc_id, r.text) for r in got)
+    assert len(got) == len(AWKWARD) + 3
+    assert all((r.keep_id, r.group_size) == want["".join(c for c in r.text or "" if c not in " \t\n\x0b\x0c\r")] for r in got)
+    hot = exact_dedup.exact_dedup(docs(spark, ["same", None] * 1500 + ["x", "y"] * 2, ids=[*range(2000), *[5] * 1000, 1, 2, 3, 4])).collect()
+    assert sum(r.kept for r in hot) == 4 and sorted(r.keep_id for r in hot if r.kept) == [0, 1, 1, 2]
+
+
+def test_ranges_grow_with_the_rows():
+    assert [exact_dedup.range_bits_for(n, 12) for n in (0, 10**6, 10**9, 10**11)] == [4, 4, 8, 15]
 
 
 # --- 4: quotation linking ---
@@ -220,9 +231,9 @@ def brute_links(msgs):
     parsed = {turn: parse(text) for turn, text in msgs}
     parents, before = {}, None
     for turn, _ in sorted(msgs):
-        asked = [k for lv, p in parsed[turn][1] if lv == 1 for k in keys(p)]
+        asked = sorted([lv, n, k] for n, (lv, k) in enumerate((lv, k) for lv, p in parsed[turn][1] for k in keys(p)))
         target = None
-        for k in asked:
+        for _, _, k in asked:  # the least level with a known passage, whichever it is
             hits = [t for t in parsed if t < turn and k in keys(parsed[t][0])]
             if hits:
                 target = max(hits)
@@ -254,9 +265,12 @@ def test_quotation_linking(spark, monkeypatch):
             lines = [" ".join(rng.choices(words, k=3)) for _ in range(rng.randint(1, 2))]
             if msgs and rng.random() < 0.6:
                 quoted = [x for x in rng.choice(msgs)[1].split("\n") if not x.startswith(">")]
+                deep = ">" * rng.randint(1, 3)
                 if rng.random() < 0.3:
                     lines = [">> " + rng.choice(words)] + lines
-                lines = ["> " + q.upper() for q in quoted] + lines
+                if rng.random() < 0.3:
+                    lines = [deep + "> " + q for q in rng.choice(msgs)[1].split("\n") if not q.startswith(">")] + lines
+                lines = [deep + " " + q.upper() for q in quoted] + lines
             msgs.append((turn, "\n".join(lines)))
         rows += [(conv, turn, "user", text) for turn, text in msgs]
         want[conv] = brute_links(msgs)
@@ -278,6 +292,19 @@ def test_deeper_quotations_are_linked(spark):
     assert got[4] == (1, "quote", [(1, 1), (2, 0)]) and got[5] == (2, "quote", [(2, 2)])
 
 
+def test_a_null_conversation_is_none_of_any_name(spark):
+    rows = [(None, 0, "u", "hello there"), ("~", 1, "u", "> hello there\nyes"), ("-", 2, "u", "> hello there\nno"), (None, 3, "u", "> hello there\nyes")]
+    got = {r.turn: (r.parent_turn, r.reply_kind) for r in quotation.link_quotations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    assert got == {0: (None, "first"), 1: (None, "first"), 2: (None, "first"), 3: (0, "quote")}
+
+
+def test_a_passage_that_all_messages_share(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "BLOCK", 8)
+    rows = [(1, k, "u", "the same line" if k % 10 == 0 else "> the same line\nreply") for k in range(95)]
+    got = {r.turn: r.parent_turn for r in quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[k] == (k // 10 * 10 if k % 10 else k - 1) for k in range(1, 95))
+
+
 def test_awkward_conversations(spark):
     rows = [(None, 0, "u", None), (1, None, "u", ""), (1, 5, "u", "> x\n>> y\n> z"), (1, 5, "u", "> x"), (1, 6, None, "On Monday A wrote:\n> x\nyes")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"own_text": F.lit(1), "order_key": F.lit(2)})
