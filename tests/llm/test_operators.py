@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import struct
 import textwrap
 from collections import Counter, defaultdict
@@ -613,6 +615,48 @@ def test_importance_separates_held_out_labels(spark):
     assert np.mean([r.kept for r in got if r.quality == 1]) > 0.95
 
 
+def brute_importance(texts, good, keep, buckets):
+    """Weights and keys by plain loops: (id, text) pairs, the ids of good labels, how many to keep."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    def grams(text):
+        runs = re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0d]+", (text or "").lower().encode())
+        base = 0x9E3779B97F4A7C15 | 1
+        tokens = [mix((sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(r)) + len(r)) & m64) for r in runs]
+        return [mix((t + 7) & m64) % buckets for t in tokens] + [mix((a * 0xD6E8FEB86659FD93 + b) & m64) % buckets for a, b in zip(tokens, tokens[1:])]
+
+    raw, target = [1] * buckets, [1] * buckets
+    for i, t in texts:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    ratio = [math.log(a / sum(target)) - math.log(b / sum(raw)) for a, b in zip(target, raw)]
+    weights = [sum(ratio[g] for g in grams(t)) for _, t in texts]
+    drawn = [(int(hashlib.md5(f"gumbel|{'~' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, _ in texts]
+    keys = [w - math.log(-math.log(u)) for w, u in zip(weights, drawn)]
+    least = sorted(keys, reverse=True)[keep - 1] if keep else math.inf
+    return [(w, k, k >= least - 1e-9) for w, k in zip(weights, keys)]
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["Good", "fine,", "bad!!", "spam", "Éa1", "--"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "good"]
+    labels = [(k, int(k % 3 == 0), 0) for k in range(0, 60, 2)]
+    good = {i for i, q, _ in labels if q}
+    keep = round(len(texts) * len(good) / len(labels))
+    want = brute_importance(list(enumerate(texts)), good, keep, 500)
+    df = clashing(docs(spark, texts)).withColumns({"log_weight": F.lit("x"), "gumbel_key": F.lit("y")})
+    got = {r.doc_id: r for r in importance.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), buckets=500).collect()}
+    for k, (weight, key, kept) in enumerate(want):
+        assert abs(got[k].log_weight - weight) < 2e-6 and abs(got[k].gumbel_key - key) < 2e-6 and got[k].kept == kept
+    assert sum(r.kept for r in got.values()) == keep
+
+
 def test_kth_largest_is_exact(spark):
     rng = random.Random(2)
     values = [rng.choice([rng.gauss(0, 1), 1e9 * rng.random(), 3.0, -1e-300]) for _ in range(2000)]
@@ -624,7 +668,15 @@ def test_kth_largest_is_exact(spark):
 
 def test_awkward_importance(spark):
     labels = spark.createDataFrame([(5, 1, 0), (1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    assert importance.resample(awkward(spark), labels).count() == len(AWKWARD) + 3
+    got = importance.resample(awkward(spark), labels).collect()
+    rows = awkward(spark).select("doc_id", "text").collect()
+    want = brute_importance([(r.doc_id, r.text) for r in rows], {5}, round(len(rows) / 2), importance.BUCKETS)
+    order = lambda x: (repr(x[0]), round(x[1], 4), round(x[2], 4))
+    mine = sorted(((r.doc_id, r.log_weight, r.gumbel_key, r.kept) for r in got), key=order)
+    theirs = sorted(((r.doc_id, *w) for r, w in zip(rows, want)), key=order)
+    assert len(mine) == len(theirs) and all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-6 and abs(a[2] - b[2]) < 2e-6 and a[3] == b[3] for a, b in zip(mine, theirs))
+    empty = [r for r in got if r.doc_id == 0]  # a null text: nothing speaks for or against it
+    assert empty[0].log_weight == 0
     assert importance.resample(awkward(spark), labels.limit(0)).where("kept").count() == len(AWKWARD) + 3
     assert importance.resample(awkward(spark).limit(0), labels).count() == 0
 

@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -132,9 +133,56 @@ def test_run(spark):
     assert out.count() > 0 and "ids_sha256" in out.columns
 
 
-def test_stages_take_empty_tables_and_nulls(spark, tmp_path):
+LONG = " ".join(f"word{k}" for k in range(30_000))
+PROSE = " ".join(f"prose{k}" for k in range(40))
+
+
+def stage(spark, k, rows, **extra):
+    """The rows that a stage gives for (doc_id, text, source), in a table with columns of clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], schema)
+    df = df.withColumns({c: F.lit("clash") for c in ("id", "kept", "text_key", "ids", "class_id", "size", "rate", "copy", "n_words", "__id", "__text")})
+    return corpus_pipeline.STAGES[k][1](spark, df, SF).collect()
+
+
+def test_quality_rules_stage(spark):
+    rows = [(1, None, "s"), (2, "", "s"), (3, LONG, None), (4, PROSE, "s"), (4, PROSE, "s"), (None, PROSE, None), (5, "too short", "s")]
+    got = stage(spark, 0, rows)
+    assert sorted((r.doc_id or 0, r.text[:5], r.n_chars) for r in got) == [(0, "prose", len(PROSE)), (3, "word0", len(LONG)), (4, "prose", len(PROSE)), (4, "prose", len(PROSE))]
+
+
+def test_exact_dedup_stage(spark):
+    rows = [(1, None, "s"), (2, "", "s"), (None, " ", "s"), (3, LONG, "s"), (4, LONG + " ", "s"), (6, PROSE, "s"), (5, PROSE, None), (5, PROSE, None)]
+    # Blank texts are one group, of which the longest stays; of equal lengths the least id; of repeated rows one.
+    assert sorted((repr(r.doc_id), r.text) for r in stage(spark, 1, rows)) == [("4", LONG + " "), ("5", PROSE), ("None", " ")]
+
+
+def test_near_dedup_stage(spark):
+    near = PROSE + " and a little more"
+    rows = [(1, None, "s"), (2, "", "s"), (3, LONG, "s"), (9, LONG + " end", "s"), (7, PROSE, "s"), (6, near, None), (None, PROSE, "s"), (6, near, "s"), (8, "else", "s")]
+    # Texts without words are alone; rows that repeat id and text are one document and stay together.
+    assert sorted((repr(r.doc_id), r.text) for r in stage(spark, 2, rows)) == sorted([("1", None), ("2", ""), ("3", LONG), ("6", near), ("6", near), ("8", "else")], key=repr)
+
+
+def test_mixing_stage(spark):
+    rows = [(k, PROSE if k % 2 else None, "s") for k in range(200)] + [(7, PROSE, "s")] + [(None, LONG, None)]
+    got = stage(spark, 3, rows)
+    copies = defaultdict(int)
+    for r in got:
+        copies[r.doc_id, r.text, r.source] += 1
+    assert set(copies) <= {(i, t, s) for i, t, s in rows} and {r.text for r in got} >= {None, PROSE}
+    assert copies[7, PROSE, "s"] % 2 == 0  # repeated rows draw the same count
+
+
+def test_encoding_stage(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(1, None, "s"), (2, "", None), (3, LONG, "s"), (4, PROSE, "s"), (4, PROSE, "s"), (None, PROSE, "s")]
+    got = stage(spark, 4, rows)
+    want = {t: library.encode(t or "", add_special_tokens=False).ids for _, t, _ in rows}
+    assert sorted((repr(r.doc_id), repr(r.source), list(struct.unpack(f"<{r.n_tokens}I", bytes(r.ids)))) for r in got) == sorted((repr(i), repr(s), want[t]) for i, t, s in rows)
+
+
+def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    row = [(None, None, None, None, None), (1, "", None, "s", 0), (1, "", None, "s", 0)]
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        assert stage(spark, docs.limit(0), SF).count() == 0
-        stage(spark, spark.createDataFrame(row, docs.schema), SF).count()
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), SF).count() == 0
