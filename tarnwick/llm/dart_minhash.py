@@ -224,7 +224,7 @@ def _buckets(made: DataFrame) -> DataFrame:
 
 def _sets(keyed: DataFrame, made: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     """Rows (node, elements, weights) with the shingle set of each of ``nodes``."""
-    one = made.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("one"))
+    one = made.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("one")).join(nodes, "node", "left_semi")  # copies meet as partial rows
     one = cut(one.select("node", F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_key")))
     # By id and text: copies of a text, however many, are dealt apart; the distinct leaves one of rows that repeat both.
     same = (F.col("text_key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id"))
