@@ -74,7 +74,7 @@ class PrefixCounter:
         self.fits = lru_cache(1 << 20)(self._fits)
         self.known: dict[str, bytes] = {}
         # Code points whose class was asked of the library, and stand-ins for those that ``regex`` classes otherwise.
-        self.asked, self.odd = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+        self.state = np.zeros(0x110000, np.uint8)  # not asked, the same class, another one
         self.stand_ins: dict[int, str] = {}
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
         self.lead = regex.compile(r"\s*")
@@ -122,7 +122,7 @@ class PrefixCounter:
 
     def unit(self, text: str) -> list[int]:
         """Tokens of each non-empty prefix of a unit, each prefix cut as if the text ended with it."""
-        white = self.lead.match(self.as_cut(text)).end()
+        white = self.lead.match(self.as_cut(text) if self.stand_ins else text).end()
         if text in ("'re", "'ve", "'ll"):
             return [*self.joined([text[0], text[1]]), self.piece(text)[-1]]
         if white < 2:
@@ -164,15 +164,16 @@ class PrefixCounter:
         if text.isascii():
             return text
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        for code in np.unique(codes[~self.asked[codes]]).tolist():
+        state = self.state[codes]
+        for code in np.unique(codes[state == 0]).tolist() if not state.min() else ():
             letter = chr(code)
             alone = lambda before: len(self.cutter.pre_tokenize_str(before + letter)) == 1  # noqa: E731, B023
             theirs = next((to for _, before, to in self.classes if alone(before)), WHITE)
             ours = next((to for class_, _, to in self.classes if class_.match(letter)), WHITE)
-            self.asked[code], self.odd[code] = True, theirs != ours
+            self.state[code] = 1 if theirs == ours else 2
             if theirs != ours:
                 self.stand_ins[code] = theirs
-        return text.translate(self.stand_ins) if self.odd[codes].any() else text
+        return text.translate(self.stand_ins) if self.stand_ins and self.state[codes].max() == 2 else text
 
     def cut(self, text: str) -> list[str]:
         """The units of a text."""
