@@ -49,3 +49,33 @@ REVIEW_PRICE, REVIEW_SIZE, REVIEW_GAP = 20.0, 18, 1.5
 HORIZONS, TOLERANCE_DAYS, PANEL_STEP_DAYS = (7, 28, 56, 84), 6, 7
 MATURE_DAYS, MATURE_PRICE = 90, 10.0
 FEATURES = ["char_premium", "scarcity", "months_since_release"]
+
+# Texts of gates, buckets, labels and panels.
+REASON_MID, REASON_CHASE = "mature mid-price — model near-efficient here", "chase premium the model can't price"
+AGE_BUCKETS = ("0-35d (fresh)", "36-90d", "91-180d", "180d+ (mature)")
+TRAJECTORIES = ("Falling", "Cooling after run", "Accelerating ↑", "Steady ↑", "Flat / digesting", "Choppy")
+SHIPPING = ("+ ship not listed", "%s + %s ship", "free ship")
+DASH = "—"
+FLOW_CELLS = ("active listings", "new (7d)", "sold est (7d)")
+POPULATION_CELLS = ("graded total", "PSA 10", "gem rate")
+SLIDER = ("▲ raises", "▼ lowers", "· neutral", "No price effect in this cluster (flat in the model).")
+BANNER, REFRESH = ("Prices refreshed", "Site built", "no date published"), " · refresh recommended"
+
+# Names of products that mark another printing of a card.
+OTHER_PRINTINGS = ("poke ball pattern", "master ball pattern", "pattern", "metal card", "jumbo", "oversized", "staff", "promo")
+
+# Cards whose source has the wrong tier.
+TIER_CORRECTIONS = {"zsv10pt5-171": "Black White Rare"}
+
+# Variants of the second price source in order of preference, and its rate from EUR to USD.
+SECOND_VARIANTS, EUR_USD = ("holofoil", "reverse-holofoil", "normal", "first-edition-holofoil"), 1.08
+
+# Subtypes in order of preference where a card's own has no price.
+SUBTYPES = ("Holofoil", "Normal", "Reverse Holofoil", "1st Edition Holofoil", "Unlimited Holofoil")
+
+# Listings of a tier in made-up histories.
+TIER_SUPPLY = {
+    "Common": 320, "Uncommon": 240, "Rare": 150, "ACE SPEC Rare": 70, "Double Rare": 90, "Ultra Rare": 55, "Illustration Rare": 60,
+    "Special Illustration Rare": 28, "Shiny Rare": 45, "Shiny Ultra Rare": 22, "Hyper Rare": 18, "MEGA_ATTACK_RARE": 16, "Mega Hyper Rare": 10,
+    "Unknown": 80,
+}

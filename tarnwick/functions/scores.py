@@ -100,8 +100,8 @@ def edge_reason(price: Column, expected: Column, months: Column) -> Column:
     fresh = F.coalesce(months <= C.FRESH_DAYS / C.DAYS_PER_MONTH, F.lit(False))
     return ladder(
         (fresh | price.isNull(), None),
-        ((price >= low) & (price < high), "mature mid-price"),
-        ((expected > 0) & (price > C.CHASE_MULTIPLE * expected), "chase premium"),
+        ((price >= low) & (price < high), C.REASON_MID),
+        ((expected > 0) & (price > C.CHASE_MULTIPLE * expected), C.REASON_CHASE),
     )
 
 
@@ -136,7 +136,8 @@ def price_tier(price: Column) -> Column:
 
 
 def age_bucket(days: Column) -> Column:
-    return ladder((days < 0, None), (days <= 35, "0-35"), (days <= 90, "36-90"), (days <= 180, "91-180"), (days > 180, "181+"))
+    fresh, young, old, mature = C.AGE_BUCKETS
+    return ladder((days < 0, None), (days <= 35, fresh), (days <= 90, young), (days <= 180, old), (days > 180, mature))
 
 
 def sold_split(ended: Column, average: Column, average_before: Column) -> Column:
@@ -152,7 +153,9 @@ def ev_pill(value: Column) -> Column:
 
 
 def saturation_tag(saturation: Column) -> Column:
-    return ladder((saturation.isNull(), None), (saturation < C.SATURATION_LOW, "tightening"), (saturation > C.SATURATION_HIGH, "loosening"), default="steady")
+    shift = F.concat(fixed(F.abs(saturation - 1) * 100, 0), F.lit("%"))
+    tight, loose = F.concat(F.lit("tightening −"), shift), F.concat(F.lit("loosening +"), shift)
+    return ladder((saturation.isNull(), C.DASH), (saturation < C.SATURATION_LOW, tight), (saturation > C.SATURATION_HIGH, loose), default="steady")
 
 
 def ic_tone(ic: Column) -> Column:
@@ -165,14 +168,15 @@ def trend_chip(trend: Column) -> Column:
 
 def trajectory(t30: Column, t90: Column, t180: Column) -> Column:
     t90, t180 = F.coalesce(t90, F.lit(0.0)), F.coalesce(t180, F.lit(0.0))
+    falling, cooling, accelerating, steady, flat, choppy = C.TRAJECTORIES
     return ladder(
         (t30.isNull(), None),
-        ((t30 <= -0.04) & (t90 <= 0), "Falling"),
-        ((t30 <= -0.03) & (t180 > 0.15), "Cooling after run"),
-        ((t30 >= 0.05) & (t90 >= 0.10), "Accelerating"),
-        ((t30 >= 0.02) & (t90 >= 0), "Steady up"),
-        (F.abs(t30) < 0.03, "Flat"),
-        default="Choppy",
+        ((t30 <= -0.04) & (t90 <= 0), falling),
+        ((t30 <= -0.03) & (t180 > 0.15), cooling),
+        ((t30 >= 0.05) & (t90 >= 0.10), accelerating),
+        ((t30 >= 0.02) & (t90 >= 0), steady),
+        (F.abs(t30) < 0.03, flat),
+        default=choppy,
     )
 
 
@@ -193,18 +197,71 @@ def demand_gauge(demand: Column) -> Column:
     return clamp(demand / 0.40)
 
 
-def shipping_label(shipping: Column, price: Column) -> Column:
-    """All-in where the shipping cost is known, else the item's price only."""
-    total = F.format_number(price + shipping, 2)
-    return ladder(
-        (price.isNull(), None), (shipping.isNull(), F.concat(F.lit("item $"), F.format_number(price, 2))), (shipping == 0, F.concat(F.lit("free ship $"), total)),
-        default=F.concat(F.lit("all-in $"), total),
-    )
+def dollars(x: Column, digits: int = 2) -> Column:
+    """``$1,234.50``; a dash where there is no number."""
+    return F.when(x.isNull() | F.isnan(x), C.DASH).otherwise(F.concat(F.lit("$"), F.format_number(F.round(x, digits), digits)))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits and no separators."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
+def shipping_label(shipping: Column, item_price: Column, price: Column) -> Column:
+    """What is known of shipping: not listed, on top of the item's price, or none."""
+    unknown, paid, free = C.SHIPPING
+    on_top = F.format_string(paid, dollars(item_price, 0), dollars(shipping, 0))
+    return ladder((shipping.isNull(), unknown), (F.coalesce(price > item_price + 0.001, F.lit(False)), on_top), default=free)
 
 
 def short_count(n: Column) -> Column:
     """1234 as 1.2k."""
-    return F.when(n >= 1000, F.concat(F.format_number(n / 1000.0, 1), F.lit("k"))).otherwise(n.cast("string"))
+    return F.when(n >= 1000, F.concat(fixed(n / 1000.0, 1), F.lit("k"))).otherwise(n.cast("string"))
+
+
+def sealed_line(price: Column, change: Column, sold: Column, listings: Column, as_of: Column) -> Column:
+    """Price, change of a day, sales and listings of a pack in one line; null without a pack."""
+    change, sold = F.coalesce(change, F.lit(0.0)), F.coalesce(sold.cast("long"), F.lit(0))
+    arrow = F.when(change >= 0, "▲").otherwise("▼")
+    listed = F.coalesce(short_count(listings), F.lit(C.DASH))
+    when = F.concat(F.lit("24h"), F.coalesce(F.concat(F.lit(" to "), as_of.cast("string")), F.lit("")))
+    line = F.concat(dollars(price), F.lit(" "), arrow, F.lit(" "), fixed(F.abs(change), 1), F.lit("% · "), F.format_number(sold, 0), F.lit(" sold · "), listed, F.lit(" listed "), when)
+    return line
+
+
+def flow_panel(status: Column, active: Column, new_7: Column, sold_7: Column) -> Column:
+    """Labelled numbers of the flow panel, for cards with a live reading only."""
+    shown = lambda x: F.coalesce(F.format_number(x.cast("long"), 0), F.lit(C.DASH))
+    cells = [F.struct(F.lit(label).alias("label"), shown(x).alias("value")) for label, x in zip(C.FLOW_CELLS, (active, new_7, sold_7))]
+    return F.when(status == "ok", F.array(*cells))
+
+
+def population_panel(total: Column, g10: Column, rate: Column) -> Column:
+    """Labelled numbers of the grading panel, for cards with a population only."""
+    gem = F.coalesce(F.concat(fixed(100 * rate, 1), F.lit("%")), F.lit(C.DASH))
+    values = (F.format_number(total.cast("long"), 0), F.format_number(F.coalesce(g10.cast("long"), F.lit(0)), 0), gem)
+    return F.when(F.coalesce(total > 0, F.lit(False)), F.array(*[F.struct(F.lit(label).alias("label"), x.alias("value")) for label, x in zip(C.POPULATION_CELLS, values)]))
+
+
+def feature_text(feature: str, x: Column) -> Column:
+    """A feature's value as the sliders show it."""
+    shown = dollars(x, 0) if feature == "pull_cost" else F.concat(fixed(x, 0), F.lit(" mo")) if feature == "months_since_release" else fixed(x, 2)
+    return F.when(x.isNull(), C.DASH).otherwise(shown)
+
+
+def slider_contribution(coef: Column, x: Column, mean: Column, std: Column) -> Column:
+    """What the moved slider does to the estimate, in log price; a feature that does not vary has no effect."""
+    z = coef * F.try_divide(x - mean, std)
+    way = F.when(z > 0.0005, C.SLIDER[0]).when(z < -0.0005, C.SLIDER[1]).otherwise(C.SLIDER[2])
+    text = F.concat(way, F.lit(" the estimate (contribution "), F.when(z >= 0, "+").otherwise(""), fixed(z, 3), F.lit(" in log-price)"))
+    return F.when(std == 0, C.SLIDER[3]).otherwise(text)
+
+
+def calendar_day(iso: Column, zone: str | None = None) -> Column:
+    """The calendar day of an ISO text: a bare date is that day, a time stamp is read in the viewer's time zone."""
+    stamp = F.try_to_timestamp(iso)
+    local = stamp if zone is None else F.from_utc_timestamp(F.to_utc_timestamp(stamp, F.current_timezone()), zone)
+    return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(iso, "yyyy-MM-dd")).otherwise(local.cast("date"))
 
 
 def age_label(today: Column, day: Column) -> Column:
@@ -218,9 +275,13 @@ def shown_listing(kind: Column, hours_to_end: Column) -> Column:
 
 
 def refresh_banner(today: Column, prices_as_of: Column, built: Column) -> Column:
-    """Age of the prices where known (three days call for a refresh), else of the build."""
-    days = F.datediff(today, F.coalesce(prices_as_of, built))
-    return ladder((days.isNull(), "unknown"), (prices_as_of.isNotNull() & (days >= 3), "refresh recommended"), default=age_label(today, F.coalesce(prices_as_of, built)))
+    """A struct (kicker, label, sub, days): the age of the prices where it is known, else that of the build."""
+    priced, of_build, nothing = C.BANNER
+    old = F.when(F.datediff(today, prices_as_of) >= 3, C.REFRESH).otherwise("")
+    parts = lambda kicker, label, sub, days: F.struct(F.lit(kicker).alias("kicker"), label.alias("label"), sub.alias("sub"), days.alias("days"))
+    prices = parts(priced, age_label(today, prices_as_of), F.concat(F.lit("as of "), prices_as_of.cast("string"), old), F.datediff(today, prices_as_of))
+    site = parts(of_build, age_label(today, built), F.concat(F.lit("on "), built.cast("string")), F.datediff(today, built))
+    return ladder((prices_as_of.isNotNull(), prices), (built.isNotNull(), site), default=parts(of_build, F.lit("Unknown"), F.lit(nothing), F.lit(None).cast("int")))
 
 
 def usable_listing(item_id: Column, value: Column, currency: Column) -> Column:

@@ -30,23 +30,46 @@ def with_share_at_or_below(df: DataFrame, value: str, keys: list[str], name: str
     return df.join(shares, same).drop(*names.values())
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank from 1, ties sharing the mean of their places."""
+def doubled_rank(value: str, keys: list[str]) -> Column:
+    """Twice the rank from 1, ties sharing the mean of their places: a whole number."""
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2.0
+    return 2 * F.rank().over(Window.partitionBy(*keys).orderBy(value)).cast("long") + ties - 1
 
 
-def guarded_corr(x: str, y: str) -> Column:
-    """Correlation, null where either side is constant (where the built-in one raises under ANSI rules)."""
-    spread = (F.coalesce(F.stddev_pop(x), F.lit(0.0)) > 1e-12) & (F.coalesce(F.stddev_pop(y), F.lit(0.0)) > 1e-12)
-    both = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(spread, both)
+def with_doubled_rank(df: DataFrame, value: str, keys: list[str], name: str, bins: int = 64) -> DataFrame:
+    """``df`` plus the same rank for keys of very many rows: they are dealt to bins between approximate quantiles, counted
+    there, and ranked within their bin, so no task gets a whole key.
+
+    Bounds only decide who ranks a row; the rank is exact whatever they are.  Equal values share a bin.
+    """
+    cuts = F.percentile_approx(value, F.array(*[F.lit(k / bins) for k in range(1, bins)]), F.lit(1000))
+    bounds = df.groupBy(*keys).agg(cuts.alias("__cuts"))
+    rows = df.join(bounds, keys).withColumn("__bin", F.size(F.filter(F.col("__cuts"), lambda c: c < F.col(value)))).drop("__cuts")
+    counts = rows.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    ranked = rows.withColumn("__rank", doubled_rank(value, [*keys, "__bin"])).join(offsets, [*keys, "__bin"])
+    return ranked.withColumn(name, F.col("__rank") + 2 * F.col("__offset")).drop("__bin", "__offset", "__rank")
+
+
+def rank_coefficient(x: str, y: str) -> Column:
+    """Spearman's coefficient of doubled ranks, null where a side is constant.
+
+    Sums of products of whole numbers are exact, so a coefficient of 0 is 0 and not a remainder of rounding, which is what
+    the count of positive ones hangs on.  The mean of n doubled ranks is n + 1.
+    """
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    n = F.count(F.lit(1)).cast("decimal(12,0)")
+    square = (n * (n + 1) * (n + 1)).cast("decimal(38,0)")
+    co, sx, sy = (exact(F.col(a) * F.col(b)) - square for a, b in ((x, y), (x, x), (y, y)))
+    double = lambda c: c.cast("double")
+    return F.when((sx > 0) & (sy > 0), F.try_divide(double(co), F.sqrt(double(sx)) * F.sqrt(double(sy))))
 
 
 def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str, least: int = 8) -> DataFrame:
     """Rows (keys, n, ic): Spearman's coefficient of groups of at least ``least`` rows."""
-    ranked = df.select(*keys, average_rank(x, keys).alias("__x"), average_rank(y, keys).alias("__y"))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), guarded_corr("__x", "__y").alias("ic")).where((F.col("n") >= least) & F.col("ic").isNotNull())
+    ranked = df.select(*keys, doubled_rank(x, keys).alias("__x"), doubled_rank(y, keys).alias("__y"))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rank_coefficient("__x", "__y").alias("ic")).where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
 def ic_summary(ics: DataFrame, keys: list[str], order: str = "date", lag: Column | int = 5, most_lag: int = 13, least: int = 5) -> DataFrame:

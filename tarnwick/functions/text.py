@@ -3,15 +3,32 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnwick.constants import MECHANICS
 
-# Latin letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition has ASCII in it: those that fold to one letter, to which; the others."""
+    single, to, more = [], [], {}
+    for code in range(0x80, 0x20000):
+        letter = chr(code)
+        if 0xAC00 <= code < 0xE000:  # Hangul, surrogates
+            continue
+        plain = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            single.append(letter)
+            to.append(plain)
+        elif plain:
+            more[letter] = plain
+    return "".join(single), "".join(to), more
+
+
+MARKED, PLAIN, LIGATURES = _foldings()
 
 
 def base_name(name: Column, supertype: Column) -> Column:
@@ -19,13 +36,18 @@ def base_name(name: Column, supertype: Column) -> Column:
 
     Owners are cut for creatures only.  A name of nothing but mechanic tokens stays as it is.
     """
+    name = F.trim(name)
     owner = F.when(supertype == "Pokémon", F.regexp_replace(name, r"^.*'s ", "")).otherwise(name)
     tokens = "|".join(map(re.escape, MECHANICS))
-    return F.regexp_replace(F.trim(owner), rf"(?: (?:{tokens}))+$", "")
+    tight = F.trim(F.regexp_replace(owner, r"\s+", " "))
+    return F.when(tight.rlike(rf"^(?:{tokens})(?: (?:{tokens}))*$"), owner).otherwise(F.regexp_replace(tight, rf"(?: (?:{tokens}))+$", ""))
 
 
 def folded(name: Column) -> Column:
-    """Lower-case ASCII letters and digits only, marks folded."""
+    """Lower-case ASCII letters and digits only, marks and compatibility forms folded."""
+    several = F.create_map(*[F.lit(x) for pair in LIGATURES.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(F.element_at(several, c), c)), "")
+    name = F.when(name.rlike("[" + "".join(LIGATURES) + "]"), spelled).otherwise(name)
     return F.regexp_replace(F.lower(F.translate(name, MARKED, PLAIN)), "[^a-z0-9]", "")
 
 
@@ -36,16 +58,24 @@ def product_base(name: Column) -> Column:
 
 def card_number(number: Column) -> Column:
     """The part before ``/``, trimmed and in upper case; all digits lose leading zeros."""
-    part = F.upper(F.trim(F.substring_index(number, "/", 1)))
+    part = F.nullif(F.upper(F.trim(F.substring_index(number, "/", 1))), F.lit(""))
     stripped = F.regexp_replace(part, "^0+(?=[0-9])", "")
     return F.when(part.rlike("^[0-9]+$"), stripped).otherwise(part)
 
 
+def plain_number(number: Column) -> Column:
+    """The whole number, trimmed and in upper case, without leading zeros: the key of the second price source."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.upper(F.trim(number)), "^0+", ""), F.lit("")), F.lit("0"))
+
+
 def variant_name(variant: Column) -> Column:
     """The display subtype of a variant key: the part after the last ``:`` without ``-`` and ``_``."""
     key = F.regexp_replace(F.lower(F.substring_index(variant, ":", -1)), "[-_]", "")
     # Subtype names.
-    names = {"normal": "Normal", "holofoil": "Holofoil", "holo": "Holofoil", "reverseholofoil": "Reverse Holofoil", "reverse": "Reverse Holofoil"}
+    names = {
+        "normal": "Normal", "holofoil": "Holofoil", "reverseholofoil": "Reverse Holofoil", "1steditionholofoil": "1st Edition Holofoil",
+        "unlimitedholofoil": "Unlimited Holofoil",
+    }
     out = F.lit("Holofoil")
     for k, v in names.items():
         out = F.when(key == k, v).otherwise(out)

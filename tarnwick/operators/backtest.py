@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick import constants as C
 from tarnwick.functions import scores, stats
+from tarnwick.lineage import cut
 from tarnwick.operators import asof, features, ridge
 
 
@@ -67,15 +68,31 @@ def segment_ics(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pooled_buckets(obs: DataFrame, bucket: Column, least: int = 30) -> DataFrame:
-    """Rows (bucket, n, ic, frac_up, mean_return) over all dates together, buckets of at least 30 rows."""
-    rows = obs.withColumn("bucket", bucket).where("bucket is not null")
-    ranked = rows.select("bucket", "fwd", stats.average_rank("mispricing", ["bucket"]).alias("__x"), stats.average_rank("fwd", ["bucket"]).alias("__y"))
+    """Rows (bucket, n, ic, frac_up, mean_return) over all dates together, buckets of at least 30 rows.
+
+    There are a handful of buckets, so ranks are made in bins of a bucket and not in one task for each.  Each ranking
+    reads its rows three times, so they are cut before it.
+    """
+    rows = cut(obs.withColumn("bucket", bucket).where("bucket is not null").select("bucket", "mispricing", "fwd"))
+    ranked = stats.with_doubled_rank(cut(stats.with_doubled_rank(rows, "mispricing", ["bucket"], "__x")), "fwd", ["bucket"], "__y")
     out = ranked.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.round(stats.guarded_corr("__x", "__y"), 6).alias("ic"), F.round(F.avg((F.col("fwd") > 0).cast("double")), 6).alias("frac_up"), F.round(F.avg("fwd"), 6).alias("mean_return")
+        F.count(F.lit(1)).alias("n"), F.round(stats.rank_coefficient("__x", "__y"), 6).alias("ic"), F.round(F.avg((F.col("fwd") > 0).cast("double")), 6).alias("frac_up"), F.round(F.avg("fwd"), 6).alias("mean_return")
     )
     return out.where(F.col("n") >= least)
 
 
+def floor_sensitivity(obs: DataFrame, floors: tuple[float, ...] = (2.0, 5.0, 10.0, 20.0)) -> DataFrame:
+    """Per date and price floor the rank correlation, each observation once for every floor it reaches."""
+    return segment_ics(obs.withColumn("floor", F.explode(F.array(*map(F.lit, floors)))).where("price >= floor"), ["floor"])
+
+
+def by_age(obs: DataFrame) -> DataFrame:
+    """Rows (bucket, n, mean_return, n_dates, mean_ic ..): forward returns and rank correlations by age of the card."""
+    rows = obs.withColumn("bucket", scores.age_bucket(F.col("age_days"))).where("bucket is not null")
+    ics = stats.ic_summary(segment_ics(rows, ["bucket"]), ["bucket"])
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_return")).join(ics, "bucket", "left")
+
+
 def decile_legs(obs: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
     """Rows (keys, n_dates, top, bottom, spread): per date the mean return of the most and least mispriced tenth, averaged."""
     by = [*keys, "date"]

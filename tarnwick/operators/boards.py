@@ -16,23 +16,25 @@ def pool(scored: DataFrame) -> DataFrame:
 
 
 def leaderboard(pool_: DataFrame, under: bool, size: int = C.BOARD_SIZE, key: str = "card_id") -> DataFrame:
-    """The largest dollar gaps of expected over market price, or of market over expected."""
-    gap = F.round(F.col("expected_price") - F.col("market_price"), 2)
-    rows = pool_.withColumn("raw_diff", gap)
-    return rows.orderBy(F.col("raw_diff").desc() if under else F.col("raw_diff").asc(), key).limit(size)
+    """The largest dollar gaps of expected over market price, or of market over expected; ``raw_diff`` is in cents, the
+    order is not."""
+    gap = F.col("expected_price") - F.col("market_price")
+    rows = pool_.withColumn("__gap", gap).orderBy(F.desc("__gap") if under else F.asc("__gap"), key).limit(size)
+    return rows.withColumn("raw_diff", F.round("__gap", 2)).drop("__gap")
 
 
 def movers(pool_: DataFrame, size: int = C.BOARD_SIZE, key: str = "card_id") -> DataFrame:
     """By shift of supply saturation among cards with a current reading; if no card has one, by absolute dollar gap."""
     live = F.col("status") == "ok"
     shift = F.when(live, F.abs(F.col("supply_saturation") - 1.0)).otherwise(F.lit(0.0))
-    rows = pool_.withColumns({"shift": F.coalesce(shift, F.lit(0.0)), "raw_diff": F.round(F.col("expected_price") - F.col("market_price"), 2)})
+    gap = F.col("expected_price") - F.col("market_price")
+    rows = pool_.withColumns({"shift": F.coalesce(shift, F.lit(0.0)), "__gap": gap, "raw_diff": F.round(gap, 2)})
     any_shift = rows.agg(F.coalesce(F.max("shift"), F.lit(0.0)).alias("__most"))
     rows = rows.crossJoin(F.broadcast(any_shift)).where((F.col("__most") == 0) | live)  # one row
-    rank = F.when(F.col("__most") > 0, F.col("shift")).otherwise(F.abs("raw_diff"))
+    rank = F.when(F.col("__most") > 0, F.col("shift")).otherwise(F.abs("__gap"))
     basis = F.when(F.col("__most") > 0, "saturation_shift").otherwise("price_signal_fallback")
-    out = rows.withColumns({"mover_basis": basis, "awaiting_data": F.col("__most") == 0, "__rank": F.round(rank, 6)})
-    return out.orderBy(F.col("__rank").desc(), key).limit(size).drop("__most", "__rank")
+    out = rows.withColumns({"mover_basis": basis, "awaiting_data": F.col("__most") == 0, "__rank": rank})
+    return out.orderBy(F.col("__rank").desc(), key).limit(size).drop("__most", "__rank", "__gap")
 
 
 def ranked_sets(sealed: DataFrame) -> DataFrame:

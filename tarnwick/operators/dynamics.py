@@ -98,6 +98,13 @@ def compute(flows: DataFrame, current: Column | None = None, as_of: Column | Non
     )
 
 
+def window_lows(snapshots: DataFrame, days: int = 14) -> DataFrame:
+    """Known averages plus ``low``, the least of the ``days`` calendar days up to the row, and ``is_low``."""
+    w = Window.partitionBy("card_id").orderBy("__day").rangeBetween(-(days - 1), 0)
+    rows = snapshots.where("average is not null").withColumn("__day", F.unix_date("date"))
+    return rows.withColumn("low", F.min("average").over(w)).withColumn("is_low", F.col("average") <= F.col("low")).drop("__day")
+
+
 def failure_runs(attempts: DataFrame, order: str = "seq", key: str = "sweep", unknown: str = "unknown", most: int = 30) -> DataFrame:
     """``attempts`` plus ``run`` (consecutive unknowns up to here) and ``issued`` (false behind the breaker's point).
 

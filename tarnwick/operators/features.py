@@ -6,7 +6,7 @@ walk-forward run over many dates with the same code, in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick import constants as C
@@ -38,17 +38,20 @@ def character_stats(cards: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _share(value: str, by: list[str]) -> Column:
+    return stats.share_at_or_below(value, by) if by else F.cume_dist().over(Window.orderBy(value))
+
+
 def character_premium(cards: DataFrame, priors: DataFrame | None, by: list[str]) -> DataFrame:
     """Rows (by, base_name, char_premium, structural): the prior where there is one, else percentiles of breadth.
 
-    Percentiles run over characters, already aggregated, so their windows hold thousands of rows and not cards.
+    Percentiles run over characters, already aggregated: a table of thousands of rows however many cards there are.  A
+    logarithm keeps the order, so ranks need none.
     """
     made = character_stats(cards, by)
-    logs = made.withColumns({f"__{c}": F.log1p(F.col(c).cast("double")) for c in ("n_printings", "n_sets", "chase")})
-    parts = [stats.share_at_or_below(f"__{c}", by) if by else F.cume_dist().over(Window.orderBy(f"__{c}")) for c in ("n_printings", "n_sets", "chase")]
-    blended = logs.withColumn("__blend", F.round(sum((w * p for w, p in zip(C.PREMIUM_WEIGHTS, parts)), F.lit(0.0)), 12))
-    rank = stats.share_at_or_below("__blend", by) if by else F.cume_dist().over(Window.orderBy("__blend"))
-    scored = blended.withColumn("structural", 10.0 * rank)
+    parts = [_share(c, by) for c in ("n_printings", "n_sets", "chase")]
+    blended = made.withColumn("__blend", F.round(sum((w * p for w, p in zip(C.PREMIUM_WEIGHTS, parts)), F.lit(0.0)), 12))
+    scored = blended.withColumn("structural", 10.0 * _share("__blend", by))
     scored = prior_lookup(scored, priors) if priors is not None else scored.withColumn("prior", F.lit(None).cast("double"))
     base = F.coalesce("prior", F.col("structural") / 10.0 * C.PRIOR_FLOOR)
     lifted = F.when(F.col("is_old") & (base < C.OLD_CAP), F.least(F.lit(C.OLD_CAP), base + C.OLD_BONUS)).otherwise(base)
@@ -68,3 +71,9 @@ def card_features(cards: DataFrame, priors: DataFrame | None, as_of, by: list[st
     ranked = ranked.withColumn("months_since_release", F.round(months, 6))
     ranked = ranked.withColumn("scarcity", scores.scarcity(F.col("rarity"), F.col("months_since_release")))
     return ranked.join(premium, [*by, "base_name"], "left")
+
+
+def top_characters(cards: DataFrame, anchor: str, limit: int = 16) -> DataFrame:
+    """Rows (base_name, best): the creatures of the highest best price, the anchor left out."""
+    rows = cards.where((F.col("supertype") == "Pokémon") & F.col("base_name").isNotNull() & (F.col("base_name") != anchor))
+    return rows.groupBy("base_name").agg(F.max(F.coalesce("market_price", F.lit(0.0))).alias("best")).orderBy(F.desc("best"), "base_name").limit(limit)

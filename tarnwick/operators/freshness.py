@@ -38,7 +38,17 @@ def due(items: DataFrame, seen: DataFrame, today: Column, days: int = 14, budget
     return rows.orderBy(F.col("fetched").asc_nulls_first(), key).limit(budget)
 
 
-def merge_series(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Union by key where the newer write wins."""
-    both = old.select(*keys, value, F.lit(0).alias("__w")).unionByName(new.select(*keys, value, F.lit(1).alias("__w")))
-    return both.groupBy(*keys).agg(F.max(F.struct("__w", value))[value].alias(value))
+def merge_series(old: DataFrame, new: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+    """Union by key where the newer write wins; points without a key or a value are skipped.
+
+    ``order`` says which of several writes of ``new`` for a key came last; without it keys are unique there.
+    """
+    when = F.lit(0).cast("long") if order is None else F.col(order).cast("long")
+    sides = [df.select(*keys, value, F.struct(F.lit(k).alias("side"), (when if k else F.lit(0).cast("long")).alias("at")).alias("__w")) for k, df in enumerate((old, new))]
+    both = sides[0].unionByName(sides[1]).dropna(subset=[*keys, value])
+    return both.groupBy(*keys).agg(F.max_by(value, "__w").alias(value))
+
+
+def most_graded(populations: DataFrame, limit: int = 15) -> DataFrame:
+    """The cards of the largest graded population."""
+    return populations.orderBy(F.desc("total"), "id").limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick import constants as C
-from tarnwick.functions.scores import ladder
+from tarnwick.functions.scores import fixed, ladder
 from tarnwick.operators.asof import first_in_window
 
 # Label and tone by (price state, market state).
@@ -55,20 +55,23 @@ def market_state(status: Column, demand: Column, saturation: Column) -> Column:
 
 
 def signals(rows: DataFrame, pct: str = "pct", days: str = "days", status: str = "status", demand: str = "demand_pressure", saturation: str = "supply_saturation") -> DataFrame:
-    """``rows`` plus ``price_state, market_state, label, tone, confidence, detail``."""
+    """``rows`` plus ``price_state, market_state, label, tone, confidence, detail, basis``."""
     p, sat = F.col(pct), F.col(saturation)
     out = rows.withColumns({"price_state": price_state(p), "market_state": market_state(F.col(status), F.col(demand), sat)})
     pair = F.concat_ws("|", "price_state", "market_state")
     look = lambda k: F.create_map(*[F.lit(x) for key, v in TABLE.items() for x in ("|".join(key), v[k])])[pair]
     known = F.col("market_state") != "unknown"
-    percent = F.concat(F.lit("price "), F.when(p >= 0, "+").otherwise(""), F.format_number(p, 1), F.lit("% ("), F.col(days).cast("string"), F.lit("d)"))
-    flow = F.when(known & F.col(demand).isNotNull(), F.concat(F.lit("sell-through "), F.format_number(demand, 0), F.lit("%")))
-    supply = F.when(known & (F.abs(sat - 1) >= 0.03), F.concat(F.lit("supply ×"), F.format_number(sat, 2)))
+    span = F.when(F.coalesce(F.col(days), F.lit(0)) > 0, F.concat(F.col(days).cast("string"), F.lit("d"))).otherwise("recent")
+    percent = F.concat(F.lit("price "), F.when(p >= 0, "+").otherwise(""), fixed(p, 1), F.lit("% ("), span, F.lit(")"))
+    flow = F.when(known & F.col(demand).isNotNull(), F.concat(F.lit("sell-through "), fixed(F.col(demand), 0), F.lit("%")))
+    supply = F.when(known & (F.abs(sat - 1) >= 1 - C.SATURATION_LOW), F.concat(F.lit("supply ×"), fixed(sat, 2)))
+    basis = F.struct("price_state", "market_state", p.alias("price_pct"), F.col(demand).alias("demand_pressure"), sat.alias("supply_saturation"))
     return out.withColumns(
         {
             "label": look(0),
             "tone": look(1),
             "confidence": ladder((known & p.isNotNull(), "full"), (known, "full"), (p.isNotNull(), "price_only"), default="none"),
             "detail": F.concat_ws(" · ", F.when(p.isNotNull(), percent), flow, supply),
+            "basis": basis,
         }
     )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick import constants as C
 from tarnwick.functions import text
 
 
@@ -14,37 +18,40 @@ def names_agree(a, b):
 
 
 def match_products(cards: DataFrame, products: DataFrame) -> DataFrame:
-    """Rows (card_id, group_id, product_id, how): ``number``, ``name`` or null where nothing fits.
+    """Rows (card_id, group_id, product_id, how, candidates): ``number``, ``name`` or null where nothing fits.
 
     ``cards``: card_id, group_id, number, name, rarity.  ``products``: product_id, group_id, number, name, rarity,
-    position.  Candidates share group and number; the best has the card's rarity, then no parenthesis in its name, then a
-    clean name, then the exact name, then comes first.  It counts only if the names agree; otherwise an exact folded
-    name within the group is taken.  Both steps are equi-joins; the argmax is an aggregation with partial combining.
+    position.  Candidates share group and number.  The best has the card's tier (both known, whatever their case), then
+    no parenthesis in its name, then no word for another printing, then the card's whole name, then comes first.  It
+    counts only if the folded names agree; otherwise the best of those with the card's folded name is taken, and
+    failing that the one with the number.  Both steps are equi-joins, the argmax an aggregation with partial combining.
     """
-    c = cards.select("card_id", "group_id", text.card_number(F.col("number")).alias("__num"), text.folded(F.col("name")).alias("__name"), F.col("rarity").alias("__rarity"))
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    c = cards.select("card_id", "group_id", text.card_number(F.col("number")).alias("__num"), text.folded(F.col("name")).alias("__name"), low(F.col("name")).alias("__whole"), low(F.col("rarity")).alias("__tier"))
+    name = low(F.col("name"))
+    other = functools.reduce(operator.or_, [name.contains(m) for m in C.OTHER_PRINTINGS])
     p = products.select(
-        "product_id", "group_id", text.card_number(F.col("number")).alias("__num"), text.product_base(F.col("name")).alias("__pname"), F.col("rarity").alias("__prarity"),
-        F.col("name").contains("(").alias("__paren"), F.col("name").contains(" - ").alias("__dash"), "position",
+        "product_id", "group_id", text.card_number(F.col("number")).alias("__num"), text.product_base(F.col("name")).alias("__pname"), name.alias("__pwhole"),
+        low(F.col("rarity")).alias("__ptier"), name.contains("(").alias("__paren"), other.alias("__other"), "position",
     )
-    pairs = c.join(p, ["group_id", "__num"])
     rank = F.struct(
-        (F.col("__rarity") != F.col("__prarity")).alias("r"), F.col("__paren").alias("p"), F.col("__dash").alias("d"), (F.col("__name") != F.col("__pname")).alias("e"),
+        ~((F.col("__tier") != "") & (F.col("__tier") == F.col("__ptier"))), F.col("__paren"), F.col("__other"), ~((F.col("__whole") != "") & (F.col("__whole") == F.col("__pwhole"))),
         "position", "product_id", F.col("__pname").alias("pname"),
     )
-    best = pairs.groupBy("card_id").agg(F.min(rank).alias("best"))
-    by_name = p.where("__pname <> ''").groupBy("group_id", F.col("__pname").alias("__name")).agg(F.min(F.struct("position", "product_id"))["product_id"].alias("__named"))
-    out = c.join(best, "card_id", "left").join(by_name, ["group_id", "__name"], "left")
+    by_number = c.join(p, ["group_id", "__num"]).groupBy("card_id").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("candidates"))
+    named = c.join(p.drop("__num"), (c.group_id == p.group_id) & (F.col("__name") == F.col("__pname")) & (F.col("__pname") != "")).groupBy("card_id").agg(F.min(rank)["product_id"].alias("__named"))
+    out = c.join(by_number, "card_id", "left").join(named, "card_id", "left")
     fits = F.coalesce(names_agree(F.col("__name"), F.col("best.pname")), F.lit(False))
-    return out.select(
-        "card_id", "group_id", F.when(fits, F.col("best.product_id")).otherwise(F.col("__named")).alias("product_id"),
-        F.when(fits, "number").when(F.col("__named").isNotNull(), "name").alias("how"),
-    )
+    product = F.when(fits, F.col("best.product_id")).otherwise(F.coalesce("__named", "best.product_id"))
+    how = F.when(fits, "number").when(F.col("__named").isNotNull(), "name").when(F.col("best").isNotNull(), "number")
+    return out.select("card_id", "group_id", product.alias("product_id"), how.alias("how"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
 def coverage(matches: DataFrame) -> DataFrame:
-    """Rows per group: matched, total and the number fixed by name."""
+    """Rows per group: matched, total, those fixed by name and those with several candidates of their number."""
     return matches.groupBy("group_id").agg(
         F.count("product_id").alias("matched"), F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("how") == "name", 1)).alias("name_fixed"),
+        F.count(F.when((F.col("candidates") > 1) & F.col("product_id").isNotNull(), 1)).alias("ambiguous"),
     )
 
 
@@ -63,8 +70,8 @@ def subtype_price(wanted: DataFrame, prices: DataFrame, preferred: list[str]) ->
 def fill_gaps(cards: DataFrame, backup: DataFrame) -> DataFrame:
     """Prices from a second source by set and normal number, only for sets of which no card has a price."""
     whole = F.max(F.col("market_price").isNotNull()).over(Window.partitionBy("set_id"))
-    rows = cards.withColumns({"__any": whole, "__num": text.card_number(F.col("number"))})
-    b = backup.select("set_id", text.card_number(F.col("number")).alias("__num"), F.col("price").alias("__backup")).groupBy("set_id", "__num").agg(F.min("__backup").alias("__backup"))
+    rows = cards.withColumns({"__any": whole, "__num": text.plain_number(F.col("number"))})
+    b = backup.select("set_id", text.plain_number(F.col("number")).alias("__num"), F.col("price").alias("__backup")).groupBy("set_id", "__num").agg(F.min("__backup").alias("__backup"))
     out = rows.join(b, ["set_id", "__num"], "left")
     price = F.when(F.col("__any"), F.col("market_price")).otherwise(F.coalesce("market_price", "__backup"))
     source = F.when(F.col("market_price").isNull() & price.isNotNull(), "backup").when(price.isNotNull(), "primary")

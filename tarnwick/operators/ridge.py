@@ -92,6 +92,14 @@ def score(cards: DataFrame, models: tuple[DataFrame, DataFrame], by: list[str],
     return joined.drop(*[c for c in joined.columns if c.startswith("__")])
 
 
+def model_sizes(cards: DataFrame, models: tuple[DataFrame, DataFrame], small: int = 30, least: int = C.MIN_CLUSTER) -> DataFrame:
+    """Rows (card_id, n, small): the cards behind a card's model, and whether that calls for a note."""
+    own, whole = models
+    used = own.where(F.col("n") >= least).select("cluster", F.col("n").alias("__own"))
+    rows = cards.join(used, "cluster", "left").crossJoin(F.broadcast(whole.select(F.col("n").alias("__all"))))  # one row
+    return rows.select("card_id", F.coalesce("__own", "__all").alias("n"), (F.coalesce("__own", "__all") < small).alias("small"))
+
+
 def rescore(model: dict[str, Column], values: dict[str, Column]) -> Column:
     """The client's price for changed features: a missing one is skipped, not read as 0."""
     total = model["intercept"]

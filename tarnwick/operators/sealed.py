@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick import constants as C
@@ -13,12 +13,24 @@ def base_rates(spark) -> DataFrame:
     return spark.createDataFrame(list(C.TIER_RATES.items()), "rarity string, base_rate double")
 
 
+def rarity_counts(cards: DataFrame) -> DataFrame:
+    """Rows (set_id, rarity, n)."""
+    return cards.groupBy("set_id", "rarity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def staleness(dates: DataFrame, today: Column, most: int = 14) -> DataFrame:
+    """One row (oldest, newest, label, stale): the range of the pasted days; the oldest decides whether it is stale."""
+    out = dates.agg(F.min("as_of").alias("oldest"), F.max("as_of").alias("newest"))
+    label = F.when(F.col("oldest") == F.col("newest"), F.col("oldest").cast("string")).otherwise(F.concat(F.col("oldest").cast("string"), F.lit(" to "), F.col("newest").cast("string")))
+    return out.select("oldest", "newest", label.alias("label"), F.coalesce(F.datediff(today, "oldest") > most, F.lit(False)).alias("stale"))
+
+
 def with_pull_rates(cards: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """``cards`` plus ``tier_rate, n_in_tier, pull_rate``: the set's own rate, else the tier's, else the default.
 
     Rates are constants of a few rows; counts per (set, tier) come back by a join on that pair.
     """
-    counts = cards.groupBy("set_id", "rarity").agg(F.count(F.lit(1)).alias("n_in_tier"))
+    counts = rarity_counts(cards).withColumnRenamed("n", "n_in_tier")
     out = cards.join(F.broadcast(base_rates(cards.sparkSession)), "rarity", "left")  # fixed table
     if overrides is None:
         out = out.withColumn("override_rate", F.lit(None).cast("double"))
@@ -54,8 +66,9 @@ def sealed_value(sets: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def overlay(sets: DataFrame, feed: DataFrame) -> DataFrame:
-    """Market prices over the configured ones where the feed has a set's pack or box."""
-    f = feed.select("set_id", F.col("pack_price").alias("__pack"), F.col("box_price").alias("__box"))
+    """Market prices over the configured ones where the feed has one for a set's pack or box; a price of 0 is none."""
+    some = lambda c: F.nullif(F.col(c), F.lit(0.0))
+    f = feed.select("set_id", some("pack_price").alias("__pack"), some("box_price").alias("__box"))
     out = sets.join(f, "set_id", "left")
     return out.withColumns({"pack_price": F.coalesce("__pack", "pack_price"), "box_price": F.coalesce("__box", "box_price")}).drop("__pack", "__box")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarnwick import constants as C
 from tarnwick.operators.labels import TABLE
+from tarnwick.plans import fixtures as fx
 from tarnwick.plans.testmap import duck
 
 AS_OF, LAST_DAY = "DATE '2001-08-02'", "DATE '2024-01-30'"
@@ -148,7 +149,7 @@ GROUP = """CASE WHEN contains(lower(rarity), 'hyper') THEN 'Hyper Rare' WHEN con
  WHEN contains(lower(rarity), 'illustration') THEN 'Illustration Rare' WHEN contains(lower(rarity), 'ultra') OR contains(lower(rarity), 'mega') THEN 'Ultra/Mega Rare'
  WHEN contains(lower(rarity), 'double') THEN 'Double Rare' WHEN lower(rarity) IN ('common', 'uncommon', 'rare') THEN 'Common/Uncommon/Rare' ELSE 'Other' END"""
 TIER = "CASE WHEN price < 5 THEN '$2-5' WHEN price < 20 THEN '$5-20' WHEN price < 100 THEN '$20-100' ELSE '$100+' END"
-BUCKET = "CASE WHEN age_days < 0 THEN NULL WHEN age_days <= 35 THEN '0-35' WHEN age_days <= 90 THEN '36-90' WHEN age_days <= 180 THEN '91-180' WHEN age_days > 180 THEN '181+' END"
+BUCKET = "CASE WHEN age_days < 0 THEN NULL WHEN age_days <= 35 THEN '0-35d (fresh)' WHEN age_days <= 90 THEN '36-90d' WHEN age_days <= 180 THEN '91-180d' WHEN age_days > 180 THEN '180d+ (mature)' END"
 
 
 def pairs(h=(28,)) -> str:
@@ -164,14 +165,20 @@ def obs(h=(28,), f=F3, alpha=1.0) -> str:
 
 
 def rank(col: str, keys: str) -> str:
-    return f"(rank() OVER (PARTITION BY {keys} ORDER BY {col}) + (count(*) OVER (PARTITION BY {keys}, {col}) - 1) / 2.0::DOUBLE)"
+    """Twice the average rank, a whole number."""
+    return f"(2 * rank() OVER (PARTITION BY {keys} ORDER BY {col}) + count(*) OVER (PARTITION BY {keys}, {col}) - 1)::HUGEINT"
+
+
+#: Sums of whole numbers, so that a coefficient of 0 is 0.
+RHO = """CASE WHEN sum(x * x) > count(*) * (count(*) + 1)::HUGEINT * (count(*) + 1) AND sum(y * y) > count(*) * (count(*) + 1)::HUGEINT * (count(*) + 1) THEN
+ (sum(x * y) - count(*) * (count(*) + 1)::HUGEINT * (count(*) + 1))::DOUBLE
+ / (sqrt((sum(x * x) - count(*) * (count(*) + 1)::HUGEINT * (count(*) + 1))::DOUBLE) * sqrt((sum(y * y) - count(*) * (count(*) + 1)::HUGEINT * (count(*) + 1))::DOUBLE)) END"""
 
 
 def ics(source: str, keys: str = "", least: int = 8) -> str:
     k = f"{keys}, date" if keys else "date"
     return f"""rk AS (SELECT {k}, {rank('mispricing', k)} AS x, {rank('fwd', k)} AS y FROM {source}),
- ics AS (SELECT * FROM (SELECT {k}, count(*) AS n, CASE WHEN stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS ic FROM rk GROUP BY ALL)
-   WHERE n >= {least} AND ic IS NOT NULL)"""
+ ics AS (SELECT * FROM (SELECT {k}, count(*) AS n, {RHO} AS ic FROM rk GROUP BY ALL) WHERE n >= {least} AND ic IS NOT NULL)"""
 
 
 def summary(keys: str, lag: str = "5") -> str:
@@ -191,7 +198,7 @@ def pooled(bucket: str) -> str:
     return f"""bk AS (SELECT *, {bucket} AS bucket FROM obs), bb AS (SELECT bucket, fwd, {rank('mispricing', 'bucket')} AS x, {rank('fwd', 'bucket')} AS y FROM bk WHERE bucket IS NOT NULL)"""
 
 
-POOLED = """SELECT * FROM (SELECT bucket, count(*) AS n, round(CASE WHEN stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END, 6) AS ic,
+POOLED = f"""SELECT * FROM (SELECT bucket, count(*) AS n, round({RHO}, 6) AS ic,
  round(avg((fwd > 0)::INT::DOUBLE), 6) AS frac_up, round(avg(fwd), 6) AS mean_return FROM bb GROUP BY bucket) WHERE n >= 30"""
 
 
@@ -209,6 +216,7 @@ TREND = """base AS (SELECT *, max(date) OVER (PARTITION BY card_id) AS last FROM
  tt AS (SELECT card_id, latest, n_points, round((latest - b30) / b30, 4) AS trend_30d, round((latest - b90) / b90, 4) AS trend_90d, round((latest - b180) / b180, 4) AS trend_180d FROM tr)"""
 
 RCOLS = ", ".join(f"round({p}_{x}, 5) AS {p}_{x}" for x in F3 for p in ("mean", "std", "coef"))
+EXPORTED = ", ".join(f"{p}_{x}" for p in ("mean", "std", "coef") for x in F3)
 MECH = "[" + ", ".join(f"'{m}'" for m in C.MECHANICS) + "]"
 ORACLE: dict[str, str] = {
     "sealed_value": sql("cards", "sets", "overrides", ctes=PULLS + """, ev AS (SELECT set_id, sum(pull_rate * market_price) AS ev FROM pulled WHERE market_price IS NOT NULL GROUP BY set_id)""",
@@ -218,21 +226,49 @@ ORACLE: dict[str, str] = {
     "rarity_counts": sql("cards", select="SELECT set_id, rarity, count(*) AS n FROM cards GROUP BY ALL"),
     "pull_costs": sql("cards", "sets", "overrides", ctes=PULLS, select="""SELECT card_id, round(tier_rate, 6) AS tier_rate, n_in_tier, round(pull_rate, 8) AS pull_rate,
         round(CASE WHEN pull_rate > 0 THEN pack_price / pull_rate ELSE 0 END, 4) AS pull_cost FROM pulled JOIN sets USING (set_id)"""),
-    "sealed_overlay": sql("sets", select="SELECT set_id, CASE WHEN length(set_id) = 7 THEN pack_price * 2 ELSE pack_price END AS pack_price, box_price FROM sets"),
-    "sealed_feed": sql("sets", select="SELECT set_id, DATE '2024-01-03' AS as_of, round(pack_price, 4) AS pack_price, 2 AS pack_sold, round(box_price, 4) AS box_price, 3 AS box_sold FROM sets"),
-    "sealed_staleness": sql("sets", select=f"""SELECT min(d) AS oldest, max(d) AS newest, {LAST_DAY} - min(d) > 14 AS stale FROM (SELECT DATE '2024-01-01' + (length(set_id) * 5)::INTEGER AS d FROM sets)"""),
+    "sealed_overlay": sql("sets", ctes="feed AS (SELECT set_id, pack_price * 2 AS p FROM sets WHERE length(set_id) = 7)",
+        select=f"SELECT set_id, coalesce(p, pack_price) AS pack_price, box_price FROM sets LEFT JOIN feed USING (set_id) UNION ALL SELECT * FROM {fx.values(fx.OVERLAY_WANT, 'set_id, pack_price, box_price')}"),
+    "sealed_feed": sql("sets", ctes="""items AS (SELECT set_id, unnest([{'k': 1, 'name': 'Elite Trainer Box Pokemon Center', 'price': box_price * 2, 'sold': 1}, {'k': 2, 'name': 'Booster Pack', 'price': pack_price, 'sold': 2},
+          {'k': 3, 'name': 'Elite Trainer Box Plus', 'price': box_price, 'sold': 3}, {'k': 4, 'name': 'Booster Pack', 'price': box_price, 'sold': 4}]) AS i FROM sets),
+        pk AS (SELECT set_id, arg_min(i.price, i.k) AS price, arg_min(i.sold, i.k) AS sold FROM items WHERE i.name = 'Booster Pack' GROUP BY set_id),
+        bx AS (SELECT set_id, arg_min(i.price, i.k) AS price, arg_min(i.sold, i.k) AS sold FROM items WHERE starts_with(i.name, 'Elite Trainer Box') AND NOT contains(i.name, 'Pokemon Center') GROUP BY set_id)""",
+        select="SELECT set_id, DATE '2024-01-03' AS as_of, round(pk.price, 4) AS pack_price, pk.sold AS pack_sold, round(bx.price, 4) AS box_price, bx.sold AS box_sold FROM pk JOIN bx USING (set_id)"),
+    "sealed_staleness": sql("sets", select=f"""SELECT min(d) AS oldest, max(d) AS newest, CASE WHEN min(d) = max(d) THEN min(d)::VARCHAR ELSE min(d) || ' to ' || max(d) END AS label, {LAST_DAY} - min(d) > 14 AS stale FROM (SELECT DATE '2024-01-01' + (length(set_id) * 5)::INTEGER AS d FROM sets)"""),
     "base_names": sql("cards", select=f"""SELECT card_id, full_ AS "full", regexp_replace(trim(CASE WHEN supertype = 'Pokémon' THEN regexp_replace(full_, '^.*''s ', '') ELSE full_ END), '( (ex|EX|V|VMAX|VSTAR|GX|BREAK|LV\\.X|δ|Prime|Star))+$', '') AS base
         FROM (SELECT card_id, supertype, CASE WHEN card_id % 4 = 0 THEN 'Owner''s ' ELSE '' END || name || ' ' || {MECH}[(card_id % 11 + 1)::INTEGER] || CASE WHEN card_id % 3 = 0 THEN ' ex' ELSE '' END AS full_ FROM cards)"""),
-    "folded_names": sql("cards", select="""SELECT card_id, 'flabebe' || replace(name, ' ', '') || 'holopromo' AS folded, 'flabebe' || replace(name, ' ', '') AS product,
-        coalesce(nullif(ltrim(split_part(number, '/', 1), '0'), ''), '0') AS number, CASE WHEN card_id % 2 = 0 THEN 'Reverse Holofoil' ELSE 'Normal' END AS variant,
-        'Mega ' || name || ' X,' || name || ' X,' || name AS keys, name || ' ' || number AS query, true AS graded FROM cards"""),
+    "literal_names": f"SELECT * FROM {fx.values(fx.NAMES_WANT, 'id, base, folded, number, plain')}",
+    "normal_cards": sql("cards", select="""SELECT CASE WHEN card_id = 7 THEN 'zsv10pt5-171' ELSE 'x-' || card_id END AS id,
+        regexp_replace(CASE WHEN supertype = 'Trainer' AND card_id % 4 = 0 THEN 'Owner''s ' ELSE '' END || name || CASE WHEN card_id % 3 = 0 THEN ' ex' ELSE '' END, '( ex)+$', '') AS base_name,
+        supertype, CASE WHEN card_id = 7 THEN 'Black White Rare' WHEN card_id % 6 > 0 THEN rarity ELSE 'Unknown' END AS rarity, set_id, release_date, round(nullif(market_price, 0), 4) AS market_price,
+        CASE WHEN market_price <> 0 THEN 'normal' END AS price_variant, dex FROM cards"""),
+    "second_prices": f"SELECT * FROM {fx.values(fx.SECOND_WANT, 'id, price, variant')}",
+    "archive_series": sql("panel", ctes="""g AS (SELECT *, floor(card_id / 100) AS g, CASE WHEN card_id % 3 = 0 THEN 'Normal' ELSE 'Odd' END AS subtype FROM panel WHERE price IS NOT NULL),
+        whole AS (SELECT * FROM g WHERE NOT (g = 1 AND day(date) < 8)),
+        pts AS (SELECT date, card_id, subtype, price FROM whole UNION ALL SELECT date, card_id, 'Holofoil', price * 2 FROM whole WHERE card_id % 2 = 0)""",
+        select="""SELECT date, card_id, round(arg_min(price, CASE WHEN subtype = CASE WHEN card_id % 3 = 0 THEN 'Normal' ELSE 'Reverse Holofoil' END THEN 0 WHEN subtype = 'Holofoil' THEN 1 WHEN subtype = 'Normal' THEN 2 ELSE 6 END), 2) AS price
+        FROM pts GROUP BY ALL"""),
+    "literal_gates": f"SELECT * FROM {fx.values(fx.GATES_WANT, 'id, reason, surfaced, verdict, age')}",
+    "literal_display": f"SELECT * FROM {fx.values(fx.DISPLAY_WANT, 'id, shipping, trajectory, saturation')}",
+    "search_interest": f"SELECT * FROM {fx.values(fx.INTEREST_WANT, 'name, score, n_days')}",
+    "panels": sql("listings", ctes="""a AS (SELECT card_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS tens, round(avg(value), 2) AS price FROM listings GROUP BY card_id), b AS (SELECT *, n * 97 AS big, (price / 64 - 0.25::DOUBLE) / 2 * 0.5::DOUBLE AS z FROM a)""",
+        select="""SELECT card_id, CASE WHEN card_id % 3 > 0 THEN 'active listings=' || format('{:,}', big) || '; new (7d)=' || CASE WHEN card_id % 2 = 0 THEN format('{:,}', n) ELSE '—' END || '; sold est (7d)=' || format('{:,}', tens) END AS flow,
+        CASE WHEN card_id % 5 > 0 THEN 'graded total=' || format('{:,}', big) || '; PSA 10=' || format('{:,}', tens) || '; gem rate=' || printf('%.1f', 100 * (tens / n::DOUBLE)) || '%' END AS population,
+        '$' || format('{:,.2f}', price) || CASE WHEN card_id % 2 = 0 AND price > 0 THEN ' ▼ ' ELSE ' ▲ ' END || printf('%.1f', CASE WHEN card_id % 2 = 0 THEN price / 16 ELSE 0 END) || '% · ' || format('{:,}', tens) || ' sold · '
+          || CASE WHEN card_id % 7 = 0 THEN '—' WHEN big >= 1000 THEN printf('%.1f', big / 1000.0::DOUBLE) || 'k' ELSE big::VARCHAR END || ' listed 24h to 2024-01-02' AS line,
+        CASE WHEN card_id % 4 = 0 THEN 'No price effect in this cluster (flat in the model).' ELSE CASE WHEN z > 0.0005 THEN '▲ raises' WHEN z < -0.0005 THEN '▼ lowers' ELSE '· neutral' END
+          || ' the estimate (contribution ' || CASE WHEN z >= 0 THEN '+' ELSE '' END || printf('%.3f', z) || ' in log-price)' END AS slider, printf('%.0f', price) || ' mo' AS months FROM b"""),
+    "folded_names": sql("cards", ctes="f AS (SELECT *, 'Flabébé ' || name || ' (Holo) - promo' AS x, 'Mega ' || name || ' X' AS m, CASE WHEN card_id % 2 = 0 THEN 'reverseholofoil' ELSE 'normal' END AS v FROM cards)",
+        select="""SELECT card_id, regexp_replace(lower(strip_accents(x)), '[^a-z0-9]', '', 'g') AS folded, regexp_replace(lower(strip_accents(split_part(split_part(x, ' - ', 1), '(', 1))), '[^a-z0-9]', '', 'g') AS product,
+        coalesce(nullif(ltrim(split_part('00' || number, '/', 1), '0'), ''), '0') AS number, CASE v WHEN 'reverseholofoil' THEN 'Reverse Holofoil' WHEN 'normal' THEN 'Normal' ELSE 'Holofoil' END AS variant,
+        array_to_string(list_distinct_in_order, ',') AS keys, name || ' ' || number AS query, regexp_matches(' ' || lower(name || ' PSA 9') || ' ', ' psa | cgc | bgs | sgc |graded') AS graded
+        FROM (SELECT *, [m, regexp_replace(m, '^Mega ', ''), regexp_replace(regexp_replace(m, '^Mega ', ''), ' [XYZ]$', '')] AS list_distinct_in_order FROM f)"""),
     "date_formats": sql("cards", select=f"""SELECT card_id, d AS day, round(greatest(0, ({AS_OF} - d) / 30.4375::DOUBLE), 4) AS months,
         CASE WHEN d IS NULL THEN NULL WHEN DATE '1995-03-01' - d <= 0 THEN 'Today' WHEN DATE '1995-03-01' - d = 1 THEN 'Yesterday' ELSE (DATE '1995-03-01' - d) || ' days ago' END AS label
         FROM (SELECT card_id, CASE WHEN card_id % 3 < 2 THEN release_date END AS d FROM cards)"""),
     "variant_pick": sql("cards", select="""SELECT card_id, variant, round(CASE variant WHEN 'reverseHolofoil' THEN p WHEN 'normal' THEN p * 2 WHEN 'other' THEN p * 3 END, 4) AS price FROM (
         SELECT card_id, market_price AS p, CASE WHEN market_price IS NULL OR market_price = 0 THEN NULL WHEN card_id % 3 = 0 THEN 'reverseHolofoil' WHEN card_id % 5 = 0 THEN 'normal' ELSE 'other' END AS variant FROM cards)"""),
     "subtype_price": sql("cards", ctes="""wanted AS (SELECT card_id, card_id % 100 AS product_id, ['Normal', 'Holofoil', 'Reverse Holofoil'][(card_id % 3 + 1)::INTEGER] AS wanted FROM cards WHERE market_price IS NOT NULL),
-        prices AS (SELECT card_id % 100 AS product_id, CASE WHEN card_id < 150 THEN 'Holofoil' WHEN card_id < 250 THEN 'Normal' ELSE 'Foil' END AS subtype, max(market_price) AS price FROM cards WHERE market_price IS NOT NULL AND card_id < 300 GROUP BY ALL)""",
+        prices AS (SELECT card_id % 100 AS product_id, CASE WHEN card_id < 150 THEN 'Holofoil' WHEN card_id < 250 THEN 'Normal' ELSE 'Foil' END AS subtype, max(market_price) AS price FROM cards WHERE market_price IS NOT NULL GROUP BY ALL)""",
         select="""SELECT card_id, price FROM (SELECT w.card_id, p.price, row_number() OVER (PARTITION BY card_id ORDER BY CASE WHEN subtype = wanted THEN 0 WHEN subtype = 'Holofoil' THEN 1 WHEN subtype = 'Normal' THEN 2 ELSE 3 END, subtype, price) AS k
         FROM wanted w JOIN prices p USING (product_id)) WHERE k = 1"""),
     "price_band_means": sql("listings", ctes=f"""mk AS (SELECT card_id, round(avg(value), 2) AS market FROM listings GROUP BY card_id),
@@ -243,17 +279,18 @@ ORACLE: dict[str, str] = {
         select="""SELECT card_id, usable, counted, ids, CASE WHEN usable > 0 THEN counted END AS active FROM (SELECT card_id, sum(ok::INT)::BIGINT AS usable, sum((ok AND fine)::INT)::BIGINT AS counted, count(DISTINCT CASE WHEN ok AND fine THEN item END) AS ids FROM u GROUP BY card_id)"""),
     "gates": sql("cards", ctes="""g AS (SELECT *, market_price AS price, market_price * CASE WHEN card_id % 2 = 0 THEN 0.5::DOUBLE ELSE 1.1::DOUBLE END AS e, (DATE '1995-04-01' - release_date)::INTEGER AS age_days FROM cards),
         g2 AS (SELECT *, greatest(age_days, 0) / 30.4375::DOUBLE AS months, price >= 20 AND price < 100 AS dead FROM g), g3 AS (SELECT *, coalesce(months <= 35 / 30.4375::DOUBLE, false) AS fresh FROM g2)""",
-        select=f"""SELECT card_id, CASE WHEN fresh OR price IS NULL THEN NULL WHEN dead THEN 'mature mid-price' WHEN e > 0 AND price > 1.75::DOUBLE * e THEN 'chase premium' END AS reason,
+        select=f"""SELECT card_id, CASE WHEN fresh OR price IS NULL THEN NULL WHEN dead THEN 'mature mid-price — model near-efficient here' WHEN e > 0 AND price > 1.75::DOUBLE * e THEN 'chase premium the model can''t price' END AS reason,
         coalesce(coalesce(age_days BETWEEN 0 AND 35, false) OR NOT dead, false) AS surfaced, CASE WHEN price IS NULL THEN NULL WHEN (price - e) / e < -0.15::DOUBLE THEN 'under' WHEN (price - e) / e > 0.15::DOUBLE THEN 'over' ELSE 'fair' END AS verdict,
         {GROUP} AS grp, CASE WHEN price IS NULL THEN NULL ELSE {TIER} END AS tier, {BUCKET} AS age, CASE WHEN card_id % 3 = 0 THEN true ELSE NOT (NOT fresh AND coalesce(dead, false)) END AS client_edge FROM g3"""),
     "display_rules": sql("listings", select=f"""SELECT event_id, CASE WHEN x - 0.2 >= 0.10 THEN 'Undervalued' WHEN x - 0.2 <= -0.10 THEN 'Overvalued' ELSE 'Fair' END AS pill,
-        CASE WHEN x + 0.5 < 0.97 THEN 'tightening' WHEN x + 0.5 > 1.03 THEN 'loosening' ELSE 'steady' END AS sat, CASE WHEN x - 0.1 >= 0.04 THEN 'good' WHEN x - 0.1 <= -0.02 THEN 'bad' ELSE 'neutral' END AS tone,
+        CASE WHEN x + 0.5 < 0.97 THEN 'tightening −' || printf('%.0f', abs(x + 0.5 - 1) * 100) || '%' WHEN x + 0.5 > 1.03 THEN 'loosening +' || printf('%.0f', abs(x + 0.5 - 1) * 100) || '%' ELSE 'steady' END AS sat, CASE WHEN x - 0.1 >= 0.04 THEN 'good' WHEN x - 0.1 <= -0.02 THEN 'bad' ELSE 'neutral' END AS tone,
         CASE WHEN abs(x - 0.2) <= 0.005 THEN 'flat' WHEN x - 0.2 > 0 THEN 'up' ELSE 'down' END AS chip, event_id % 2 = 0 OR event_id % 50 BETWEEN 0 AND 24 AS shown,
         CASE WHEN {LAST_DAY} - date <= 0 THEN 'Today' WHEN {LAST_DAY} - date = 1 THEN 'Yesterday' ELSE ({LAST_DAY} - date) || ' days ago' END AS age, round((1 - value / 30.0::DOUBLE) * 100, 0)::INTEGER AS under,
         round(greatest(0, least(1, x - 0.5)), 6) AS gauge, round(greatest(0, least(1, x / 0.40::DOUBLE)), 6) AS demand,
-        CASE event_id % 3 WHEN 0 THEN 'free ship $' || printf('%.2f', value) WHEN 1 THEN 'all-in $' || printf('%.2f', value + 4.5) ELSE 'item $' || printf('%.2f', value) END AS shipping,
+        CASE event_id % 3 WHEN 0 THEN 'free ship' WHEN 1 THEN '$' || format('{{:,.0f}}', round(value, 0)) || ' + $4 ship' ELSE '+ ship not listed' END AS shipping,
         CASE WHEN event_id >= 1000 THEN printf('%.1f', event_id / 1000.0::DOUBLE) || 'k' ELSE event_id::VARCHAR END AS short,
-        CASE WHEN event_id % 4 > 0 AND {LAST_DAY} - date >= 3 THEN 'refresh recommended' ELSE CASE WHEN dd <= 0 THEN 'Today' WHEN dd = 1 THEN 'Yesterday' ELSE dd || ' days ago' END END AS banner,
+        CASE WHEN event_id % 4 > 0 THEN 'Prices refreshed|' ELSE 'Site built|' END || CASE WHEN dd <= 0 THEN 'Today' WHEN dd = 1 THEN 'Yesterday' ELSE dd || ' days ago' END || '|' ||
+        CASE WHEN event_id % 4 > 0 THEN 'as of ' || date || CASE WHEN {LAST_DAY} - date >= 3 THEN ' · refresh recommended' ELSE '' END ELSE 'on 2024-01-29' END AS banner,
         CASE WHEN card_id < 20 THEN 'low' WHEN card_id < 45 THEN 'med' ELSE 'high' END AS conf
         FROM (SELECT *, value / 100.0::DOUBLE AS x, {LAST_DAY} - CASE WHEN event_id % 4 > 0 THEN date ELSE DATE '2024-01-29' END AS dd FROM listings)"""),
     "prior_scores": sql("cards", select="""SELECT *, round(CASE WHEN poll IS NOT NULL AND v2 IS NOT NULL THEN 0.7::DOUBLE * greatest(poll, v2) + 0.3::DOUBLE * least(poll, v2) ELSE coalesce(poll, least(v2, 8.3::DOUBLE)) END, 6) AS prior FROM (
@@ -266,19 +303,19 @@ ORACLE: dict[str, str] = {
     "cluster_ridge": sql("cards", "priors", ctes=MODEL, select=f"SELECT cluster, n, round(intercept, 5) AS intercept, {RCOLS} FROM own"),
     "global_ridge": sql("cards", "priors", ctes=MODEL, select=f"SELECT n, round(intercept, 5) AS intercept, {RCOLS} FROM whole"),
     "ridge_scores": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, cluster, model_n, round(expected_price, 4) AS expected_price, round(residual, 5) AS residual, " + ", ".join(f"round(z_{x}, 6) AS part_{x}" for x in F3) + " FROM scored"),
-    "model_export": sql("cards", "priors", ctes=MODEL + ", both_ AS (SELECT cluster, n, intercept, " + ", ".join(f"mean_{x}" for x in F3) + " FROM own UNION ALL SELECT 'global', n, intercept, " + ", ".join(f"mean_{x}" for x in F3) + " FROM whole)",
-        select="SELECT cluster, n, printf('%.4f', round(intercept, 6)) AS intercept, " + " || ';' || ".join(f"printf('%.4f', round(mean_{x}, 6))" for x in F3) + " AS means FROM both_"),
+    "model_export": sql("cards", "priors", ctes=MODEL + ", both_ AS (SELECT cluster, n, intercept, " + EXPORTED + " FROM own UNION ALL SELECT 'global', n, intercept, " + EXPORTED + " FROM whole)",
+        select="SELECT cluster, n, round(intercept, 6) AS intercept, " + ", ".join(f"round({p}_{x}, 6) AS {p}s_{k}" for p in ("mean", "std", "coef") for k, x in enumerate(F3)) + " FROM both_"),
     "small_sample_notes": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, coalesce(o.n, w.n) AS n, coalesce(o.n, w.n) < 30 AS small FROM feat LEFT JOIN (SELECT * FROM own WHERE n >= 12) o USING (cluster) CROSS JOIN whole w"),
     "rescored": sql("cards", "priors", ctes=MODEL, select="""SELECT card_id, round(exp(intercept + CASE WHEN card_id % 4 > 0 AND char_premium IS NOT NULL THEN coef_char_premium * (char_premium - mean_char_premium) / std_char_premium ELSE 0 END
         + coef_scarcity * (scarcity - mean_scarcity) / std_scarcity + coef_months_since_release * (months_since_release - mean_months_since_release) / std_months_since_release), 4) AS price FROM feat CROSS JOIN whole"""),
     "fit_metric": sql("cards", "priors", ctes=MODEL, select="SELECT round(power(corr(ln(market_price), ln(expected_price)), 2), 6) AS r2_log, count(residual) AS n FROM scored WHERE market_price > 0"),
-    "leaderboard_under": sql("cards", "priors", ctes=POOL, select="SELECT card_id, market_price, round(expected_price, 3) AS expected_price, raw_diff FROM pool ORDER BY raw_diff DESC, card_id LIMIT 50"),
-    "leaderboard_over": sql("cards", "priors", ctes=POOL, select="SELECT card_id, market_price, round(expected_price, 3) AS expected_price, raw_diff FROM pool ORDER BY raw_diff, card_id LIMIT 50"),
+    "leaderboard_under": sql("cards", "priors", ctes=POOL, select="SELECT card_id, market_price, round(expected_price, 3) AS expected_price, raw_diff FROM pool ORDER BY expected_price - market_price DESC, card_id LIMIT 50"),
+    "leaderboard_over": sql("cards", "priors", ctes=POOL, select="SELECT card_id, market_price, round(expected_price, 3) AS expected_price, raw_diff FROM pool ORDER BY expected_price - market_price, card_id LIMIT 50"),
     "movers": sql("cards", "priors", "snapshots", ctes=POOL + ", " + dyn(LAST_DAY, LAST_DAY) + """,
         sh AS (SELECT pool.*, status, coalesce(CASE WHEN status = 'ok' THEN abs(supply_saturation - 1) END, 0)::DOUBLE AS shift FROM pool LEFT JOIN dyn USING (card_id)), most AS (SELECT coalesce(max(shift), 0) AS m FROM sh)""",
         select="""SELECT card_id, round(shift, 4) AS shift, raw_diff, CASE WHEN m > 0 THEN 'saturation_shift' ELSE 'price_signal_fallback' END AS mover_basis, m = 0 AS awaiting_data
-        FROM sh, most WHERE m = 0 OR status = 'ok' ORDER BY round(CASE WHEN m > 0 THEN shift ELSE abs(raw_diff) END, 6) DESC, card_id LIMIT 50"""),
-    "movers_fallback": sql("cards", "priors", ctes=POOL, select="SELECT card_id, raw_diff, 'price_signal_fallback' AS mover_basis, true AS awaiting_data FROM pool ORDER BY abs(raw_diff) DESC, card_id LIMIT 50"),
+        FROM sh, most WHERE m = 0 OR status = 'ok' ORDER BY CASE WHEN m > 0 THEN shift ELSE abs(expected_price - market_price) END DESC, card_id LIMIT 50"""),
+    "movers_fallback": sql("cards", "priors", ctes=POOL, select="SELECT card_id, raw_diff, 'price_signal_fallback' AS mover_basis, true AS awaiting_data FROM pool ORDER BY abs(expected_price - market_price) DESC, card_id LIMIT 50"),
     "most_underpriced": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, round(residual, 5) AS residual FROM scored WHERE residual IS NOT NULL ORDER BY round(residual, 5), card_id LIMIT 25"),
 }
 REVIEW = premium() + """, rp AS (SELECT *, cume_dist() OVER (PARTITION BY rarity ORDER BY market_price) AS pct FROM cards WHERE market_price IS NOT NULL),
@@ -286,15 +323,23 @@ REVIEW = premium() + """, rp AS (SELECT *, cume_dist() OVER (PARTITION BY rarity
  review AS (SELECT base_name, round(best_pct, 6) AS best_pct, round(top_price, 2) AS top_price, top_card, round(char_premium, 2) AS premium, round(round(10 * best_pct, 2) - round(char_premium, 2), 2) AS gap
    FROM rv JOIN prem USING (base_name) WHERE char_premium IS NOT NULL AND top_price >= 20)"""
 LABELS = f"lab(k, label, tone) AS (VALUES {values([('|'.join(k), *v) for k, v in TABLE.items()])})"
-PRODUCTS = """pr AS (SELECT card_id + 100000 AS product_id, set_id AS group_id, CASE WHEN card_id % 11 = 0 THEN '999' ELSE split_part(number, '/', 1) END AS num,
-   CASE WHEN card_id % 7 = 0 THEN name WHEN card_id % 5 = 0 THEN 'misprint' ELSE name END AS pname_, card_id % 7 = 0 AS paren, rarity AS prarity, card_id AS position FROM cards),
- pf AS (SELECT *, replace(pname_, ' ', '') AS pname FROM pr), cf AS (SELECT card_id, set_id AS group_id, split_part(number, '/', 1) AS num, replace(name, ' ', '') AS fname, rarity FROM cards),
- best AS (SELECT card_id, product_id, pname FROM (SELECT c.card_id, p.product_id, p.pname, row_number() OVER (PARTITION BY c.card_id ORDER BY c.rarity <> p.prarity, p.paren, c.fname <> p.pname, position, product_id) AS k
-   FROM cf c JOIN pf p ON p.group_id = c.group_id AND p.num = c.num) WHERE k = 1),
- named AS (SELECT group_id, pname, arg_min(product_id, position) AS named FROM pf GROUP BY ALL),
- mt AS (SELECT c.card_id, c.group_id, CASE WHEN contains(c.fname, b.pname) OR contains(b.pname, c.fname) THEN b.product_id ELSE n.named END AS product_id,
-   CASE WHEN contains(c.fname, b.pname) OR contains(b.pname, c.fname) THEN 'number' WHEN n.named IS NOT NULL THEN 'name' END AS how
-   FROM cf c LEFT JOIN best b USING (card_id) LEFT JOIN named n ON n.group_id = c.group_id AND n.pname = c.fname)"""
+MARKERS = ", ".join(f"'{m}'" for m in ("poke ball pattern", "master ball pattern", "pattern", "metal card", "jumbo", "oversized", "staff", "promo"))
+PRODUCTS = f"""pr AS (SELECT card_id + 100000 AS product_id, set_id AS group_id, CASE WHEN card_id % 11 = 0 THEN '999' ELSE split_part(number, '/', 1) END AS num,
+   CASE WHEN card_id % 7 = 0 THEN name || ' (Alternate) - promo' WHEN card_id % 5 = 0 THEN 'misprint' ELSE name END AS name, rarity, card_id AS position FROM cards),
+ pf AS (SELECT *, lower(trim(name)) AS low, lower(coalesce(rarity, '')) AS tier, regexp_replace(lower(split_part(split_part(name, ' - ', 1), '(', 1)), '[^a-z0-9]', '', 'g') AS base FROM pr),
+ ps AS (SELECT *, contains(low, '(') AS paren, len(list_filter([{MARKERS}], lambda m: contains(low, m))) > 0 AS other FROM pf),
+ cf AS (SELECT card_id, set_id AS group_id, split_part(number, '/', 1) AS num, lower(trim(name)) AS low, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS base, lower(coalesce(rarity, '')) AS tier FROM cards),
+ ranked AS (SELECT c.card_id, p.product_id, p.base AS pbase, c.num = p.num AS by_num, c.base = p.base AS by_name, count(*) FILTER (c.num = p.num) OVER (PARTITION BY c.card_id) AS candidates,
+   row_number() OVER (PARTITION BY c.card_id, c.num = p.num ORDER BY (c.tier <> '' AND c.tier = p.tier) DESC, paren, other, (c.low <> '' AND c.low = p.low) DESC, position, product_id) AS kn,
+   row_number() OVER (PARTITION BY c.card_id, c.base = p.base ORDER BY (c.tier <> '' AND c.tier = p.tier) DESC, paren, other, (c.low <> '' AND c.low = p.low) DESC, position, product_id) AS kb
+   FROM cf c JOIN ps p ON p.group_id = c.group_id AND (p.num = c.num OR p.base = c.base)),
+ best AS (SELECT card_id, product_id, pbase FROM ranked WHERE by_num AND kn = 1), named AS (SELECT card_id, product_id AS named FROM ranked WHERE by_name AND kb = 1),
+ cn AS (SELECT card_id, max(candidates) AS candidates FROM ranked GROUP BY card_id),
+ judged AS (SELECT c.card_id, c.group_id, b.product_id, n.named, coalesce(candidates, 0) AS candidates, coalesce(contains(c.base, b.pbase) OR contains(b.pbase, c.base), false) AS fits
+   FROM cf c LEFT JOIN best b USING (card_id) LEFT JOIN named n USING (card_id) LEFT JOIN cn USING (card_id)),
+ mt AS (SELECT card_id, group_id, CASE WHEN fits THEN product_id ELSE coalesce(named, product_id) END AS product_id,
+   CASE WHEN fits THEN 'number' WHEN named IS NOT NULL THEN 'name' WHEN product_id IS NOT NULL THEN 'number' END AS how, candidates FROM judged
+   UNION ALL SELECT card_id, 'fx', product_id, how, candidates FROM {fx.values(fx.MATCH_WANT, 'card_id, product_id, how, candidates')})"""
 NUM = "CAST(substr(set_id, 7) AS INT)"
 ORACLE |= {
     "premium_review": sql("cards", "priors", ctes=REVIEW, select="SELECT * FROM review"),
@@ -303,9 +348,11 @@ ORACLE |= {
     "card_search": sql("cards", ctes="h AS (SELECT * FROM cards WHERE contains(lower(name), 'gear') OR contains(lower(set_name), 'gear') OR contains(lower(number), 'gear'))",
         select="SELECT card_id, name, market_price, (SELECT count(*) FROM h) AS n_hits FROM h ORDER BY coalesce(market_price, -1) DESC, card_id LIMIT 120"),
     "card_search_by_name": sql("cards", ctes="h AS (SELECT * FROM cards WHERE set_id = 'Brand#7')", select="SELECT card_id, name, (SELECT count(*) FROM h) AS n_hits FROM h ORDER BY lower(name), name, card_id LIMIT 120"),
-    "top_characters": sql("cards", select="SELECT base_name, max(market_price) AS best FROM cards WHERE market_price IS NOT NULL AND name <> 'red widget' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
+    "top_characters": sql("cards", select="SELECT base_name, max(coalesce(market_price, 0)) AS best FROM cards WHERE supertype = 'Pokémon' AND base_name <> 'red widget' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 16"),
     "sweep_universe": sql("cards", select="SELECT card_id, market_price FROM cards WHERE market_price >= 2 ORDER BY market_price DESC, card_id LIMIT 850"),
-    "meta_counts": sql("cards", "priors", ctes=MODEL, select="SELECT (SELECT count(*) FROM cards) AS n_cards, (SELECT count(market_price) FROM cards) AS n_priced, (SELECT count(DISTINCT set_id) FROM cards) AS n_sets, (SELECT count(*) FROM own WHERE n >= 12) AS n_clusters"),
+    "meta_counts": sql("cards", "priors", ctes=MODEL, select="""SELECT (SELECT count(*) FROM cards) AS n_cards, (SELECT count(market_price) FROM cards) AS n_priced, (SELECT count(DISTINCT set_id) FROM cards) AS n_sets,
+        (SELECT count(residual) FROM scored) AS n_logged, (SELECT round(power(corr(ln(market_price), ln(expected_price)), 2), 6) FROM scored WHERE market_price > 0) AS r2_log,
+        (SELECT count(*) FROM own WHERE n >= 12) AS n_clusters, (SELECT string_agg(cluster, ', ' ORDER BY cluster) FROM own WHERE n >= 12) AS clusters"""),
     "set_names": sql("cards", select="SELECT DISTINCT set_name FROM cards"),
     "listing_flows": sql("snapshots", ctes=FLOWS, select="SELECT card_id, date, active, new_listings, ended_listings, est_sold, est_unsold FROM flows"),
     "yesterday_flows": sql("snapshots", ctes=FLOWS.replace("lag(active) OVER w AS a0, lag(average) OVER w AS v0, lag(item_ids) OVER w AS i0 FROM snapshots WINDOW w AS (PARTITION BY card_id ORDER BY date)",
@@ -320,7 +367,7 @@ ORACLE |= {
           coalesce(demand_pressure >= 15, false) OR coalesce(supply_saturation < 0.97, false) AS tight, coalesce(supply_saturation > 1.03, false) AS loose FROM dyn LEFT JOIN moves USING (card_id)),
         k AS (SELECT *, CASE WHEN status <> 'ok' THEN 'unknown' WHEN tight AND NOT loose THEN 'tightening' WHEN loose AND NOT tight THEN 'loosening' ELSE 'steady' END AS market_state FROM j)""",
         select="""SELECT card_id, price_state, market_state, label, tone, CASE WHEN market_state <> 'unknown' THEN 'full' WHEN pct IS NOT NULL THEN 'price_only' ELSE 'none' END AS confidence,
-        concat_ws(' · ', CASE WHEN pct IS NOT NULL THEN 'price ' || CASE WHEN pct >= 0 THEN '+' ELSE '' END || format('{:,.1f}', pct) || '% (' || d || 'd)' END,
+        concat_ws(' · ', CASE WHEN pct IS NOT NULL THEN 'price ' || CASE WHEN pct >= 0 THEN '+' ELSE '' END || printf('%.1f', pct) || '% (' || d || 'd)' END,
           CASE WHEN market_state <> 'unknown' AND demand_pressure IS NOT NULL THEN 'sell-through ' || printf('%.0f', demand_pressure) || '%' END,
           CASE WHEN market_state <> 'unknown' AND abs(supply_saturation - 1) >= 0.03 THEN 'supply ×' || printf('%.2f', supply_saturation) END) AS detail
         FROM k JOIN lab ON lab.k = price_state || '|' || market_state"""),
@@ -332,13 +379,13 @@ ORACLE |= {
     "window_lows": sql("snapshots", ctes="s AS (SELECT *, min(average) OVER (PARTITION BY card_id ORDER BY date RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW) AS low FROM snapshots WHERE average IS NOT NULL)",
         select="SELECT card_id, date, low, average <= low AS is_low FROM s"),
     "sealed_trends": sql("panel", ctes=TREND, select="""SELECT *, CASE WHEN trend_30d IS NULL THEN NULL WHEN trend_30d <= -0.04 AND coalesce(trend_90d, 0) <= 0 THEN 'Falling' WHEN trend_30d <= -0.03 AND coalesce(trend_180d, 0) > 0.15 THEN 'Cooling after run'
-        WHEN trend_30d >= 0.05 AND coalesce(trend_90d, 0) >= 0.10 THEN 'Accelerating' WHEN trend_30d >= 0.02 AND coalesce(trend_90d, 0) >= 0 THEN 'Steady up' WHEN abs(trend_30d) < 0.03 THEN 'Flat' ELSE 'Choppy' END AS trajectory,
+        WHEN trend_30d >= 0.05 AND coalesce(trend_90d, 0) >= 0.10 THEN 'Accelerating ↑' WHEN trend_30d >= 0.02 AND coalesce(trend_90d, 0) >= 0 THEN 'Steady ↑' WHEN abs(trend_30d) < 0.03 THEN 'Flat / digesting' ELSE 'Choppy' END AS trajectory,
         CASE WHEN n_points < 20 THEN 'low' WHEN n_points < 45 THEN 'med' ELSE 'high' END AS confidence FROM tt"""),
     "backward_prices": sql("panel", select="SELECT card_id, arg_max(price, date) AS price, max(date) AS date FROM panel WHERE date <= DATE '1998-07-03' AND date >= DATE '1998-07-03' - 14 GROUP BY card_id"),
     "nearest_forward_pairs": sql("panel", ctes=pairs((7, 28, 56, 84)), select="SELECT horizon, date, next_date FROM pairs"),
-    "carried_portfolio": sql("panel", ctes="pp AS (SELECT * FROM panel WHERE card_id < 100)", select="""SELECT date, round(sum(price), 4) AS total FROM (SELECT d.date, k.card_id, last_value(p.price IGNORE NULLS) OVER (PARTITION BY k.card_id ORDER BY d.date) AS price
+    "carried_portfolio": sql("panel", ctes="pp AS (SELECT * FROM panel)", select="""SELECT date, round(sum(price), 4) AS total FROM (SELECT d.date, k.card_id, last_value(p.price IGNORE NULLS) OVER (PARTITION BY k.card_id ORDER BY d.date) AS price
         FROM (SELECT DISTINCT date FROM pp) d CROSS JOIN (SELECT DISTINCT card_id FROM pp) k LEFT JOIN pp p ON p.date = d.date AND p.card_id = k.card_id) GROUP BY date"""),
-    "portfolio_totals": sql("cards", ctes="w AS (SELECT market_price AS p, CASE WHEN card_id % 100 = 0 THEN dex::DOUBLE END AS a FROM cards WHERE card_id % 50 = 0)",
+    "portfolio_totals": sql("cards", ctes="w AS (SELECT market_price AS p, CASE WHEN card_id % 100 = 0 THEN dex::DOUBLE END AS a FROM cards)",
         select="""SELECT count(*) AS n_cards, round(coalesce(sum(p), 0), 2) AS value, round(sum(p - a), 2) AS since_added, round(100 * sum(p - a) / sum(CASE WHEN p IS NOT NULL THEN a END), 2) AS since_added_pct FROM w"""),
     "weekly_dates": "SELECT unnest(range(DATE '2024-02-08', DATE '2024-06-02', INTERVAL 7 DAYS))::DATE AS date",
     "backfill_missing": sql("panel", select="SELECT d::DATE AS date FROM (SELECT unnest(range(DATE '1994-01-03', DATE '2002-01-08', INTERVAL 7 DAYS)) AS d) WHERE d::DATE NOT IN (SELECT date FROM panel)"),
@@ -362,10 +409,10 @@ ORACLE |= {
         round(avg((fwd < 0)::INT::DOUBLE) FILTER (mispricing < -0.15), 6) AS over_down, round(avg((fwd > 0)::INT::DOUBLE), 6) AS base_up FROM obs"""),
     "two_feature_model": sql("panel", "panel_cards", ctes=obs((28,), ("scarcity", "set_rank"), 5.0) + ", " + ics("obs").replace("SELECT date, count(*)", "SELECT date, 1 AS \"all\", count(*)") + ", " + summary('"all"'), select="SELECT * FROM summ"),
     "product_matches": sql("cards", ctes=PRODUCTS, select="SELECT * FROM mt"),
-    "match_coverage": sql("cards", ctes=PRODUCTS, select="SELECT group_id, count(product_id) AS matched, count(*) AS total, count(*) FILTER (how = 'name') AS name_fixed FROM mt GROUP BY group_id"),
-    "unmatched_cards": sql("cards", ctes=PRODUCTS, select="SELECT card_id, group_id AS set_id FROM mt WHERE product_id IS NULL"),
-    "gap_fill": sql("cards", ctes=f"""g AS (SELECT card_id, set_id, split_part(number, '/', 1) AS num, CASE WHEN {NUM} % 2 = 0 THEN market_price END AS p FROM cards),
-        a AS (SELECT *, max(p IS NOT NULL) OVER (PARTITION BY set_id) AS any_ FROM g), b AS (SELECT set_id, split_part(number, '/', 1) AS num, min(dex * 1.08::DOUBLE) AS bp FROM cards WHERE card_id % 2 = 0 GROUP BY ALL),
+    "match_coverage": sql("cards", ctes=PRODUCTS, select="SELECT group_id, count(product_id) AS matched, count(*) AS total, count(*) FILTER (how = 'name') AS name_fixed, count(*) FILTER (candidates > 1 AND product_id IS NOT NULL) AS ambiguous FROM mt GROUP BY group_id"),
+    "unmatched_cards": sql("cards", ctes=PRODUCTS, select="SELECT card_id, group_id AS set_id FROM mt WHERE product_id IS NULL AND card_id > 0"),
+    "gap_fill": sql("cards", ctes=f"""g AS (SELECT card_id, set_id, coalesce(nullif(ltrim(upper(trim(number)), '0'), ''), '0') AS num, CASE WHEN {NUM} % 2 = 0 THEN market_price END AS p FROM cards),
+        a AS (SELECT *, max(p IS NOT NULL) OVER (PARTITION BY set_id) AS any_ FROM g), b AS (SELECT set_id, coalesce(nullif(ltrim(upper(trim(number)), '0'), ''), '0') AS num, min(dex * 1.08::DOUBLE) AS bp FROM cards WHERE card_id % 2 = 0 GROUP BY ALL),
         f AS (SELECT card_id, p, CASE WHEN any_ THEN p ELSE coalesce(p, bp) END AS x FROM a LEFT JOIN b USING (set_id, num))""",
         select="SELECT card_id, round(x, 4) AS market_price, CASE WHEN p IS NULL AND x IS NOT NULL THEN 'backup' WHEN x IS NOT NULL THEN 'primary' END AS price_source FROM f"),
     "carried_catalogue": sql("cards", select=f"SELECT card_id, set_id, CASE WHEN {NUM} % 4 = 0 THEN -1.0::DOUBLE ELSE market_price END AS market_price FROM cards"),
@@ -374,16 +421,31 @@ ORACLE |= {
     "prediction_log": sql("cards", "priors", ctes=MODEL, select="""SELECT card_id, round(market_price, 4) AS m, round(expected_price, 3) AS e, round(residual, 5) AS r,
         CASE WHEN round(residual, 5) < -0.15 THEN 'under' WHEN round(residual, 5) > 0.15 THEN 'over' ELSE 'fair' END AS v FROM scored WHERE residual IS NOT NULL"""),
     "due_populations": sql("cards", ctes=f"x AS (SELECT card_id AS id, CASE WHEN card_id % 3 > 0 THEN DATE '2024-01-01' + (card_id % 28)::INTEGER END AS fetched FROM cards)", select=f"SELECT * FROM x WHERE fetched IS NULL OR fetched <= {LAST_DAY} - 14 ORDER BY fetched NULLS FIRST, id LIMIT 900"),
-    "graded_population": sql("listings", select="""SELECT card_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS tens, round(count(*) FILTER (event_type = 'purchase') / count(*)::DOUBLE, 4) AS rate FROM listings GROUP BY card_id ORDER BY total DESC, card_id LIMIT 20"""),
-    "page_titles": sql("cards", "priors", ctes="""ic AS (SELECT key AS title, list_reduce(list_transform(string_split(key, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) AS t FROM priors), v AS (SELECT name, sum(dex)::BIGINT AS v FROM cards GROUP BY name)""",
-        select="SELECT title, CASE WHEN length(title) % 2 = 0 THEN t || ' (character)' ELSE t END AS page, CASE WHEN length(title) % 2 = 0 THEN v * 2 ELSE v END AS views FROM ic JOIN v ON v.name = title WHERE v > 0"),
+    "graded_population": sql("listings", select="""SELECT card_id AS id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS g10, count(*) FILTER (event_type = 'view') AS g9,
+        round(count(*) FILTER (event_type = 'purchase') / count(*)::DOUBLE, 4) AS rate FROM listings GROUP BY card_id ORDER BY total DESC, card_id LIMIT 20"""),
+    "population_answers": sql("listings", select=f"""SELECT id, CASE WHEN id % 5 = 2 THEN 0 ELSE total END AS total, CASE WHEN id % 5 = 2 THEN 0 ELSE tens END AS g10, 0 AS g9, CASE WHEN id % 5 <> 2 THEN round(tens / total::DOUBLE, 4) END AS rate,
+        id AS spec, {LAST_DAY} AS fetched FROM (SELECT card_id AS id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS tens FROM listings GROUP BY card_id) WHERE id % 5 > 1"""),
+    "page_titles": sql("cards", "priors", ctes="""nm AS (SELECT key AS name, length(key) AS n, list_reduce(list_transform(string_split(key, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) AS t FROM priors),
+        pick AS (SELECT name, CASE WHEN n % 3 > 0 AND n % 2 = 1 THEN t || ' (Pokémon)' WHEN n % 7 > 0 THEN CASE WHEN n % 5 = 0 THEN 'Another page' ELSE t END END AS title FROM nm),
+        fit AS (SELECT * FROM pick WHERE lower(replace(title, ' (Pokémon)', '')) = lower(name)), v AS (SELECT name, sum(CASE WHEN dex % 8 = 0 THEN 0 ELSE dex END)::BIGINT AS v FROM cards GROUP BY name)""",
+        select="SELECT name, title, CASE WHEN contains(title, '(Pokémon)') THEN v * 2 ELSE v + 1 END AS views FROM fit JOIN v USING (name) WHERE CASE WHEN contains(title, '(Pokémon)') THEN v * 2 ELSE v + 1 END > 0"),
+    "private_ids": sql("snapshots", select="SELECT card_id, date, active, CASE WHEN date = (SELECT max(date) FROM snapshots) THEN len(item_ids) END AS n_ids FROM snapshots"),
+    "staged_problems": sql("cards", select="""SELECT 'f' || card_id || '.JSON' AS name, CASE card_id % 6 WHEN 0 THEN 'has it as a key' ELSE 'does not parse and names it' END AS problem FROM cards WHERE card_id % 6 < 2 AND card_id % 4 <> 0"""),
+    "json_rows": sql("cards", select="""SELECT '{"card_id":' || card_id || ',"name":"' || name || '","nothing":null,"half":' || CASE WHEN dex IS NULL THEN 'null' ELSE printf('%.1f', dex / 2.0::DOUBLE) END || '}' AS value FROM cards"""),
 }
 
 ORACLE |= {
-    "listing_pages": sql("listings", ctes="""pg AS (SELECT *, event_type NOT IN ('signup', 'error') AS fine, (card_id + day(date)) % 28 AS k FROM listings WHERE value > 0)""",
-        select="""SELECT card_id, date, known, CASE WHEN NOT known THEN NULL WHEN k = 21 THEN 0 ELSE n END::INTEGER AS active, CASE WHEN known AND k <> 21 AND n > 0 THEN round(round(s / n, 2), 0) END AS average,
-        CASE WHEN NOT known THEN NULL WHEN k = 21 THEN 0 ELSE ids END::INTEGER AS n_ids FROM (
-          SELECT card_id, date, k, k NOT IN (0, 7, 14) AS known, count(*) FILTER (fine) AS n, sum(value) FILTER (fine) AS s, count(DISTINCT item) FILTER (fine) AS ids FROM pg GROUP BY ALL)"""),
+    "listing_pages": sql("listings", ctes="""lv AS (SELECT *, value::DECIMAL(10,2)::VARCHAR AS v, value::DECIMAL(10,2)::DOUBLE AS p, event_type NOT IN ('signup', 'error') AS fine FROM listings WHERE value > 0),
+        mk AS (SELECT card_id, round(avg(value), 2) AS m FROM lv GROUP BY card_id),
+        ok AS (SELECT card_id, item, p, v, CASE WHEN event_type = 'signup' THEN 'slab PSA 9' ELSE 'card' END AS title FROM lv JOIN mk USING (card_id) WHERE fine AND (m < 2 OR p BETWEEN 0.5::DOUBLE * m AND 4.0::DOUBLE * m)),
+        qs AS (SELECT card_id, count(*) AS n, quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.75) AS q3 FROM ok GROUP BY card_id),
+        kept AS (SELECT o.*, n < 4 OR p BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS inside FROM ok o JOIN qs USING (card_id)),
+        fin AS (SELECT * FROM kept WHERE inside OR card_id NOT IN (SELECT card_id FROM kept WHERE inside)),
+        rws AS (SELECT card_id, count(*) AS n, list(p ORDER BY item, title, v) AS ps, count(DISTINCT item) AS ids FROM fin GROUP BY card_id)""",
+        select=f"""SELECT mk.card_id AS key, k NOT IN (0, 7, 14) AS known, CASE WHEN k IN (0, 7, 14) THEN NULL WHEN k = 21 THEN 0 ELSE coalesce(n, 0) END AS active,
+        CASE WHEN k NOT IN (0, 7, 14, 21) THEN printf('%.2f', list_reduce(list_prepend(0::DOUBLE, ps), lambda a, b: a + b) / n)::DOUBLE END AS average,
+        CASE WHEN k IN (0, 7, 14) THEN NULL WHEN k = 21 THEN 0 ELSE coalesce(ids, 0) END AS n_ids FROM (SELECT *, card_id % 28 AS k FROM mk) mk LEFT JOIN rws USING (card_id)
+        UNION ALL SELECT * FROM {fx.values(fx.PAGES_WANT, 'key, known, active, average, n_ids')}"""),
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL",
     "stream_flows": sql("snapshots", ctes=FLOWS, select="SELECT card_id, date, active, new_listings, ended_listings, est_sold, est_unsold FROM flows"),
     "daily_build": sql("cards", "sets", "panel", "overrides", "priors", ctes=MODEL + ", " + PULLS + ", " + moves(AS_OF) + """,
@@ -399,8 +461,8 @@ ORACLE |= {
 DATES = {
     "sealed_feed": ["as_of"], "sealed_staleness": ["oldest", "newest"], "date_formats": ["day"], "listing_flows": ["date"], "trailing_windows": ["date"],
     "market_dynamics": ["last_observed"], "market_dynamics_as_of": ["last_observed"], "source_status": ["newest"], "window_lows": ["date"], "backward_prices": ["date"],
-    "nearest_forward_pairs": ["date", "next_date"], "carried_portfolio": ["date"], "weekly_dates": ["date"], "backfill_missing": ["date"], "price_history": ["first", "last"],
-    "merged_series": ["date"], "walk_forward_residuals": ["eval_date"], "forward_returns": ["date"], "rank_ics": ["date"], "due_populations": ["fetched"], "listing_pages": ["date"], "stream_flows": ["date"],
+    "nearest_forward_pairs": ["date", "next_date"], "carried_portfolio": ["date"], "weekly_dates": ["date"], "backfill_missing": ["date"], "normal_cards": ["release_date"], "archive_series": ["date"], "population_answers": ["fetched"], "private_ids": ["date"], "price_history": ["first", "last"],
+    "merged_series": ["date"], "walk_forward_residuals": ["eval_date"], "forward_returns": ["date"], "rank_ics": ["date"], "due_populations": ["fetched"], "stream_flows": ["date"],
 }
 for _name, _columns in DATES.items():
     ORACLE[_name] = "SELECT * REPLACE (" + ", ".join(f'strftime("{c}", \'%Y-%m-%d\') AS "{c}"' for c in _columns) + f") FROM ({ORACLE[_name]})"

@@ -5,13 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick import constants as C
 from tarnwick.functions import scores, stats, text
 from tarnwick.operators import asof, backtest, boards, dynamics, features, freshness, labels, matching, ridge, sealed
+from tarnwick.plans import fixtures as fx
 from tarnwick.plans.testmap import view
+from tarnwick.sources import files
 
 AS_OF = dt.date(2001, 8, 2)
 LAST_DAY = dt.date(2024, 1, 30)
@@ -46,7 +48,7 @@ def sealed_value(spark, d):
 
 @query
 def rarity_counts(spark, d):
-    return view(spark, d, "cards").groupBy("set_id", "rarity").agg(F.count(F.lit(1)).alias("n"))
+    return sealed.rarity_counts(view(spark, d, "cards"))
 
 
 @query
@@ -58,7 +60,10 @@ def pull_costs(spark, d):
 @query
 def sealed_overlay(spark, d):
     feed = view(spark, d, "sets").where(F.length("set_id") == 7).select("set_id", (F.col("pack_price") * 2).alias("pack_price"), F.lit(None).cast("double").alias("box_price"))
-    return sealed.overlay(view(spark, d, "sets"), feed).select("set_id", "pack_price", "box_price")
+    literal = spark.createDataFrame(fx.OVERLAY, "set_id string, pack_price double, box_price double, p double, b double")
+    feed = feed.unionByName(literal.select("set_id", F.col("p").alias("pack_price"), F.col("b").alias("box_price")))
+    sets = view(spark, d, "sets").select("set_id", "pack_price", "box_price").unionByName(literal.drop("p", "b"))
+    return sealed.overlay(sets, feed).select("set_id", "pack_price", "box_price")
 
 
 @query
@@ -76,8 +81,7 @@ def sealed_feed(spark, d):
 @query
 def sealed_staleness(spark, d):
     days = view(spark, d, "sets").select(F.date_add(F.lit(dt.date(2024, 1, 1)), F.length("set_id") * 5).alias("as_of"))
-    out = days.agg(F.min("as_of").alias("oldest"), F.max("as_of").alias("newest"))
-    return out.withColumn("stale", F.datediff(F.lit(LAST_DAY), "oldest") > 14)
+    return sealed.staleness(days, F.lit(LAST_DAY))
 
 
 # --- text, prices, listings ---
@@ -110,17 +114,47 @@ def date_formats(spark, d):
     return rows.select("card_id", "day", r(scores.months_between(F.lit(AS_OF), F.col("day")), 4, "months"), scores.age_label(F.lit(dt.date(1995, 3, 1)), F.col("day")).alias("label"))
 
 
+@query
+def literal_names(spark, d):
+    rows = spark.createDataFrame(fx.NAMES, "id long, name string, supertype string, number string")
+    return rows.select(
+        "id", text.base_name(F.col("name"), F.col("supertype")).alias("base"), text.folded(F.col("name")).alias("folded"),
+        text.card_number(F.col("number")).alias("number"), text.plain_number(F.col("number")).alias("plain"),
+    )
+
+
 @query
 def variant_pick(spark, d):
     """First variant with a price that is not zero in the order of preference, else any; the tags tell which."""
-    p = view(spark, d, "cards")
-    price = F.col("market_price")
-    prices = {"holofoil": F.when(F.col("card_id") % 2 == 0, F.lit(0.0)), "reverseHolofoil": F.when(F.col("card_id") % 3 == 0, price), "normal": F.when(F.col("card_id") % 5 == 0, price * 2), "other": price * 3}
-    rows = p.select("card_id", *[c.alias(f"v_{n}") for n, c in prices.items()])
-    order = [n for n in C.VARIANTS if n in prices] + ["other"]
-    tagged = [F.when(F.nullif(F.col(f"v_{n}"), F.lit(0.0)).isNotNull(), F.struct(F.lit(n).alias("variant"), F.col(f"v_{n}").alias("price"))) for n in order]
-    best = F.coalesce(*tagged)
-    return rows.select("card_id", best["variant"].alias("variant"), r(best["price"], 4, "price"))
+    price, k = F.col("market_price"), F.col("card_id")
+    prices = {"holofoil": F.when(k % 2 == 0, F.lit(0.0)), "reverseHolofoil": F.when(k % 3 == 0, price), "normal": F.when(k % 5 == 0, price * 2), "other": price * 3}
+    listed = F.create_map(*[x for n, c in prices.items() for x in (F.lit(n), F.struct(c.alias("market")))])
+    rows = view(spark, d, "cards").select("card_id", listed.alias("listed"))
+    return rows.select("card_id", files.variant_used(F.col("listed")).alias("variant"), r(files.variant_price(F.col("listed")), 4, "price"))
+
+
+@query
+def normal_cards(spark, d):
+    """Source records as JSON, read back and made flat; one of them has a wrong tier."""
+    c = view(spark, d, "cards")
+    known = F.when(F.col("card_id") == 7, F.lit(next(iter(C.TIER_CORRECTIONS)))).otherwise(F.concat(F.lit("x-"), F.col("card_id").cast("string")))
+    name = F.concat(F.when(F.col("card_id") % 4 == 0, "Owner's ").otherwise(""), F.col("name"), F.when(F.col("card_id") % 3 == 0, " ex").otherwise(""))
+    price = F.when(F.col("market_price").isNotNull(), F.create_map(F.lit("normal"), F.struct(F.col("market_price").alias("market"))))
+    record = F.struct(
+        known.alias("id"), name.alias("name"), F.when(F.col("supertype") == "Trainer", "Trainer").alias("supertype"), "number", F.when(F.col("card_id") % 6 > 0, F.col("rarity")).alias("rarity"),
+        F.struct(F.col("set_id").alias("id"), F.col("set_name").alias("name"), F.date_format("release_date", "yyyy/MM/dd").alias("releaseDate")).alias("set"),
+        F.struct(price.alias("prices"), F.lit("2024/01/01").alias("updatedAt")).alias("tcgplayer"), F.array("dex").alias("nationalPokedexNumbers"),
+    )
+    raw = c.select(F.from_json(F.to_json(record), files.RAW_CARD).alias("r")).select("r.*")
+    return files.normal_cards(raw).select("id", "base_name", "supertype", "rarity", "set_id", F.col("release_date"), r("market_price", 4), "price_variant", F.col("dex"))
+
+
+@query
+def second_prices(spark, d):
+    """The second source's pick: variants, any, the European average, nothing."""
+    rows = spark.createDataFrame(fx.SECOND, "id long, listed map<string,double>, eur double")
+    listed = F.transform_values("listed", lambda _, v: F.struct(v.alias("marketPrice")))
+    return rows.select("id", files.secondary_price(listed, F.col("eur"), F.lit("u"), F.lit("e")).alias("p")).select("id", "p.price", "p.variant")
 
 
 @query
@@ -133,6 +167,20 @@ def subtype_price(spark, d):
     return matching.subtype_price(wanted, prices, ["Holofoil", "Normal"])
 
 
+@query
+def archive_series(spark, d):
+    """Group files as JSON, of which some are broken, read back: the wanted subtype's price, else the first preferred one's."""
+    p = view(spark, d, "panel").where("price is not null")
+    point = F.struct(F.col("card_id").alias("productId"), F.when(F.col("card_id") % 3 == 0, "Normal").otherwise("Odd").alias("subTypeName"), F.col("price").alias("marketPrice"))
+    twice = F.struct(F.col("card_id").alias("productId"), F.lit("Holofoil").alias("subTypeName"), F.when(F.col("card_id") % 2 == 0, F.col("price") * 2).alias("marketPrice"))
+    group = F.floor(F.col("card_id") / 100)
+    bodies = p.groupBy("date", group.alias("g")).agg(F.flatten(F.collect_list(F.array(point, twice))).alias("results"))
+    whole = F.to_json(F.struct("results"))
+    raw = bodies.select("date", F.when((F.col("g") == 1) & (F.dayofmonth("date") < 8), F.substring(whole, 1, 40)).otherwise(whole).alias("value"))
+    wanted = p.select("card_id").distinct().select("card_id", F.col("card_id").alias("product_id"), F.when(F.col("card_id") % 3 == 0, "Normal").otherwise("Reverse Holofoil").alias("wanted"))
+    return files.archive_prices(raw, wanted)
+
+
 @query
 def price_band_means(spark, d):
     rows = view(spark, d, "listings")
@@ -173,16 +221,44 @@ def gates(spark, d):
     )
 
 
+@query
+def literal_gates(spark, d):
+    rows = spark.createDataFrame(fx.GATES, "id long, price double, expected double, months double, age int")
+    p, e = F.col("price"), F.col("expected")
+    return rows.select("id", scores.edge_reason(p, e, F.col("months")).alias("reason"), scores.surfaced(F.col("age"), p).alias("surfaced"), scores.verdict((p - e) / e).alias("verdict"), scores.age_bucket(F.col("age")).alias("age"))
+
+
+@query
+def literal_display(spark, d):
+    rows = spark.createDataFrame(fx.DISPLAY, "id long, ship double, item double, price double, t30 double, t90 double, t180 double, sat double")
+    c = F.col
+    return rows.select("id", scores.shipping_label(c("ship"), c("item"), c("price")).alias("shipping"), scores.trajectory(c("t30"), c("t90"), c("t180")).alias("trajectory"), scores.saturation_tag(c("sat")).alias("saturation"))
+
+
+@query
+def panels(spark, d):
+    """Lines and cells of the client's panels."""
+    rows = view(spark, d, "listings").groupBy("card_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("tens"), F.round(F.avg("value"), 2).alias("price"))
+    big = F.col("n") * 97
+    flow = scores.flow_panel(F.when(F.col("card_id") % 3 > 0, "ok").otherwise("awaiting_data"), big, F.when(F.col("card_id") % 2 == 0, F.col("n")), F.col("tens"))
+    pop = scores.population_panel(F.when(F.col("card_id") % 5 > 0, big).otherwise(0), F.col("tens"), F.try_divide(F.col("tens").cast("double"), F.col("n").cast("double")))
+    cells = lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["label"], F.lit("="), x["value"])), "; ")
+    line = scores.sealed_line(F.col("price"), F.when(F.col("card_id") % 2 == 0, F.col("price") / -16), F.col("tens"), F.when(F.col("card_id") % 7 > 0, big), F.lit("2024-01-02"))
+    slider = scores.slider_contribution(F.lit(0.5), F.col("price") / 64, F.lit(0.25), F.when(F.col("card_id") % 4 == 0, F.lit(0.0)).otherwise(F.lit(2.0)))
+    return rows.select("card_id", cells(flow).alias("flow"), cells(pop).alias("population"), line.alias("line"), slider.alias("slider"), scores.feature_text("months_since_release", F.col("price")).alias("months"))
+
+
 @query
 def display_rules(spark, d):
     rows = view(spark, d, "listings").select("event_id", "card_id", "value", "date", (F.col("event_id") % 50).cast("double").alias("hours"))
     x = F.col("value") / 100.0
+    banner = scores.refresh_banner(F.lit(LAST_DAY), F.when(F.col("event_id") % 4 > 0, F.col("date")), F.lit(dt.date(2024, 1, 29)))
     return rows.select(
         "event_id", scores.ev_pill(x - 0.2).alias("pill"), scores.saturation_tag(x + 0.5).alias("sat"), scores.ic_tone(x - 0.1).alias("tone"), scores.trend_chip(x - 0.2).alias("chip"),
         scores.shown_listing(F.when(F.col("event_id") % 2 == 0, "bin").otherwise("auction"), F.col("hours")).alias("shown"), scores.age_label(F.lit(LAST_DAY), F.col("date")).alias("age"),
         scores.under_market(F.col("value"), F.lit(30.0)).alias("under"), r(scores.saturation_gauge(x), 6, "gauge"), r(scores.demand_gauge(x), 6, "demand"),
-        scores.shipping_label(F.when(F.col("event_id") % 3 == 0, F.lit(0.0)).when(F.col("event_id") % 3 == 1, F.lit(4.5)), F.col("value")).alias("shipping"), scores.short_count(F.col("event_id")).alias("short"),
-        scores.refresh_banner(F.lit(LAST_DAY), F.when(F.col("event_id") % 4 > 0, F.col("date")), F.lit(dt.date(2024, 1, 29))).alias("banner"), scores.series_confidence(F.col("card_id")).alias("conf"),
+        scores.shipping_label(F.when(F.col("event_id") % 3 == 0, F.lit(0.0)).when(F.col("event_id") % 3 == 1, F.lit(4.0)), F.col("value"), F.col("value") + F.when(F.col("event_id") % 3 == 1, 4.0).otherwise(0.0)).alias("shipping"), scores.short_count(F.col("event_id")).alias("short"),
+        F.concat_ws("|", banner["kicker"], banner["label"], banner["sub"]).alias("banner"), scores.series_confidence(F.col("card_id")).alias("conf"),
     )
 
 
@@ -241,17 +317,15 @@ def ridge_scores(spark, d):
 def model_export(spark, d):
     _, models, _ = modelled(spark, d)
     e = ridge.export(*models)
-    flat = lambda c: F.array_join(F.transform(c, lambda x: F.format_number(x, 4)), ";").alias(c)
-    return e.select("cluster", "n", F.format_number("intercept", 4).alias("intercept"), flat("means"))
+    part = lambda c, k: F.get(c, F.lit(k)).alias(f"{c}_{k}")
+    return e.select("cluster", "n", "intercept", *[part(c, k) for c in ("means", "stds", "coefs") for k in range(len(C.FEATURES))])
 
 
 @query
 def small_sample_notes(spark, d):
-    _, (own, whole), _ = modelled(spark, d)
+    _, models, _ = modelled(spark, d)
     cards = view(spark, d, "cards").select("card_id", ridge.cluster_key(F.col("supertype"), F.col("rarity")).alias("cluster"))
-    used = own.where(F.col("n") >= C.MIN_CLUSTER).select("cluster", F.col("n").alias("own_n"))
-    rows = cards.join(used, "cluster", "left").crossJoin(F.broadcast(whole.select(F.col("n").alias("all_n"))))
-    return rows.select("card_id", F.coalesce("own_n", "all_n").alias("n"), (F.coalesce("own_n", "all_n") < 30).alias("small"))
+    return ridge.model_sizes(cards, models)
 
 
 @query
@@ -332,21 +406,20 @@ def card_search_by_name(spark, d):
 
 @query
 def top_characters(spark, d):
-    best = view(spark, d, "cards").where("market_price is not null and name <> 'red widget'").groupBy("base_name").agg(F.max("market_price").alias("best"))
-    return best.orderBy(F.desc("best"), "base_name").limit(20)
+    return features.top_characters(view(spark, d, "cards"), "red widget")
 
 
 @query
 def sweep_universe(spark, d):
-    cards = view(spark, d, "cards").where(F.col("market_price") >= C.SWEEP_FLOOR)
-    return cards.orderBy(F.desc("market_price"), "card_id").limit(C.SWEEP_SIZE).select("card_id", "market_price")
+    return files.sweep_plan(view(spark, d, "cards")).select("card_id", "market_price")
 
 
 @query
 def meta_counts(spark, d):
-    cards, (own, _), _ = modelled(spark, d)
-    a = cards.agg(F.count(F.lit(1)).alias("n_cards"), F.count("market_price").alias("n_priced"), F.count_distinct("set_id").alias("n_sets"))
-    return a.crossJoin(F.broadcast(own.agg(F.count(F.when(F.col("n") >= C.MIN_CLUSTER, 1)).alias("n_clusters"))))
+    from tarnwick.plans.daily import meta_counts as counts
+
+    _, (own, _), scored = modelled(spark, d)
+    return counts(scored, own).withColumn("clusters", F.array_join("clusters", ", "))
 
 
 @query
@@ -410,9 +483,7 @@ def breaker_runs(spark, d):
 @query
 def window_lows(spark, d):
     """Floor over the 14 days up to each point, and whether the point is a fresh low."""
-    rows = view(spark, d, "snapshots").where("average is not null").withColumn("n", F.datediff("date", F.lit(dt.date(2024, 1, 1))))
-    w = Window.partitionBy("card_id").orderBy("n").rangeBetween(-13, 0)
-    return rows.select("card_id", "date", F.min("average").over(w).alias("low"), (F.col("average") <= F.min("average").over(w)).alias("is_low"))
+    return dynamics.window_lows(view(spark, d, "snapshots")).select("card_id", "date", "low", "is_low")
 
 
 # --- time joins ---
@@ -449,16 +520,13 @@ def portfolio_totals(spark, d):
 
 @query
 def weekly_dates(spark, d):
-    ends = spark.range(1).select(F.lit(dt.date(2024, 2, 8)).alias("a"), F.lit(dt.date(2024, 6, 1)).alias("b"))
-    return ends.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("date"))
+    return files.weekly_dates(spark, "2024-02-08", "2024-06-01")
 
 
 @query
 def backfill_missing(spark, d):
     """Weeks of the span that the panel does not have, the ones an idempotent backfill still has to write."""
-    panel = view(spark, d, "panel").select("date").distinct()
-    span = spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(1994, 1, 3)), F.lit(dt.date(2002, 1, 7)), F.expr("interval 7 days"))).alias("date"))
-    return span.join(panel, "date", "left_anti")
+    return files.missing_dates(files.weekly_dates(spark, "1994-01-03", "2002-01-07"), view(spark, d, "panel"))
 
 
 @query
@@ -466,16 +534,19 @@ def price_history(spark, d):
     """Series of the cards above the floor as one compact string each."""
     panel = view(spark, d, "panel")
     dear = panel.groupBy("card_id").agg(F.max_by("price", "date").alias("last")).where("last >= 40").select("card_id")
-    points = F.array_sort(F.collect_list(F.struct("date", F.round("price", 2).alias("price"))))
-    kept = panel.join(dear, "card_id", "left_semi").groupBy("card_id").agg(points.alias("p"))
-    return kept.select("card_id", F.size("p").alias("n"), F.get("p", F.lit(0))["date"].alias("first"), F.element_at("p", -1)["date"].alias("last"), r(F.element_at("p", -1)["price"], 2, "last_price"))
+    kept = files.compact_history(panel, dear)
+    end = F.element_at("series", -1)
+    return kept.select("card_id", F.size("series").alias("n"), F.get("series", F.lit(0))["date"].alias("first"), end["date"].alias("last"), r(end["price"], 2, "last_price"))
 
 
 @query
 def merged_series(spark, d):
     p = view(spark, d, "panel")
-    new = p.where("card_id % 3 = 0").select("card_id", "date", (F.col("price") * 2).alias("price"))
-    return freshness.merge_series(p, new, ["card_id", "date"], "price").select("card_id", "date", r("price", 4))
+    new = p.where("card_id % 3 = 0").select("card_id", "date", F.explode(F.array(F.struct(F.lit(2).alias("at"), (F.col("price") * 2).alias("price")), F.struct(F.lit(1).alias("at"), (F.col("price") * 3).alias("price")))).alias("w"))
+    bad = p.limit(1).select(F.lit(None).cast(p.schema["card_id"].dataType).alias("card_id"), "date", F.lit(9).alias("at"), "price")
+    worse = p.select("card_id", "date", F.lit(9).alias("at"), F.lit(None).cast("double").alias("price"))
+    new = new.select("card_id", "date", "w.at", "w.price").unionByName(bad).unionByName(worse)
+    return freshness.merge_series(p, new, ["card_id", "date"], "price", "at").select("card_id", "date", r("price", 4))
 
 
 # --- backtest ---
@@ -522,15 +593,12 @@ def ic_by_horizon(spark, d):
 
 @query
 def floor_sensitivity(spark, d):
-    obs = panel_obs(spark, d).withColumn("floor", F.explode(F.array(*map(F.lit, (2.0, 5.0, 10.0, 20.0))))).where("price >= floor")
-    return summary_columns(stats.ic_summary(backtest.segment_ics(obs, ["floor"]), ["floor"]), ["floor"])
+    return summary_columns(stats.ic_summary(backtest.floor_sensitivity(panel_obs(spark, d)), ["floor"]), ["floor"])
 
 
 @query
 def ic_by_age(spark, d):
-    obs = panel_obs(spark, d).withColumn("bucket", scores.age_bucket(F.col("age_days"))).where("bucket is not null")
-    ics = summary_columns(stats.ic_summary(backtest.segment_ics(obs, ["bucket"]), ["bucket"]), ["bucket"]).select("bucket", "n_dates", "mean_ic")
-    return obs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), r(F.avg("fwd"), 6, "mean_return")).join(ics, "bucket", "left")
+    return backtest.by_age(panel_obs(spark, d)).select("bucket", "n", r("mean_return", 6), "n_dates", r("mean_ic", 4))
 
 
 @query
@@ -573,7 +641,9 @@ def products(spark, d):
 
 
 def matched(spark, d):
-    return matching.match_products(view(spark, d, "cards").withColumn("group_id", F.col("set_id")), products(spark, d))
+    cards = view(spark, d, "cards").withColumn("group_id", F.col("set_id")).select("card_id", "group_id", "number", "name", "rarity")
+    cards = cards.unionByName(spark.createDataFrame(fx.MATCH_CARDS, fx.CARD))
+    return matching.match_products(cards, products(spark, d).unionByName(spark.createDataFrame(fx.MATCH_PRODUCTS, fx.PRODUCT)))
 
 
 @query
@@ -633,38 +703,84 @@ def due_populations(spark, d):
 @query
 def graded_population(spark, d):
     """Total, tens, and their share; the twenty most graded."""
-    rows = view(spark, d, "listings").groupBy("card_id").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("tens"))
-    rows = rows.withColumn("rate", F.round(F.try_divide(F.col("tens").cast("double"), F.col("total").cast("double")), 4))
-    return rows.orderBy(F.desc("total"), "card_id").limit(20)
+    raw = view(spark, d, "listings").groupBy(F.col("card_id").alias("id")).agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("g10"), F.count(F.when(F.col("event_type") == "view", 1)).alias("g9"))
+    return freshness.most_graded(files.populations(raw), 20)
+
+
+@query
+def population_answers(spark, d):
+    """Answers of a population service: full, without grades, of another shape, and failed ones."""
+    rows = view(spark, d, "listings").groupBy(F.col("card_id").alias("id")).agg(F.count(F.lit(1)).alias("Total"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("Grade10"))
+    full = F.to_json(F.struct(F.struct("Total", "Grade10").alias("PSAPop")))
+    body = F.when(F.col("id") % 5 == 0, F.lit("broken {")).when(F.col("id") % 5 == 1, F.lit(None).cast("string")).when(F.col("id") % 5 == 2, F.lit("{}")).otherwise(full)
+    got = files.population_answers(rows.select("id", F.col("id").cast("int").alias("spec"), body.alias("body")), F.lit(LAST_DAY))
+    return got.select("id", "total", "g10", "g9", "rate", "spec", "fetched")
 
 
 @query
 def page_titles(spark, d):
-    """Views of a year by title, the title followed through a normal form and a redirect."""
-    names = view(spark, d, "priors").select(F.col("key").alias("title"))
-    normal = names.select("title", F.initcap("title").alias("to_normal"))
-    redirects = normal.where(F.length("title") % 2 == 0).select(F.col("to_normal").alias("from"), F.concat(F.col("to_normal"), F.lit(" (character)")).alias("to_page"))
-    views = view(spark, d, "cards").groupBy(F.initcap("name").alias("page")).agg(F.sum("dex").alias("v"))
-    pages = views.unionByName(views.select(F.concat("page", F.lit(" (character)")).alias("page"), (F.col("v") * 2).alias("v")))
-    found = names.join(normal, "title", "left").withColumn("t", F.coalesce("to_normal", "title")).join(redirects, F.col("t") == F.col("from"), "left")
-    return found.withColumn("page", F.coalesce("to_page", "t")).join(pages, "page", "left").where("v > 0").select("title", "page", F.col("v").alias("views"))
+    """The page of each name: the special one, else the bare one if it is about the subject; and its views of a year."""
+    names = view(spark, d, "priors").select(F.col("key").alias("name"))
+    n, title = F.length("name"), F.initcap("name")
+    special = names.select(
+        F.concat("name", F.lit(" (Pokémon)")).alias("asked"), F.concat(title, F.lit(" (Pokémon)")).alias("normal"), F.when(n % 2 == 0, F.lit("List of things")).alias("redirect"),
+        (n % 3 > 0).alias("exists"), F.lit("").alias("categories"),
+    )
+    bare = names.select(F.col("name").alias("asked"), title.alias("normal"), F.when(n % 5 == 0, F.lit("Another page")).alias("redirect"), F.lit(True).alias("exists"), F.when(n % 7 > 0, "Pokémon species").alias("categories"))
+    chosen = files.chosen_titles(names, special.unionByName(bare))
+    months = view(spark, d, "cards").groupBy(F.initcap("name").alias("page")).agg(F.sum(F.when(F.col("dex") % 8 == 0, 0).otherwise(F.col("dex"))).alias("views"))
+    monthly = months.select(F.col("page").alias("title"), "views").unionByName(months.select(F.concat("page", F.lit(" (Pokémon)")).alias("title"), (F.col("views") * 2).alias("views"))).unionByName(months.select(F.col("page").alias("title"), F.lit(1).cast("long").alias("views")))
+    return files.yearly_views(chosen, monthly).join(chosen, "name").select("name", "title", "views")
+
+
+@query
+def search_interest(spark, d):
+    rows = spark.createDataFrame(fx.INTEREST, "batch int, term string, date string, value int").withColumn("date", F.col("date").cast("date"))
+    return files.interest_scores(rows, "Anchor").select("name", "score", F.size("weekly").alias("n_days"))
+
+
+@query
+def private_ids(spark, d):
+    """Ids of the newest day kept apart and put back; all others are gone."""
+    public, side = files.split_private(view(spark, d, "snapshots"))
+    return files.restore_private(public, side).select("card_id", "date", "active", F.size("item_ids").alias("n_ids"))
+
+
+@query
+def staged_problems(spark, d):
+    """Files that must not be published: a key at any depth, a broken file that names it."""
+    c = view(spark, d, "cards")
+    k = F.col("card_id") % 6
+    body = (
+        F.when(k == 0, F.to_json(F.struct(F.struct(F.array(F.struct(F.array().cast("array<string>").alias("item_ids"))).alias("a")).alias("b"))))
+        .when(k == 1, "broken item_ids {").when(k == 2, "broken {").when(k == 3, F.to_json(F.struct(F.lit("no item_ids here").alias("text")))).otherwise(F.to_json(F.struct("name")))
+    )
+    name = F.concat(F.lit("f"), F.col("card_id").cast("string"), F.when(F.col("card_id") % 4 == 0, ".txt").otherwise(".JSON"))
+    return files.staged_problems(c.select(name.alias("name"), body.cast("binary").alias("content")))
+
+
+@query
+def json_rows(spark, d):
+    return files.as_json(view(spark, d, "cards").select("card_id", "name", F.lit(None).cast("double").alias("nothing"), (F.col("dex") / 2.0).alias("half")))
 
 
 @query
 def listing_pages(spark, d):
     """Search pages as JSON, read back as observations; every seventh page is broken in some way and so unknown."""
-    from tarnwick.sources.files import observations
-
     rows = view(spark, d, "listings").where("value > 0")
+    market = rows.groupBy("card_id").agg(F.round(F.avg("value"), 2).alias("market"))
     item = F.struct(
         F.col("item").alias("itemId"), F.when(F.col("event_type") == "signup", "slab PSA 9").otherwise("card").alias("title"),
         F.struct(F.col("value").cast("decimal(10,2)").cast("string").alias("value"), F.when(F.col("event_type") == "error", "EUR").otherwise("USD").alias("currency")).alias("price"),
     )
-    pages = rows.groupBy("card_id", "date").agg(F.array_sort(F.collect_list(item)).alias("itemSummaries"), F.count(F.lit(1)).alias("total"))
+    # All of a card is one page, so that there is something to band and to trim.
+    pages = rows.groupBy("card_id").agg(F.array_sort(F.collect_list(item)).alias("itemSummaries"), F.count(F.lit(1)).alias("total"))
     body = F.to_json(F.struct("total", "itemSummaries"))
-    k = (F.col("card_id") + F.dayofmonth("date")) % 28
+    k = F.col("card_id") % 28
     body = F.when(k == 0, "{}").when(k == 7, F.lit("[1, 2]")).when(k == 14, F.regexp_replace(body, '"total":(\\d+)', '"total":"$1"')).when(k == 21, '{"total":0,"itemSummaries":[]}').otherwise(body)
-    return observations(pages.select("card_id", "date", body.alias("body"))).select("card_id", "date", "known", "active", r("average", 0), F.size("item_ids").alias("n_ids"))
+    real = files.observations(pages.join(market, "card_id").select(F.col("card_id").alias("key"), body.alias("body"), "market"), ["key"], market="market")
+    literal = files.observations(spark.createDataFrame(fx.PAGES, fx.PAGE), ["key"], page="page", market="market")
+    return real.unionByName(literal).select("key", "known", "active", "average", F.size("item_ids").alias("n_ids"))
 
 
 @query
@@ -686,17 +802,16 @@ def daily_build(spark, d):
 @query
 def stream_flows(spark, d):
     """Snapshots read as a stream of daily files, flows made from state; the same rows as the batch form."""
-    import tempfile
     import uuid
 
+    from tarnwick.lineage import shared_folder
     from tarnwick.shipping import ship
     from tarnwick.streaming import snapshots
 
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{base}/stream-{uuid.uuid4().hex}"
-    rows = view(spark, d, "snapshots").select("card_id", "date", "active", F.col("average"), "item_ids")
-    rows.select(F.col("card_id").cast("long"), "date", F.col("active").cast("int"), "average", "item_ids").repartition(1).sortWithinPartitions("date").write.parquet(f"{at}/in")
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = view(spark, d, "snapshots").select(F.col("card_id").cast("long"), "date", F.col("active").cast("int"), "average", "item_ids")
+    rows.write.parquet(f"{at}/in")
     snapshots.write_by_day(snapshots.flows(snapshots.read(spark, f"{at}/in")), f"{at}/out", f"{at}/log").awaitTermination()
     out = spark.read.parquet(f"{at}/out")
     return out.select("card_id", F.col("date").cast("date").alias("date"), "active", "new_listings", "ended_listings", "est_sold", "est_unsold")

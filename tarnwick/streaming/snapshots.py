@@ -25,24 +25,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(COLUMNS).parquet(path)
 
 
-def _null(value):
-    return None if value is None or (not hasattr(value, "__len__") and pd.isna(value)) else value
+def _state(value):
+    """A value as the state holds it: no number is None, an array a list."""
+    if value is None or (not hasattr(value, "__len__") and pd.isna(value)):
+        return None
+    return list(value) if hasattr(value, "__len__") and not isinstance(value, str) else value
 
 
 def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches)).drop_duplicates("date", keep="last").sort_values("date", ignore_index=True)  # a card's rows of one batch
     last = state.getOption
-    rows = pd.concat(list(batches)).drop_duplicates("date", keep="last").sort_values("date")  # a card's rows of one batch
-    out = []
-    for row in rows.itertuples(index=False):
-        if last is not None and row.date <= last[0]:
-            continue
-        ids = None if row.item_ids is None else list(row.item_ids)
-        now = (row.date, _null(row.active), _null(row.average), ids)
-        out.append((key[0], *now, *(last[1:] if last is not None else (None, None, None))))
-        last = now
     if last is not None:
-        state.update(last)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
+        rows = rows[rows["date"] > last[0]].reset_index(drop=True)
+    if len(rows):
+        values = ["active", "average", "item_ids"]
+        before = rows[values].astype(object).shift(1)
+        if last is not None:
+            for column, value in zip(values, last[1:]):
+                before.at[0, column] = value
+        before.columns = [f"{c}0" for c in values]
+        paired = pd.concat([rows[["card_id", "date", *values]], before], axis=1)
+        state.update((rows["date"].iloc[-1], *[_state(rows[c].iloc[-1]) for c in values]))
+    else:
+        paired = pd.DataFrame(columns=[c.split()[0] for c in PAIRS.split(", ")])
+    yield paired[[c.split()[0] for c in PAIRS.split(", ")]]
 
 
 def flows(snapshots: DataFrame) -> DataFrame:

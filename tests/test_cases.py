@@ -106,7 +106,7 @@ def test_movers_rank_only_live_cards(spark):
 
 def test_the_gates_differ_on_chase_cards(spark):
     row = one(spark.range(1).select(scores.edge_reason(F.lit(500.0), F.lit(100.0), F.lit(24.0)).alias("r"), scores.surfaced(F.lit(730), F.lit(500.0)).alias("s")))
-    assert row["r"] == "chase premium" and row["s"]
+    assert row["r"] == "chase premium the model can't price" and row["s"]
 
 
 def test_fit_metric_is_scale_free(spark):
@@ -170,7 +170,7 @@ GOOD = ",".join(ITEM % (i, "card", 50, "USD") for i in "abc")
     ],
 )
 def test_pages(spark, body, want):
-    got = one(files.observations(spark.createDataFrame([(body,)], "body string")))
+    got = one(files.observations(spark.createDataFrame([(1, body)], "key int, body string"), ["key"]))
     assert ((got["active"], got["average"], got["item_ids"]) if got["known"] else None) == want
 
 
@@ -227,36 +227,96 @@ def test_names(spark):
 
 
 def test_synthetic_history_is_seeded(spark):
-    cards = spark.range(50).withColumnRenamed("id", "card_id")
-    a, b = (files.synthetic_snapshots(spark, cards, "2026-01-01", 10).orderBy("date", "card_id").collect() for _ in range(2))
-    assert a == b and len(a) == 500
+    cards = spark.range(2000).select(F.col("id").alias("card_id"), F.when(F.col("id") % 2 == 0, "Common").otherwise("Hyper Rare").alias("rarity"), F.lit(4.0).alias("market_price"))
+    a, b = (files.synthetic_snapshots(spark, cards, "2026-01-01", 30).orderBy("card_id", "date").collect() for _ in range(2))
+    assert a == b and len(a) == 60000
+    first, last = {r.card_id: r.active for r in a if r.date == D(2026, 1, 1)}, {r.card_id: r.active for r in a if r.date == D(2026, 1, 30)}
+    common = [k for k in first if k % 2 == 0]
+    assert sum(first[k] for k in common) > 10 * sum(first[k] for k in first if k % 2)
+    change = [last[k] / first[k] - 1 for k in common]
+    assert 0.05 < sum(c < -0.25 for c in change) / len(change) < 0.10 and 0.05 < sum(c > 0.25 for c in change) / len(change) < 0.10
 
 
-def test_paged_source(spark, monkeypatch):
+def test_paged_source(monkeypatch):
     from tarnwick.sources import rest
 
     pages = {("q1", 1): [1, 2], ("q1", 2): [3]}
-    monkeypatch.setattr(rest, "fetch", lambda url, *a: ('{"data":%s}' % pages[(url.split("/")[0], int(url.split("/")[1]))]).encode())
-    reader = rest.PagedReader({"url": "{query}/{page}/{size}", "queries": "q1", "page_size": "2", "wait": "0"})
-    assert [r[2] for p in reader.partitions() for r in reader.read(p)] == ["1", "2", "3"]
+    monkeypatch.setattr(rest, "fetch", lambda url, *a: {"data": pages[url.split("/")[0], int(url.split("/")[1])]})
+    reader = rest.PagedReader({"url": "{query}/{page}/{offset}", "queries": "q1", "page_size": "2", "wait": "0"})
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [("q1", 1, "1"), ("q1", 1, "2"), ("q1", 2, "3")]
+    whole = rest.PagedReader({"url": "{query}/{page}", "queries": "q1", "page_size": "2", "whole": "true", "pages": "1"})
+    assert [r for p in whole.partitions() for r in whole.read(p)] == [("q1", 1, '{"data": [1, 2]}')]
 
 
-def test_fetch_retries(monkeypatch):
+def test_a_failed_query_is_an_unknown_row(spark, monkeypatch):
+    from tarnwick.sources import rest
+
+    asked = []
+
+    def fetch(url, *a):
+        asked.append(url)
+        if url.startswith("bad"):
+            raise OSError("no answer")
+        return {"total": 0}
+
+    monkeypatch.setattr(rest, "fetch", fetch)
+    options = {"url": "{query}", "queries": "\n".join(["ok", "bad1", "bad2", "ok2", "ok3"]), "whole": "true", "on_failure": "unknown", "parallel": "1", "breaker": "2"}
+    reader = rest.PagedReader(options)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert rows == [("ok", 1, '{"total": 0}'), ("bad1", 1, None), ("bad2", 1, None), ("ok2", 1, None), ("ok3", 1, None)] and len(asked) == 3  # behind the breaker none is asked
+    got = {r.query: (r.known, r.active) for r in files.observations(spark.createDataFrame(rows, "query string, page int, body string"), ["query"], page="page").collect()}
+    assert got == {"ok": (True, 0), "bad1": (False, None), "bad2": (False, None), "ok2": (False, None), "ok3": (False, None)}
+    late = rest.PagedReader(options | {"seconds": "-1"})
+    assert [r[2] for p in late.partitions() for r in late.read(p)] == [None] * 5
+    few = rest.PagedReader(options | {"calls": "1"})
+    assert [r[2] for p in few.partitions() for r in few.read(p)] == ['{"total": 0}'] + [None] * 4
+    with pytest.raises(OSError):
+        list(rest.PagedReader(options | {"on_failure": "error", "parallel": "0"}).read(rest.Queries(["bad1"])))
+    cards = spark.createDataFrame([(1,), (2,)], "card_id int")
+    seen = spark.createDataFrame([(1, True, 3, 2.5, ["a"])], "card_id int, known boolean, active int, average double, item_ids array<string>")
+    assert [(r.card_id, r.known, r.active) for r in files.sweep_rows(cards, seen).orderBy("card_id").collect()] == [(1, True, 3), (2, False, None)]
+
+
+def answers(monkeypatch, *given):
+    """``urlopen`` that gives these in turn: a status that is refused, or a body."""
     import io
     import urllib.error
 
     from tarnwick.sources import rest
 
-    tries = []
+    left, waits = list(given), []
 
     def urlopen(request, timeout):
-        tries.append(1)
-        raise urllib.error.HTTPError("u", 429 if len(tries) < 3 else 404, "no", {}, io.BytesIO())
+        x = left.pop(0)
+        if isinstance(x, int):
+            raise urllib.error.HTTPError("u", x, "no", {}, io.BytesIO())
+        if isinstance(x, Exception):
+            raise x
+        return io.BytesIO(x)
 
     monkeypatch.setattr(rest.urllib.request, "urlopen", urlopen)
+    monkeypatch.setattr(rest.time, "sleep", waits.append)
+    return rest, left, waits
+
+
+def test_fetch_retries(monkeypatch):
+    import urllib.error
+
+    rest, left, waits = answers(monkeypatch, 429, 503, b"no json", b'{"a": 1}')
+    assert rest.fetch("http://x") == {"a": 1} and waits == [1, 2, 4]
+    rest, left, waits = answers(monkeypatch, 429, 404, b"{}")
     with pytest.raises(urllib.error.HTTPError):
-        rest.fetch("http://x", wait=0)
-    assert len(tries) == 3
+        rest.fetch("http://x")
+    assert len(left) == 1
+    rest, left, waits = answers(monkeypatch, 500, TimeoutError(), 429, b"broken", b"{}")
+    with pytest.raises(ValueError):
+        rest.fetch("http://x", linear=True)
+    assert len(left) == 1 and waits == [1.5, 3.0, 4.5]  # four tries in all
+
+
+def test_tokens(monkeypatch):
+    rest, _, _ = answers(monkeypatch, b'{"access_token": "t"}', 401, b"broken", OSError())
+    assert [rest.app_token("http://x", "a", "b", "s") for _ in range(4)] == ["t", None, None, None]
 
 
 def test_hac_lag(spark):
@@ -278,18 +338,165 @@ def test_archives(spark, tmp_path):
         (tmp_path / day).mkdir()
         (tmp_path / day / "77.json").write_text(body)
     wanted = spark.createDataFrame([("a", 1, "Normal"), ("b", 1, "Foil"), ("c", 2, "Normal")], "card_id string, product_id long, wanted string")
-    got = {(r.card_id, str(r.date)): r.price for r in files.archive_prices(spark, str(tmp_path), wanted, ["Holofoil"]).collect()}
+    got = {(r.card_id, str(r.date)): r.price for r in files.archive_prices(files.unpacked_archives(spark, str(tmp_path)), wanted).collect()}
     assert got == {("a", "2024-02-08"): 2.0, ("b", "2024-02-08"): 5.0}
 
 
+def test_archives_are_fetched_once(spark, tmp_path):
+    import io
+    import zipfile
+
+    from tarnwick.sources import archives
+
+    log, bodies = tmp_path / "asked", tmp_path / "bodies"
+    log.mkdir(), bodies.mkdir()
+    for day in ("2024-02-08", "2024-02-15"):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr(f"{day}/3/77/prices", '{"results":[{"productId":1,"subTypeName":"Normal","marketPrice":2.004}]}')
+            z.writestr(f"{day}/3/78/prices", "[]")
+        (bodies / day).write_bytes(data.getvalue())
+    (bodies / "2024-02-29").write_bytes(b"no archive")
+
+    def get(url):
+        (log / f"{url}-{len(list(log.iterdir()))}").write_text("")
+        return (bodies / url).read_bytes() if (bodies / url).exists() else None
+
+    cache, dates = str(tmp_path / "cache"), files.weekly_dates(spark, "2024-02-08", "2024-02-22")
+    assert archives.prefetch(spark, dates, "{date}", cache, get, tasks=1).count() == 2 and len(list(log.iterdir())) == 3
+    more = files.weekly_dates(spark, "2024-02-08", "2024-02-29")
+    rows = archives.prefetch(spark, more, "{date}", cache, get, tasks=1)
+    assert rows.count() == 3 and len(list(log.iterdir())) == 5  # the date without an archive is asked again
+    got = archives.group_files(rows, ["77"], archives.zip_members)
+    wanted = spark.createDataFrame([("a", 1, "Normal")], "card_id string, product_id long, wanted string")
+    assert sorted((str(r.date), r.price) for r in files.archive_prices(got, wanted).collect()) == [("2024-02-08", 2.0), ("2024-02-15", 2.0)]
+
+
 def test_side_files(spark, tmp_path):
     assert files.or_empty(spark, str(tmp_path / "none.json"), "id string, total long").count() == 0
     (tmp_path / "spec.json").write_text('{"cards": {"a": "12", "b": "x1"}}')
     assert [(r.id, r.spec) for r in files.spec_map(spark, str(tmp_path / "spec.json")).collect()] == [("a", "12")]
     pop = files.populations(spark.createDataFrame([("a", 4, 1, None), ("b", None, None, None)], "id string, total long, g10 long, g9 long")).collect()
     assert [(r.total, r.rate) for r in pop] == [(4, 0.25), (0, None)]
-    assert files.as_json(spark.createDataFrame([(float("nan"), 1)], "x double, y int")).first()[0] == '{"x":null,"y":1}'
+    assert files.as_json(spark.createDataFrame([(None, 1)], "x double, y int")).first()[0] == '{"x":null,"y":1}'
+    for wrong in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="no JSON number"):
+            files.as_json(spark.createDataFrame([(wrong, 1)], "x double, y int")).collect()
     series = files.compact_history(spark.createDataFrame([(D(2024, 1, 2), 1, 2.005), (D(2024, 1, 1), 1, 1.0)], "date date, card_id long, price double"), spark.range(2).withColumnRenamed("id", "card_id"))
     assert [(p.date, p.price) for p in series.first().series] == [("2024-01-01", 1.0), ("2024-01-02", 2.01)]
     cards = spark.createDataFrame([(k, float(k)) for k in range(10)], "card_id long, market_price double")
     assert [r.card_id for r in files.sweep_plan(cards, budget=3).collect()] == [9, 8, 7]
+
+
+def test_a_coefficient_of_zero_is_zero(spark):
+    """Eight pairs whose ranks have a covariance of exactly 0: not positive."""
+    pairs = list(zip(range(1, 9), (1, 4, 6, 7, 8, 5, 3, 2)))
+    assert 4 * sum(x * y for x, y in pairs) == 8 * 81
+    rows = [(0, float(x) / 7, float(y) / 3) for x, y in pairs] + [(1, float(x), float(x)) for x in range(8)] + [(2, 1.0, float(x)) for x in range(9)]
+    got = {r.k: r.ic for r in stats.rank_correlation(spark.createDataFrame(rows, "k int, x double, y double"), ["k"], "x", "y").collect()}
+    assert got == {0: 0.0, 1: 1.0}
+    summed = stats.ic_summary(spark.createDataFrame([(k, 0.0 if k % 2 else 0.1) for k in range(10)], "date int, ic double"), []).first()
+    assert summed.n_positive == 5
+
+
+def test_binned_ranks_are_exact(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, 3.0])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r.k, r.v): r.rank for r in stats.with_doubled_rank(df, "v", ["k"], "rank", bins=8).collect()}
+    for k in "ab":
+        values = sorted(v for x, v in rows if x == k)
+        for v in set(values):
+            low, n = values.index(v), values.count(v)
+            assert got[k, v] == 2 * (low + 1) + n - 1
+
+
+def test_literal_fixtures_through_the_operators(spark):
+    from tarnwick.operators import matching
+    from tarnwick.plans import fixtures as fx
+
+    got = matching.match_products(spark.createDataFrame(fx.MATCH_CARDS, fx.CARD), spark.createDataFrame(fx.MATCH_PRODUCTS, fx.PRODUCT)).collect()
+    assert sorted((r.card_id, r.product_id, r.how, r.candidates) for r in got) == sorted(fx.MATCH_WANT)
+    pages = files.observations(spark.createDataFrame(fx.PAGES, fx.PAGE), ["key"], page="page", market="market").collect()
+    assert sorted((r.key, r.known, r.active, r.average, None if r.item_ids is None else len(r.item_ids)) for r in pages) == sorted(fx.PAGES_WANT)
+
+
+def test_detail_has_no_separators(spark):
+    df = spark.createDataFrame([(1234.56, 3, "ok", 1500.4, 12.3456), (2.25, None, "no", None, None)], "pct double, days int, status string, demand_pressure double, supply_saturation double")
+    got = sorted(r.detail for r in labels.signals(df).collect())
+    assert got == ["price +1234.6% (3d) · sell-through 1500% · supply ×12.35", "price +2.2% (recent)"]
+    row = labels.signals(df).where("days = 3").first().basis
+    assert (row.price_state, row.market_state, row.price_pct, row.demand_pressure) == ("up", "steady", 1234.56, 1500.4)
+
+
+def test_later_writes_win(spark):
+    old = spark.createDataFrame([(1, "a", 9.0), (2, "a", 5.0)], "k int, d string, v double")
+    new = spark.createDataFrame([(1, "a", 1.0, 2), (1, "a", 7.0, 1), (3, None, 1.0, 1), (2, "a", None, 3)], "k int, d string, v double, at int")
+    assert sorted(tuple(r) for r in freshness.merge_series(old, new, ["k", "d"], "v", "at").collect()) == [(1, "a", 1.0), (2, "a", 5.0)]
+
+
+def test_side_files_of_other_shapes(spark, tmp_path):
+    at = tmp_path / "x.json"
+    for body, want in (('{"prices_as_of": "2024-01-02"}', "2024-01-02"), ("[1]", None), ("broken {", None), ('"text"', None)):
+        at.write_text(body)
+        assert files.price_status(spark, str(at)).first().prices_as_of == want
+    assert files.price_status(spark, str(tmp_path / "none.json")).first().prices_as_of is None
+    at.write_text('{"cards": {"a": {"total": 4, "psa10": 1, "psa10_rate": 0.25, "fetched": "2024-01-02"}}}')
+    assert [(r.id, r.total, str(r.fetched)) for r in files.population_file(spark, str(at)).collect()] == [("a", 4, "2024-01-02")]
+    for body in ("[]", "broken", '{"cards": 5}'):
+        at.write_text(body)
+        assert files.population_file(spark, str(at)).count() == 0
+    assert files.population_file(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_client_tables(spark, tmp_path):
+    for name in files.CLIENT_FILES:
+        (tmp_path / f"{name}.json").write_text('[{"id": 1},\n {"id": 2}]' if name == "cards" else '{"a": 1}')
+    got = files.client_tables(spark, str(tmp_path))
+    assert got["cards"].count() == 2 and got["meta"].first().a == 1 and got["backtest"] is None and len(got) == 9
+    (tmp_path / "model.json").unlink()
+    with pytest.raises(Exception, match="model.json"):
+        files.client_tables(spark, str(tmp_path))
+
+
+def test_staged_files_are_refused(spark):
+    good = spark.createDataFrame([("a.json", b'{"x": "item_ids"}'), ("b.txt", b'"item_ids": 1')], "name string, content binary")
+    files.refuse_staged(good)
+    bad = good.unionByName(spark.createDataFrame([("c.json", b'{"a": [{"item_ids": []}]}')], "name string, content binary"))
+    with pytest.raises(ValueError, match="c.json has it as a key"):
+        files.refuse_staged(bad)
+
+
+def test_calendar_days(spark):
+    rows = spark.createDataFrame([("2024-01-02",), ("2024-01-02T23:30:00Z",), ("soon",), (None,)], "t string")
+    got = [str(r.d) for r in rows.select(scores.calendar_day(F.col("t"), "Asia/Tokyo").alias("d")).collect()]
+    assert got == ["2024-01-02", "2024-01-03", "None", "None"]
+
+
+def test_batches_go_on_where_they_broke_off(spark):
+    names = spark.createDataFrame([(x,) for x in "abcdefg"], "name string")
+    got = files.interest_batches(names, spark.createDataFrame([("b",)], "name string")).collect()
+    assert sorted((r.batch, r.name) for r in got) == [(0, "a"), (0, "c"), (0, "d"), (0, "e"), (1, "f"), (1, "g")]
+
+
+def test_population_in_the_daily_build(spark):
+    from tarnwick.plans.daily import Inputs, build
+    from tarnwick.plans.testmap import view
+
+    d = "/root/testdata/sf0.001"
+    inputs = [view(spark, d, n) for n in ("cards", "sets", "snapshots", "panel", "overrides", "priors")]
+    graded = spark.createDataFrame([(1, 10, 4, 0.4)], "id long, total long, g10 long, rate double")
+    got = {r.card_id: r.population for r in build(Inputs(*inputs, graded), F.lit(D(2001, 8, 2)))["scored"].select("card_id", "population").collect()}
+    assert got[1].g10 == 4 and got[2] is None
+
+
+def test_a_missing_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tarnwick.lineage import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
