@@ -38,15 +38,22 @@ def backward(series: DataFrame, keys: list[str], cutoff: Column, value: str, dat
     return series.where(usable).groupBy(*keys).agg(best).select(*keys, F.col("best.value").alias(value), F.col("best.date").alias(date))
 
 
+def _with_last(series: DataFrame, key: str, date: str) -> DataFrame:
+    """``series`` plus ``__last``, the key's latest date: an aggregation with partial results, joined back.
+
+    AQE broadcasts it where there are few keys, and then no point of the series is shuffled before it is aggregated.
+    """
+    return series.join(series.groupBy(key).agg(F.max(date).alias("__last")), key)
+
+
 def trends(series: DataFrame, key: str, value: str = "price", date: str = "date", days: tuple[int, ...] = (30, 90, 180), most_stale: dict[int, int] | None = None) -> DataFrame:
     """Rows (key, latest, n_points, trend_<d>d ..): change of the latest value against the one d days before.
 
     The base of a trend is the newest point at or before the cutoff; ``most_stale`` limits its age in days for each
-    trend (none: any age).  One window for the latest point and one aggregation for all trends.
+    trend (none: any age).  One aggregation for the latest dates and one for all trends.
     """
     most_stale = {30: 14, 90: 14} if most_stale is None else most_stale
-    last = Window.partitionBy(key)
-    rows = series.withColumn("__last", F.max(date).over(last))
+    rows = _with_last(series, key, date)
     aggs = [F.max_by(value, date).alias("latest"), F.count(F.lit(1)).alias("n_points")]
     for d in days:
         usable = F.col(date) <= F.date_sub(F.col("__last"), d)
@@ -60,7 +67,7 @@ def trends(series: DataFrame, key: str, value: str = "price", date: str = "date"
 
 def first_in_window(series: DataFrame, key: str, value: str, days: int, date: str = "date") -> DataFrame:
     """Rows (key, from_date, from_value, to_date, to_value, n): the latest point and the earliest within ``days`` of it."""
-    rows = series.withColumn("__last", F.max(date).over(Window.partitionBy(key)))
+    rows = _with_last(series, key, date)
     inside = F.datediff(F.col("__last"), F.col(date)) <= days
     first, last = F.min(F.when(inside, F.struct(date, value))), F.max(F.struct(date, value))
     out = rows.groupBy(key).agg(first.alias("f"), last.alias("l"), F.count(F.lit(1)).alias("n"))

@@ -23,7 +23,7 @@ def residuals(panel: DataFrame, cards: DataFrame, priors: DataFrame | None = Non
     enough = at.groupBy("eval_date").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= C.MIN_CLUSTER).select("eval_date")
     at = at.join(enough, "eval_date")
     made = features.card_features(at, priors, F.col("eval_date"), ["eval_date"])
-    made = made.withColumn("cluster", ridge.cluster_key(F.col("supertype"), F.col("rarity")))
+    made = cut(made.withColumn("cluster", ridge.cluster_key(F.col("supertype"), F.col("rarity"))))  # read by both fits and the scores
     models = ridge.fit_clusters(made, ["eval_date"], feature_list, alpha)
     scored = ridge.score(made, models, ["eval_date"], feature_list)
     return scored.select("eval_date", "card_id", F.col("market_price").alias("price"), "residual", "expected_price", F.datediff("eval_date", "release_date").alias("age_days"), "rarity")

@@ -1,4 +1,4 @@
-"""The daily build as one lazy plan over input tables, and the walk-forward report."""
+"""The daily build over input tables, and the walk-forward report.  Only tables that several results need are written."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def build(inputs: Inputs, today: Column) -> dict[str, DataFrame]:
     """
     cards = sealed.with_pull_cost(sealed.with_pull_rates(inputs.cards, inputs.overrides), inputs.sets)
     made = features.card_features(cards, inputs.priors, today, [])
-    made = made.withColumn("cluster", ridge.cluster_key(F.col("supertype"), F.col("rarity")))
+    made = cut(made.withColumn("cluster", ridge.cluster_key(F.col("supertype"), F.col("rarity"))))  # read by both fits and the scores
     own, whole = ridge.fit_clusters(made, [])
     scored = ridge.score(made, (own, whole), [])
     flow = dynamics.compute(dynamics.with_flows(inputs.snapshots, today), current=today)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwick import constants as C
 from tarnwick.functions import scores, stats, text
+from tarnwick.lineage import cut
 from tarnwick.operators import asof, backtest, boards, dynamics, features, freshness, labels, matching, ridge, sealed
 from tarnwick.plans import fixtures as fx
 from tarnwick.plans.testmap import view
@@ -277,7 +278,7 @@ def featured(spark, d):
 
 
 def modelled(spark, d):
-    cards = featured(spark, d).withColumn("cluster", ridge.cluster_key(F.col("supertype"), F.col("rarity")))
+    cards = cut(featured(spark, d).withColumn("cluster", ridge.cluster_key(F.col("supertype"), F.col("rarity"))))
     models = ridge.fit_clusters(cards, [])
     return cards, models, ridge.score(cards, models, [])
 
@@ -553,10 +554,11 @@ def merged_series(spark, d):
 
 
 def panel_obs(spark, d, horizons=(28,)):
-    resid = backtest.residuals(view(spark, d, "panel"), view(spark, d, "panel_cards"))
+    panel = cut(view(spark, d, "panel"))
+    resid = backtest.residuals(panel, view(spark, d, "panel_cards"))
     # Nine digits: ties and their ranks must not hang on the order in which partial sums met.
     resid = resid.withColumn("residual", F.round("residual", 9))
-    return backtest.observations(resid, view(spark, d, "panel"), horizons)
+    return backtest.observations(resid, panel, horizons)
 
 
 @query
