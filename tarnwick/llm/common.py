@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwick.lineage import cut, shared_folder  # noqa: F401
+
 #: ASCII white space, the class ``[\x20\x09-\x0D]`` of every contract here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,28 +16,6 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 16 << 20
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure that a checkpoint folder is set: the one that ``spark.checkpoint.dir`` names.
-
-    Only where driver and executors are one process (tests) does a folder of this machine do in its place.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder now and go on from the files, so a lost executor costs no rerun."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _size(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16

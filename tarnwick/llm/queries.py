@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.llm import bpe_chunks, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, mixing, quotation, token_counts
+from tarnwick.plans.fixtures import values
 from tarnwick.shipping import ship
 
 TREE = hash_tree.Tree()
@@ -43,6 +44,24 @@ def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("conv_id", "turn", "role", "parent_turn", "reply_kind", "n_passages", "deepest_level", "order_key", "own_text")
 
 
+#: Conversations with nested quotations, and by hand: parent, kind, own text, place in reply order.
+QUOTATIONS = [
+    ("c", 0, "first words"), ("c", 1, "second words"), ("c", 2, "third words"), ("c", 3, ">> First words\nonly deep"), ("c", 4, "> second words\n>> first words\nboth"),
+    ("c", 5, "On Monday A wrote:\n> unknown\n>> third  words\ndeep known"), ("c", 6, "plain"), (None, 0, "hello there"), ("~", 1, "> hello there\nyes"),
+]
+QUOTATIONS_WANT = [
+    ("c", 0, None, "first", "first words", 1), ("c", 1, 0, "next", "second words", 2), ("c", 2, 1, "next", "third words", 3), ("c", 3, 0, "quote", "only deep", 7),
+    ("c", 4, 1, "quote", "both", 6), ("c", 5, 2, "quote", "deep known", 4), ("c", 6, 5, "next", "plain", 5), (None, 0, None, "first", "hello there", 1), ("~", 1, None, "first", "yes", 1),
+]
+
+
+def literal_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered conversations hold no quotation, so that linking is seen on these."""
+    rows = spark.createDataFrame(QUOTATIONS, "conv_id string, turn long, text string").withColumn("role", F.lit("user"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("order_key"))
+    return quotation.link_quotations(rows).select("conv_id", "turn", "parent_turn", "reply_kind", "own_text", place.alias("place"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "text", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
@@ -138,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance": op8_importance,
     "op9_line_frequency": op9_line_frequency,
     "op10_hash_tree": op10_hash_tree,
+    "literal_quotations": literal_quotations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -146,4 +166,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": license_scan.scan_sql(),
     "op9_line_frequency": OP9_SQL,
     "op10_hash_tree": OP10_SQL,
+    "literal_quotations": "SELECT * FROM " + values(QUOTATIONS_WANT, "conv_id, turn, parent_turn, reply_kind, own_text, place"),
 }
