@@ -297,13 +297,12 @@ def _parcels(texts: DataFrame, vocabulary: str) -> DataFrame:
     @F.arrow_udf(f"array<struct<c1:bigint,c2:bigint,{', '.join(x.replace(' ', ':') for x in RECORD.split(', '))}>>")
     def encoded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         e = encoder(vocabulary)
+        kind = pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), *_RECORD]))
         for texts_, wanted in batches:
-            rows = []
             for text, want in zip(texts_, wanted):
                 names = {(w["c1"], w["c2"]) for w in want.as_py()}
                 mine = {c: n for c in set(chunks_of(text.as_py())) if (n := named(c)) in names}
-                rows.append([{"c1": mine[c][0], "c2": mine[c][1], "ids": x.ids.tobytes()} | dict(zip(NAMES[1:], x[1:])) for c, x in e.chunks(set(mine)).items()])
-            yield pa.array(rows, pa.list_(pa.struct([("c1", pa.int64()), ("c2", pa.int64()), *_RECORD])))
+                yield pa.array([[{"c1": mine[c][0], "c2": mine[c][1], "ids": x.ids.tobytes()} | dict(zip(NAMES[1:], x[1:])) for c, x in e.chunks(set(mine)).items()]], kind)
 
     dictionary = own.select(F.explode(encoded("text", "wanted")).alias("x")).select("x.*").dropDuplicates(["c1", "c2"])
     record = F.struct("c1", "c2", *NAMES).alias("record")

@@ -146,8 +146,8 @@ def set_name(elements: np.ndarray, weights: np.ndarray) -> Decimal | None:
 NODE = "decimal(38,0)"
 #: With how many of its buckets' leaders a node is compared before open buckets are compared as a whole.
 LEADERS = 2
-#: Elements for which darts are thrown at a time.
-BATCH = 60_000
+#: Elements for which darts are thrown at a time, and code points of which sets are made at a time.
+BATCH, CHARS = 60_000, 2_000_000
 
 
 def _sketch(near: Near):
@@ -231,11 +231,23 @@ def _sets(keyed: DataFrame, made: DataFrame, nodes: DataFrame, near: Near) -> Da
     texts = keyed.join(small_or_shuffled(one, bytes_of(one)), same).select("node", "text").distinct()
     kind = pa.struct([("elements", pa.binary()), ("weights", pa.binary())])
 
+    def row(text: str) -> dict:
+        elements, weights = weighted(text, near)
+        return {"elements": elements.tobytes(), "weights": None if near.weights == "set" else weights.astype(np.float32).tobytes()}
+
     @F.arrow_udf("elements binary, weights binary")
     def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            sets = [weighted(t.as_py(), near) for t in batch]
-            yield pa.array([{"elements": e.tobytes(), "weights": None if near.weights == "set" else w.astype(np.float32).tobytes()} for e, w in sets], kind)
+        for batch in batches:  # a batch is answered in several smaller ones
+            rows, size = [], 0
+            for scalar in batch:
+                text = scalar.as_py()
+                rows.append(row(text))
+                size += len(text)
+                if size >= CHARS:
+                    yield pa.array(rows, kind)
+                    rows, size = [], 0
+            if rows:
+                yield pa.array(rows, kind)
 
     return cut(texts.select("node", shingled("text").alias("s")).select("node", "s.*"))
 
