@@ -109,8 +109,9 @@ def rescore(model: dict[str, Column], values: dict[str, Column]) -> Column:
     return F.exp(total)
 
 
-def export(own: DataFrame, whole: DataFrame, features: list[str] = C.FEATURES) -> DataFrame:
-    """One row per model with arrays, the global one under the name ``global``."""
-    arrays = lambda p: F.array(*[F.round(f"{p}_{f}", 6) for f in features])
-    shape = lambda df, name: df.select(name.alias("cluster"), "n", F.round("intercept", 6).alias("intercept"), *[arrays(p).alias(f"{p}s") for p in ("mean", "std", "coef")])
+def export(own: DataFrame, whole: DataFrame, features: list[str] = C.FEATURES, digits: int | None = 6) -> DataFrame:
+    """One row per model with arrays, the global one under the name ``global``; values to so many digits (None: as they are)."""
+    shown = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    arrays = lambda p: F.array(*[shown(f"{p}_{f}") for f in features])
+    shape = lambda df, name: df.select(name.alias("cluster"), "n", shown("intercept").alias("intercept"), *[arrays(p).alias(f"{p}s") for p in ("mean", "std", "coef")])
     return shape(own, F.col("cluster")).unionByName(shape(whole, F.lit("global")))

@@ -304,7 +304,7 @@ ORACLE: dict[str, str] = {
     "global_ridge": sql("cards", "priors", ctes=MODEL, select=f"SELECT n, round(intercept, 5) AS intercept, {RCOLS} FROM whole"),
     "ridge_scores": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, cluster, model_n, round(expected_price, 4) AS expected_price, round(residual, 5) AS residual, " + ", ".join(f"round(z_{x}, 6) AS part_{x}" for x in F3) + " FROM scored"),
     "model_export": sql("cards", "priors", ctes=MODEL + ", both_ AS (SELECT cluster, n, intercept, " + EXPORTED + " FROM own UNION ALL SELECT 'global', n, intercept, " + EXPORTED + " FROM whole)",
-        select="SELECT cluster, n, round(intercept, 6) AS intercept, " + ", ".join(f"round({p}_{x}, 6) AS {p}s_{k}" for p in ("mean", "std", "coef") for k, x in enumerate(F3)) + " FROM both_"),
+        select="SELECT cluster, n, round(intercept + 1e-9::DOUBLE, 6) AS intercept, " + ", ".join(f"round({p}_{x} + 1e-9::DOUBLE, 6) AS {p}s_{k}" for p in ("mean", "std", "coef") for k, x in enumerate(F3)) + " FROM both_"),
     "small_sample_notes": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, coalesce(o.n, w.n) AS n, coalesce(o.n, w.n) < 30 AS small FROM feat LEFT JOIN (SELECT * FROM own WHERE n >= 12) o USING (cluster) CROSS JOIN whole w"),
     "rescored": sql("cards", "priors", ctes=MODEL, select="""SELECT card_id, round(exp(intercept + CASE WHEN card_id % 4 > 0 AND char_premium IS NOT NULL THEN coef_char_premium * (char_premium - mean_char_premium) / std_char_premium ELSE 0 END
         + coef_scarcity * (scarcity - mean_scarcity) / std_scarcity + coef_months_since_release * (months_since_release - mean_months_since_release) / std_months_since_release), 4) AS price FROM feat CROSS JOIN whole"""),

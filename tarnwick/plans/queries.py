@@ -317,9 +317,10 @@ def ridge_scores(spark, d):
 @query
 def model_export(spark, d):
     _, models, _ = modelled(spark, d)
-    e = ridge.export(*models)
-    part = lambda c, k: F.get(c, F.lit(k)).alias(f"{c}_{k}")
-    return e.select("cluster", "n", "intercept", *[part(c, k) for c in ("means", "stds", "coefs") for k in range(len(C.FEATURES))])
+    e = ridge.export(*models, digits=None)
+    # Means of a few values of six digits end in a 5 behind them rather often; a billionth decides how they are rounded.
+    part = lambda c, k: F.round(F.get(c, F.lit(k)) + 1e-9, 6).alias(f"{c}_{k}")
+    return e.select("cluster", "n", F.round(F.col("intercept") + 1e-9, 6).alias("intercept"), *[part(c, k) for c in ("means", "stds", "coefs") for k in range(len(C.FEATURES))])
 
 
 @query
