@@ -500,3 +500,14 @@ def test_a_missing_shared_folder_is_an_error_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_second_source_from_files(spark, tmp_path):
+    rows = [
+        '{"localId": "090", "pricing": {"tcgplayer": {"updated": "u", "normal": {"marketPrice": 2}, "reverse-holofoil": {"marketPrice": 3.456}}}}',
+        '{"localId": "TG1", "pricing": {"tcgplayer": null, "cardmarket": {"avg": 10, "updated": "e"}}}',
+        '{"localId": "3", "pricing": null}', "broken {", '{"pricing": {"cardmarket": {"avg": 1}}}',
+    ]
+    (tmp_path / "p.json").write_text("\n".join(rows))
+    got = sorted((r.number, r.price, r.variant, r.updated) for r in files.secondary_prices(spark, str(tmp_path)).collect())
+    assert got == [("90", 3.46, "tcgplayer:reverse-holofoil", "u"), ("TG1", 10.8, "cardmarket:avg(EUR->USD)", "e")]
