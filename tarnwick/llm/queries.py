@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm import bpe_chunks, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, mixing, quotation, token_counts
+from tarnwick.llm import bpe_chunks, collocations, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, merkle, mixing, quotation, rp_forest, token_counts
 from tarnwick.plans.fixtures import values
 from tarnwick.shipping import ship
 
@@ -97,6 +97,28 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign_shards(docs, tree=TREE)
 
 
+def op11_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = rp_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return near.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claimed = merkle.leaf_of("doc_id", "source", "lang", "n_chars", F.translate("text", UPPER, LOWER))
+    made = merkle.manifest(docs, carry={"claimed": F.when(tampered, claimed)})
+    root = merkle.folded(F.coalesce("claimed", "leaf"), F.col("path"))
+    out = made.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 WS = r"[\x20\x09-\x0D]"
 TEXT = "coalesce(text, '')"
 
@@ -146,6 +168,45 @@ s1 AS ({hash_tree.shard_sql("doc_id", TREE, "e")}),
 s2 AS ({hash_tree.shard_sql("doc_id", TREE.grown(), "(SELECT * RENAME (sh AS shard) FROM s1)")})
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, sh AS grown_shard FROM s2"""
 
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+_CLIMB = """SELECT tree, 0 AS lvl, pos, node, size FROM {0} UNION ALL
+ SELECT tree, lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (any_value(size) + 15) // 16 FROM {1} WHERE size > 1 GROUP BY tree, lvl, pos // 16"""
+_STEPS = """SELECT l.rn, {2} AS part, r.lvl, (l.pos // (16 ** r.lvl)::BIGINT) % 16 AS i, r.ns FROM {0} l
+ JOIN (SELECT tree, lvl, pos // 16 AS run, list(node ORDER BY pos) AS ns FROM {1} WHERE size > 1 GROUP BY ALL) r ON r.tree = l.tree AND r.run = l.pos // (16 ** (r.lvl + 1))::BIGINT"""
+OP12_SQL = f"""
+WITH RECURSIVE tab AS (SELECT {_TABLE} AS t), d AS (SELECT *, row_number() OVER () AS rn, hex(encode(doc_id::VARCHAR)) AS h FROM documents),
+c AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1])), 4294967295::BIGINT) AS crc FROM d, tab),
+l AS (SELECT rn, doc_id, coalesce('=' || source, '') AS tree, {_LEAF("text")} AS node, CASE WHEN crc % 5 = 0 THEN {_LEAF(f"translate(text, '{UPPER}', '{LOWER}')")} END AS claimed FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM l),
+up AS ({_CLIMB.format("p", "up")}),
+subs AS (SELECT tree AS src, node AS subroot FROM up WHERE size = 1),
+q AS (SELECT '' AS tree, src, subroot AS node, row_number() OVER (ORDER BY encode(src)) - 1 AS pos, count(*) OVER () AS size FROM subs),
+top AS ({_CLIMB.format("q", "top")}),
+steps AS ({_STEPS.format("p", "up", 0)} UNION ALL {_STEPS.format("(SELECT p.rn, q.tree, q.pos FROM p JOIN q ON q.src = p.tree)", "top", 1)}),
+paths AS (SELECT rn, list(lpad(i::VARCHAR, 2, '0') || array_to_string(list_concat(ns[:i], ns[i + 2:]), '') ORDER BY part, lvl) AS steps FROM steps GROUP BY rn),
+o AS (SELECT p.*, coalesce(steps, []) AS steps FROM p LEFT JOIN paths USING (rn)),
+f AS (SELECT *, list_reduce(list_prepend(coalesce(claimed, node), steps), lambda a, s: sha256(substr(s, 3, s[:2]::BIGINT * 64) || a || substr(s, 3 + s[:2]::BIGINT * 64))) AS folded_root FROM o)
+SELECT doc_id, f.node AS leaf, subroot, r.node AS root, sha256(array_to_string(list_transform(steps, lambda s: s[3:]), '')) AS proof_sha256, folded_root, folded_root = r.node AS verified
+FROM f JOIN subs ON subs.src = f.tree, (SELECT node FROM top WHERE size = 1) r"""
+
+OP13_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, m, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, g, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inside AS (SELECT lang, g[i:i + s - 1] AS g, max(f) AS most FROM (SELECT lang, g, f, m, s, unnest(range(1, m - s + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS s) WHERE s < m) GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, g) WHERE m > 1 AND (most IS NULL OR 100 * most < 100 * f)),
+cuts AS (SELECT lang, g, f AS a, k, g[1:k] AS g1, g[k + 1:] AS g2 FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cuts.lang, cuts.g, a, k, f1.f AS l, f2.f AS r, n, ((1000::HUGEINT * a * n) // (f1.f::HUGEINT * f2.f))::BIGINT AS score
+      FROM cuts JOIN f f1 ON f1.lang = cuts.lang AND f1.g = g1 JOIN f f2 ON f2.lang = cuts.lang AND f2.g = g2 JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_chunks": op2_bpe_chunks,
@@ -157,6 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance": op8_importance,
     "op9_line_frequency": op9_line_frequency,
     "op10_hash_tree": op10_hash_tree,
+    "op11_rp_forest": op11_rp_forest,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_collocations": op13_collocations,
     "literal_quotations": literal_quotations,
 }
 
@@ -166,5 +230,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": license_scan.scan_sql(),
     "op9_line_frequency": OP9_SQL,
     "op10_hash_tree": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_collocations": OP13_SQL,
     "literal_quotations": "SELECT * FROM " + values(QUOTATIONS_WANT, "conv_id, turn, parent_turn, reply_kind, own_text, place"),
 }
