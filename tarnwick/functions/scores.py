@@ -70,9 +70,9 @@ def search_interest_score(ratio: Column) -> Column:
 
 
 def combined_prior(poll: Column, views: Column) -> Column:
-    """Both: 0.7 of the higher and 0.3 of the lower; views alone are capped."""
+    """Both: 0.7 of the higher and 0.3 of the lower; views alone are capped; null without either."""
     both = 0.7 * F.greatest(poll, views) + 0.3 * F.least(poll, views)
-    return F.when(poll.isNotNull() & views.isNotNull(), both).otherwise(F.coalesce(poll, F.least(views, F.lit(C.SINGLE_SOURCE_CAP))))
+    return F.when(poll.isNotNull() & views.isNotNull(), both).otherwise(F.coalesce(poll, F.when(views.isNotNull(), F.least(views, F.lit(C.SINGLE_SOURCE_CAP)))))
 
 
 def pull_rate(rate: Column, n: Column) -> Column:

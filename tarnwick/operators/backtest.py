@@ -68,7 +68,7 @@ def segment_ics(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pooled_buckets(obs: DataFrame, bucket: Column, least: int = 30) -> DataFrame:
-    """Rows (bucket, n, ic, frac_up, mean_return) over all dates together, buckets of at least 30 rows.
+    """Rows (bucket, n, ic, frac_up, mean_return) over all dates together, buckets of at least 30 rows, the largest first.
 
     There are a handful of buckets, so ranks are made in bins of a bucket and not in one task for each.  Each ranking
     reads its rows three times, so they are cut before it.
@@ -78,7 +78,7 @@ def pooled_buckets(obs: DataFrame, bucket: Column, least: int = 30) -> DataFrame
     out = ranked.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.round(stats.rank_coefficient("__x", "__y"), 6).alias("ic"), F.round(F.avg((F.col("fwd") > 0).cast("double")), 6).alias("frac_up"), F.round(F.avg("fwd"), 6).alias("mean_return")
     )
-    return out.where(F.col("n") >= least)
+    return out.where(F.col("n") >= least).orderBy(F.desc("n"), "bucket")
 
 
 def floor_sensitivity(obs: DataFrame, floors: tuple[float, ...] = (2.0, 5.0, 10.0, 20.0)) -> DataFrame:
@@ -87,10 +87,13 @@ def floor_sensitivity(obs: DataFrame, floors: tuple[float, ...] = (2.0, 5.0, 10.
 
 
 def by_age(obs: DataFrame) -> DataFrame:
-    """Rows (bucket, n, mean_return, n_dates, mean_ic ..): forward returns and rank correlations by age of the card."""
+    """Rows (bucket, n, mean_return, n_dates, mean_ic ..): forward returns and rank correlations by age of the card.
+
+    A bucket without a correlation on any date is left out.
+    """
     rows = obs.withColumn("bucket", scores.age_bucket(F.col("age_days"))).where("bucket is not null")
     ics = stats.ic_summary(segment_ics(rows, ["bucket"]), ["bucket"])
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_return")).join(ics, "bucket", "left")
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_return")).join(ics, "bucket")
 
 
 def decile_legs(obs: DataFrame, keys: list[str], least: int = 20) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick import constants as C
-from tarnwick.functions import scores, stats
+from tarnwick.functions import scores, stats, text
+from tarnwick.operators import features
 
 
 def pool(scored: DataFrame) -> DataFrame:
@@ -45,24 +46,30 @@ def most_underpriced(scored: DataFrame, n: int, key: str = "card_id") -> DataFra
     return scored.where("residual is not null").orderBy("residual", key).limit(n)
 
 
-def premium_review(cards: DataFrame, premiums: DataFrame) -> DataFrame:
-    """Characters whose best price standing within a rarity and whose premium disagree.
+def premium_review(cards: DataFrame, premiums: DataFrame, priors: DataFrame, key: str = "card_id") -> DataFrame:
+    """Characters with a card of some price: what their prices say of them, their premium, and the gap between the two.
 
-    Percentiles are within the rarity over all kinds of cards; the filter to creatures comes after.
+    Percentiles are within the rarity over all kinds of cards; the filter to creatures comes after.  Forms of a character
+    are one: its name is the last of the lookup keys.  The premium is that of its last card that has one, and goes into
+    the gap as it is; only what is shown is rounded.  ``source`` says where the character's own prior comes from.
     """
     ranked = stats.with_share_at_or_below(cards.where("market_price is not null"), "market_price", ["rarity"], "__pct")
-    mine = ranked.where(F.col("supertype") == "Pokémon").groupBy("base_name").agg(
-        F.max("__pct").alias("best_pct"), F.max("market_price").alias("top_price"), F.max(F.struct("market_price", (-F.col("card_id")).alias("k")))["k"].alias("__top")
-    )
-    joined = mine.join(premiums.select("base_name", "char_premium"), "base_name").where(F.col("char_premium").isNotNull() & (F.col("top_price") >= C.REVIEW_PRICE))
-    gap = F.round(F.round(10.0 * F.col("best_pct"), 2) - F.round("char_premium", 2), 2)
-    return joined.select("base_name", F.round("best_pct", 6).alias("best_pct"), F.round("top_price", 2).alias("top_price"), (-F.col("__top")).alias("top_card"), F.round("char_premium", 2).alias("premium"), gap.alias("gap"))
+    mine = ranked.where((F.col("supertype") == "Pokémon") & (F.col("base_name") != "")).join(premiums.select("base_name", "char_premium"), "base_name", "left")
+    top = F.max(F.struct("market_price", (-F.col(key)).alias("order"), "name", "rarity")).alias("top")
+    premium = F.max_by("char_premium", F.when(F.col("char_premium").isNotNull(), F.col(key))).alias("premium")
+    found = mine.groupBy(F.element_at(text.variant_keys(F.col("base_name")), -1).alias("character")).agg(F.max("__pct").alias("pct"), top, premium)
+    found = found.where(F.col("premium").isNotNull() & (F.col("top.market_price") >= C.REVIEW_PRICE))
+    signal = F.round(10.0 * F.col("pct"), 2)
+    return features.prior_lookup(found, priors, "character").select(
+        "character", F.round("premium", 2).alias("premium"), signal.alias("price_signal"), F.round(signal - F.col("premium"), 2).alias("gap"),
+        F.coalesce("prior_source", F.lit("structural")).alias("source"), F.col("top.name").alias("top_card"), F.col("top.rarity").alias("top_rarity"), F.round("top.market_price", 2).alias("top_price"),
+    )
 
 
 def review_flags(review: DataFrame) -> DataFrame:
     """Up to 18 characters on either side whose gap reaches 1.5."""
-    low = review.where(F.col("gap") >= C.REVIEW_GAP).withColumn("flag", F.lit("underrated")).orderBy(F.col("gap").desc(), "base_name").limit(C.REVIEW_SIZE)
-    high = review.where(F.col("gap") <= -C.REVIEW_GAP).withColumn("flag", F.lit("overrated")).orderBy("gap", "base_name").limit(C.REVIEW_SIZE)
+    low = review.where(F.col("gap") >= C.REVIEW_GAP).withColumn("flag", F.lit("underrated")).orderBy(F.col("gap").desc(), "character").limit(C.REVIEW_SIZE)
+    high = review.where(F.col("gap") <= -C.REVIEW_GAP).withColumn("flag", F.lit("overrated")).orderBy("gap", "character").limit(C.REVIEW_SIZE)
     return low.unionByName(high)
 
 
@@ -92,13 +99,18 @@ def search(cards: DataFrame, query: str = "", set_id: str | None = None, order:
 
 
 def portfolio_totals(watched: DataFrame, prices: DataFrame) -> DataFrame:
-    """Present value, value when added and change of the watched cards; those without both prices count nowhere."""
+    """Present value of all watched cards, and its change since they were added.
+
+    A card without a price counts as nothing.  The change is the whole value less the prices at adding that are known,
+    so a card without such a price adds its whole value; there is no change if none is known, and no share if they are
+    nothing together.
+    """
     rows = watched.join(prices, "card_id", "left")
-    both = F.col("price").isNotNull() & F.col("price_at_add").isNotNull()
-    now, then = F.sum(F.when(both, F.col("price"))), F.sum(F.when(both, F.col("price_at_add")))
+    value, then = F.coalesce(F.sum("price"), F.lit(0.0)), F.sum("price_at_add")
     return rows.agg(
         F.count(F.lit(1)).alias("n_cards"),
-        F.round(F.coalesce(F.sum("price"), F.lit(0.0)), 2).alias("value"),
-        F.round(now - then, 2).alias("since_added"),
-        F.round(F.try_divide(100.0 * (now - then), then), 2).alias("since_added_pct"),
+        F.count("price_at_add").alias("n_bases"),
+        F.round(value, 2).alias("value"),
+        F.round(value - then, 2).alias("since_added"),
+        F.round(F.when(then > 0, 100.0 * (value - then) / then), 2).alias("since_added_pct"),
     )

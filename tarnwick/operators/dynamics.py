@@ -68,7 +68,8 @@ def compute(flows: DataFrame, current: Column | None = None, as_of: Column | Non
     """One row per card: status, demand pressure, supply saturation and their basis, by its latest admissible row.
 
     Rows after ``as_of`` or ``current`` are ignored.  A card whose latest row is unknown, or not of the current date,
-    awaits data; so does one with a single row, or with neither a demand nor a shift to report.
+    awaits data; so does one with a single row, or with neither a demand nor a shift to report.  The basis has the
+    lengths of the frames where there were rows to look at, and the frames' means where they led to a reading.
     """
     rows = flows
     for limit in (as_of, current):
@@ -95,6 +96,10 @@ def compute(flows: DataFrame, current: Column | None = None, as_of: Column | Non
         F.when(stale, "no_current_observation").alias("reason"),
         F.when(stale, F.col("last_observed")).alias("last_observed"),
         F.col("days").cast("long").alias("days"),
+        F.when(~stale & ~single, F.lit(C.SHORT_ROWS)).alias("short_window"),
+        F.when(~stale & ~single, F.lit(C.LONG_ROWS)).alias("long_window"),
+        F.when(~awaits, F.round(a7, 4)).alias("short_active_avg"),
+        F.when(~awaits, F.round(a30, 4)).alias("long_active_avg"),
     )
 
 

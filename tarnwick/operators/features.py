@@ -14,15 +14,18 @@ from tarnwick.functions import scores, stats, text
 
 
 def prior_lookup(characters: DataFrame, priors: DataFrame, name: str = "base_name") -> DataFrame:
-    """``characters`` plus ``prior``: the score of the first of a name's lookup keys that has one, overrides first.
+    """``characters`` plus ``prior`` and ``prior_source``: the score of the first of a name's lookup keys that has one,
+    overrides first, and whether it is ``user``, ``wiki`` or ``poll`` (the stronger where a key has both).
 
     ``priors`` has rows (key, poll, views, override), each score or null; it is a small input table.
     """
-    scored = priors.select(F.col("key"), "override", scores.combined_prior(F.col("poll"), F.col("views")).alias("mixed"))
+    stronger = F.when(F.col("poll").isNull() | (F.col("views") >= F.col("poll")), "wiki").otherwise("poll")
+    scored = priors.select(F.col("key"), "override", scores.combined_prior(F.col("poll"), F.col("views")).alias("mixed"), stronger.alias("kind"))
     keys = characters.select(name).distinct().select(name, F.posexplode(text.variant_keys(F.col(name))).alias("pos", "key"))
     found = keys.join(scored, "key")
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("pos", c)))[c]
-    best = found.groupBy(name).agg(F.coalesce(first("override"), first("mixed")).alias("prior"))
+    first = lambda c, kind: F.min(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("score"), kind.alias("kind"))))
+    best = F.coalesce(first("override", F.lit("user")), first("mixed", F.col("kind")))
+    best = found.groupBy(name).agg(best.alias("b")).select(name, F.col("b.score").alias("prior"), F.col("b.kind").alias("prior_source"))
     return characters.join(best, name, "left")
 
 

@@ -25,16 +25,28 @@ def carry_forward(live: DataFrame, cached: DataFrame, failed: DataFrame, key: st
 
 
 def live_dates(snapshots: DataFrame, today: Column, recent_days: int = 3) -> DataFrame:
-    """One row: the newest date up to today with any positive active count, its age, and whether it is recent."""
+    """One row: the newest date up to today with any positive active count, its age, whether it is recent, and in words."""
     days = snapshots.where(F.col("date") <= today).groupBy("date").agg(F.bool_or(F.coalesce(F.col("active") > 0, F.lit(False))).alias("live")).where("live")
     newest = days.agg(F.max("date").alias("newest"))
     age = F.datediff(today, F.col("newest"))
-    return newest.select("newest", age.alias("age_days"), F.when(age.isNull(), "none").when(age <= recent_days, "recent").otherwise("stale").alias("state"))
+    state = F.when(age.isNull(), "none").when(age <= recent_days, "recent").otherwise("stale")
+    return newest.select("newest", age.alias("age_days"), state.alias("state"), status_text(F.col("newest"), age, recent_days).alias("status"))
+
+
+def status_text(newest: Column, age_days: Column, recent_days: int = 3) -> Column:
+    """What the newest live snapshot says of the feed."""
+    # Fixed wording.
+    feed, day = "eBay Browse API active listings", newest.cast("string")
+    return (
+        F.when(newest.isNull(), F.lit("no live eBay snapshot yet (the collector writes neutral rows without API keys)"))
+        .when(age_days <= recent_days, F.concat(F.lit(f"{feed} (latest snapshot "), day, F.lit(")")))
+        .otherwise(F.concat(F.lit(f"{feed}, but the latest live snapshot is "), day, F.lit(" ("), age_days.cast("string"), F.lit(" days old)")))
+    )
 
 
 def due(items: DataFrame, seen: DataFrame, today: Column, days: int = 14, budget: int = 80, key: str = "id") -> DataFrame:
-    """Items never fetched or fetched ``days`` ago or more, the longest waiting first, up to a call budget."""
-    rows = items.join(seen.select(key, "fetched"), key, "left").where(F.col("fetched").isNull() | (F.col("fetched") <= F.date_sub(today, days)))
+    """Items never fetched or fetched more than ``days`` ago, the longest waiting first, up to a call budget."""
+    rows = items.join(seen.select(key, "fetched"), key, "left").where(F.col("fetched").isNull() | (F.col("fetched") < F.date_sub(today, days)))
     return rows.orderBy(F.col("fetched").asc_nulls_first(), key).limit(budget)
 
 

@@ -37,7 +37,7 @@ def premium(source: str = "cards", by: str = "", priors: bool = True) -> str:
     """Views chars and prem: the character premium, per ``by`` where it is given."""
     k, p = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
     mixed = """(CASE WHEN poll IS NOT NULL AND views IS NOT NULL THEN 0.7::DOUBLE * greatest(poll, views) + 0.3::DOUBLE * least(poll, views)
-               ELSE coalesce(poll, least(views, 8.3::DOUBLE)) END)"""
+               ELSE coalesce(poll, CASE WHEN views IS NOT NULL THEN least(views, 8.3::DOUBLE) END) END)"""
     prior = f"LEFT JOIN (SELECT key, coalesce(override, {mixed}) AS prior FROM priors) pr ON pr.key = base_name" if priors else "CROSS JOIN (SELECT NULL::DOUBLE AS prior) pr"
     return f"""{CHASE},
  chars AS (SELECT {k}base_name, count(*) AS n_printings, count(DISTINCT set_id) AS n_sets, round(sum(coalesce(w, 0))::DOUBLE, 9) AS chase,
@@ -126,7 +126,10 @@ def dyn(limit: str, current: str | None) -> str:
    coalesce(CASE WHEN NOT stale AND days >= 2 AND a30 > 0 THEN round(a7 / a30, 4) END, 1.0::DOUBLE) AS saturation FROM st),
  dyn AS (SELECT card_id, CASE WHEN stale OR single OR (demand IS NULL AND saturation = 1) THEN 'awaiting_data' ELSE 'ok' END AS status, demand AS demand_pressure, saturation AS supply_saturation,
    CASE WHEN NOT stale THEN active END AS active_listings, CASE WHEN NOT stale AND NOT single THEN sold_7 END AS sold_7, CASE WHEN NOT stale AND NOT single THEN new_7 END AS new_7,
-   CASE WHEN stale THEN 'no_current_observation' END AS reason, CASE WHEN stale THEN last_observed END AS last_observed, days FROM sat)"""
+   CASE WHEN stale THEN 'no_current_observation' END AS reason, CASE WHEN stale THEN last_observed END AS last_observed, days,
+   CASE WHEN NOT stale AND NOT single THEN 7 END AS short_window, CASE WHEN NOT stale AND NOT single THEN 30 END AS long_window,
+   CASE WHEN NOT (stale OR single OR (demand IS NULL AND saturation = 1)) THEN round(a7, 4) END AS short_active_avg,
+   CASE WHEN NOT (stale OR single OR (demand IS NULL AND saturation = 1)) THEN round(a30, 4) END AS long_active_avg FROM sat)"""
 
 
 def moves(limit: str) -> str:
@@ -318,10 +321,20 @@ ORACLE: dict[str, str] = {
     "movers_fallback": sql("cards", "priors", ctes=POOL, select="SELECT card_id, raw_diff, 'price_signal_fallback' AS mover_basis, true AS awaiting_data FROM pool ORDER BY abs(expected_price - market_price) DESC, card_id LIMIT 50"),
     "most_underpriced": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, round(residual, 5) AS residual FROM scored WHERE residual IS NOT NULL ORDER BY round(residual, 5), card_id LIMIT 25"),
 }
-REVIEW = premium() + """, rp AS (SELECT *, cume_dist() OVER (PARTITION BY rarity ORDER BY market_price) AS pct FROM cards WHERE market_price IS NOT NULL),
- rv AS (SELECT base_name, max(pct) AS best_pct, max(market_price) AS top_price, first(card_id ORDER BY market_price DESC, card_id) AS top_card FROM rp WHERE supertype = 'Pokémon' GROUP BY base_name),
- review AS (SELECT base_name, round(best_pct, 6) AS best_pct, round(top_price, 2) AS top_price, top_card, round(char_premium, 2) AS premium, round(round(10 * best_pct, 2) - round(char_premium, 2), 2) AS gap
-   FROM rv JOIN prem USING (base_name) WHERE char_premium IS NOT NULL AND top_price >= 20)"""
+FORMED = """fc AS (SELECT * REPLACE (CASE WHEN card_id % 5 = 0 THEN 'Mega ' || name || ' X' WHEN card_id % 7 = 0 THEN 'Mega ' || name WHEN card_id % 11 = 0 THEN name || ' Y' ELSE name END AS base_name) FROM cards)"""
+_PRIOR = """pk AS (SELECT n AS nm, unnest(range(0, 3)) AS pos, unnest([n, regexp_replace(n, '^Mega ', ''), regexp_replace(regexp_replace(n, '^Mega ', ''), ' [XYZ]$', '')]) AS key FROM (SELECT DISTINCT base_name AS n FROM fc)),
+ ps AS (SELECT nm, pos, override, CASE WHEN poll IS NOT NULL AND views IS NOT NULL THEN 0.7::DOUBLE * greatest(poll, views) + 0.3::DOUBLE * least(poll, views) ELSE coalesce(poll, CASE WHEN views IS NOT NULL THEN least(views, 8.3::DOUBLE) END) END AS mixed,
+   CASE WHEN poll IS NULL OR views >= poll THEN 'wiki' ELSE 'poll' END AS kind FROM pk JOIN priors USING (key)),
+ pb AS (SELECT nm AS key, CASE WHEN bool_or(override IS NOT NULL) THEN arg_min(override, pos) FILTER (override IS NOT NULL) ELSE arg_min(mixed, pos) FILTER (mixed IS NOT NULL) END AS override, NULL::DOUBLE AS poll, NULL::DOUBLE AS views,
+   CASE WHEN bool_or(override IS NOT NULL) THEN 'user' ELSE arg_min(kind, pos) FILTER (mixed IS NOT NULL) END AS kind FROM ps GROUP BY nm)"""
+REVIEW = FORMED + ", " + _PRIOR + ", " + premium("fc").replace("FROM priors)", "FROM pb)") + """, rp AS (SELECT *, cume_dist() OVER (PARTITION BY rarity ORDER BY market_price) AS pct FROM fc WHERE market_price IS NOT NULL),
+ rv AS (SELECT regexp_replace(regexp_replace(base_name, '^Mega ', ''), ' [XYZ]$', '') AS character, max(pct) AS pct, max(market_price) AS top_price, first(name ORDER BY market_price DESC, card_id) AS top_card,
+   first(rarity ORDER BY market_price DESC, card_id) AS top_rarity, last(char_premium ORDER BY card_id) FILTER (char_premium IS NOT NULL) AS p
+   FROM rp LEFT JOIN prem USING (base_name) WHERE supertype = 'Pokémon' AND base_name <> '' GROUP BY character),
+ own AS (SELECT key, poll, views, override FROM priors),
+ review AS (SELECT character, round(p, 2) AS premium, round(10 * pct, 2) AS price_signal, round(round(10 * pct, 2) - p, 2) AS gap,
+   CASE WHEN override IS NOT NULL THEN 'user' WHEN poll IS NULL AND views IS NULL THEN 'structural' WHEN poll IS NULL OR views >= poll THEN 'wiki' ELSE 'poll' END AS source, top_card, top_rarity, round(top_price, 2) AS top_price
+   FROM rv LEFT JOIN own ON own.key = character WHERE p IS NOT NULL AND top_price >= 20)"""
 LABELS = f"lab(k, label, tone) AS (VALUES {values([('|'.join(k), *v) for k, v in TABLE.items()])})"
 MARKERS = ", ".join(f"'{m}'" for m in ("poke ball pattern", "master ball pattern", "pattern", "metal card", "jumbo", "oversized", "staff", "promo"))
 PRODUCTS = f"""pr AS (SELECT card_id + 100000 AS product_id, set_id AS group_id, CASE WHEN card_id % 11 = 0 THEN '999' ELSE split_part(number, '/', 1) END AS num,
@@ -343,8 +356,8 @@ PRODUCTS = f"""pr AS (SELECT card_id + 100000 AS product_id, set_id AS group_id,
 NUM = "CAST(substr(set_id, 7) AS INT)"
 ORACLE |= {
     "premium_review": sql("cards", "priors", ctes=REVIEW, select="SELECT * FROM review"),
-    "review_flags": sql("cards", "priors", ctes=REVIEW + ", rg AS (SELECT base_name, round(gap - 2.0, 2) AS gap FROM review)", select="""(SELECT base_name, gap, 'underrated' AS flag FROM rg WHERE gap >= 1.5 ORDER BY gap DESC, base_name LIMIT 18)
-        UNION ALL (SELECT base_name, gap, 'overrated' AS flag FROM rg WHERE gap <= -1.5 ORDER BY gap, base_name LIMIT 18)"""),
+    "review_flags": sql("cards", "priors", ctes=REVIEW + ", rg AS (SELECT character, round(gap - 2.0, 2) AS gap FROM review)", select="""(SELECT character, gap, 'underrated' AS flag FROM rg WHERE gap >= 1.5 ORDER BY gap DESC, character LIMIT 18)
+        UNION ALL (SELECT character, gap, 'overrated' AS flag FROM rg WHERE gap <= -1.5 ORDER BY gap, character LIMIT 18)"""),
     "card_search": sql("cards", ctes="h AS (SELECT * FROM cards WHERE contains(lower(name), 'gear') OR contains(lower(set_name), 'gear') OR contains(lower(number), 'gear'))",
         select="SELECT card_id, name, market_price, (SELECT count(*) FROM h) AS n_hits FROM h ORDER BY coalesce(market_price, -1) DESC, card_id LIMIT 120"),
     "card_search_by_name": sql("cards", ctes="h AS (SELECT * FROM cards WHERE set_id = 'Brand#7')", select="SELECT card_id, name, (SELECT count(*) FROM h) AS n_hits FROM h ORDER BY lower(name), name, card_id LIMIT 120"),
@@ -371,7 +384,9 @@ ORACLE |= {
           CASE WHEN market_state <> 'unknown' AND demand_pressure IS NOT NULL THEN 'sell-through ' || printf('%.0f', demand_pressure) || '%' END,
           CASE WHEN market_state <> 'unknown' AND abs(supply_saturation - 1) >= 0.03 THEN 'supply ×' || printf('%.2f', supply_saturation) END) AS detail
         FROM k JOIN lab ON lab.k = price_state || '|' || market_state"""),
-    "source_status": sql("snapshots", select="""SELECT n AS newest, (DATE '2024-01-28' - n)::INTEGER AS age_days, CASE WHEN n IS NULL THEN 'none' WHEN DATE '2024-01-28' - n <= 3 THEN 'recent' ELSE 'stale' END AS state
+    "source_status": sql("snapshots", select="""SELECT n AS newest, (DATE '2024-01-28' - n)::INTEGER AS age_days, CASE WHEN n IS NULL THEN 'none' WHEN DATE '2024-01-28' - n <= 3 THEN 'recent' ELSE 'stale' END AS state,
+        CASE WHEN n IS NULL THEN 'no live eBay snapshot yet (the collector writes neutral rows without API keys)' WHEN DATE '2024-01-28' - n <= 3 THEN 'eBay Browse API active listings (latest snapshot ' || n::VARCHAR || ')'
+        ELSE 'eBay Browse API active listings, but the latest live snapshot is ' || n::VARCHAR || ' (' || (DATE '2024-01-28' - n)::VARCHAR || ' days old)' END AS status
         FROM (SELECT max(date) AS n FROM snapshots WHERE active > 0 AND date <= DATE '2024-01-28')"""),
     "breaker_runs": sql("listings", ctes="""b AS (SELECT event_id AS seq, card_id % 10 AS sweep, event_type IN ('view', 'click', 'error') AS unk FROM listings),
         i AS (SELECT *, sum((NOT unk)::INT) OVER (PARTITION BY sweep ORDER BY seq) AS island FROM b), rn AS (SELECT *, sum(unk::INT) OVER (PARTITION BY sweep, island ORDER BY seq)::BIGINT AS run FROM i)""",
@@ -386,7 +401,8 @@ ORACLE |= {
     "carried_portfolio": sql("panel", ctes="pp AS (SELECT * FROM panel)", select="""SELECT date, round(sum(price), 4) AS total FROM (SELECT d.date, k.card_id, last_value(p.price IGNORE NULLS) OVER (PARTITION BY k.card_id ORDER BY d.date) AS price
         FROM (SELECT DISTINCT date FROM pp) d CROSS JOIN (SELECT DISTINCT card_id FROM pp) k LEFT JOIN pp p ON p.date = d.date AND p.card_id = k.card_id) GROUP BY date"""),
     "portfolio_totals": sql("cards", ctes="w AS (SELECT market_price AS p, CASE WHEN card_id % 100 = 0 THEN dex::DOUBLE END AS a FROM cards)",
-        select="""SELECT count(*) AS n_cards, round(coalesce(sum(p), 0), 2) AS value, round(sum(p - a), 2) AS since_added, round(100 * sum(p - a) / sum(CASE WHEN p IS NOT NULL THEN a END), 2) AS since_added_pct FROM w"""),
+        select="""SELECT count(*) AS n_cards, count(a) AS n_bases, round(coalesce(sum(p), 0), 2) AS value, round(coalesce(sum(p), 0) - sum(a), 2) AS since_added,
+        round(CASE WHEN sum(a) > 0 THEN 100 * (coalesce(sum(p), 0) - sum(a)) / sum(a) END, 2) AS since_added_pct FROM w"""),
     "weekly_dates": "SELECT unnest(range(DATE '2024-02-08', DATE '2024-06-02', INTERVAL 7 DAYS))::DATE AS date",
     "backfill_missing": sql("panel", select="SELECT d::DATE AS date FROM (SELECT unnest(range(DATE '1994-01-03', DATE '2002-01-08', INTERVAL 7 DAYS)) AS d) WHERE d::DATE NOT IN (SELECT date FROM panel)"),
     "price_history": sql("panel", select="SELECT card_id, count(*)::INTEGER AS n, min(date) AS first, max(date) AS last, round(arg_max(price, date), 2) AS last_price FROM panel GROUP BY card_id HAVING arg_max(price, date) >= 40"),
@@ -399,7 +415,7 @@ ORACLE |= {
     "ic_by_horizon": sql("panel", "panel_cards", ctes=obs((7, 28, 56, 84)) + ", " + ics("obs", "horizon") + ", " + summary("horizon", "greatest(1, ceil(horizon / 7.0)::INTEGER + 1)"), select="SELECT * FROM summ"),
     "floor_sensitivity": sql("panel", "panel_cards", ctes=obs() + ", fl AS (SELECT obs.*, floor FROM obs, (VALUES (2.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE)) f(floor) WHERE price >= floor), " + ics("fl", "floor") + ", " + summary("floor"), select="SELECT * FROM summ"),
     "ic_by_age": sql("panel", "panel_cards", ctes=obs() + f", bu AS (SELECT *, {BUCKET} AS bucket FROM obs), bo AS (SELECT * FROM bu WHERE bucket IS NOT NULL), " + ics("bo", "bucket") + ", " + summary("bucket"),
-        select="SELECT bucket, n, mean_return, n_dates, mean_ic FROM (SELECT bucket, count(*) AS n, round(avg(fwd), 6) AS mean_return FROM bo GROUP BY bucket) LEFT JOIN summ USING (bucket)"),
+        select="SELECT bucket, n, mean_return, n_dates, mean_ic FROM (SELECT bucket, count(*) AS n, round(avg(fwd), 6) AS mean_return FROM bo GROUP BY bucket) JOIN summ USING (bucket)"),
     "ic_by_rarity": sql("panel", "panel_cards", ctes=obs() + ", " + pooled("rarity_group"), select=POOLED),
     "ic_by_price_tier": sql("panel", "panel_cards", ctes=obs() + ", " + pooled(TIER), select=POOLED),
     "decile_legs": sql("panel", "panel_cards", ctes=obs((7, 28, 56, 84)) + """, dn AS (SELECT *, count(*) OVER (PARTITION BY horizon, date) AS n, row_number() OVER (PARTITION BY horizon, date ORDER BY round(mispricing, 9), card_id) AS k FROM obs),
@@ -420,7 +436,7 @@ ORACLE |= {
         string_agg(set_id, ',' ORDER BY set_id) FILTER ({NUM} % 4 = 0) AS not_live FROM sets"""),
     "prediction_log": sql("cards", "priors", ctes=MODEL, select="""SELECT card_id, round(market_price, 4) AS m, round(expected_price, 3) AS e, round(residual, 5) AS r,
         CASE WHEN round(residual, 5) < -0.15 THEN 'under' WHEN round(residual, 5) > 0.15 THEN 'over' ELSE 'fair' END AS v FROM scored WHERE residual IS NOT NULL"""),
-    "due_populations": sql("cards", ctes=f"x AS (SELECT card_id AS id, CASE WHEN card_id % 3 > 0 THEN DATE '2024-01-01' + (card_id % 28)::INTEGER END AS fetched FROM cards)", select=f"SELECT * FROM x WHERE fetched IS NULL OR fetched <= {LAST_DAY} - 14 ORDER BY fetched NULLS FIRST, id LIMIT 900"),
+    "due_populations": sql("cards", ctes=f"x AS (SELECT card_id AS id, CASE WHEN card_id % 3 > 0 THEN DATE '2024-01-01' + (card_id % 28)::INTEGER END AS fetched FROM cards)", select=f"SELECT * FROM x WHERE fetched IS NULL OR fetched < {LAST_DAY} - 14 ORDER BY fetched NULLS FIRST, id LIMIT 900"),
     "graded_population": sql("listings", select="""SELECT card_id AS id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS g10, count(*) FILTER (event_type = 'view') AS g9,
         round(count(*) FILTER (event_type = 'purchase') / count(*)::DOUBLE, 4) AS rate FROM listings GROUP BY card_id ORDER BY total DESC, card_id LIMIT 20"""),
     "population_answers": sql("listings", select=f"""SELECT id, CASE WHEN id % 5 = 2 THEN 0 ELSE total END AS total, CASE WHEN id % 5 = 2 THEN 0 ELSE tens END AS g10, 0 AS g9, CASE WHEN id % 5 <> 2 THEN round(tens / total::DOUBLE, 4) END AS rate,

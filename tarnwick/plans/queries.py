@@ -383,15 +383,27 @@ def most_underpriced(spark, d):
     return boards.most_underpriced(scored.withColumn("residual", F.round("residual", 5)), 25).select("card_id", "residual")
 
 
+def formed(spark, d):
+    """Cards of which a fifth are Mega forms, some with a letter, and a seventh of another form."""
+    k, name = F.col("card_id"), F.col("name")
+    form = F.when(k % 5 == 0, F.concat(F.lit("Mega "), name, F.lit(" X"))).when(k % 7 == 0, F.concat(F.lit("Mega "), name)).when(k % 11 == 0, F.concat(name, F.lit(" Y"))).otherwise(name)
+    return view(spark, d, "cards").withColumn("base_name", form)
+
+
+def reviewed(spark, d):
+    cards, priors = formed(spark, d), view(spark, d, "priors")
+    return boards.premium_review(cards, features.character_premium(cards, priors, []), priors)
+
+
 @query
 def premium_review(spark, d):
-    return boards.premium_review(view(spark, d, "cards"), features.character_premium(view(spark, d, "cards"), view(spark, d, "priors"), []))
+    return reviewed(spark, d)
 
 
 @query
 def review_flags(spark, d):
-    review = premium_review(spark, d).withColumn("gap", F.round((F.col("gap") - 2.0), 2))
-    return boards.review_flags(review).select("base_name", "gap", "flag")
+    review = reviewed(spark, d).withColumn("gap", F.round((F.col("gap") - 2.0), 2))
+    return boards.review_flags(review).select("character", "gap", "flag")
 
 
 @query

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.functions import scores, stats, text
-from tarnwick.operators import backtest, boards, dynamics, freshness, labels, ridge
+from tarnwick.operators import backtest, boards, dynamics, features, freshness, labels, ridge
 from tarnwick.sources import files
 
 D = dt.date
@@ -511,3 +511,68 @@ def test_second_source_from_files(spark, tmp_path):
     (tmp_path / "p.json").write_text("\n".join(rows))
     got = sorted((r.number, r.price, r.variant, r.updated) for r in files.secondary_prices(spark, str(tmp_path)).collect())
     assert got == [("90", 3.46, "tcgplayer:reverse-holofoil", "u"), ("TG1", 10.8, "cardmarket:avg(EUR->USD)", "e")]
+
+
+# --- rows that follow cited cases ---
+
+
+def test_portfolio_counts_all_cards_and_the_bases_that_exist(spark):
+    watched = spark.createDataFrame([(1, None), (2, 15.0), (3, None)], "card_id long, price_at_add double")
+    prices = spark.createDataFrame([(1, 10.0), (2, 20.0)], "card_id long, price double")
+    got = one(boards.portfolio_totals(watched, prices))
+    assert (got["n_cards"], got["n_bases"], got["value"], got["since_added"], got["since_added_pct"]) == (3, 1, 30.0, 15.0, 100.0)
+    none = one(boards.portfolio_totals(watched.where("card_id <> 2"), prices))
+    assert (none["value"], none["since_added"], none["since_added_pct"]) == (10.0, None, None)
+    free = one(boards.portfolio_totals(spark.createDataFrame([(1, 0.0)], "card_id long, price_at_add double"), prices))
+    assert (free["since_added"], free["since_added_pct"]) == (10.0, None)
+
+
+def test_population_is_fresh_for_fourteen_days(spark):
+    today = D(2026, 9, 26)
+    seen = spark.createDataFrame([(k, today - dt.timedelta(days=k)) for k in (13, 14, 15)], "id long, fetched date")
+    items = spark.createDataFrame([(13,), (14,), (15,), (99,)], "id long")
+    assert [r.id for r in freshness.due(items, seen, F.lit(today)).collect()] == [99, 15]
+
+
+def test_review_takes_forms_as_one_character(spark):
+    card = "card_id long, name string, base_name string, supertype string, rarity string, market_price double"
+    rows = [
+        (1, "Mega Char X", "Mega Char X", "Pokémon", "Rare", 30.0), (2, "Char", "Char", "Pokémon", "Rare", 30.0), (3, "Other", "Other", "Pokémon", "Rare", 10.0),
+        (4, "Mega Char", "Mega Char", "Pokémon", "Common", 1.0), (5, "Trade", "Trade", "Trainer", "Rare", 90.0), (6, "", "", "Pokémon", "Rare", 50.0), (7, "Solo", "Solo", "Pokémon", "Common", 21.0),
+    ]
+    premiums = spark.createDataFrame([("Mega Char X", 9.0), ("Char", 4.0), ("Mega Char", 4.1249), ("Solo", None), ("Other", 2.0)], "base_name string, char_premium double")
+    priors = spark.createDataFrame([("Char", 5.0, 6.0, None)], "key string, poll double, views double, override double")
+    got = [r.asDict() for r in boards.premium_review(spark.createDataFrame(rows, card), premiums, priors).collect()]
+    # Of five priced Rares three cost at most 30; the last form's premium counts, and is not rounded before the gap.
+    assert got == [{"character": "Char", "premium": 4.12, "price_signal": 6.0, "gap": 1.88, "source": "wiki", "top_card": "Mega Char X", "top_rarity": "Rare", "top_price": 30.0}]
+
+
+def test_prior_says_where_it_is_from(spark):
+    priors = spark.createDataFrame([("E", None, None, None), ("A", 5.0, 6.0, None), ("B", 7.0, 6.0, None), ("C", None, 9.0, None), ("D", 1.0, None, None), ("Mega A", None, None, 3.0)], "key string, poll double, views double, override double")
+    names = spark.createDataFrame([(n,) for n in ("A", "B", "C", "D", "Mega A", "Mega B X", "E")], "base_name string")
+    got = {r.base_name: (r.prior_source, r.prior) for r in features.prior_lookup(names, priors).collect()}
+    assert {n: k for n, (k, _) in got.items()} == {"A": "wiki", "B": "poll", "C": "wiki", "D": "poll", "Mega A": "user", "Mega B X": "poll", "E": None}
+    assert got["Mega A"][1] == 3.0 and abs(got["Mega B X"][1] - 6.7) < 1e-9
+
+
+def test_age_bucket_without_a_correlation_is_left_out(spark):
+    columns = "date date, mispricing double, fwd double, age_days int"
+    days = [D(2026, 1, 1), D(2026, 1, 8), D(2026, 1, 15)]
+    rows = [(day, float(k), float(k % 5), 10) for k in range(20) for day in days] + [(day, float(k), 0.5, 120) for k in range(5) for day in days]
+    got = backtest.by_age(spark.createDataFrame(rows, columns)).collect()
+    assert [(r.n, r.n_dates) for r in got] == [(60, 3)]
+
+
+def test_status_in_words(spark):
+    rows = [(D(2026, 9, 20), 1, 12, None, None), (D(2026, 9, 24), 2, 0, None, None)]
+    say = lambda day: one(freshness.live_dates(spark.createDataFrame(rows, SNAP), F.lit(day)))["status"]
+    assert say(D(2026, 9, 23)) == "eBay Browse API active listings (latest snapshot 2026-09-20)"
+    assert say(D(2026, 9, 24)) == "eBay Browse API active listings, but the latest live snapshot is 2026-09-20 (4 days old)"
+    assert say(D(2026, 9, 19)).startswith("no live eBay snapshot yet")
+
+
+def test_basis_of_dynamics(spark):
+    ok = compute(snaps(spark, [(k, 100 + 5 * k) for k in range(12)]), current=D(2026, 9, 12))
+    assert (ok["short_window"], ok["long_window"], ok["short_active_avg"], ok["long_active_avg"]) == (7, 30, 140.0, 127.5)
+    single = compute(snaps(spark, [(11, 42)]), current=D(2026, 9, 12))
+    assert single["short_window"] is None and single["short_active_avg"] is None
