@@ -296,7 +296,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN event_id % 4 > 0 THEN 'as of ' || date || CASE WHEN {LAST_DAY} - date >= 3 THEN ' · refresh recommended' ELSE '' END ELSE 'on 2024-01-29' END AS banner,
         CASE WHEN card_id < 20 THEN 'low' WHEN card_id < 45 THEN 'med' ELSE 'high' END AS conf
         FROM (SELECT *, value / 100.0::DOUBLE AS x, {LAST_DAY} - CASE WHEN event_id % 4 > 0 THEN date ELSE DATE '2024-01-29' END AS dd FROM listings)"""),
-    "prior_scores": sql("cards", select="""SELECT *, round(CASE WHEN poll IS NOT NULL AND v2 IS NOT NULL THEN 0.7::DOUBLE * greatest(poll, v2) + 0.3::DOUBLE * least(poll, v2) ELSE coalesce(poll, least(v2, 8.3::DOUBLE)) END, 6) AS prior FROM (
+    "prior_scores": sql("cards", select="""SELECT *, round(CASE WHEN poll IS NOT NULL AND v2 IS NOT NULL THEN 0.7::DOUBLE * greatest(poll, v2) + 0.3::DOUBLE * least(poll, v2) ELSE coalesce(poll, CASE WHEN v2 IS NOT NULL THEN least(v2, 8.3::DOUBLE) END) END, 6) AS prior FROM (
         SELECT *, CASE WHEN card_id % 2 = 0 THEN views END AS v2 FROM (SELECT card_id, CASE WHEN v <= 0 THEN 0 ELSE round(greatest(6.5, least(9.9, log10(nullif(v, 0)) + 4)), 4) END::DOUBLE AS views,
         CASE WHEN card_id % 3 > 0 THEN round(greatest(6.0, least(9.3, 2.44::DOUBLE * log10(v + 1) - 3.27::DOUBLE)), 4) END::DOUBLE AS poll,
         CASE WHEN v <= 0 THEN 0 ELSE round(greatest(0, least(10, 10 + 4 * log10(nullif(v, 0) / 100000.0::DOUBLE))), 3) END::DOUBLE AS interest FROM (SELECT card_id, (card_id * 37)::DOUBLE AS v FROM cards)))""").replace("SELECT *, round(CASE WHEN poll", "SELECT card_id, views, poll, interest, round(CASE WHEN poll"),

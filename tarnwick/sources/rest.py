@@ -5,9 +5,11 @@ Options: ``url`` with ``{query}``, ``{page}``, ``{offset}`` and ``{size}`` in it
 as text instead); ``retries`` (tries in all), ``wait``, ``linear`` (waits of 1.5, 3, .. instead of 1, 2, 4, ..);
 ``token``; ``on_failure`` ("error", or "unknown": a query that fails gives one row without a body).
 
-Sweeps: ``parallel`` deals the queries to so many tasks (else one each), and each task stops asking behind ``breaker``
-failed queries in a row, ``seconds`` of time or ``calls`` calls; the queries it does not reach are unknown rows.  Rows are
-(query, page, body): the row's JSON as text, to be parsed with a declared schema.
+``parallel`` deals the queries to so many tasks (else one each).  A budget is one for the whole read: with any of
+``breaker`` (failed queries in a row), ``seconds`` of time or ``calls`` calls (each page is one) the queries are asked in
+their order by one task, whatever ``parallel`` is; those it does not reach are unknown rows.  A task that is tried again
+starts with a new budget; `sweep` is the form whose budget outlives that.  Rows are (query, page, body): the row's JSON as
+text, to be parsed with a declared schema.
 """
 
 from __future__ import annotations
@@ -85,16 +87,18 @@ class PagedReader(DataSourceReader):
         self.size, self.pages, self.whole = int(o.get("page_size", 250)), int(o.get("pages", 0)), yes("whole")
         self.tries = (int(o.get("retries", 4)), o.get("token"), float(o.get("wait", 1.0)), yes("linear"))
         self.unknown, self.parallel = o.get("on_failure", "error") == "unknown", int(o.get("parallel", 0))
+        self.asked = 0
+        self.limited = any(k in o for k in ("breaker", "seconds", "calls"))
         self.breaker, self.seconds, self.calls = int(o.get("breaker", 30)), float(o.get("seconds", 1800)), int(o.get("calls", 4800))
 
     def partitions(self) -> list[InputPartition]:
-        n = self.parallel or len(self.queries)
+        n = 1 if self.limited else self.parallel or len(self.queries)
         return [Queries(self.queries[k::n]) for k in range(min(n, len(self.queries)))]
 
     def read(self, partition: Queries) -> Iterator[tuple[str, int, str | None]]:
-        began, calls, failed = time.monotonic(), 0, 0
+        began, failed, self.asked = time.monotonic(), 0, 0
         for query in partition.queries:
-            if self.parallel and (failed >= self.breaker or calls + max(self.pages, 1) > self.calls or time.monotonic() - began > self.seconds):
+            if self.limited and (failed >= self.breaker or self.asked + max(self.pages, 1) > self.calls or time.monotonic() - began > self.seconds):
                 yield query, 1, None
                 continue
             try:
@@ -106,12 +110,12 @@ class PagedReader(DataSourceReader):
                     raise
                 failed += 1
                 yield query, 1, None
-            calls += max(self.pages, 1)
 
     def _pages(self, query: str) -> Iterator[tuple[str, int, str]]:
         page = 1
         while True:
             url = self.url.format(query=urllib.parse.quote(query), page=page, offset=(page - 1) * self.size, size=self.size)
+            self.asked += 1
             answer = fetch(url, *self.tries)
             rows = answer.get(self.field) if isinstance(answer, dict) else answer
             rows = rows if isinstance(rows, list) else []

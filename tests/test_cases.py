@@ -557,10 +557,10 @@ def test_prior_says_where_it_is_from(spark):
 
 def test_age_bucket_without_a_correlation_is_left_out(spark):
     columns = "date date, mispricing double, fwd double, age_days int"
-    days = [D(2026, 1, 1), D(2026, 1, 8), D(2026, 1, 15)]
+    days = [D(2026, 1, 1) + dt.timedelta(days=7 * k) for k in range(6)]
     rows = [(day, float(k), float(k % 5), 10) for k in range(20) for day in days] + [(day, float(k), 0.5, 120) for k in range(5) for day in days]
     got = backtest.by_age(spark.createDataFrame(rows, columns)).collect()
-    assert [(r.n, r.n_dates) for r in got] == [(60, 3)]
+    assert [(r.n, r.n_dates) for r in got] == [(120, 6)]
 
 
 def test_status_in_words(spark):
