@@ -816,7 +816,7 @@ def daily_build(spark, d):
 
 @query
 def stream_flows(spark, d):
-    """Snapshots read as a stream of daily files, flows made from state; the same rows as the batch form."""
+    """Snapshots land as a file a day, the newest first, and are read one file at a time; the same rows as the batch form."""
     import uuid
 
     from tarnwick.lineage import shared_folder
@@ -826,7 +826,9 @@ def stream_flows(spark, d):
     ship(spark)
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = view(spark, d, "snapshots").select(F.col("card_id").cast("long"), "date", F.col("active").cast("int"), "average", "item_ids")
-    rows.write.parquet(f"{at}/in")
-    snapshots.write_by_day(snapshots.flows(snapshots.read(spark, f"{at}/in")), f"{at}/out", f"{at}/log").awaitTermination()
-    out = spark.read.parquet(f"{at}/out")
-    return out.select("card_id", F.col("date").cast("date").alias("date"), "active", "new_listings", "ended_listings", "est_sold", "est_unsold")
+    days = [r["date"] for r in rows.select("date").distinct().orderBy(F.desc("date")).collect()]  # the span of the events, not their number
+    rows = cut(rows)
+    for k, day in enumerate(days):
+        rows.where(F.col("date") == F.lit(day)).coalesce(1).write.parquet(f"{at}/in/{k:05d}")
+    snapshots.write_by_day(snapshots.flows(snapshots.read(spark, f"{at}/in", 1)), f"{at}/out", f"{at}/log").awaitTermination()
+    return snapshots.latest(spark, f"{at}/out").select("card_id", "date", "active", "new_listings", "ended_listings", "est_sold", "est_unsold")

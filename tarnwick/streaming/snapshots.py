@@ -1,7 +1,9 @@
-"""Listing snapshots as a stream: each card's last observation is state, new rows come out with their flows.
+"""Listing snapshots as a stream, in event time: files may land in any order and give the rows of the batch form.
 
-The batch form (`operators.dynamics.with_flows`) compares neighbouring rows of a card; here the row before is what the
-state holds.  Rows at or before the state's date are late and are dropped, so a file that is read again changes nothing.
+The batch form (`operators.dynamics.with_flows`) compares neighbouring rows of a card.  Here a card's observations are
+state, by their date.  A row is compared with the nearest earlier one there is, whatever landed first; the row after it,
+if it is there already, is given out again, as its neighbour has changed.  So a result may have several rows for a card
+and date, and the one of the latest micro-batch counts: `latest` reads it so.  A file that is read again changes nothing.
 """
 
 from __future__ import annotations
@@ -9,62 +11,155 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tarnwick.operators.dynamics import flow_columns
 
 COLUMNS = "card_id long, date date, active int, average double, item_ids array<string>"
 PAIRS = COLUMNS + ", active0 int, average0 double, item_ids0 array<string>"
-STATE = "date date, active int, average double, item_ids array<string>"
+NAMES = [c.split()[0] for c in PAIRS.split(", ")]
+#: Keyed state is in RocksDB, so that it need not fit in an executor's memory.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY = 86_400_000
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Snapshots landed as Parquet files, in order of arrival."""
-    return spark.readStream.schema(COLUMNS).parquet(path)
+    stream = spark.readStream.schema(COLUMNS).option("recursiveFileLookup", True)
+    return (stream if files_per_trigger is None else stream.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
-def _state(value):
+def with_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+def _plain(value):
     """A value as the state holds it: no number is None, an array a list."""
     if value is None or (not hasattr(value, "__len__") and pd.isna(value)):
         return None
     return list(value) if hasattr(value, "__len__") and not isinstance(value, str) else value
 
 
-def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).drop_duplicates("date", keep="last").sort_values("date", ignore_index=True)  # a card's rows of one batch
-    last = state.getOption
-    if last is not None:
-        rows = rows[rows["date"] > last[0]].reset_index(drop=True)
-    if len(rows):
-        values = ["active", "average", "item_ids"]
-        before = rows[values].astype(object).shift(1)
-        if last is not None:
-            for column, value in zip(values, last[1:]):
-                before.at[0, column] = value
-        before.columns = [f"{c}0" for c in values]
-        paired = pd.concat([rows[["card_id", "date", *values]], before], axis=1)
-        state.update((rows["date"].iloc[-1], *[_state(rows[c].iloc[-1]) for c in values]))
-    else:
-        paired = pd.DataFrame(columns=[c.split()[0] for c in PAIRS.split(", ")])
-    yield paired[[c.split()[0] for c in PAIRS.split(", ")]]
-
-
-def flows(snapshots: DataFrame) -> DataFrame:
-    """The stream with flows against each card's observation before."""
-    paired = snapshots.groupBy("card_id").applyInPandasWithState(_pair, PAIRS, STATE, "append", GroupStateTimeout.NoTimeout)
+class Neighbours(StatefulProcessor):
+    """Pairs each observation of a card with the one before it in time."""
+
+    def __init__(self, keep_days: int | None):
+        self.keep_days = keep_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "day int", "active int, average double, item_ids array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # A card's dates are few, so they are read once and compared here.
+        held = {k[0]: (None if v[0] is None else int(v[0]), v[1], v[2]) for k, v in self.seen.iterator()}
+        changed = set()
+        for batch in rows:
+            for date, *values in zip(batch["date"], batch["active"], batch["average"], batch["item_ids"]):
+                day, value = (pd.Timestamp(date) - pd.Timestamp(0)).days, tuple(map(_plain, values))
+                value = (None if value[0] is None else int(value[0]), None if value[1] is None else float(value[1]), value[2])
+                if held.get(day, ()) != value:
+                    held[day] = value
+                    changed.add(day)
+        for day in changed:
+            self.seen.updateValue((day,), held[day])
+        days = sorted(held)
+        out = []
+        for n, day in enumerate(days):
+            if day in changed or (n and days[n - 1] in changed):
+                before = held[days[n - 1]] if n else (None, None, None)
+                out.append((key[0], (pd.Timestamp(0) + pd.Timedelta(days=day)).date(), *held[day], *before))
+        if self.keep_days is not None:  # and one row beyond, that the first of those kept is compared with
+            old = [d for d in days if d < days[-1] - self.keep_days]
+            for day in old[:-1]:
+                self.seen.removeKey((day,))
+        yield pd.DataFrame(out, columns=NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def flows(snapshots: DataFrame, keep_days: int | None = None) -> DataFrame:
+    """The stream with flows against each card's observation before.
+
+    ``keep_days`` bounds a card's state to the days before its newest row, and one row more; a row that lands later than
+    that may miss its neighbour.  Without it nothing is forgotten.
+    """
+    with_state(snapshots.sparkSession)
+    paired = snapshots.groupBy("card_id").transformWithStateInPandas(Neighbours(keep_days), PAIRS, "Update", "None")
     made = flow_columns(*[F.col(c) for c in ("active", "average", "item_ids", "active0", "average0", "item_ids0")])
     return paired.withColumns(made).drop("active0", "average0", "item_ids0")
 
 
-def write_by_day(stream: DataFrame, path: str, checkpoint: str):
-    """Append flows as Parquet by day, each micro-batch once: the batch's days are overwritten as a whole on a rerun."""
+class Cache(StatefulProcessor):
+    """Remembers when an item was fetched, and says when that has become too old."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fetched = handle.getValueState("fetched", "day int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        had = self.fetched.get()[0] if self.fetched.exists() else None
+        days = pd.concat([r["fetched"] for r in rows])
+        known = [d for d in days if not pd.isna(d)]
+        newest = max([(pd.Timestamp(d) - pd.Timestamp(0)).days for d in known] + ([had] if had is not None else []), default=None)
+        if newest is None:
+            yield pd.DataFrame([(key[0], None)], columns=["id", "fetched"])  # never fetched: due at once
+            return
+        if newest != had:
+            if had is not None:
+                self.handle.deleteTimer(self._ends(had))
+            self.fetched.update((newest,))
+            self.handle.registerTimer(self._ends(newest))
+        yield pd.DataFrame([], columns=["id", "fetched"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        day = self.fetched.get()[0]
+        self.fetched.clear()
+        yield pd.DataFrame([(key[0], (pd.Timestamp(0) + pd.Timedelta(days=day)).date())], columns=["id", "fetched"])
+
+    def _ends(self, day: int) -> int:
+        """The last moment of the last day on which an answer is fresh."""
+        return (day + self.days + 1) * DAY - 1
+
+    def close(self) -> None:
+        pass
+
+
+def due(items: DataFrame, days: int = 14) -> DataFrame:
+    """Rows (id, fetched) of a stream of (id, at, fetched) as items fall due: at once if they never were fetched, else when
+    event time is more than ``days`` days past their newest answer, which then leaves the state.
+
+    ``at`` is the event time that moves the clock, a timestamp; ``fetched`` is the day of an answer, or null for an item
+    that asks.  An answer that is newer moves the end of its item's time, an older one changes nothing.
+    """
+    with_state(items.sparkSession)
+    timed = items.withWatermark("at", "0 seconds")
+    return timed.groupBy("id").transformWithStateInPandas(Cache(days), "id long, fetched date", "Append", "EventTime")
+
+
+def write_by_day(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
+    """Write flows as Parquet by micro-batch and day, each micro-batch once: a rerun overwrites its own part."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "date").parquet(path)
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """What `write_by_day` wrote, the newest row of each card and date; None before the first micro-batch."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    values = [c for c in rows.columns if c not in ("card_id", "date", "batch")]
+    return rows.groupBy("card_id", F.col("date").cast("date").alias("date")).agg(F.max_by(F.struct(*values), "batch").alias("v")).select("card_id", "date", "v.*")
 
 
 def event_windows(events: DataFrame, ts: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
