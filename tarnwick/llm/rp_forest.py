@@ -8,9 +8,10 @@
 4. A query searches all trees through one priority queue: the node whose worst margin on the way is best comes first,
    whichever tree it is in.  It stops after so many leaves, and not before one tree has given enough points.  The number
    of leaves is set on the sample: the least that finds ``target`` of the true neighbours of held-out sample points.
-5. Leaves are packed into blocks of bounded size; a leaf above that size is dealt to several.  A block meets the queries
-   that visit it, in pieces of bounded size, scores the visited leaves exactly and keeps each query's best.  The best of
-   all blocks are merged, spread to the ids of equal vectors, and given to every row that asks.
+5. What a query's best of the sample reach is a bound: no point under it can be among its nearest.
+6. Leaves are packed into blocks of bounded size; a leaf above that size is dealt to several.  A block meets the queries
+   that visit it, in pieces of bounded size, scores the visited leaves exactly and keeps each query's best above its bound.
+   The best of all blocks are merged, spread to the ids of equal vectors, and given to every row that asks.
 
 Nothing grows without bound in one place: the forest, its sample and the counts of leaves are bounded by parameters; no
 leaf or number of queries is capped.
@@ -155,8 +156,8 @@ def matrix(column: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, score) of each query's best ``k`` points in the leaves that it visits.
+def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: list[list[int]], k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of each query's best ``k`` points in the leaves that it visits, none under its bound.
 
     ``block`` is points and their leaves, points in the order in which ties are settled.  Inner products are summed in
     the order of the components.
@@ -166,7 +167,7 @@ def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: l
     for q, wanted in enumerate(visits):
         for n in wanted:
             asking.setdefault(n, []).append(q)
-    least = np.full(len(queries), -np.inf)
+    least = bounds.copy()
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     waiting = 0
 
@@ -177,7 +178,7 @@ def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: l
         start = np.searchsorted(q, q, side="left")
         keep = np.arange(len(q)) - start < k
         last = np.arange(len(q)) - start == k - 1
-        least[q[last]] = s[last]
+        least[q[last]] = np.maximum(least[q[last]], s[last])
         held[:] = [(q[keep], p[keep], s[keep])]
 
     for n, own in sorted(asking.items()):
@@ -200,6 +201,14 @@ def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: l
     return held[0]
 
 
+def reached(queries: np.ndarray, sample: np.ndarray, scale: float, k: int) -> np.ndarray:
+    """What the ``k`` best of the sample reach for each query, a little less for rounding; a sample of fewer bounds nothing."""
+    if len(sample) < k:
+        return np.full(len(queries), -np.inf)
+    scores = np.partition(queries @ sample.T, len(sample) - k, axis=1)[:, len(sample) - k] * scale
+    return np.where(np.isfinite(scores), scores - 1e-9 * np.abs(scores) - 1e-300, -np.inf)
+
+
 def usable(vector: Column) -> Column:
     """Not null, no component null or not finite, and not all of them zero."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -243,6 +252,7 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
     forest = Forest.fit(sampled, limits.trees if depth else 1, depth, limits.seed)
     visits = visits_for(forest, sampled, raw, k, limits) if depth else 1
     shared = spark.sparkContext.broadcast((forest.directions, forest.thresholds, forest.depth))
+    known = spark.sparkContext.broadcast(raw)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Forest(*shared.value)
@@ -265,7 +275,8 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                margins = own.margins(directed(matrix(part.column("v").to_pandas(), dim), scale))
+                x = matrix(part.column("v").to_pandas(), dim)
+                margins, bound = own.margins(directed(x, scale)), reached(x, known.value, scale, k + 1)
                 who, block, wanted = [], [], []
                 for i in range(part.num_rows):
                     for b, leaves in visited(own, margins[i], visits, k + 1, sizes, first, pieces).items():
@@ -273,9 +284,10 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
                         block.append(b)
                         wanted.append(leaves)
                 taken = part.select(["h1", "h2", "v"]).take(pa.array(who, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(block, pa.int64()), pa.array(wanted, pa.list_(pa.int32()))], ["h1", "h2", "v", "block", "wanted"])
+                made = [pa.array(bound[who]), pa.array(block, pa.int64()), pa.array(wanted, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *made], ["h1", "h2", "v", "bound", "block", "wanted"])
 
-    asked = cut(queries.mapInArrow(visit, "h1 long, h2 long, v array<double>, block long, wanted array<int>"))
+    asked = cut(queries.mapInArrow(visit, "h1 long, h2 long, v array<double>, bound double, block long, wanted array<int>"))
     parts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / limits.block_queries).cast("int").alias("parts"))
     parts = cut(parts)  # a row for each block
     n_bytes = bytes_of(parts)
@@ -291,7 +303,7 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
         if not len(mine) or not len(theirs):
             return pd.DataFrame(columns=columns)
         mine = mine.assign(id=[x[0] for x in mine["ids"]]).sort_values("id", ignore_index=True)
-        q, p, s = best_of((matrix(mine["v"], dim), mine["leaf"].to_numpy()), matrix(theirs["v"], dim), theirs["wanted"], k + 1)
+        q, p, s = best_of((matrix(mine["v"], dim), mine["leaf"].to_numpy()), matrix(theirs["v"], dim), theirs["wanted"], k + 1, theirs["bound"].to_numpy(float))
         parts = [theirs[c].to_numpy()[q] for c in ("h1", "h2")] + [mine[c].to_numpy()[p] for c in ("h1", "h2")]
         return pd.DataFrame(dict(zip(columns, [*parts, s, mine["ids"].to_numpy()[p]])), columns=columns)
 
