@@ -78,22 +78,39 @@ def straw(key: Column, name: Column | str, weight: Column | float = 1.0) -> Colu
     return F.when(weight > 0, F.try_divide(drawn, weight)).otherwise(F.lit(float("inf")))
 
 
-def shortest(straws: list[Column]) -> Column:
-    """The number of the shortest straw; of equal ones the lowest number."""
-    return F.array_min(F.array(*[F.struct(s.alias("s"), F.lit(k).alias("k")) for k, s in enumerate(straws)]))["k"]
+def drawn(key: Column, nodes: Column) -> Column:
+    """The shortest straw (s, k) among an array of nodes (name, weight, k); of equal ones the lowest number."""
+    straws = F.transform(nodes, lambda n: F.struct(straw(key, n["name"], n["weight"]).alias("s"), n["k"].alias("k")))
+    return F.array_min(straws)
+
+
+def children(names: list[str], weights: list[float]) -> Column:
+    """Nodes under one parent as an array for `drawn`."""
+    return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight"), F.lit(k).alias("k")) for k, (n, w) in enumerate(zip(names, weights))])
+
+
+def descended(df: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
+    """``df`` with the int column ``name``, the shard of ``key``, and ``__straw``, the length of its region's straw.
+
+    Straws are drawn in one expression over an array for each level, so the generated code does not grow with the tree.
+    """
+    racks, leaves, first = tree.levels()
+    wide = len(racks[0])
+    tables = [
+        children([f"region {r}" for r in range(len(racks))], [w for w, _ in tree.regions]),
+        F.array(*[children([f"rack {g} {k}" for k in range(wide)], row) for g, row in enumerate(racks)]),
+        F.array(*[children([f"shard {n // wide} {n % wide} {k}" for k in range(len(row))], row) for n, row in enumerate(leaves)]),
+    ]
+    df = df.withColumn("__top", drawn(key, tables[0]))
+    df = df.withColumn("__node", F.col("__top.k") * wide + drawn(key, F.get(tables[1], F.col("__top.k")))["k"])
+    leaf = drawn(key, F.get(tables[2], F.col("__node")))["k"]
+    df = df.withColumn(name, (F.get(F.array(*map(F.lit, first)), F.col("__node")) + leaf).cast("int"))
+    return df.withColumn("__straw", F.col("__top.s")).drop("__top", "__node")
 
 
 def shard_of(df: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
     """``df`` with the int column ``name``: the shard of ``key`` in ``tree``."""
-    racks, leaves, first = tree.levels()
-    weight = lambda table, row, k: F.get(F.array(*[F.lit(w[k]) for w in table]), row)
-    df = df.withColumn("__region", shortest([straw(key, f"region {r}", w) for r, (w, _) in enumerate(tree.regions)]))
-    region = F.col("__region")
-    df = df.withColumn("__rack", shortest([straw(key, F.concat(F.lit("rack "), region, F.lit(f" {k}")), weight(racks, region, k)) for k in range(len(racks[0]))]))
-    node = region * len(racks[0]) + F.col("__rack")
-    path = F.concat(F.lit("shard "), region, F.lit(" "), F.col("__rack"))
-    df = df.withColumn("__leaf", shortest([straw(key, F.concat(path, F.lit(f" {k}")), weight(leaves, node, k)) for k in range(len(leaves[0]))]))
-    return df.withColumn(name, (F.get(F.array(*map(F.lit, first)), node) + F.col("__leaf")).cast("int")).drop("__region", "__rack", "__leaf")
+    return descended(df, key, tree, name).drop("__straw")
 
 
 def cells_for(rows: int, tree: Tree) -> int:
@@ -113,10 +130,15 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cells = cells_for(docs.count(), tree) if cells is None else cells
     text, key = text_of(text_col), F.col(id_col)
     crc = F.crc32(text.cast("binary"))
-    rows = put(docs, {"size": F.octet_length(text).cast("long") + 8, "text_crc32": crc, "law": F.lit("key"), "__cell": _cell(key, crc, cells)}).drop(text_col)
-    placed = shard_of(shard_of(rows, key, tree, "shard"), key, tree.grown(), "grown_shard")
-
-    counts = shard_of(docs.select(key, _cell(key, crc, cells).alias("__cell")), key, tree, "shard").groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("n"))
+    rows = put(docs, {"size": F.octet_length(text).cast("long") + 8, "text_crc32": crc, "law": F.lit("key")}).drop(text_col)
+    rows = rows.withColumn("__cell", _cell(key, F.col("text_crc32"), cells))
+    rows = descended(rows, key, tree, "shard")
+    # One more shard comes as a region of its own: one more straw decides, and no other changes.
+    added = straw(key, f"region {len(tree.regions)}", 1.0)
+    rows = rows.withColumn("grown_shard", F.when(added < F.col("__straw"), F.lit(tree.size)).otherwise(F.col("shard")))
+    placed = cut(rows.drop("__straw"))  # counted and numbered, without reading texts again
+
+    counts = placed.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
     offsets = cut(counts.select("shard", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset")))
     order = Window.partitionBy("shard", "__cell").orderBy(F.col(id_col).asc_nulls_first(), "text_crc32", "size")

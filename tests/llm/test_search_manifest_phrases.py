@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.llm import collocations, merkle, order, queries, rp_forest
+from tarnwick.llm import collocations, hash_tree, merkle, order, queries, rp_forest
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -269,3 +269,15 @@ def test_collocations_of_awkward_rows(spark):
     got = {(r.lang, r.phrase): (r.a, r.n) for r in collocations.collocations(df, 3).collect()}
     assert got[None or "und", "a b"] == (3, 6) and got["en", "one two three one two"] == (399_999, 1_200_002)
     assert collocations.collocations(df.limit(0)).count() == 0 and collocations.collocations(df.where("lang = 'fr'")).count() == 0
+
+
+# --- 10: the plan of sharding ---
+
+
+def test_shards_are_drawn_in_generated_code_that_compiles(spark):
+    """Code beyond 64 KB fails to compile and falls back; the generated code of every stage stays far under that."""
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"))
+    for df in (queries.op10_hash_tree(spark, SF), hash_tree.shard_of(rows, F.col("doc_id"), hash_tree.Tree(hash_tree.equal(8, 8, 16)), "s")):
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+        assert sizes and max(sizes) < 8000 and "Failed to compile" not in text  # beyond 8000 bytes the JVM leaves a method interpreted
