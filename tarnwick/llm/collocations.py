@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import BROADCAST_BYTES, bytes_of, cut, dealt, small_or_shuffled, text_of
+from tarnwick.llm.common import BROADCAST_BYTES, bytes_of, cut, dealt, partitions, small_or_shuffled, text_of
 from tarnwick.llm.order import numbered
 
 #: Words of the longest phrase; bits of the bitmap, a power of two; keys or words that a task holds before it hands out.
@@ -341,7 +341,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = LONGEST, top:
 
     order = [F.desc("score"), F.desc("a"), "phrase"]
     rows = cut(scored)
-    pieces = max(1, -(-total // RANKED))
+    pieces = max(partitions(docs.sparkSession), -(-total // RANKED))
     first = rows.withColumn("__piece", F.pmod(F.xxhash64("phrase"), F.lit(pieces)))
     first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__piece").orderBy(*order))).where(F.col("rank") <= top)
     last = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
