@@ -24,34 +24,42 @@ RAW_CARD = (
 )
 
 
-def dated_maps(spark: SparkSession, path: str, prefix: str, value: str) -> DataFrame:
+def dated_maps(spark: SparkSession, path: str, prefix: str, value: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """Rows (date, key, value) from files ``<prefix>-YYYY-MM-DD.json`` that each hold a JSON map.
 
-    The date is in the file's name.  Files without a date or with broken JSON, and empty maps, give no rows.
+    The date is in the file's name.  Files without a date or with broken JSON, and empty maps, give no rows.  ``since``
+    and ``until`` are constant dates, both included: they are asked of the file's name, so that Spark leaves the other
+    files out before it opens any.
     """
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    named = lambda day: F.concat(F.lit(f"{prefix}-"), day.cast("date").cast("string"), F.lit(".json"))
+    name = F.col("_metadata.file_name")
+    raw = spark.read.text(path, wholetext=True).where(name.startswith(f"{prefix}-"))
+    if since is not None:
+        raw = raw.where(name >= named(since))
+    if until is not None:
+        raw = raw.where(name <= named(until))
+    raw = raw.select("value", name.alias("file"))
     day = F.try_to_date(F.regexp_extract("file", rf"{prefix}-(\d{{4}}-\d{{2}}-\d{{2}})\.json$", 1), "yyyy-MM-dd")
     parsed = raw.select(day.alias("date"), F.from_json("value", f"map<string,{value}>", {"mode": "PERMISSIVE"}).alias("m"))
     return parsed.where("date is not null and m is not null").select("date", F.explode("m").alias("key", "value"))
 
 
-def price_panel(spark: SparkSession, path: str) -> DataFrame:
+def price_panel(spark: SparkSession, path: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """Rows (date, card_id, price) without null prices."""
-    return dated_maps(spark, path, "price", "double").where("value is not null").select("date", F.col("key").alias("card_id"), F.col("value").alias("price"))
+    rows = dated_maps(spark, path, "price", "double", since, until)
+    return rows.where("value is not null").select("date", F.col("key").alias("card_id"), F.col("value").alias("price"))
 
 
-def price_history(spark: SparkSession, path: str, as_of: Column | None = None) -> DataFrame:
+def price_history(spark: SparkSession, path: str, as_of: Column | None = None, since: Column | None = None) -> DataFrame:
     """Dated price snapshots up to ``as_of`` with prices that read as positive numbers."""
-    rows = dated_maps(spark, path, "snapshot", "string").select("date", F.col("key").alias("card_id"), F.col("value").try_cast("double").alias("price"))
-    rows = rows.where(F.col("price") > 0)
-    return rows if as_of is None else rows.where(F.col("date") <= as_of)
+    rows = dated_maps(spark, path, "snapshot", "string", since, as_of)
+    return rows.select("date", F.col("key").alias("card_id"), F.col("value").try_cast("double").alias("price")).where(F.col("price") > 0)
 
 
-def listing_history(spark: SparkSession, path: str, as_of: Column | None = None, prefix: str = "ebay") -> DataFrame:
+def listing_history(spark: SparkSession, path: str, as_of: Column | None = None, prefix: str = "ebay", since: Column | None = None) -> DataFrame:
     """Rows (date, card_id, active, average, item_ids) of daily listing snapshots up to ``as_of``; null rows stay."""
-    rows = dated_maps(spark, path, prefix, LISTING).where("value is not null")
-    rows = rows.select("date", F.col("key").alias("card_id"), F.col("value.active_listings").alias("active"), F.col("value.avg_price").alias("average"), F.col("value.item_ids").alias("item_ids"))
-    return rows if as_of is None else rows.where(F.col("date") <= as_of)
+    rows = dated_maps(spark, path, prefix, LISTING, since, as_of).where("value is not null")
+    return rows.select("date", F.col("key").alias("card_id"), F.col("value.active_listings").alias("active"), F.col("value.avg_price").alias("average"), F.col("value.item_ids").alias("item_ids"))
 
 
 def variant_price(prices: Column) -> Column:
