@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from tarnwick import constants as C
 from tarnwick.operators.labels import TABLE
 from tarnwick.plans import fixtures as fx
@@ -205,6 +207,17 @@ POOLED = f"""SELECT * FROM (SELECT bucket, count(*) AS n, round({RHO}, 6) AS ic,
  round(avg((fwd > 0)::INT::DOUBLE), 6) AS frac_up, round(avg(fwd), 6) AS mean_return FROM bb GROUP BY bucket) WHERE n >= 30"""
 
 
+def evaluated(label: str, f: tuple[str, ...], alpha: float) -> str:
+    """The figures of one feature list: segments, tenths and the last fit."""
+    ctes = obs((28,), f, alpha) + """, seg AS (SELECT *, unnest(list_filter(['all', CASE WHEN price >= 10 AND age_days > 90 THEN 'mature' END, CASE WHEN age_days BETWEEN 0 AND 35 THEN 'fresh' END], lambda x: x IS NOT NULL)) AS segment FROM obs), """
+    ctes += ics("seg", "segment") + ", " + summary("segment") + """, dn AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY round(mispricing, 9), card_id) AS k FROM obs),
+        lg AS (SELECT date, avg(fwd) FILTER (k > n - greatest(1, n // 10)) AS t, avg(fwd) FILTER (k <= greatest(1, n // 10)) AS b FROM dn WHERE n >= 20 GROUP BY ALL)"""
+    pick = lambda segment, c: f"(SELECT {c} FROM summ WHERE segment = '{segment}')"
+    select = f"""SELECT '{label}' AS list, {pick('fresh', 'mean_ic')} AS fresh_ic, {pick('fresh', 't_hac')} AS fresh_t, {pick('mature', 'mean_ic')} AS mature_ic, {pick('mature', 't_hac')} AS mature_t, {pick('all', 'mean_ic')} AS all_ic,
+        (SELECT round(avg(t - b), 4) FROM lg) AS decile_spread, (SELECT round(corr(ln(market_price), ln(expected_price)) ** 2, 4) FROM scored WHERE eval_date = (SELECT max(eval_date) FROM scored)) AS r2_log"""
+    return "(" + sql("panel", "panel_cards", ctes=ctes, select=select) + ")"
+
+
 def trimmed(source: str, name: str) -> str:
     return f"""{name}q AS (SELECT card_id, count(value) AS c, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {source} GROUP BY card_id),
  {name} AS (SELECT card_id, CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok) ELSE count(*) END AS n,
@@ -424,6 +437,7 @@ ORACLE |= {
     "hit_rates": sql("panel", "panel_cards", ctes=obs(), select="""SELECT count(*) FILTER (mispricing > 0.15) AS n_under, round(avg((fwd > 0)::INT::DOUBLE) FILTER (mispricing > 0.15), 6) AS under_up, count(*) FILTER (mispricing < -0.15) AS n_over,
         round(avg((fwd < 0)::INT::DOUBLE) FILTER (mispricing < -0.15), 6) AS over_down, round(avg((fwd > 0)::INT::DOUBLE), 6) AS base_up FROM obs"""),
     "two_feature_model": sql("panel", "panel_cards", ctes=obs((28,), ("scarcity", "set_rank"), 5.0) + ", " + ics("obs").replace("SELECT date, count(*)", "SELECT date, 1 AS \"all\", count(*)") + ", " + summary('"all"'), select="SELECT * FROM summ"),
+    "feature_lists": " UNION ALL ".join(evaluated(f"{'+'.join(f)} {alpha:g}", f, alpha) for k in (2, 3) for f in itertools.combinations(("char_premium", "months_since_release", "scarcity", "set_rank"), k) for alpha in (1.0, 5.0)),
     "product_matches": sql("cards", ctes=PRODUCTS, select="SELECT * FROM mt"),
     "match_coverage": sql("cards", ctes=PRODUCTS, select="SELECT group_id, count(product_id) AS matched, count(*) AS total, count(*) FILTER (how = 'name') AS name_fixed, count(*) FILTER (candidates > 1 AND product_id IS NOT NULL) AS ambiguous FROM mt GROUP BY group_id"),
     "unmatched_cards": sql("cards", ctes=PRODUCTS, select="SELECT card_id, group_id AS set_id FROM mt WHERE product_id IS NULL AND card_id > 0"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnwick import constants as C
 from tarnwick.functions import scores, stats, text
 from tarnwick.lineage import cut
-from tarnwick.operators import asof, backtest, boards, dynamics, features, freshness, labels, matching, ridge, sealed
+from tarnwick.operators import asof, backtest, boards, dynamics, evaluation, features, freshness, labels, matching, ridge, sealed
 from tarnwick.plans import fixtures as fx
 from tarnwick.plans.testmap import view
 from tarnwick.sources import files
@@ -645,6 +646,17 @@ def two_feature_model(spark, d):
     return summary_columns(stats.ic_summary(backtest.segment_ics(obs, []).withColumn("all", F.lit(1)), ["all"]), ["all"])
 
 
+#: Every choice of two or three of four features, under two penalties.
+EVALUATED = {f"{'+'.join(own)} {alpha:g}": (own, alpha) for k in (2, 3) for own in itertools.combinations(("char_premium", "months_since_release", "scarcity", "set_rank"), k) for alpha in (1.0, 5.0)}
+
+
+@query
+def feature_lists(spark, d):
+    """Twenty feature lists and penalties, evaluated in one walk-forward run."""
+    out = evaluation.evaluate(view(spark, d, "panel"), view(spark, d, "panel_cards"), EVALUATED)
+    return out.select("list", *[r(c, 4) for c in ("fresh_ic", "fresh_t", "mature_ic", "mature_t", "all_ic", "decile_spread", "r2_log")])
+
+
 # --- matching, catalogue, runs ---
 
 
