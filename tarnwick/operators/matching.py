@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick import constants as C
@@ -17,6 +17,20 @@ def names_agree(a, b):
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
 
 
+def _keys(first: dict[str, Column], tier: Column, whole: Column) -> Column:
+    """The look-up keys of a row: by number and by name, each alone, with the tier, with the whole name, and with both.
+
+    A key with an empty part is left out, since nothing agrees with nothing.
+    """
+    out = []
+    for kind, main in first.items():
+        for part, (t, w) in {"": (False, False), "t": (True, False), "w": (False, True), "tw": (True, True)}.items():
+            there = main.isNotNull() & (main != "") & ((tier != "") if t else F.lit(True)) & ((whole != "") if w else F.lit(True))
+            key = F.struct(F.lit(kind + part).alias("kind"), main.alias("main"), (tier if t else F.lit("")).alias("tier"), (whole if w else F.lit("")).alias("whole"))
+            out.append(F.when(there, key))
+    return F.array_compact(F.array(*out))
+
+
 def match_products(cards: DataFrame, products: DataFrame) -> DataFrame:
     """Rows (card_id, group_id, product_id, how, candidates): ``number``, ``name`` or null where nothing fits.
 
@@ -24,23 +38,33 @@ def match_products(cards: DataFrame, products: DataFrame) -> DataFrame:
     position.  Candidates share group and number.  The best has the card's tier (both known, whatever their case), then
     no parenthesis in its name, then no word for another printing, then the card's whole name, then comes first.  It
     counts only if the folded names agree; otherwise the best of those with the card's folded name is taken, and
-    failing that the one with the number.  Both steps are equi-joins, the argmax an aggregation with partial combining.
+    failing that the one with the number.
+
+    Products are reduced before they meet a card: of all that agree in a look-up key only the best can be chosen, so
+    each key keeps that one.  A card has eight keys at most and so meets eight rows at most, however many products share
+    its number or its name.
     """
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    c = cards.select("card_id", "group_id", text.card_number(F.col("number")).alias("__num"), text.folded(F.col("name")).alias("__name"), low(F.col("name")).alias("__whole"), low(F.col("rarity")).alias("__tier"))
-    name = low(F.col("name"))
+    number, name, tier = text.card_number(F.col("number")), low(F.col("name")), low(F.col("rarity"))
+    folded, base = text.folded(F.col("name")), text.product_base(F.col("name"))
     other = functools.reduce(operator.or_, [name.contains(m) for m in C.OTHER_PRINTINGS])
-    p = products.select(
-        "product_id", "group_id", text.card_number(F.col("number")).alias("__num"), text.product_base(F.col("name")).alias("__pname"), name.alias("__pwhole"),
-        low(F.col("rarity")).alias("__ptier"), name.contains("(").alias("__paren"), other.alias("__other"), "position",
-    )
-    rank = F.struct(
-        ~((F.col("__tier") != "") & (F.col("__tier") == F.col("__ptier"))), F.col("__paren"), F.col("__other"), ~((F.col("__whole") != "") & (F.col("__whole") == F.col("__pwhole"))),
-        "position", "product_id", F.col("__pname").alias("pname"),
-    )
-    by_number = c.join(p, ["group_id", "__num"]).groupBy("card_id").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("candidates"))
-    named = c.join(p.drop("__num"), (c.group_id == p.group_id) & (F.col("__name") == F.col("__pname")) & (F.col("__pname") != "")).groupBy("card_id").agg(F.min(rank)["product_id"].alias("__named"))
-    out = c.join(by_number, "card_id", "left").join(named, "card_id", "left")
+    key = ["group_id", "key.kind", "key.main", "key.tier", "key.whole"]
+    on = ["group_id", "kind", "main", "tier", "whole"]
+
+    p = products.select("product_id", "group_id", "position", base.alias("pname"), F.struct(name.contains("(").alias("paren"), other.alias("other")).alias("plain"), F.explode(_keys({"number": number, "name": base}, tier, name)).alias("key"))
+    best = p.select(*key, F.struct("plain", "position", "product_id", "pname").alias("row")).groupBy(*on).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("times"))
+
+    c = cards.select("card_id", "group_id", folded.alias("__name"), _keys({"number": number, "name": folded}, tier, name).alias("keys"))
+    asked = c.select("card_id", "group_id", F.explode("keys").alias("key")).select("card_id", *key)
+    of = lambda kind, column="row": F.max(F.when(F.col("kind") == kind, F.col(column)))
+    kinds = [k + part for k in ("number", "name") for part in ("", "t", "w", "tw")]
+    met = asked.join(best, on).groupBy("card_id").agg(*[of(k).alias(k) for k in kinds], of("number", "times").alias("candidates"))
+
+    def chosen(kind: str) -> Column:
+        pick = lambda any_, whole: F.when(F.col(f"{whole}.plain") == F.col(f"{any_}.plain"), F.col(whole)).otherwise(F.col(any_))
+        return F.when(F.col(kind + "t").isNotNull(), pick(kind + "t", kind + "tw")).otherwise(pick(kind, kind + "w"))
+
+    out = c.drop("keys").join(met.select("card_id", "candidates", chosen("number").alias("best"), chosen("name")["product_id"].alias("__named")), "card_id", "left")
     fits = F.coalesce(names_agree(F.col("__name"), F.col("best.pname")), F.lit(False))
     product = F.when(fits, F.col("best.product_id")).otherwise(F.coalesce("__named", "best.product_id"))
     how = F.when(fits, "number").when(F.col("__named").isNotNull(), "name").when(F.col("best").isNotNull(), "number")
@@ -69,8 +93,8 @@ def subtype_price(wanted: DataFrame, prices: DataFrame, preferred: list[str]) ->
 
 def fill_gaps(cards: DataFrame, backup: DataFrame) -> DataFrame:
     """Prices from a second source by set and normal number, only for sets of which no card has a price."""
-    whole = F.max(F.col("market_price").isNotNull()).over(Window.partitionBy("set_id"))
-    rows = cards.withColumns({"__any": whole, "__num": text.plain_number(F.col("number"))})
+    priced = cards.groupBy("set_id").agg(F.bool_or(F.col("market_price").isNotNull()).alias("__any")).withColumnRenamed("set_id", "__set")
+    rows = cards.join(priced, F.col("set_id").eqNullSafe(F.col("__set"))).drop("__set").withColumn("__num", text.plain_number(F.col("number")))
     b = backup.select("set_id", text.plain_number(F.col("number")).alias("__num"), F.col("price").alias("__backup")).groupBy("set_id", "__num").agg(F.min("__backup").alias("__backup"))
     out = rows.join(b, ["set_id", "__num"], "left")
     price = F.when(F.col("__any"), F.col("market_price")).otherwise(F.coalesce("market_price", "__backup"))

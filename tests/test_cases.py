@@ -576,3 +576,35 @@ def test_basis_of_dynamics(spark):
     assert (ok["short_window"], ok["long_window"], ok["short_active_avg"], ok["long_active_avg"]) == (7, 30, 140.0, 127.5)
     single = compute(snaps(spark, [(11, 42)]), current=D(2026, 9, 12))
     assert single["short_window"] is None and single["short_active_avg"] is None
+
+
+def test_matching_is_that_of_all_pairs(spark):
+    """Reduced products give each card what the comparison with every product would."""
+    import random
+
+    from tarnwick import constants as C
+    from tarnwick.operators import matching
+
+    rng = random.Random(6)
+    names = ["Pika", "Pika (Staff)", "Pika - promo", "Pika stamped", "Char", "Char (Alt)", "Pikachu", "", "Mew Jumbo", None]
+    pick = lambda: (rng.choice("gh"), rng.choice(["1", "01", "2", "3/50", None]), rng.choice(names), rng.choice(["Rare", "rare", "Common", "", None]))
+    cards = spark.createDataFrame([(k, *pick()) for k in range(150)], "card_id long, group_id string, number string, name string, rarity string")
+    products = spark.createDataFrame([(k, *pick(), rng.randint(0, 40)) for k in range(150)], "product_id long, group_id string, number string, name string, rarity string, position int")
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    shown = lambda df, base, *more: df.select(*more, "group_id", text.card_number(F.col("number")).alias("num"), base(F.col("name")).alias("name"), low(F.col("name")).alias("whole"), low(F.col("rarity")).alias("tier"))
+    found = shown(products, text.product_base, "product_id", "position").collect()
+    plain = lambda p: ("(" in p.whole, any(m in p.whole for m in C.OTHER_PRINTINGS))
+    want = {}
+    for c in shown(cards, text.folded, "card_id").collect():
+        rank = lambda p: (not (c.tier and c.tier == p.tier), *plain(p), not (c.whole and c.whole == p.whole), p.position, p.product_id)  # noqa: E731, B023
+        same = [p for p in found if p.group_id == c.group_id and c.num and p.num == c.num]
+        named = [p for p in found if p.group_id == c.group_id and c.name and p.name == c.name]
+        best, other = min(same, key=rank, default=None), min(named, key=rank, default=None)
+        if best and c.name and best.name and (c.name in best.name or best.name in c.name):
+            want[c.card_id] = (best.product_id, "number", len(same))
+        elif other:
+            want[c.card_id] = (other.product_id, "name", len(same))
+        else:
+            want[c.card_id] = (best.product_id, "number", len(same)) if best else (None, None, 0)
+    got = {r.card_id: (r.product_id, r.how, r.candidates) for r in matching.match_products(cards, products).collect()}
+    assert got == want and {h for _, h, _ in want.values()} == {"number", "name", None}
