@@ -477,6 +477,7 @@ ORACLE |= {
         CASE WHEN k IN (0, 7, 14) THEN NULL WHEN k = 21 THEN 0 ELSE coalesce(ids, 0) END AS n_ids FROM (SELECT *, card_id % 28 AS k FROM mk) mk LEFT JOIN rws USING (card_id)
         UNION ALL SELECT * FROM {fx.values(fx.PAGES_WANT, 'key, known, active, average, n_ids')}"""),
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL",
+    "dated_log": sql("panel", select="SELECT date, card_id, round(price * CASE year(date) WHEN 1996 THEN 2 WHEN 1997 THEN 3 WHEN 1998 THEN 3 ELSE 1 END, 4) AS price FROM panel WHERE year(date) <= 1998"),
     "stream_flows": sql("snapshots", ctes=FLOWS, select="SELECT card_id, date, active, new_listings, ended_listings, est_sold, est_unsold FROM flows"),
     "daily_build": sql("cards", "sets", "panel", "overrides", "priors", ctes=MODEL + ", " + PULLS + ", " + moves(AS_OF) + """,
         mv AS (SELECT card_id, CASE WHEN pct >= 3 THEN 'Rising' WHEN pct <= -3 THEN 'Falling' ELSE 'Quiet' END AS label FROM moves)""",
@@ -492,7 +493,7 @@ DATES = {
     "sealed_feed": ["as_of"], "sealed_staleness": ["oldest", "newest"], "date_formats": ["day"], "listing_flows": ["date"], "trailing_windows": ["date"],
     "market_dynamics": ["last_observed"], "market_dynamics_as_of": ["last_observed"], "source_status": ["newest"], "window_lows": ["date"], "backward_prices": ["date"],
     "nearest_forward_pairs": ["date", "next_date"], "carried_portfolio": ["date"], "weekly_dates": ["date"], "backfill_missing": ["date"], "normal_cards": ["release_date"], "archive_series": ["date"], "population_answers": ["fetched"], "private_ids": ["date"], "price_history": ["first", "last"],
-    "merged_series": ["date"], "walk_forward_residuals": ["eval_date"], "forward_returns": ["date"], "rank_ics": ["date"], "due_populations": ["fetched"], "stream_flows": ["date"],
+    "merged_series": ["date"], "walk_forward_residuals": ["eval_date"], "forward_returns": ["date"], "rank_ics": ["date"], "due_populations": ["fetched"], "stream_flows": ["date"], "dated_log": ["date"],
 }
 for _name, _columns in DATES.items():
     ORACLE[_name] = "SELECT * REPLACE (" + ", ".join(f'strftime("{c}", \'%Y-%m-%d\') AS "{c}"' for c in _columns) + f") FROM ({ORACLE[_name]})"

@@ -826,6 +826,24 @@ def daily_build(spark, d):
     return build(inputs, F.lit(AS_OF))["scored"].select("card_id", "iq_score", r("expected_price", 3), r("residual", 4), "edge", "label", r("pull_cost", 3))
 
 
+@query
+def dated_log(spark, d):
+    """A dated table after a write, a second one of some days, one that keeps what is there, and one that died half way."""
+    import uuid
+
+    from tarnwick.lineage import shared_folder
+    from tarnwick.sources.dated import DatedTable
+
+    table = DatedTable(f"{shared_folder(spark)}/dated-{uuid.uuid4().hex}")
+    panel = view(spark, d, "panel").select("date", "card_id", "price")
+    year = F.year("date")
+    table.write(panel.where(year <= 1996))
+    table.write(panel.where(year == 1996).withColumn("price", F.col("price") * 2))
+    table.write(panel.where(year.between(1996, 1998)).withColumn("price", F.col("price") * 3), keep=True)
+    table.stage(panel.where(year >= 1998).withColumn("price", F.col("price") * 5))
+    return table.read(spark).select("date", "card_id", r("price", 4))
+
+
 @query
 def stream_flows(spark, d):
     """Snapshots land as a file a day, the newest first, and are read one file at a time; the same rows as the batch form."""

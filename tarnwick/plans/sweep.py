@@ -6,7 +6,6 @@ import datetime as dt
 import uuid
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from tarnwick.lineage import shared_folder
 from tarnwick.operators import dynamics
 from tarnwick.shipping import ship
 from tarnwick.sources import files, rest
+from tarnwick.sources.dated import DatedTable
 from tarnwick.sources.sweep import ListingSweep
 
 COLUMNS = ["card_id", "active", "average", "item_ids", "new_listings", "ended_listings", "est_sold", "est_unsold"]
@@ -22,11 +22,8 @@ COLUMNS = ["card_id", "active", "average", "item_ids", "new_listings", "ended_li
 
 def stored(spark: SparkSession, path: str, day: str) -> DataFrame | None:
     """The written snapshot of a day, if there is one."""
-    try:
-        found = spark.read.option("mergeSchema", True).parquet(path).where(F.col("date") == F.lit(day).cast("date"))
-    except AnalysisException:
-        return None
-    return None if found.isEmpty() else found
+    found = DatedTable(path).read(spark, day)
+    return None if found is None or found.isEmpty() else found
 
 
 def ask(spark: SparkSession, planned: DataFrame, options: Mapping[str, str]) -> DataFrame:
@@ -92,5 +89,5 @@ def collect_day(
     if before is None:
         before = today.limit(0)
     rows = dynamics.yesterday_flows(today, before.select("date", "card_id", "active", "average", "item_ids"))
-    files.write_by_day(rows.select("date", *COLUMNS), path, "date")
+    DatedTable(path).write(rows.select("date", *COLUMNS))
     return stored(spark, path, day)

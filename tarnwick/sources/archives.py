@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnwick.sources.files import missing_dates, write_by_day
+from tarnwick.sources.dated import DatedTable
 
 Members = Callable[[bytes], Iterator[tuple[str, bytes]]]
 
@@ -43,15 +44,14 @@ def download(dates: DataFrame, url: str, get: Callable[[str], bytes | None] = fe
 
 
 def prefetch(spark: SparkSession, dates: DataFrame, url: str, cache: str, get: Callable[[str], bytes | None] = fetched, tasks: int = 8) -> DataFrame:
-    """The cache with the dates in it that it did not have; dates that it has are not fetched again."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        todo = missing_dates(dates, spark.read.schema("content binary, date date").parquet(cache))
-    except AnalysisException:
-        todo = dates
-    write_by_day(download(todo, url, get, tasks), cache, "date", keep=True)
-    return spark.read.schema("content binary, date date").parquet(cache)
+    """The cache with the dates in it that it did not have; dates that it has are not fetched again.
+
+    A date is in the cache when its archive was written whole and the write came to its end.
+    """
+    table = DatedTable(cache)
+    table.write(download(table.missing(dates.select(F.col("date").cast("date").alias("date")).distinct()), url, get, tasks))
+    found = table.read(spark)
+    return spark.createDataFrame([], "content binary, date date") if found is None else found.select("content", "date")
 
 
 def zip_members(content: bytes) -> Iterator[tuple[str, bytes]]:

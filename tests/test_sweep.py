@@ -8,10 +8,10 @@ import urllib.parse
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
-from pyspark.sql import functions as F
 
 from tarnwick.plans import sweep
 from tarnwick.sources import rest
+from tarnwick.sources.dated import DatedTable
 from tarnwick.sources.sweep import SweepReader, says_something
 
 CARD = "card_id string, name string, set_name string, number string, market_price double"
@@ -107,7 +107,7 @@ def test_time_ends_a_sweep(spark, server, tmp_path):
 def test_error_empty_and_normal_end_to_end(spark, server, tmp_path):
     path = str(tmp_path / "days")
     yesterday = [("2026-09-25", "c0", 3, 50.0, ["a", "b", "c"]), ("2026-09-25", "c1", 2, 50.0, ["x", "y"]), ("2026-09-25", "c2", 2, 50.0, ["p", "q"])]
-    spark.createDataFrame(yesterday, "date string, card_id string, active int, average double, item_ids array<string>").withColumn("date", F.col("date").cast("date")).write.partitionBy("date").parquet(path)
+    DatedTable(path).write(spark.createDataFrame(yesterday, "date string, card_id string, active int, average double, item_ids array<string>"))
     server.answers |= {"Erroring": 500, "Empty": {"total": 0}, "Normal": page(["q", "r"])}
     got = collected(spark, server, tmp_path, ["Erroring", "Empty", "Normal"])
     flow = lambda r: (r.active, r.new_listings, r.ended_listings, r.est_sold, r.est_unsold)
