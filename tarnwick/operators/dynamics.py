@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnwick import constants as C
 from tarnwick.functions import scores
+from tarnwick.lineage import cut
 
 
 def flow_columns(active: Column, average: Column, ids: Column, active0: Column, average0: Column, ids0: Column) -> dict[str, Column]:
@@ -113,10 +114,34 @@ def window_lows(snapshots: DataFrame, days: int = 14) -> DataFrame:
 def failure_runs(attempts: DataFrame, order: str = "seq", key: str = "sweep", unknown: str = "unknown", most: int = 30) -> DataFrame:
     """``attempts`` plus ``run`` (consecutive unknowns up to here) and ``issued`` (false behind the breaker's point).
 
-    Gaps and islands: each known result starts a new island.
+    A sweep of any length is cut into blocks, ranges of its order.  Runs are made inside blocks; a scan over the blocks'
+    summaries (a row for each block of a sweep) says which run each block is entered with, and whether the breaker
+    tripped before it.  So no task holds a whole sweep.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    rows = attempts.withColumn("__island", F.sum((~F.col(unknown)).cast("int")).over(w))
-    rows = rows.withColumn("run", F.sum(F.col(unknown).cast("int")).over(Window.partitionBy(key, "__island").orderBy(order)))
-    tripped = F.coalesce(F.max((F.col("run") >= most).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("issued", tripped == 0).drop("__island")
+    placed = attempts.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("__block", F.spark_partition_id())
+    inside = Window.partitionBy(key, "__block").orderBy(order)
+    known = (~F.col(unknown)).cast("int")
+    rows = cut(placed.withColumn("__island", F.sum(known).over(inside)))
+    along = Window.partitionBy(key, "__block", "__island").orderBy(order)
+    rows = rows.withColumn("__run", F.sum(1 - known).over(along))
+
+    # Of each block: whether it has a known row, and its run at the end, which goes on from the block before if it has none.
+    blocks = rows.groupBy(key, "__block").agg((F.max("__island") > 0).alias("__breaks"), F.max_by("__run", order).alias("__tail"))
+    chain = Window.partitionBy(key).orderBy("__block")
+    blocks = blocks.withColumn("__stretch", F.sum(F.col("__breaks").cast("int")).over(chain))
+    so_far = F.sum("__tail").over(Window.partitionBy(key, "__stretch").orderBy("__block"))
+    entered = blocks.withColumn("__so_far", so_far).select(key, "__block", F.coalesce(F.lag("__so_far").over(chain), F.lit(0)).alias("__entered"))
+    rows = _with_block(rows, entered, key)
+    rows = cut(rows.withColumn("run", F.col("__run") + F.when(F.col("__island") == 0, F.col("__entered")).otherwise(0)))
+
+    trips = (F.col("run") >= most).cast("int")
+    tripped = rows.groupBy(key, "__block").agg(F.max(trips).alias("__trips"))
+    tripped = tripped.select(key, "__block", F.coalesce(F.max("__trips").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__tripped"))
+    rows = _with_block(rows, tripped, key)
+    here = F.coalesce(F.max(trips).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("issued", (F.col("__tripped") == 0) & (here == 0)).drop("__block", "__island", "__run", "__entered", "__tripped")
+
+
+def _with_block(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    side = side.withColumnsRenamed({key: "__key", "__block": "__of"})
+    return rows.join(side, rows[key].eqNullSafe(side["__key"]) & (rows["__block"] == side["__of"])).drop("__key", "__of")

@@ -608,3 +608,27 @@ def test_matching_is_that_of_all_pairs(spark):
             want[c.card_id] = (best.product_id, "number", len(same)) if best else (None, None, 0)
     got = {r.card_id: (r.product_id, r.how, r.candidates) for r in matching.match_products(cards, products).collect()}
     assert got == want and {h for _, h, _ in want.values()} == {"number", "name", None}
+
+
+def test_runs_over_many_blocks(spark):
+    """Runs and the breaker's point go on over blocks, whatever is in them."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(key, k, rng.random() < share) for key, share, n in (("a", 0.5, 400), ("b", 0.97, 300), (None, 0.9, 60), ("c", 1.0, 100), ("d", 0.0, 5)) for k in range(n)]
+    want, run, tripped, last = {}, 0, False, object()
+    for key, k, unknown in rows:
+        if key != last:
+            run, tripped, last = 0, False, key
+        issued, run = not tripped, run + 1 if unknown else 0
+        tripped = tripped or run >= 12
+        want[key, k] = (run, issued)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "sweep string, seq long, unknown boolean").repartition(7)
+        got = {(r.sweep, r.seq): (r.run, r.issued) for r in dynamics.failure_runs(df, most=12).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
