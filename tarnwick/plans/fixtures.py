@@ -1,6 +1,6 @@
 """Literal inputs and what must come out of them, worked out by hand from the rules and not from the code.
 
-The registered queries run over these rows next to the driver's tables; their SQL holds the wanted rows as ``VALUES``.
+The tests run the rules over them; some registered queries have them next to the rows of the tables.
 """
 
 from __future__ import annotations

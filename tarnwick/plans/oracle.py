@@ -252,20 +252,24 @@ ORACLE: dict[str, str] = {
     "sealed_staleness": sql("sets", select=f"""SELECT min(d) AS oldest, max(d) AS newest, CASE WHEN min(d) = max(d) THEN min(d)::VARCHAR ELSE min(d) || ' to ' || max(d) END AS label, {LAST_DAY} - min(d) > 14 AS stale FROM (SELECT DATE '2024-01-01' + (length(set_id) * 5)::INTEGER AS d FROM sets)"""),
     "base_names": sql("cards", select=f"""SELECT card_id, full_ AS "full", regexp_replace(trim(CASE WHEN supertype = 'Pokémon' THEN regexp_replace(full_, '^.*''s ', '') ELSE full_ END), '( (ex|EX|V|VMAX|VSTAR|GX|BREAK|LV\\.X|δ|Prime|Star))+$', '') AS base
         FROM (SELECT card_id, supertype, CASE WHEN card_id % 4 = 0 THEN 'Owner''s ' ELSE '' END || name || ' ' || {MECH}[(card_id % 11 + 1)::INTEGER] || CASE WHEN card_id % 3 = 0 THEN ' ex' ELSE '' END AS full_ FROM cards)"""),
-    "literal_names": f"SELECT * FROM {fx.values(fx.NAMES_WANT, 'id, base, folded, number, plain')}",
     "normal_cards": sql("cards", select="""SELECT CASE WHEN card_id = 7 THEN 'zsv10pt5-171' ELSE 'x-' || card_id END AS id,
         regexp_replace(CASE WHEN supertype = 'Trainer' AND card_id % 4 = 0 THEN 'Owner''s ' ELSE '' END || name || CASE WHEN card_id % 3 = 0 THEN ' ex' ELSE '' END, '( ex)+$', '') AS base_name,
         supertype, CASE WHEN card_id = 7 THEN 'Black White Rare' WHEN card_id % 6 > 0 THEN rarity ELSE 'Unknown' END AS rarity, set_id, release_date, round(nullif(market_price, 0), 4) AS market_price,
         CASE WHEN market_price <> 0 THEN 'normal' END AS price_variant, dex FROM cards"""),
-    "second_prices": f"SELECT * FROM {fx.values(fx.SECOND_WANT, 'id, price, variant')}",
+    "second_prices": sql("cards", ctes="""q AS (SELECT card_id, CASE WHEN card_id % 3 = 0 THEN market_price END AS h, CASE WHEN card_id % 4 = 0 THEN market_price * 2 END AS n, CASE WHEN card_id % 7 = 0 THEN market_price * 3 END AS o,
+        CASE WHEN card_id % 5 > 0 THEN market_price END AS e FROM cards)""", select="""SELECT card_id, round(CASE WHEN h <> 0 THEN h WHEN n <> 0 THEN n WHEN o <> 0 THEN o WHEN e <> 0 THEN e * 1.08::DOUBLE END, 2) AS price,
+        CASE WHEN h <> 0 THEN 'tcgplayer:holofoil' WHEN n <> 0 THEN 'tcgplayer:normal' WHEN o <> 0 THEN 'tcgplayer:odd' WHEN e <> 0 THEN 'cardmarket:avg(EUR->USD)' END AS variant FROM q"""),
     "archive_series": sql("panel", ctes="""g AS (SELECT *, floor(card_id / 100) AS g, CASE WHEN card_id % 3 = 0 THEN 'Normal' ELSE 'Odd' END AS subtype FROM panel WHERE price IS NOT NULL),
         whole AS (SELECT * FROM g WHERE NOT (g = 1 AND day(date) < 8)),
         pts AS (SELECT date, card_id, subtype, price FROM whole UNION ALL SELECT date, card_id, 'Holofoil', price * 2 FROM whole WHERE card_id % 2 = 0)""",
         select="""SELECT date, card_id, round(arg_min(price, CASE WHEN subtype = CASE WHEN card_id % 3 = 0 THEN 'Normal' ELSE 'Reverse Holofoil' END THEN 0 WHEN subtype = 'Holofoil' THEN 1 WHEN subtype = 'Normal' THEN 2 ELSE 6 END), 2) AS price
         FROM pts GROUP BY ALL"""),
-    "literal_gates": f"SELECT * FROM {fx.values(fx.GATES_WANT, 'id, reason, surfaced, verdict, age')}",
-    "literal_display": f"SELECT * FROM {fx.values(fx.DISPLAY_WANT, 'id, shipping, trajectory, saturation')}",
-    "search_interest": f"SELECT * FROM {fx.values(fx.INTEREST_WANT, 'name, score, n_days')}",
+    "search_interest": sql("listings", ctes="""t AS (SELECT card_id % 3 AS batch, 'card ' || card_id AS name, date, count(*) AS v FROM listings GROUP BY ALL),
+        an AS (SELECT card_id % 3 AS batch, date, count(*) FILTER (event_type = 'purchase' AND day(date) % 5 > 0) AS a FROM listings GROUP BY ALL),
+        ra AS (SELECT name, date, v / nullif(a, 0)::DOUBLE AS ratio FROM t LEFT JOIN an USING (batch, date)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio IS NULL, date DESC) AS k FROM ra),
+        m AS (SELECT name, coalesce(avg(ratio) FILTER (k <= 8), 0) AS m, count(ratio)::INTEGER AS n_days FROM k GROUP BY name)""",
+        select="""SELECT name, CASE WHEN m <= 0 THEN 0::DOUBLE ELSE round(greatest(0, least(10, 10 + 4 * log10(nullif(m, 0)))), 3)::DOUBLE END AS score, n_days FROM m UNION ALL SELECT 'Anchor', 10.0::DOUBLE, 0 WHERE EXISTS (SELECT 1 FROM listings)"""),
     "panels": sql("listings", ctes="""a AS (SELECT card_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS tens, round(avg(value), 2) AS price FROM listings GROUP BY card_id), b AS (SELECT *, n * 97 AS big, (price / 64 - 0.25::DOUBLE) / 2 * 0.5::DOUBLE AS z FROM a)""",
         select="""SELECT card_id, CASE WHEN card_id % 3 > 0 THEN 'active listings=' || format('{:,}', big) || '; new (7d)=' || CASE WHEN card_id % 2 = 0 THEN format('{:,}', n) ELSE '—' END || '; sold est (7d)=' || format('{:,}', tens) END AS flow,
         CASE WHEN card_id % 5 > 0 THEN 'graded total=' || format('{:,}', big) || '; PSA 10=' || format('{:,}', tens) || '; gem rate=' || printf('%.1f', 100 * (tens / n::DOUBLE)) || '%' END AS population,
@@ -416,7 +420,7 @@ ORACLE |= {
     "portfolio_totals": sql("cards", ctes="w AS (SELECT market_price AS p, CASE WHEN card_id % 100 = 0 THEN dex::DOUBLE END AS a FROM cards)",
         select="""SELECT count(*) AS n_cards, count(a) AS n_bases, round(coalesce(sum(p), 0), 2) AS value, round(coalesce(sum(p), 0) - sum(a), 2) AS since_added,
         round(CASE WHEN sum(a) > 0 THEN 100 * (coalesce(sum(p), 0) - sum(a)) / sum(a) END, 2) AS since_added_pct FROM w"""),
-    "weekly_dates": "SELECT unnest(range(DATE '2024-02-08', DATE '2024-06-02', INTERVAL 7 DAYS))::DATE AS date",
+    "weekly_dates": sql("panel", select="SELECT unnest(range((SELECT min(date) FROM panel)::TIMESTAMP, (SELECT max(date) FROM panel)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 7 DAYS))::DATE AS date"),
     "backfill_missing": sql("panel", select="SELECT d::DATE AS date FROM (SELECT unnest(range(DATE '1994-01-03', DATE '2002-01-08', INTERVAL 7 DAYS)) AS d) WHERE d::DATE NOT IN (SELECT date FROM panel)"),
     "price_history": sql("panel", select="SELECT card_id, count(*)::INTEGER AS n, min(date) AS first, max(date) AS last, round(arg_max(price, date), 2) AS last_price FROM panel GROUP BY card_id HAVING arg_max(price, date) >= 40"),
     "merged_series": sql("panel", select="SELECT card_id, date, round(CASE WHEN card_id % 3 = 0 THEN price * 2 ELSE price END, 4) AS price FROM panel"),

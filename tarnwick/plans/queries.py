@@ -116,15 +116,6 @@ def date_formats(spark, d):
     return rows.select("card_id", "day", r(scores.months_between(F.lit(AS_OF), F.col("day")), 4, "months"), scores.age_label(F.lit(dt.date(1995, 3, 1)), F.col("day")).alias("label"))
 
 
-@query
-def literal_names(spark, d):
-    rows = spark.createDataFrame(fx.NAMES, "id long, name string, supertype string, number string")
-    return rows.select(
-        "id", text.base_name(F.col("name"), F.col("supertype")).alias("base"), text.folded(F.col("name")).alias("folded"),
-        text.card_number(F.col("number")).alias("number"), text.plain_number(F.col("number")).alias("plain"),
-    )
-
-
 @query
 def variant_pick(spark, d):
     """First variant with a price that is not zero in the order of preference, else any; the tags tell which."""
@@ -153,10 +144,12 @@ def normal_cards(spark, d):
 
 @query
 def second_prices(spark, d):
-    """The second source's pick: variants, any, the European average, nothing."""
-    rows = spark.createDataFrame(fx.SECOND, "id long, listed map<string,double>, eur double")
-    listed = F.transform_values("listed", lambda _, v: F.struct(v.alias("marketPrice")))
-    return rows.select("id", files.secondary_price(listed, F.col("eur"), F.lit("u"), F.lit("e")).alias("p")).select("id", "p.price", "p.variant")
+    """The second source's pick: a known variant, any variant, the European average, nothing."""
+    price, k = F.col("market_price"), F.col("card_id")
+    listed = {"holofoil": F.when(k % 3 == 0, price).when(k % 3 == 1, F.lit(0.0)), "normal": F.when(k % 4 == 0, price * 2), "odd": F.when(k % 7 == 0, price * 3)}
+    prices = F.create_map(*[x for n, c in listed.items() for x in (F.lit(n), F.struct(c.alias("marketPrice")))])
+    rows = view(spark, d, "cards").select("card_id", prices.alias("listed"), F.when(k % 5 > 0, price).alias("eur"))
+    return rows.select("card_id", files.secondary_price(F.col("listed"), F.col("eur"), F.lit("u"), F.lit("e")).alias("p")).select("card_id", "p.price", "p.variant")
 
 
 @query
@@ -223,20 +216,6 @@ def gates(spark, d):
     )
 
 
-@query
-def literal_gates(spark, d):
-    rows = spark.createDataFrame(fx.GATES, "id long, price double, expected double, months double, age int")
-    p, e = F.col("price"), F.col("expected")
-    return rows.select("id", scores.edge_reason(p, e, F.col("months")).alias("reason"), scores.surfaced(F.col("age"), p).alias("surfaced"), scores.verdict((p - e) / e).alias("verdict"), scores.age_bucket(F.col("age")).alias("age"))
-
-
-@query
-def literal_display(spark, d):
-    rows = spark.createDataFrame(fx.DISPLAY, "id long, ship double, item double, price double, t30 double, t90 double, t180 double, sat double")
-    c = F.col
-    return rows.select("id", scores.shipping_label(c("ship"), c("item"), c("price")).alias("shipping"), scores.trajectory(c("t30"), c("t90"), c("t180")).alias("trajectory"), scores.saturation_tag(c("sat")).alias("saturation"))
-
-
 @query
 def panels(spark, d):
     """Lines and cells of the client's panels."""
@@ -535,7 +514,9 @@ def portfolio_totals(spark, d):
 
 @query
 def weekly_dates(spark, d):
-    return files.weekly_dates(spark, "2024-02-08", "2024-06-01")
+    """The weeks that the panel spans."""
+    span = view(spark, d, "panel").agg(F.min("date"), F.max("date")).first()
+    return files.weekly_dates(spark, str(span[0]), str(span[1]))
 
 
 @query
@@ -762,8 +743,11 @@ def page_titles(spark, d):
 
 @query
 def search_interest(spark, d):
-    rows = spark.createDataFrame(fx.INTEREST, "batch int, term string, date string, value int").withColumn("date", F.col("date").cast("date"))
-    return files.interest_scores(rows, "Anchor").select("name", "score", F.size("weekly").alias("n_days"))
+    """Events of a card in a day as interest in it, in three batches that each have the day's purchases as their anchor."""
+    rows = view(spark, d, "listings").withColumn("batch", (F.col("card_id") % 3).cast("int"))
+    terms = rows.groupBy("batch", F.concat(F.lit("card "), F.col("card_id")).alias("term"), "date").agg(F.count(F.lit(1)).cast("int").alias("value"))
+    anchor = rows.groupBy("batch", F.lit("Anchor").alias("term"), "date").agg(F.count(F.when((F.col("event_type") == "purchase") & (F.day("date") % 5 > 0), 1)).cast("int").alias("value"))
+    return files.interest_scores(terms.unionByName(anchor), "Anchor").select("name", "score", F.size("weekly").alias("n_days"))
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import scores, stats, text
 from tarnwick.operators import backtest, boards, dynamics, features, freshness, labels, ridge
+from tarnwick.plans import fixtures as fx
 from tarnwick.sources import files
 
 D = dt.date
@@ -632,3 +633,43 @@ def test_runs_over_many_blocks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == want
+
+
+# --- literal rows whose results were worked out by hand ---
+
+
+def same_rows(df, want):
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+def test_literal_names(spark):
+    rows = spark.createDataFrame(fx.NAMES, "id long, name string, supertype string, number string")
+    base, folded = text.base_name(F.col("name"), F.col("supertype")), text.folded(F.col("name"))
+    got = rows.select("id", base, folded, text.card_number(F.col("number")), text.plain_number(F.col("number")))
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == {i: tuple(rest) for i, *rest in fx.NAMES_WANT}
+
+
+def test_literal_gates(spark):
+    rows = spark.createDataFrame(fx.GATES, "id long, price double, expected double, months double, age int")
+    p, e = F.col("price"), F.col("expected")
+    got = rows.select("id", scores.edge_reason(p, e, F.col("months")), scores.surfaced(F.col("age"), p), scores.verdict((p - e) / e), scores.age_bucket(F.col("age")))
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == {i: tuple(rest) for i, *rest in fx.GATES_WANT}
+
+
+def test_literal_display(spark):
+    rows = spark.createDataFrame(fx.DISPLAY, "id long, ship double, item double, price double, t30 double, t90 double, t180 double, sat double")
+    c = F.col
+    got = rows.select("id", scores.shipping_label(c("ship"), c("item"), c("price")), scores.trajectory(c("t30"), c("t90"), c("t180")), scores.saturation_tag(c("sat")))
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == {i: tuple(rest) for i, *rest in fx.DISPLAY_WANT}
+
+
+def test_literal_second_prices(spark):
+    rows = spark.createDataFrame(fx.SECOND, "id long, listed map<string,double>, eur double")
+    listed = F.transform_values("listed", lambda _, v: F.struct(v.alias("marketPrice")))
+    got = rows.select("id", files.secondary_price(listed, F.col("eur"), F.lit("u"), F.lit("e")).alias("p")).select("id", "p.price", "p.variant")
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == {i: tuple(rest) for i, *rest in fx.SECOND_WANT}
+
+
+def test_literal_interest(spark):
+    rows = spark.createDataFrame(fx.INTEREST, "batch int, term string, date string, value int").withColumn("date", F.col("date").cast("date"))
+    same_rows(files.interest_scores(rows, "Anchor").select("name", "score", F.size("weekly")), fx.INTEREST_WANT)
