@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import bpe_chunks, collocations, dart_minhash, exact_dedup, hash_tree, importance, license_scan, line_frequency, merkle, mixing, quotation, rp_forest, token_counts
-from tarnwick.plans.fixtures import values
 from tarnwick.shipping import ship
 
 TREE = hash_tree.Tree()
@@ -44,22 +43,29 @@ def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("conv_id", "turn", "role", "parent_turn", "reply_kind", "n_passages", "deepest_level", "order_key", "own_text")
 
 
-#: Conversations with nested quotations, and by hand: parent, kind, own text, place in reply order.
-QUOTATIONS = [
-    ("c", 0, "first words"), ("c", 1, "second words"), ("c", 2, "third words"), ("c", 3, ">> First words\nonly deep"), ("c", 4, "> second words\n>> first words\nboth"),
-    ("c", 5, "On Monday A wrote:\n> unknown\n>> third  words\ndeep known"), ("c", 6, "plain"), (None, 0, "hello there"), ("~", 1, "> hello there\nyes"),
-]
-QUOTATIONS_WANT = [
-    ("c", 0, None, "first", "first words", 1), ("c", 1, 0, "next", "second words", 2), ("c", 2, 1, "next", "third words", 3), ("c", 3, 0, "quote", "only deep", 7),
-    ("c", 4, 1, "quote", "both", 6), ("c", 5, 2, "quote", "deep known", 4), ("c", 6, 5, "next", "plain", 5), (None, 0, None, "first", "hello there", 1), ("~", 1, None, "first", "yes", 1),
-]
+def quoting(turns: DataFrame) -> DataFrame:
+    """Conversations in which three turns of four quote an earlier turn of theirs, a third of those another one deeper.
 
+    Which ones is hashed from conversation and turn.  A quotation is the whole earlier text, in capitals half of the time.
+    """
+    draw = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "conv_id", "turn"), n).cast("long")
+    first = F.when((F.col("turn") > 0) & (draw("quotes", F.lit(4)) > 0), draw("first", F.greatest(F.col("turn"), F.lit(1))))
+    second = F.when(first.isNotNull() & (draw("deeper", F.lit(3)) == 0), draw("second", F.greatest(F.col("turn"), F.lit(1))))
+    rows = turns.withColumns({"__first": first, "__second": second, "__capitals": draw("capitals", F.lit(2)) == 0})
+    of = turns.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), "text")
+    for k in ("first", "second"):
+        side = of.withColumnsRenamed({"__conv": f"__conv_{k}", "__turn": f"__turn_{k}", "text": f"__text_{k}"})
+        rows = rows.join(side, (F.col("conv_id") == F.col(f"__conv_{k}")) & (F.col(f"__{k}") == F.col(f"__turn_{k}")), "left")
+    marked = lambda text, marks: F.concat(F.lit(marks), F.regexp_replace(text, "\n", "\n" + marks))
+    shown = F.when(F.col("__capitals"), F.upper("__text_first")).otherwise(F.col("__text_first"))
+    parts = [F.when(F.col("__second").isNotNull(), marked(F.col("__text_second"), ">> ")), F.when(F.col("__first").isNotNull(), marked(shown, "> ")), F.col("text")]
+    return rows.select(*[c for c in turns.columns if c != "text"], F.concat_ws("\n", *parts).alias("text"))
 
-def literal_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered conversations hold no quotation, so that linking is seen on these."""
-    rows = spark.createDataFrame(QUOTATIONS, "conv_id string, turn long, text string").withColumn("role", F.lit("user"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("order_key"))
-    return quotation.link_quotations(rows).select("conv_id", "turn", "parent_turn", "reply_kind", "own_text", place.alias("place"))
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linking over the whole table, whose turns hold no quotation, with quotations of its own turns in them."""
+    linked = quotation.link_quotations(quoting(table(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "turn", "parent_turn", "reply_kind", "n_passages", "deepest_level", "order_key", "own_text")
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_rp_forest": op11_rp_forest,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_collocations": op13_collocations,
-    "literal_quotations": literal_quotations,
+    "quoted_conversations": quoted_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -232,5 +238,4 @@ ORACLE_SQL: dict[str, str] = {
     "op10_hash_tree": OP10_SQL,
     "op12_merkle_manifest": OP12_SQL,
     "op13_collocations": OP13_SQL,
-    "literal_quotations": "SELECT * FROM " + values(QUOTATIONS_WANT, "conv_id, turn, parent_turn, reply_kind, own_text, place"),
 }

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tarnwick.llm import hash_tree, queries
+from tarnwick.llm import hash_tree, queries, quotation
+
+sys.path.append(str(Path(__file__).parent))
+from test_operators import brute_links  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +84,42 @@ def near_classes(rows):
     return {i: find(i) for i, _ in rows}
 
 
+#: Conversations with nested quotations, and by hand: parent, kind, own text, place in reply order.
+QUOTATIONS = [
+    ("c", 0, "first words"), ("c", 1, "second words"), ("c", 2, "third words"), ("c", 3, ">> First words\nonly deep"), ("c", 4, "> second words\n>> first words\nboth"),
+    ("c", 5, "On Monday A wrote:\n> unknown\n>> third  words\ndeep known"), ("c", 6, "plain"), (None, 0, "hello there"), ("~", 1, "> hello there\nyes"),
+]
+QUOTATIONS_WANT = [
+    ("c", 0, None, "first", "first words", 1), ("c", 1, 0, "next", "second words", 2), ("c", 2, 1, "next", "third words", 3), ("c", 3, 0, "quote", "only deep", 7),
+    ("c", 4, 1, "quote", "both", 6), ("c", 5, 2, "quote", "deep known", 4), ("c", 6, 5, "next", "plain", 5), (None, 0, None, "first", "hello there", 1), ("~", 1, None, "first", "yes", 1),
+]
+
+
+def test_literal_quotations(spark):
+    rows = spark.createDataFrame(QUOTATIONS, "conv_id string, turn long, text string").withColumn("role", F.lit("user"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("order_key"))
+    got = quotation.link_quotations(rows).select("conv_id", "turn", "parent_turn", "reply_kind", "own_text", place)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, QUOTATIONS_WANT))
+
+
+def test_quoted_conversations(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    texts, plain = defaultdict(list), {}
+    for r in queries.quoting(turns).collect():
+        texts[r.conv_id].append((r.turn, r.text))
+    for r in turns.collect():
+        plain[r.conv_id, r.turn] = r.text.strip(" \n\t\r")
+    got = defaultdict(list)
+    for r in queries.quoted_conversations(spark, SF).collect():
+        got[r.conv_id].append(r)
+    assert sum(len(v) for v in got.values()) == len(plain) and sum(r.reply_kind == "quote" for v in got.values() for r in v) > len(plain) / 3
+    for conv, messages in texts.items():
+        parents, order = brute_links(messages)
+        mine = sorted(got[conv], key=lambda r: r.order_key)
+        assert {r.turn: r.parent_turn for r in mine} == parents and [r.turn for r in mine] == order
+        assert all(r.own_text == plain[conv, r.turn] for r in mine)
+
+
 def test_op7(spark, duck):
     want = near_classes(texts(duck))
     got = {r.doc_id: r for r in queries.op7_dart_minhash(spark, SF).collect()}
