@@ -8,7 +8,7 @@
 4. A query searches all trees through one priority queue: the node whose worst margin on the way is best comes first,
    whichever tree it is in.  It stops after so many leaves, and not before one tree has given enough points.  The number
    of leaves is set on the sample: the least that finds ``target`` of the true neighbours of held-out sample points.
-5. What a query's best of the sample reach is a bound: no point under it can be among its nearest.
+5. What the best sample points in a query's leaves reach is a bound: no point under it is among the nearest found.
 6. Leaves are packed into blocks of bounded size; a leaf above that size is dealt to several.  A block meets the queries
    that visit it, in pieces of bounded size, scores the visited leaves exactly and keeps each query's best above its bound.
    The best of all blocks are merged, spread to the ids of equal vectors, and given to every row that asks.
@@ -168,6 +168,7 @@ def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: l
         for n in wanted:
             asking.setdefault(n, []).append(q)
     least = bounds.copy()
+    rounding = 1e-12 * np.sqrt((queries * queries).sum(1)) * np.sqrt((points * points).sum(1).max(initial=0.0))
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     waiting = 0
 
@@ -186,7 +187,7 @@ def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: l
         for from_ in range(0, len(own), 1024):
             who = np.array(own[from_ : from_ + 1024])
             rough = queries[who] @ points[at].T
-            slack = 1e-9 * (np.abs(least[who]) + 1e-300)
+            slack = 1e-9 * np.abs(least[who]) + rounding[who]
             bar = np.where(np.isfinite(least[who]), least[who] - slack, -np.inf)
             q, p = np.nonzero(~(rough < bar[:, None]))
             for to in range(0, len(q), 1 << 16):
@@ -201,12 +202,21 @@ def best_of(block: tuple[np.ndarray, np.ndarray], queries: np.ndarray, visits: l
     return held[0]
 
 
-def reached(queries: np.ndarray, sample: np.ndarray, scale: float, k: int) -> np.ndarray:
-    """What the ``k`` best of the sample reach for each query, a little less for rounding; a sample of fewer bounds nothing."""
+def reached(queries: np.ndarray, sample: np.ndarray, leaves: np.ndarray, visits: list[np.ndarray], k: int, slack: np.ndarray) -> np.ndarray:
+    """What the ``k`` best of the sample reach for each query, counting only points in a leaf that it visits, less
+    ``slack`` for rounding; fewer points bound nothing.
+
+    ``leaves`` has a sample point's leaf in each tree, ``visits`` for each query what it visits of (tree, leaf).
+    """
+    out = np.full(len(queries), -np.inf)
     if len(sample) < k:
-        return np.full(len(queries), -np.inf)
-    scores = np.partition(queries @ sample.T, len(sample) - k, axis=1)[:, len(sample) - k] * scale
-    return np.where(np.isfinite(scores), scores - 1e-9 * np.abs(scores) - 1e-300, -np.inf)
+        return out
+    scores, trees = queries @ sample.T, np.arange(leaves.shape[1])
+    for i, seen in enumerate(visits):
+        own = scores[i][seen[trees, leaves].any(axis=1)]
+        if len(own) >= k:
+            out[i] = np.partition(own, len(own) - k)[len(own) - k]
+    return np.where(np.isfinite(out), out - 1e-9 * np.abs(out) - slack, -np.inf)
 
 
 def usable(vector: Column) -> Column:
@@ -245,14 +255,14 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
     norm = points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.lit(scale)) * (x / F.lit(scale))))).first()[0] ** 0.5
 
     sample_size = max(2, min(limits.sample, limits.sample_bytes // (8 * dim)))
-    drawn = points.select("v", "h2").where(F.pmod(F.col("h1"), F.lit(1 << 20)) < min(1 << 20, -(-(2 << 20) * sample_size // n))).orderBy("h2").limit(sample_size)
-    raw = matrix(drawn.select("v").toPandas()["v"], dim) / scale
+    in_sample = F.pmod(F.col("h1"), F.lit(1 << 20)) < min(1 << 20, -(-(2 << 20) * sample_size // n))  # about twice as many, then the least
+    drawn = points.select("v", "h2").where(in_sample).orderBy("h2").limit(sample_size).select("v").toPandas()
+    raw = matrix(drawn["v"], dim) / scale
     depth = max(0, min(n // limits.leaf_points, limits.most_leaves, len(raw) // 8).bit_length() - 1)
     sampled = lifted(raw, 1.0, norm)
     forest = Forest.fit(sampled, limits.trees if depth else 1, depth, limits.seed)
     visits = visits_for(forest, sampled, raw, k, limits) if depth else 1
     shared = spark.sparkContext.broadcast((forest.directions, forest.thresholds, forest.depth))
-    known = spark.sparkContext.broadcast(raw)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Forest(*shared.value)
@@ -262,6 +272,9 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(leaves), pa.list_(pa.int32()))], [*batch.schema.names, "leaves"])
 
     indexed = cut(points.mapInArrow(put, "h1 long, h2 long, ids array<long>, v array<double>, leaves array<int>"))
+    # The sample once more, with the leaves that its points are in.
+    drawn = indexed.select("v", "h2", "leaves").where(in_sample).orderBy("h2").limit(sample_size).toPandas()
+    known = spark.sparkContext.broadcast((matrix(drawn["v"], dim), np.stack(list(drawn["leaves"]))))
     held = indexed.select(F.posexplode("leaves").alias("tree", "leaf"))
     sizes = np.zeros((forest.trees, forest.leaves), np.int64)
     for r in held.groupBy("tree", "leaf").count().collect():  # a row for each leaf of the forest, which is bounded
@@ -276,13 +289,16 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = matrix(part.column("v").to_pandas(), dim)
-                margins, bound = own.margins(directed(x, scale)), reached(x, known.value, scale, k + 1)
-                who, block, wanted = [], [], []
+                margins = own.margins(directed(x, scale))
+                who, block, wanted, seen = [], [], [], []
                 for i in range(part.num_rows):
-                    for b, leaves in visited(own, margins[i], visits, k + 1, sizes, first, pieces).items():
+                    found, leaves = visited(own, margins[i], visits, k + 1, sizes, first, pieces)
+                    seen.append(leaves)
+                    for b, asked in found.items():
                         who.append(i)
                         block.append(b)
-                        wanted.append(leaves)
+                        wanted.append(asked)
+                bound = reached(x, *known.value, seen, k + 1, 1e-12 * np.sqrt((x * x).sum(1)) * norm * scale)
                 taken = part.select(["h1", "h2", "v"]).take(pa.array(who, pa.int64()))
                 made = [pa.array(bound[who]), pa.array(block, pa.int64()), pa.array(wanted, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*taken.columns, *made], ["h1", "h2", "v", "bound", "block", "wanted"])
@@ -344,14 +360,16 @@ def blocks_for(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return first, pieces
 
 
-def visited(forest: Forest, margin: np.ndarray, visits: int, need: int, sizes: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> dict[int, list[int]]:
-    """Leaves by block: the best ``visits``, and more while no tree alone has given ``need`` points."""
-    given, out = [0] * forest.trees, {}
+def visited(forest: Forest, margin: np.ndarray, visits: int, need: int, sizes: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> tuple[dict[int, list[int]], np.ndarray]:
+    """Leaves by block: the best ``visits``, and more while no tree alone has given ``need`` points; and the same as a
+    mask (tree, leaf)."""
+    given, out, seen = [0] * forest.trees, {}, np.zeros(sizes.shape, bool)
     for n, (t, leaf) in enumerate(forest.search(margin)):
         if n >= visits and max(given) >= need:
             break
         size = int(sizes[t, leaf])
         given[t] += size
+        seen[t, leaf] = True
         for b in range(int(first[t, leaf]), int(first[t, leaf] + pieces[t, leaf])) if size else ():
             out.setdefault(b, []).append(t * forest.leaves + leaf)
-    return out
+    return out, seen

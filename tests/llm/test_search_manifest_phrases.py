@@ -87,6 +87,22 @@ def test_leaves_blocks_and_pieces(spark):
     assert all(s == dotted(by[q], by[i]) for q, _, i, s in got)
 
 
+def test_few_visits_still_give_all_places(spark):
+    """A search that visits few leaves gives as many rows as are asked for, of what is in those leaves."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for target, points in ((0.01, 16), (0.3, 64)):
+        got = defaultdict(list)
+        for r in rp_forest.neighbours(df, F.col("vec_id") % 20 == 0, limits=rp_forest.Limits(leaf_points=points, target=target, block_points=500)).collect():
+            got[r.query_id].append((r["rank"], r["id"], r.score))
+        assert set(got) == set(range(0, 3000, 20))
+        for rows in got.values():
+            rows.sort()
+            assert [k for k, _, _ in rows] == list(range(1, 21)) and len({i for _, i, _ in rows}) == 20
+            assert rows == sorted(rows, key=lambda r: (-r[2], r[1]))
+
+
 def test_recall_on_vectors_of_any_length(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((30, 16)) * 2
