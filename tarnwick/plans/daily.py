@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwick import constants as C
 from tarnwick.functions import scores, stats
 from tarnwick.lineage import cut
-from tarnwick.operators import backtest, boards, dynamics, features, labels, ridge, sealed
+from tarnwick.operators import backtest, boards, dynamics, features, freshness, labels, ridge, sealed
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,8 @@ def build(inputs: Inputs, today: Column) -> dict[str, DataFrame]:
     ).withColumn("edge", F.col("edge_reason").isNull())
     pool = boards.pool(scored)
     log = scored.where("residual is not null").select("card_id", F.round("market_price", 4).alias("m"), F.col("expected_price").alias("e"), F.col("residual").alias("r"), scores.verdict(F.col("residual")).alias("v"), today.alias("built_for"))
-    meta = meta_counts(scored, own)
+    status = freshness.live_dates(inputs.snapshots, today).select(F.col("newest").alias("latest_snapshot"), F.col("status").alias("listing_source"))
+    meta = meta_counts(scored, own).crossJoin(F.broadcast(status))  # one row
     return {
         "scored": scored,
         "sets": boards.ranked_sets(sealed.sealed_value(inputs.sets, cards)),

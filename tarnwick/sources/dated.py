@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 
 class DatedTable:
-    """``path`` holds ``data/run=../<day>=..`` and ``commits``; ``day`` names the date column."""
+    """``path`` holds ``data/run=../<day>=..`` and ``commits``; ``day`` names the date column, which may
+    be called anything but ``run``."""
 
     def __init__(self, path: str, day: str = "date"):
         self.path, self.day = path, day

@@ -169,3 +169,36 @@ def test_batch_reads_have_one_budget_too(monkeypatch):
 )
 def test_says_something(body, first, want):
     assert says_something(body, first, "itemSummaries") is want
+
+
+def test_interest_goes_on_where_it_broke_off(spark, server, tmp_path):
+    from tarnwick.plans import interest
+
+    days = [f"2026-01-{d:02d}" for d in range(1, 11)]
+    names = [f"Mon{k}" for k in range(6)]
+    rows = spark.createDataFrame([(f"c{k}", n, "Pokémon", 50.0 - k) for k, n in enumerate(names)] + [("c9", "Anchor", "Pokémon", 900.0)], "card_id string, base_name string, supertype string, market_price double")
+
+    def answer(terms, value=10):
+        return {"Anchor": dict.fromkeys(days, 100), **{t: dict.fromkeys(days, value) for t in terms}}
+
+    first, second = "Anchor,Mon0,Mon1,Mon2,Mon3", "Anchor,Mon4,Mon5"
+    server.answers |= {first: answer(names[:4]), second: 503}
+    run = lambda day: {r.name: r for r in interest.collect_interest(rows, str(tmp_path / "i"), options(server, retries=2), "Anchor", run=day).collect()}
+    got = run("2026-02-01")
+    assert server.asked == [first, second, second] and set(got) == {"Anchor", *names[:4]}  # the failing batch is tried twice
+    assert got["Mon0"].score == 6.0 and got["Anchor"].score == 10.0 and len(got["Mon0"].weekly) == 10
+    server.asked.clear()
+    server.answers[second] = answer(names[4:], 1)
+    assert set(run("2026-02-01")) == {"Anchor", *names} and server.asked == [second]
+    server.asked.clear()
+    done = run("2026-02-02")
+    assert not server.asked and done["Mon5"].score == 2.0
+
+
+def test_an_answer_without_the_anchor_scores_nothing(spark, server, tmp_path):
+    from tarnwick.plans import interest
+
+    rows = spark.createDataFrame([("c", "Mew", "Pokémon", 5.0)], "card_id string, base_name string, supertype string, market_price double")
+    server.answers["*"] = {"Mew": {"2026-01-01": 5}}
+    got = interest.collect_interest(rows, str(tmp_path / "i"), options(server), "Anchor")
+    assert got.count() == 0 and len(server.asked) == 1
