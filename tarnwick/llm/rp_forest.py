@@ -256,8 +256,8 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
 
     sample_size = max(2, min(limits.sample, limits.sample_bytes // (8 * dim)))
     in_sample = F.pmod(F.col("h1"), F.lit(1 << 20)) < min(1 << 20, -(-(2 << 20) * sample_size // n))  # about twice as many, then the least
-    drawn = points.select("v", "h2").where(in_sample).orderBy("h2").limit(sample_size).select("v").toPandas()
-    raw = matrix(drawn["v"], dim) / scale
+    drawn = points.select("v", "h2").where(in_sample).orderBy("h2").limit(sample_size).select("v").toArrow()
+    raw = matrix(drawn.column("v").to_pandas(), dim) / scale
     depth = max(0, min(n // limits.leaf_points, limits.most_leaves, len(raw) // 8).bit_length() - 1)
     sampled = lifted(raw, 1.0, norm)
     forest = Forest.fit(sampled, limits.trees if depth else 1, depth, limits.seed)
@@ -273,8 +273,9 @@ def neighbours(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec
 
     indexed = cut(points.mapInArrow(put, "h1 long, h2 long, ids array<long>, v array<double>, leaves array<int>"))
     # The sample once more, with the leaves that its points are in.
-    drawn = indexed.select("v", "h2", "leaves").where(in_sample).orderBy("h2").limit(sample_size).toPandas()
-    known = spark.sparkContext.broadcast((matrix(drawn["v"], dim), np.stack(list(drawn["leaves"]))))
+    drawn = indexed.select("v", "h2", "leaves").where(in_sample).orderBy("h2").limit(sample_size).toArrow()
+    known = spark.sparkContext.broadcast((matrix(drawn.column("v").to_pandas(), dim), np.stack(drawn.column("leaves").to_pylist())))
+    del drawn
     held = indexed.select(F.posexplode("leaves").alias("tree", "leaf"))
     sizes = np.zeros((forest.trees, forest.leaves), np.int64)
     for r in held.groupBy("tree", "leaf").count().collect():  # a row for each leaf of the forest, which is bounded
