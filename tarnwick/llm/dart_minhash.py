@@ -186,7 +186,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have no shingles: each such row is its own class.  Rows with a null id take part; the
     class id is the least id that is not null, or null where there is none.  Rows that repeat an id or a text are rows
-    of the class; rows that repeat both are one document and share ``kept``.  An empty table gives an empty result.
+    of the class; rows that repeat both are one document and share ``kept``.  Rows that agree in id and key
+    are equal, so there are no other ties.  Texts of any length are compared whole.  An empty table gives an empty
+    result.  Only id and text are read; other columns, whatever their names, are dropped.
     """
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))

@@ -9,7 +9,8 @@
 4. Each class keeps the row with the most code points, then the smallest id; all rows get the verdict by a join on the
    SHA-256 of the text.
 
-Plan: two scans of (id, text), one shuffle of filter blocks, one of the candidate texts after partial aggregation.
+Plan: five passes over (id, text): a count, the fingerprints, the byte verification, a check for rows that tie, and the
+output; one shuffle of filter blocks, one of the candidate texts after partial aggregation.
 Ranges grow with the counted rows, so the filter that a task merges does not.  Where verdicts are too large to be
 broadcast, the rows of a hot fingerprint or text are dealt to many tasks by their counts.
 """

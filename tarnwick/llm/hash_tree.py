@@ -123,7 +123,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``slot`` is gapless from 0 in each shard, in the order of cell, id, CRC and size.  ``cells`` (of a shard) grow with
     the counted rows unless they are given.
 
-    A null text has no bytes, so size 8 and CRC 0.  Null ids are one key and share a shard.  Rows that repeat an id
+    A null text has no bytes, so size 8 and CRC 0.  Texts of any length are measured whole and are not in the result.  Null ids are one key and share a shard.  Rows that repeat an id
     share a shard and get slots in turn; rows equal in every column are interchangeable there.  An empty table gives an
     empty result.  Input columns named like an output are replaced.
     """

@@ -122,8 +122,9 @@ def resample(
     k rows of the largest keys; rows that tie with the k-th are kept as well.
 
     Null and empty texts have weight 1 (log 0).  Rows with a null id take part and draw as one id; rows that repeat an
-    id draw equal noise.  Without labels the target model is flat and all rows are kept.  An empty table gives an empty
-    result.
+    id draw equal noise.  Without labels the target model is flat and all rows are kept.  Texts of any length are
+    counted whole.  An empty table gives an empty result.  Of both tables only the columns named are read; others,
+    whatever their names, are dropped.
     """
     ratios, share = log_ratios(docs, labels, id_col, text_col, good, most_labelled, buckets)
 

@@ -136,7 +136,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     ``clean_text`` is the text without the lines above the limit; ``kept`` is the verdict.
 
     Null or empty texts have no words: all figures are 0, ``base_failed`` holds and ``kept`` does not.  A null host is
-    a host of its own (the empty name).  Repeated rows get equal results.  An empty table gives an empty result.  Input
+    a host of its own (the empty name).  Repeated rows get equal results.  Texts of any length are read whole.  An empty table gives an empty result.  Input
     columns named like an output are replaced.
     """
     lines = cut(frequent_lines(docs, text_col, host_col, limits))

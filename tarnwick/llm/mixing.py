@@ -68,7 +68,7 @@ def mix(
     than 1e-15 is left: no number in [0, 1) that a hash of 52 bits can draw is cut off.  Rows come in the order of ``shuffle_key`` within each partition, dealt by that key.
 
     A null source is a source of its own (the empty name).  Null and empty texts have size 1.  Null ids draw as one id;
-    rows that repeat an id draw the same count.  An empty table gives an empty result.  Input columns named like an
+    rows that repeat an id draw the same count.  Texts of any length are copied whole.  An empty table gives an empty result.  Input columns named like an
     output are replaced.
     """
     table = cut(rates(docs, text_col, source_col, targets, power, total).withColumnsRenamed({"rate": "__rate", "cdf": "__cdf"}))

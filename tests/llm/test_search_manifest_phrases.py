@@ -10,8 +10,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tarnwick.llm import collocations, hash_tree, merkle, order, queries, rp_forest
 
@@ -298,3 +300,36 @@ def test_shards_are_drawn_in_generated_code_that_compiles(spark):
         text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
         sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
         assert all(n < 8000 for n in sizes) and "Failed to compile" not in text  # beyond 8000 bytes the JVM leaves a method interpreted
+
+
+# --- texts of five million characters, for every operator ---
+
+WORDS = " ".join(f"w{k % 4999}" for k in range(900_000))  # one line
+LINES = "\n".join(f"line {k % 9973} of a text" for k in range(250_000))
+WORD = "x7" * 2_500_000
+
+
+def very_long(spark, texts):
+    return clashing(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOC)).repartition(4)
+
+
+def test_very_long_texts(spark):
+    from tarnwick.llm import bpe_chunks, dart_minhash, exact_dedup, importance, license_scan, line_frequency, mixing, quotation, token_counts
+
+    byte, word = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    texts = [WORDS, LINES, WORD, "a short one"]
+    df = very_long(spark, texts)
+    for path, made in ((byte, token_counts.with_prefix_counts(df, byte)), (word, bpe_chunks.encode_and_decode(df, word))):
+        library = Tokenizer.from_file(path)
+        got = {r.doc_id: r.n_tokens for r in made.select("doc_id", "n_tokens").collect()}
+        assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    sha = {r.doc_id: r.text_sha256 for r in exact_dedup.exact_dedup(df).collect()}
+    assert sha == {k: hashlib.sha256("".join(t.split()).encode()).hexdigest() for k, t in enumerate(texts)}
+    assert {r.doc_id: len(r.own_text) for r in quotation.link_quotations(df.withColumnsRenamed({"doc_id": "conv_id", "n_chars": "turn", "lang": "role"}).withColumn("doc_id", F.col("conv_id"))).collect()} == dict(enumerate(map(len, texts)))
+    assert mixing.mix(df, {"s": 1.0}).where("n_copies > 0").selectExpr("bool_and(length(text) > 10)").first()[0]
+    assert all(not r.licenses for r in license_scan.scan_licenses(df.drop("licenses")).collect())
+    near = {r.doc_id: r.n_shingles for r in dart_minhash.near_duplicates(df).collect()}
+    assert near == {k: len({tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))}) for k, w in enumerate(t.split() for t in texts)}
+    assert importance.resample(df, spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int")).count() == 4
+    assert {r.doc_id: r.n_words for r in line_frequency.quality_rules(df).collect()} == {k: len(t.split()) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.size for r in hash_tree.assign_shards(df).collect()} == {k: len(t) + 8 for k, t in enumerate(texts)}
