@@ -287,8 +287,8 @@ ORACLE: dict[str, str] = {
         FROM (SELECT card_id, CASE WHEN card_id % 3 < 2 THEN release_date END AS d FROM cards)"""),
     "variant_pick": sql("cards", select="""SELECT card_id, variant, round(CASE variant WHEN 'reverseHolofoil' THEN p WHEN 'normal' THEN p * 2 WHEN 'other' THEN p * 3 END, 4) AS price FROM (
         SELECT card_id, market_price AS p, CASE WHEN market_price IS NULL OR market_price = 0 THEN NULL WHEN card_id % 3 = 0 THEN 'reverseHolofoil' WHEN card_id % 5 = 0 THEN 'normal' ELSE 'other' END AS variant FROM cards)"""),
-    "subtype_price": sql("cards", ctes="""wanted AS (SELECT card_id, card_id % 100 AS product_id, ['Normal', 'Holofoil', 'Reverse Holofoil'][(card_id % 3 + 1)::INTEGER] AS wanted FROM cards WHERE market_price IS NOT NULL),
-        prices AS (SELECT card_id % 100 AS product_id, CASE WHEN card_id < 150 THEN 'Holofoil' WHEN card_id < 250 THEN 'Normal' ELSE 'Foil' END AS subtype, max(market_price) AS price FROM cards WHERE market_price IS NOT NULL GROUP BY ALL)""",
+    "subtype_price": sql("cards", ctes="""wanted AS (SELECT card_id, card_id // 5 AS product_id, ['Normal', 'Holofoil', 'Reverse Holofoil'][(card_id % 3 + 1)::INTEGER] AS wanted FROM cards WHERE market_price IS NOT NULL),
+        prices AS (SELECT card_id // 5 AS product_id, CASE WHEN (card_id * 7919) % 11 < 3 THEN 'Holofoil' WHEN (card_id * 7919) % 11 < 6 THEN 'Normal' WHEN (card_id * 7919) % 11 < 9 THEN 'Reverse Holofoil' ELSE 'Foil' END AS subtype, max(market_price) AS price FROM cards WHERE market_price IS NOT NULL GROUP BY ALL)""",
         select="""SELECT card_id, price FROM (SELECT w.card_id, p.price, row_number() OVER (PARTITION BY card_id ORDER BY CASE WHEN subtype = wanted THEN 0 WHEN subtype = 'Holofoil' THEN 1 WHEN subtype = 'Normal' THEN 2 ELSE 3 END, subtype, price) AS k
         FROM wanted w JOIN prices p USING (product_id)) WHERE k = 1"""),
     "price_band_means": sql("listings", ctes=f"""mk AS (SELECT card_id, round(avg(value), 2) AS market FROM listings GROUP BY card_id),

@@ -156,8 +156,10 @@ def second_prices(spark, d):
 def subtype_price(spark, d):
     cards = view(spark, d, "cards").where("market_price is not null")
     subtype = F.element_at(F.array(*map(F.lit, ["Normal", "Holofoil", "Reverse Holofoil"])), (F.col("card_id") % 3 + 1).cast("int"))
-    wanted = cards.select("card_id", (F.col("card_id") % 100).alias("product_id"), subtype.alias("wanted"))
-    prices = cards.select((F.col("card_id") % 100).alias("product_id"), F.when(F.col("card_id") < 150, "Holofoil").when(F.col("card_id") < 250, "Normal").otherwise("Foil").alias("subtype"), F.col("market_price").alias("price"))
+    product, draw = F.expr("card_id div 5"), (F.col("card_id") * 7919) % 11  # five cards a product, of some of four subtypes
+    wanted = cards.select("card_id", product.alias("product_id"), subtype.alias("wanted"))
+    priced = F.when(draw < 3, "Holofoil").when(draw < 6, "Normal").when(draw < 9, "Reverse Holofoil").otherwise("Foil")
+    prices = cards.select(product.alias("product_id"), priced.alias("subtype"), F.col("market_price").alias("price"))
     prices = prices.groupBy("product_id", "subtype").agg(F.max("price").alias("price"))
     return matching.subtype_price(wanted, prices, ["Holofoil", "Normal"])
 
