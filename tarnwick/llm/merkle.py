@@ -200,8 +200,9 @@ def manifest(
     kind = docs.schema[group_col].dataType
     tree = F.coalesce(F.concat(F.lit("="), F.col(f"`{group_col}`").cast("string")), F.lit(""))  # "" for null, before all others
     made = {"id": F.col(f"`{id_col}`"), "tree": tree, "node": leaf_of(*fields)}
+    made["tie"] = F.monotonically_increasing_id()  # so that rows that repeat id and leaf need not meet in one task
     rows = cut(docs.select(*[c.alias(n) for n, c in made.items()], *[c.alias(f"carry_{n}") for n, c in carry.items()]))
-    own = climb(numbered(rows, ["tree"], ["id", "node"], "at", "size"))
+    own = climb(numbered(rows, ["tree"], ["id", "node", "tie"], "at", "size").drop("tie"))
     subroots = own[-1].select("tree", "node")
     top = climb(numbered(subroots.withColumnRenamed("tree", "source"), [], ["source"], "at", "size").withColumn("tree", F.lit("")))
     root = top[-1].first()

@@ -13,7 +13,8 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str, total: s
 
     Rows are dealt by ranges of (group, order) and sorted there, so a group of any size spreads over many tasks.  A
     group's rows before a range are a running sum over one row for each (group, range).  Nulls come first; rows that
-    agree in group and order are numbered in turn.  ``total`` names a second column for the rows of the group.
+    agree in group and order are numbered in turn, and share a task, so ``order`` should end with a column that tells
+    them apart.  ``total`` names a second column for the rows of the group.
     """
     keys = [F.col(c).asc_nulls_first() for c in [*by, *order]]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
