@@ -231,7 +231,7 @@ TREND = """base AS (SELECT *, max(date) OVER (PARTITION BY card_id) AS last FROM
    FROM base GROUP BY card_id),
  tt AS (SELECT card_id, latest, n_points, round((latest - b30) / b30, 4) AS trend_30d, round((latest - b90) / b90, 4) AS trend_90d, round((latest - b180) / b180, 4) AS trend_180d FROM tr)"""
 
-RCOLS = ", ".join(f"round({p}_{x}, 5) AS {p}_{x}" for x in F3 for p in ("mean", "std", "coef"))
+RCOLS = ", ".join(f"round({p}_{x} + 1e-9::DOUBLE, 5) AS {p}_{x}" for x in F3 for p in ("mean", "std", "coef"))
 EXPORTED = ", ".join(f"{p}_{x}" for p in ("mean", "std", "coef") for x in F3)
 MECH = "[" + ", ".join(f"'{m}'" for m in C.MECHANICS) + "]"
 ORACLE: dict[str, str] = {
@@ -320,8 +320,8 @@ ORACLE: dict[str, str] = {
     "character_premium": sql("cards", "priors", ctes=premium(), select="SELECT * FROM prem"),
     "card_features": sql("cards", "priors", ctes=feats(), select="""SELECT card_id, char_premium, scarcity, set_rank, round(months_since_release, 4) AS months_since_release,
         round(100 * greatest(0, least(1, 0.40::DOUBLE * greatest(0, least(1, scarcity / 10)) + 0.35::DOUBLE * greatest(0, least(1, char_premium / 10)) + 0.25::DOUBLE * set_rank)), 2) AS iq FROM feat"""),
-    "cluster_ridge": sql("cards", "priors", ctes=MODEL, select=f"SELECT cluster, n, round(intercept, 5) AS intercept, {RCOLS} FROM own"),
-    "global_ridge": sql("cards", "priors", ctes=MODEL, select=f"SELECT n, round(intercept, 5) AS intercept, {RCOLS} FROM whole"),
+    "cluster_ridge": sql("cards", "priors", ctes=MODEL, select=f"SELECT cluster, n, round(intercept + 1e-9::DOUBLE, 5) AS intercept, {RCOLS} FROM own"),
+    "global_ridge": sql("cards", "priors", ctes=MODEL, select=f"SELECT n, round(intercept + 1e-9::DOUBLE, 5) AS intercept, {RCOLS} FROM whole"),
     "ridge_scores": sql("cards", "priors", ctes=MODEL, select="SELECT card_id, cluster, model_n, round(expected_price, 4) AS expected_price, round(residual, 5) AS residual, " + ", ".join(f"round(z_{x}, 6) AS part_{x}" for x in F3) + " FROM scored"),
     "model_export": sql("cards", "priors", ctes=MODEL + ", both_ AS (SELECT cluster, n, intercept, " + EXPORTED + " FROM own UNION ALL SELECT 'global', n, intercept, " + EXPORTED + " FROM whole)",
         select="SELECT cluster, n, round(intercept + 1e-9::DOUBLE, 6) AS intercept, " + ", ".join(f"round({p}_{x} + 1e-9::DOUBLE, 6) AS {p}s_{k}" for p in ("mean", "std", "coef") for k, x in enumerate(F3)) + " FROM both_"),
