@@ -221,7 +221,7 @@ def evaluated(label: str, f: tuple[str, ...], alpha: float) -> str:
 def trimmed(source: str, name: str) -> str:
     return f"""{name}q AS (SELECT card_id, count(value) AS c, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {source} GROUP BY card_id),
  {name} AS (SELECT card_id, CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok) ELSE count(*) END AS n,
-   round(CASE WHEN count(*) FILTER (ok) > 0 THEN avg(value) FILTER (ok) ELSE avg(value) END, 6) AS mean
+   round(CASE WHEN count(*) FILTER (ok) > 0 THEN avg(value) FILTER (ok) ELSE avg(value) END + 1e-9::DOUBLE, 6) AS mean
    FROM (SELECT s.*, c < 4 OR value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM {source} s JOIN {name}q USING (card_id)) GROUP BY card_id)"""
 
 
@@ -486,7 +486,7 @@ ORACLE |= {
     "daily_build": sql("cards", "sets", "panel", "overrides", "priors", ctes=MODEL + ", " + PULLS + ", " + moves(AS_OF) + """,
         mv AS (SELECT card_id, CASE WHEN pct >= 3 THEN 'Rising' WHEN pct <= -3 THEN 'Falling' ELSE 'Quiet' END AS label FROM moves)""",
         select="""SELECT s.card_id, round(100 * greatest(0, least(1, 0.40::DOUBLE * greatest(0, least(1, s.scarcity / 10)) + 0.35::DOUBLE * greatest(0, least(1, s.char_premium / 10)) + 0.25::DOUBLE * s.set_rank)), 2) AS iq_score,
-        round(round(s.expected_price, 4), 3) AS expected_price, round(round(s.residual, 6), 4) AS residual,
+        round(round(s.expected_price, 4) + 1e-9::DOUBLE, 3) AS expected_price, round(round(s.residual, 6) + 1e-9::DOUBLE, 4) AS residual,
         coalesce(s.months_since_release <= 35 / 30.4375::DOUBLE, false) OR s.market_price IS NULL OR NOT ((s.market_price >= 20 AND s.market_price < 100) OR (s.expected_price > 0 AND s.market_price > 1.75::DOUBLE * round(s.expected_price, 4))) AS edge,
         coalesce(label, 'Awaiting data') AS label, round(CASE WHEN pull_rate > 0 THEN pack_price / pull_rate ELSE 0 END, 3) AS pull_cost
         FROM scored s JOIN pulled p ON p.card_id = s.card_id JOIN sets t ON t.set_id = s.set_id LEFT JOIN mv ON mv.card_id = s.card_id"""),

@@ -185,8 +185,9 @@ def price_band_means(spark, d):
     rows = rows.join(market, "card_id")
     kept = rows.where(scores.in_price_band(F.col("value"), F.col("market")))
     dropped = rows.groupBy("card_id").agg(F.sum((~scores.in_price_band(F.col("value"), F.col("market"))).cast("long")).alias("dropped"))
-    raw = stats.trimmed_means(rows, ["card_id"], "value", digits=6).select("card_id", F.col("n").alias("n_raw"), F.col("mean").alias("mean_raw"))
-    banded = stats.trimmed_means(kept, ["card_id"], "value", digits=6).select("card_id", F.col("n").alias("n_band"), F.col("mean").alias("mean_band"))
+    mean = lambda name: r(F.col("mean") + 1e-9, 6, name)  # noqa: E731  means of cents often end in a five
+    raw = stats.trimmed_means(rows, ["card_id"], "value", digits=12).select("card_id", F.col("n").alias("n_raw"), mean("mean_raw"))
+    banded = stats.trimmed_means(kept, ["card_id"], "value", digits=12).select("card_id", F.col("n").alias("n_band"), mean("mean_band"))
     return raw.join(banded, "card_id", "left").join(dropped, "card_id")
 
 
@@ -809,7 +810,7 @@ def daily_build(spark, d):
     from tarnwick.plans.daily import Inputs, build
 
     inputs = Inputs(*(view(spark, d, n) for n in ("cards", "sets", "snapshots", "panel", "overrides", "priors")))
-    return build(inputs, F.lit(AS_OF))["scored"].select("card_id", "iq_score", r("expected_price", 3), r("residual", 4), "edge", "label", r("pull_cost", 3))
+    return build(inputs, F.lit(AS_OF))["scored"].select("card_id", "iq_score", r(F.col("expected_price") + 1e-9, 3, "expected_price"), r(F.col("residual") + 1e-9, 4, "residual"), "edge", "label", r("pull_cost", 3))
 
 
 @query
