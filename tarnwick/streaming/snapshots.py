@@ -8,6 +8,7 @@ and date, and the one of the latest micro-batch counts: `latest` reads it so.  A
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,36 +45,48 @@ def _plain(value):
 
 
 class Neighbours(StatefulProcessor):
-    """Pairs each observation of a card with the one before it in time."""
+    """Pairs each observation of a card with the one before it in time, for all cards of a group at once.
+
+    The state of a group is a text for each day, with that day's cards: a call to the state costs far more than a row, so
+    their number goes with groups and days and not with cards.
+    """
 
     def __init__(self, keep_days: int | None):
         self.keep_days = keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "day int", "active int, average double, item_ids array<string>")
+        self.seen = handle.getMapState("seen", "day int", "cards string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # A card's dates are few, so they are read once and compared here.
-        held = {k[0]: (None if v[0] is None else int(v[0]), v[1], v[2]) for k, v in self.seen.iterator()}
-        changed = set()
+        held = {k[0]: {card: tuple(value) for card, *value in json.loads(v[0])} for k, v in self.seen.iterator()}
+        asked, stale = {}, set()  # days changed by card, days to write
         for batch in rows:
-            for date, *values in zip(batch["date"], batch["active"], batch["average"], batch["item_ids"]):
-                day, value = (pd.Timestamp(date) - pd.Timestamp(0)).days, tuple(map(_plain, values))
-                value = (None if value[0] is None else int(value[0]), None if value[1] is None else float(value[1]), value[2])
-                if held.get(day, ()) != value:
-                    held[day] = value
+            dates = (pd.to_datetime(batch["date"]) - pd.Timestamp(0)).dt.days
+            for card, day, *values in zip(batch["card_id"], dates, batch["active"], batch["average"], batch["item_ids"]):
+                card, day = None if pd.isna(card) else card, int(day)
+                active, average, ids = map(_plain, values)
+                value = (None if active is None else int(active), None if average is None else float(average), ids)
+                changed = asked.setdefault(card, set())
+                if held.setdefault(day, {}).get(card, ()) != value:
+                    held[day][card] = value
                     changed.add(day)
-        for day in changed:
-            self.seen.updateValue((day,), held[day])
-        days = sorted(held)
-        out = []
-        for n, day in enumerate(days):
-            if day in changed or (n and days[n - 1] in changed):
-                before = held[days[n - 1]] if n else (None, None, None)
-                out.append((key[0], (pd.Timestamp(0) + pd.Timedelta(days=day)).date(), *held[day], *before))
-        if self.keep_days is not None:  # and one row beyond, that the first of those kept is compared with
-            old = [d for d in days if d < days[-1] - self.keep_days]
-            for day in old[:-1]:
+                    stale.add(day)
+        out, along = [], sorted(held)
+        dates = {day: (pd.Timestamp(0) + pd.Timedelta(days=day)).date() for day in along}
+        for card, changed in asked.items():
+            days = [day for day in along if card in held[day]]
+            for n, day in enumerate(days):
+                if day in changed or (n and days[n - 1] in changed):
+                    before = held[days[n - 1]][card] if n else (None, None, None)
+                    out.append((card, dates[day], *held[day][card], *before))
+            if self.keep_days is not None:  # and one row beyond, that the first of those kept is compared with
+                for day in [d for d in days if d < days[-1] - self.keep_days][:-1]:
+                    del held[day][card]
+                    stale.add(day)
+        for day in stale:
+            if held[day]:
+                self.seen.updateValue((day,), (json.dumps([(card, *value) for card, value in held[day].items()]),))
+            else:
                 self.seen.removeKey((day,))
         yield pd.DataFrame(out, columns=NAMES)
 
@@ -81,14 +94,18 @@ class Neighbours(StatefulProcessor):
         pass
 
 
-def flows(snapshots: DataFrame, keep_days: int | None = None) -> DataFrame:
+def flows(snapshots: DataFrame, keep_days: int | None = None, groups: int = 256) -> DataFrame:
     """The stream with flows against each card's observation before.
 
     ``keep_days`` bounds a card's state to the days before its newest row, and one row more; a row that lands later than
-    that may miss its neighbour.  Without it nothing is forgotten.
+    that may miss its neighbour.  Without it nothing is forgotten.  Cards are dealt to ``groups`` by their hash, and a
+    group's rows are in one worker's memory at a time; the number stays as it is while a checkpoint is in use.
     """
     with_state(snapshots.sparkSession)
-    paired = snapshots.groupBy("card_id").transformWithStateInPandas(Neighbours(keep_days), PAIRS, "Update", "None")
+    # Ids go as text, since whole numbers next to a null would be floats in pandas.
+    group = F.pmod(F.xxhash64("card_id"), F.lit(groups)).cast("int")
+    paired = snapshots.withColumns({"__group": group, "card_id": F.col("card_id").cast("string")}).groupBy("__group").transformWithStateInPandas(Neighbours(keep_days), PAIRS.replace("card_id long", "card_id string"), "Update", "None")
+    paired = paired.withColumn("card_id", F.col("card_id").cast("long"))
     made = flow_columns(*[F.col(c) for c in ("active", "average", "item_ids", "active0", "average0", "item_ids0")])
     return paired.withColumns(made).drop("active0", "average0", "item_ids0")
 

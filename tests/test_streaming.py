@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,43 @@ def test_cache_ends_after_fourteen_days(spark, tmp_path):
     assert (2, None) in found[0]
     assert first not in found[2] and first in found[3]  # fresh on the fourteenth day, due on the fifteenth
     assert third not in found[4] and third in found[5] and (3, D(2026, 9, 1)) not in found[5]  # the newer answer counts
+
+
+class CountedState:
+    """A map state in memory that counts how often it is called."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.held.items()))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self.held[key]
+
+
+@pytest.mark.parametrize("cards", [5, 500])
+def test_calls_to_the_state_go_with_days_and_not_with_cards(cards):
+    state = CountedState()
+    step = snapshots.Neighbours(None)
+    step.init(state)
+    out = []
+    for day in ("2026-09-02", "2026-09-01"):
+        batch = pd.DataFrame({"card_id": [str(c) for c in range(cards)], "date": dt.date.fromisoformat(day), "active": 3, "average": 2.5, "item_ids": [["a", "b"]] * cards})
+        out.append(pd.concat(step.handleInputRows((0,), iter([batch]), None)))
+    assert [len(x) for x in out] == [cards, 2 * cards] and state.calls == 4
+
+
+def test_rows_without_a_card_are_one_card(spark, tmp_path):
+    rows = [(None, D(2026, 9, 1), 4, 2.0, None), (None, D(2026, 9, 2), 1, 2.0, None), (2**60 + 1, D(2026, 9, 1), 1, None, ["a"]), (2**60 + 1, D(2026, 9, 2), 1, None, ["b", None])]
+    landed(spark, rows, f"{tmp_path}/in", [[D(2026, 9, 2)], [D(2026, 9, 1)]])
+    assert streamed(spark, f"{tmp_path}/in", tmp_path) == batch(spark, rows)
