@@ -51,10 +51,14 @@ def match_products(cards: DataFrame, products: DataFrame) -> DataFrame:
     key = ["group_id", "key.kind", "key.main", "key.tier", "key.whole"]
     on = ["group_id", "kind", "main", "tier", "whole"]
 
-    p = products.select("product_id", "group_id", "position", base.alias("pname"), F.struct(name.contains("(").alias("paren"), other.alias("other")).alias("plain"), F.explode(_keys({"number": number, "name": base}, tier, name)).alias("key"))
+    # The parts of the keys are columns first, as each is in several keys and folding a name costs more than all the rest.
+    parts = [number.alias("__number"), name.alias("__low"), tier.alias("__tier")]
+    keyed = lambda folded: _keys({"number": F.col("__number"), "name": F.col(folded)}, F.col("__tier"), F.col("__low"))
+    p = products.select("product_id", "group_id", "position", base.alias("pname"), F.struct(name.contains("(").alias("paren"), other.alias("other")).alias("plain"), *parts)
+    p = p.withColumn("key", F.explode(keyed("pname")))
     best = p.select(*key, F.struct("plain", "position", "product_id", "pname").alias("row")).groupBy(*on).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("times"))
 
-    c = cards.select("card_id", "group_id", folded.alias("__name"), _keys({"number": number, "name": folded}, tier, name).alias("keys"))
+    c = cards.select("card_id", "group_id", folded.alias("__name"), *parts).select("card_id", "group_id", "__name", keyed("__name").alias("keys"))
     asked = c.select("card_id", "group_id", F.explode("keys").alias("key")).select("card_id", *key)
     of = lambda kind, column="row": F.max(F.when(F.col("kind") == kind, F.col(column)))
     kinds = [k + part for k in ("number", "name") for part in ("", "t", "w", "tw")]

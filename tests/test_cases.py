@@ -673,3 +673,12 @@ def test_literal_second_prices(spark):
 def test_literal_interest(spark):
     rows = spark.createDataFrame(fx.INTEREST, "batch int, term string, date string, value int").withColumn("date", F.col("date").cast("date"))
     same_rows(files.interest_scores(rows, "Anchor").select("name", "score", F.size("weekly")), fx.INTEREST_WANT)
+
+
+def test_folding_of_every_letter_without_a_pattern_of_all(spark):
+    want = {c: p.lower() for c, p in [*zip(text.MARKED, text.PLAIN), *text.LIGATURES.items()]}
+    rows = spark.createDataFrame([(c, f"A{c}z") for c in want], "c string, name string").select("c", text.folded(F.col("name")).alias("f")).collect()
+    assert len(rows) == len(want) and {r.c: r.f for r in rows} == {c: f"a{''.join(x for x in p if x.isalnum())}z" for c, p in want.items()}
+    # A pattern that tries each ligature for each character made a row of folded_names cost 300 microseconds.
+    plan = spark.range(1).select(text.folded(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
