@@ -40,3 +40,13 @@ def test_only_needed_columns_are_read(spark):
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["market_dynamics_as_of"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*ts", plan) or re.search(r"DataFilters: \[[^\]]*ts", plan)
+
+
+def test_dated_log_makes_the_panel_once(spark, monkeypatch):
+    from tarnwick.sources.dated import DatedTable
+
+    read = []
+    stage = DatedTable.stage
+    monkeypatch.setattr(DatedTable, "stage", lambda self, df: read.append(df._jdf.queryExecution().executedPlan().toString()) or stage(self, df))
+    QUERIES["dated_log"](spark, SF)
+    assert len(read) == 4 and not [p for p in read if "lineitem.parquet" in p]
