@@ -682,3 +682,19 @@ def test_folding_of_every_letter_without_a_pattern_of_all(spark):
     # A pattern that tries each ligature for each character made a row of folded_names cost 300 microseconds.
     plan = spark.range(1).select(text.folded(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan
+
+
+def test_means_that_end_in_a_five_are_added_and_rounded_as_in_sql(spark):
+    import random
+
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(g * 100 + k, g, rng.randint(-20000, 20000) / 100) for g in range(300) for k in range(rng.choice((2, 4, 8)))] + [(90000, 900, None), (90001, 901, None), (90002, 901, 0.07)]
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE TABLE t (k BIGINT, g BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    df = spark.createDataFrame(rows, "k long, g long, v double").repartition(7)
+    got = {r.g: r.m for r in df.groupBy("g").agg(stats.mean_in_order("v", "k", 2).alias("m")).collect()}
+    assert got == dict(con.execute("SELECT g, round(avg(v), 2) FROM t GROUP BY g").fetchall())
+    assert got != {r.g: r.m for r in df.groupBy("g").agg(F.round(F.avg("v"), 2).alias("m")).collect()}
