@@ -5,6 +5,8 @@ Schemas are declared, never inferred; what does not parse becomes null and is dr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from tarnwick.operators.sealed import base_rates
 PRICES = "map<string,double>"
 LISTING = "struct<active_listings:int,avg_price:double,item_ids:array<string>>"
 ITEMS = "array<struct<id:string,price:double>>"
+SUMMARIES = "array<struct<itemId:string,title:string,price:struct<value:string,currency:variant>>>"
 PRODUCT = "struct<product:string,price:double,change_24h:double,sold_today:int,listings:int>"
 
 RAW_CARD = (
@@ -121,6 +124,14 @@ def secondary_prices(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("number", "p.*").where("price is not null")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once for each row.
+
+    A column that is mentioned within a lambda is made again for each element of its array, and again for each mention.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def page_items(json: Column, first: Column) -> Column:
     """The usable items of one page that count, as an array of (id, price); null for a page that says nothing.
 
@@ -128,20 +139,30 @@ def page_items(json: Column, first: Column) -> Column:
     are a list of objects, a first page without items has total 0, and otherwise some item is usable.  Graded and
     foreign items are usable but not counted, so a page of only those is a confirmed 0.
     """
-    page = F.try_parse_json(json)
-    part = lambda path: F.try_variant_get(page, path, "variant")
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    total = F.when(kind(part("$.total")) == "BIGINT", F.try_variant_get(page, "$.total", "bigint"))
-    listed = kind(part("$.itemSummaries"))
-    items = F.when(listed == "VOID", F.array().cast("array<variant>")).when(listed.startswith("ARRAY"), F.try_variant_get(page, "$.itemSummaries", "array<variant>"))
-    field = lambda i, path: F.try_variant_get(i, path, "string")
-    currency = lambda i: F.when(kind(F.try_variant_get(i, "$.price.currency", "variant")) == "STRING", field(i, "$.price.currency"))
-    usable = F.filter(items, lambda i: scores.usable_listing(field(i, "$.itemId"), field(i, "$.price.value"), currency(i)))
-    objects = F.forall(items, lambda i: kind(i).startswith("OBJECT"))
-    valid = (total >= 0) & objects & F.when(F.size(items) == 0, (total == 0) | ~first).otherwise(F.size(usable) > 0)
-    counted = F.filter(usable, lambda i: (currency(i) == "USD") & ~F.coalesce(text.is_graded(field(i, "$.title")), F.lit(False)))
-    pairs = F.transform(counted, lambda i: F.struct(field(i, "$.itemId").alias("id"), field(i, "$.price.value").cast("double").alias("price")))
-    return F.when(F.coalesce(kind(page).startswith("OBJECT") & valid, F.lit(False)), pairs)
+    text_of = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def pairs(page: Column, items: Column, listed: Column) -> Column:
+        part = F.try_variant_get(page, "$.total", "variant")
+        total = F.when(kind(part) == "BIGINT", F.try_variant_get(part, "$", "bigint"))
+        usable = F.filter(listed, lambda i: scores.usable_listing(i["id"], i["value"], i["currency"]))
+        counts = lambda i: (i["currency"] == "USD") & ~F.coalesce(text.is_graded(i["title"]), F.lit(False))
+
+        def found(usable: Column) -> Column:
+            valid = (total >= 0) & F.forall(items, lambda i: i.isNotNull()) & F.when(F.size(items) == 0, (total == 0) | ~first).otherwise(F.size(usable) > 0)
+            rows = F.transform(F.filter(usable, counts), lambda i: F.struct(i["id"].alias("id"), i["value"].cast("double").alias("price")))
+            return F.when(F.coalesce(valid, F.lit(False)), rows)
+
+        return once(usable, found)
+
+    def of_page(page: Column) -> Column:
+        # One cast takes the fields out of all items; what is no object is null in it.  Only a page without a list is asked what it has.
+        none = F.when(kind(F.try_variant_get(page, "$.itemSummaries", "variant")) == "VOID", F.array().cast(SUMMARIES))
+        items = F.coalesce(F.try_variant_get(page, "$.itemSummaries", SUMMARIES), none)
+        flat = lambda i: F.struct(i["itemId"].alias("id"), i["title"].alias("title"), i["price"]["value"].alias("value"), text_of(i["price"]["currency"]).alias("currency"))
+        return once(items, lambda items: once(F.transform(items, flat), lambda listed: pairs(page, items, listed)))
+
+    return once(F.try_parse_json(json), of_page)
 
 
 def survivors(items: Column, market: Column) -> Column:
@@ -150,18 +171,22 @@ def survivors(items: Column, market: Column) -> Column:
     banded = F.filter(items, lambda i: F.coalesce(scores.in_price_band(i["price"], market), F.lit(True)))
 
     def trimmed(rows: Column) -> Column:
-        prices, n = F.array_sort(F.transform(rows, lambda i: i["price"])), F.size(rows)
+        n = F.size(rows)
+
+        def bounds(prices: Column) -> Column:
+            def quantile(q: float) -> Column:
+                at = F.lit(q) * (n - 1)
+                low = F.floor(at).cast("int")
+                return F.get(prices, low) * (1 - (at - low)) + F.get(prices, F.least(low + 1, n - 1)) * (at - low)
 
-        def quantile(q: float) -> Column:
-            at = F.lit(q) * (n - 1)
-            low = F.floor(at).cast("int")
-            return F.get(prices, low) * (1 - (at - low)) + F.get(prices, F.least(low + 1, n - 1)) * (at - low)
+            q1, q3 = quantile(0.25), quantile(0.75)
+            return F.struct((q1 - 1.5 * (q3 - q1)).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high"))
 
-        q1, q3 = quantile(0.25), quantile(0.75)
-        kept = F.filter(rows, lambda i: i["price"].between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
-        return F.when((n < 4) | (F.size(kept) == 0), rows).otherwise(kept)
+        limits = once(F.sort_array(F.transform(rows, lambda i: i["price"])), bounds)
+        kept = once(limits, lambda b: F.filter(rows, lambda i: i["price"].between(b["low"], b["high"])))
+        return once(kept, lambda kept: F.when((n < 4) | (F.size(kept) == 0), rows).otherwise(kept))
 
-    return F.element_at(F.transform(F.array(banded), trimmed), 1)
+    return once(banded, trimmed)
 
 
 def observations(pages: DataFrame, keys: list[str], json: str = "body", page: str | None = None, market: str | None = None) -> DataFrame:
@@ -186,7 +211,7 @@ def observations(pages: DataFrame, keys: list[str], json: str = "body", page: st
     known = F.col("__kept").isNotNull()
     return kept.select(
         *keys, known.alias("known"), F.when(known, n).alias("active"), F.when(n > 0, scores.fixed(total / n, 2).cast("double")).alias("average"),
-        F.when(known, F.array_sort(F.array_distinct(F.transform("__kept", lambda i: i["id"])))).alias("item_ids"),
+        F.when(known, F.sort_array(F.array_distinct(F.transform("__kept", lambda i: i["id"])))).alias("item_ids"),
     )
 
 
