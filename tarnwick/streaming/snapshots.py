@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -24,6 +25,8 @@ PAIRS = COLUMNS + ", active0 int, average0 double, item_ids0 array<string>"
 NAMES = [c.split()[0] for c in PAIRS.split(", ")]
 #: Keyed state is in RocksDB, so that it need not fit in an executor's memory.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of all days that a group has, by and large: few in a worker's memory, and yet few groups.
+GROUP_ROWS = 10_000
 DAY = 86_400_000
 
 
@@ -35,6 +38,31 @@ def read(spark: SparkSession, path: str, files_per_trigger: int | None = None) -
 
 def with_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # A micro-batch writes what it changed, and not a whole snapshot of each partition; those are made aside, now and then.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", True)
+
+
+def sizes(spark: SparkSession, rows: int) -> tuple[int, int]:
+    """How many groups and state partitions a stream of about ``rows`` rows in all should have.
+
+    A task of a micro-batch and a group in it have a price whatever their rows, so groups go with the rows, and there are
+    no more partitions than groups or cores.
+    """
+    groups = 1 + rows // GROUP_ROWS
+    return groups, min(groups, spark.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def _shuffle_partitions(spark: SparkSession, n: int | None):
+    """The session's number of shuffle partitions is ``n`` for a while; a stream that starts then has a copy of it."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if n is not None:
+        spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _plain(value):
@@ -160,13 +188,17 @@ def due(items: DataFrame, days: int = 14) -> DataFrame:
     return timed.groupBy("id").transformWithStateInPandas(Cache(days), "id long, fetched date", "Append", "EventTime")
 
 
-def write_by_day(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
-    """Write flows as Parquet by micro-batch and day, each micro-batch once: a rerun overwrites its own part."""
+def write_by_day(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", partitions: int | None = None):
+    """Write flows as Parquet by micro-batch and day, each micro-batch once: a rerun overwrites its own part.
+
+    ``partitions`` is the number of state partitions of a new checkpoint, by default the session's shuffle partitions.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "date").parquet(path)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _shuffle_partitions(stream.sparkSession, partitions):
+        return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame | None:

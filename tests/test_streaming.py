@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick.operators import dynamics
+from tarnwick.plans.queries import QUERIES
 from tarnwick.streaming import snapshots
 
 D = dt.date
@@ -133,3 +134,14 @@ def test_rows_without_a_card_are_one_card(spark, tmp_path):
     rows = [(None, D(2026, 9, 1), 4, 2.0, None), (None, D(2026, 9, 2), 1, 2.0, None), (2**60 + 1, D(2026, 9, 1), 1, None, ["a"]), (2**60 + 1, D(2026, 9, 2), 1, None, ["b", None])]
     landed(spark, rows, f"{tmp_path}/in", [[D(2026, 9, 2)], [D(2026, 9, 1)]])
     assert streamed(spark, f"{tmp_path}/in", tmp_path) == batch(spark, rows)
+
+
+def test_state_partitions_go_with_rows_and_cores(spark, monkeypatch):
+    assert [snapshots.sizes(spark, n) for n in (0, 25_000, 10**6)] == [(1, 1), (3, 3), (101, 4)]
+    started, write = [], snapshots.write_by_day
+    monkeypatch.setattr(snapshots, "write_by_day", lambda *a, **how: started.append(write(*a, **how)) or started[-1])
+    QUERIES["stream_flows"](spark, "/root/testdata/sf0.001")
+    batches = [p for p in started[0].recentProgress if p.numInputRows]
+    assert len(batches) == 30  # a micro-batch for each day still
+    assert {p.stateOperators[0].numShufflePartitions for p in batches} == {1}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"  # the session keeps its own number
